@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, pii, secrets
+from . import byte_bpe, fingerprints, mixing, pii, secrets, toxicity
 from .common import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -23,6 +23,30 @@ def _of_kinds(spans: Column, *kinds: str) -> Column:
     return F.filter(spans, lambda x: x["kind"].isin(*kinds))
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP1_SQL = r"""
+with d as (
+  select doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> ''))::bigint as size,
+         md5(coalesce(doc_id::varchar, '')) as ord from documents),
+s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as rn from d group by source),
+w as (select *, case (rn - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as weight, source_size * 2 as lim, sum(source_size) over ()::bigint as total from s),
+l as (select *, (1.5::double * total - coalesce(sum(lim) over (order by lim / weight, source nulls last rows between unbounded preceding and 1 preceding), 0)::double)
+                / (sum(weight) over (order by lim / weight, source nulls last rows between current row and unbounded following))::double as level from w),
+f as (select min_by(level, lim / weight) as final from l where level * weight <= lim),
+g as (select source, source_size, least(lim::double, coalesce(final * weight, lim::double)) as target from l left join f on true),
+r as (select d.doc_id, d.size, g.source_size, g.target,
+             coalesce(sum(d.size) over (partition by d.source order by d.ord, d.doc_id rows between unbounded preceding and 1 preceding), 0)::double as begun,
+             case when g.source_size > 0 then floor(g.target / g.source_size) else 0 end as rounds
+      from d join g on d.source is not distinct from g.source)
+select doc_id, size, source_size, target,
+       (size * (rounds + case when target - rounds * source_size > 0 and begun + size / 2 <= target - rounds * source_size then 1 else 0 end))::bigint as taken
+from r
+"""
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(table(spark, sf_dir, "documents"))
 
@@ -42,6 +66,14 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(_of_kinds(F.col("pii"), *kinds)), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"), scores.alias("scores"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    p = F.col("toxicity.score")
+    held_out = F.coalesce(~toxicity.learnable(F.col("doc_id")), F.lit(False))
+    return rows.select("doc_id", held_out.alias("held_out"), p.alias("score"), (p >= 0.5).cast("int").alias("predicted"), F.slice("toxicity.neighbours", 1, 3).alias("evidence"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), BPE_RANKS).select("doc_id", "ids")
     return byte_bpe.decode(rows, BPE_RANKS).select(
@@ -50,9 +82,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
     "op3_fingerprints": op3_fingerprints,
     "op4_secret_scan": op4_secret_scan,
     "op6_pii": op6_pii,
+    "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_source_mixing": OP1_SQL}
