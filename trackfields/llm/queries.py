@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, mixing, pii, secrets, toxicity
+from . import ann, byte_bpe, fingerprints, licenses, mixing, pii, secrets, toxicity
 from .common import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -58,6 +58,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(_of_kinds(F.col("spans"), *kinds)), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = ("email", "ip", "card", "phone")
@@ -81,12 +86,19 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_paragraphs", "n_licenses", F.array_join("families", ",").alias("families"), F.round("best", 6).alias("best"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op3_fingerprints": op3_fingerprints,
     "op4_secret_scan": op4_secret_scan,
+    "op5_ann": op5_ann,
     "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLES: dict[str, str] = {"op1_source_mixing": OP1_SQL}

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import LETTER, class_table
 
-GRAM = 6
+GRAM = 5
 TERMS, EXAMPLES = 1024, 4096
 BLOCK, NEIGHBOURS = 64, 16
 #: Documents that must hold a term before it may be kept.
