@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, fingerprints, licenses, mixing, pii, secrets, toxicity
+from . import ann, byte_bpe, fingerprints, licenses, line_dedup, mixing, pii, secrets, toxicity
 from .common import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -47,6 +47,11 @@ from r
 """
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(table(spark, sf_dir, "documents"))
 
@@ -93,6 +98,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_line_dedup": op2_line_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op4_secret_scan": op4_secret_scan,
     "op5_ann": op5_ann,
