@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, fingerprints, licenses, line_dedup, mixing, pii, secrets, toxicity
+from . import ann, byte_bpe, fingerprints, licenses, line_dedup, mixing, ngram_join, pii, secrets, toxicity
 from .common import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -91,6 +91,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_paragraphs", "n_licenses", F.array_join("families", ",").alias("families"), F.round("best", 6).alias("best"))
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_license_scan": op10_license_scan,
 }
 ORACLES: dict[str, str] = {"op1_source_mixing": OP1_SQL}
