@@ -25,12 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 # Classes of code points.
 LETTER, NUMBER, WHITE, OTHER = 0, 1, 2, 3
 # Code points of the Unicode property White_Space.
 WHITE_SPACE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Pieces kept in a worker's cache; beyond that it starts anew, so memory stays bounded.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 500_000
 
 # States of the automaton that reads an apostrophe and what follows it.
 START, APOS, PAIR_R, PAIR_V, PAIR_L, DONE2, DONE3, FAIL = range(8)
@@ -244,6 +246,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("offsets", T.ArrayType(T.LongType()))])
     run = F.pandas_udf(ids_of, kind)
+    docs = small_batches(docs)
     rest = [c for c in docs.columns if c not in ("ids", "offsets")]
     return docs.withColumn("_bpe", run(F.col(text))).select(*rest, F.col("_bpe.ids").alias("ids"), F.col("_bpe.offsets").alias("offsets"))
 
@@ -257,7 +260,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             yield pd.Series([b"" if x is None else b"".join(map(table.__getitem__, x.tolist())) for x in s], dtype=object)
 
     run = F.pandas_udf(bytes_of, T.BinaryType())
-    return rows.withColumn("decoded", run(F.col(ids)))
+    return small_batches(rows).withColumn("decoded", run(F.col(ids)))
 
 
 def digest(ids: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``, as a Java character class.
 SPACE = r"[ \t-\r]"
+#: Documents that a Python worker holds at once.
+BATCH = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +40,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; Python workers get at most ``BATCH`` rows at once from now on, since rows here hold whole documents."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= BATCH:
+        conf.set(key, str(BATCH))
+    return df
+
+
 def words_count(text: Column) -> Column:
     """Number of words ``[^\\x20\\x09-\\x0D]+``; 0 for null and empty texts."""
     t = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 WINDOW = 7
 CHUNKS = 64
 #: Characters of a shared run below which unlike signatures of full length count as unlike.
@@ -177,4 +179,4 @@ def with_edits(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
             yield frame.astype({"doc_id": "Int64"})
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return in_order(docs, text, key).mapInPandas(run, schema)
+    return small_batches(in_order(docs, text, key)).mapInPandas(run, schema)

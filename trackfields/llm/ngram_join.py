@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small_batches
 from .fingerprints import _BYTES, _INVERSE, ODD, _mix, _powers
 
 WORDS, SIMILAR_PERCENT = 4, 85
@@ -201,7 +201,7 @@ def _sizes_fit(n: Column, m: Column) -> Column:
 
 def components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id per row of ``docs``."""
-    d = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    d = small_batches(docs).select(F.col(key).alias("doc"), F.col(text).alias("text"))
     sets = saved(_sets(d, _rarity(d)), "ngram-sets")
     real = sets.where((F.col("n") > 0) & F.col("doc").isNotNull())
     classes = real.groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"))

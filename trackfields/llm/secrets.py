@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Characters of a segment, about; one longer document is a segment of its own.
 SEGMENT = 1_000_000
 #: Strings that a part of an expression may stand for, before they are cut into trigrams.
@@ -207,4 +209,4 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -
             yield pd.Series([[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in out], dtype=object)
 
     kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    return docs.withColumn("spans", F.pandas_udf(run, kind)(F.col(text)))
+    return small_batches(docs).withColumn("spans", F.pandas_udf(run, kind)(F.col(text)))

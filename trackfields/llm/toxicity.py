@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import LETTER, class_table
+from .common import small_batches
 
 GRAM = 5
 TERMS, EXAMPLES = 1024, 4096
@@ -141,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     named = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & learnable(F.col("doc_id")))
     named = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = named.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(EXAMPLES)
-    d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    d = small_batches(docs).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     chosen = d.join(F.broadcast(sample), "doc_id")
 
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,4 +229,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     out.append((1 / (1 + np.exp(-max(-30.0, min(30.0, z)))), m.ids[at], cos))
             yield pd.DataFrame(out, columns=["score", "neighbours", "cosines"])
 
-    return docs.withColumn("toxicity", F.pandas_udf(run, "score double, neighbours array<bigint>, cosines array<double>")(F.col(text)))
+    return small_batches(docs).withColumn("toxicity", F.pandas_udf(run, "score double, neighbours array<bigint>, cosines array<double>")(F.col(text)))
