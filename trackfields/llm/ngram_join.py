@@ -6,9 +6,9 @@ size), so each set is dealt to a tile per such shingle. A tile is sorted by set
 compatible sizes within a tile meet. A pair is tested on hashed bitmaps of the sets first, whose bit counts bound the overlap
 from above, and then by intersecting the sorted arrays of shingle hashes.
 
-Tiles are worked in two rounds, so a tile of many near copies does not make all its pairs: first each set meets its
-neighbour in size; then, with the components so far, sets of different components meet. Within one component nothing more
-can change the result. Components are found by minimum labels with pointer jumping.
+Tiles are worked in rounds, so a tile of many near copies does not make all its pairs: first each set meets a few
+neighbours, by size and by hash; then, with the components so far, all sets of different components meet, in tiles of
+bounded size. Within one component nothing more can change the result. Components are found by minimum labels with pointer jumping.
 
 Shingles are compared by 64-bit hashes, sets by 128 bits. Arrays are made again from texts, for candidates only; a bit table
 of fixed size keeps most other texts out of the shuffle.
@@ -32,6 +32,10 @@ from .fingerprints import _BYTES, _INVERSE, ODD, _mix, _powers
 
 WORDS, SIMILAR_PERCENT = 4, 85
 BUCKETS, BITS = 1 << 18, 1 << 24
+#: How many rows back a set meets others in its tile, and the tile's order, before all that are left meet.
+ROUNDS = ((2, ("n", "doc")), (8, ("n", "doc")), (8, ("hash", "n")))
+#: Rows of a tile that one task compares.
+TILE = 2_000
 #: Bytes of text handled together.
 SLICE = 500_000
 _STEPS = [np.uint64(pow(ODD, 2 * k + 3, 1 << 64)) for k in range(WORDS)]
@@ -199,6 +203,66 @@ def _sizes_fit(n: Column, m: Column) -> Column:
     return (100 * n >= SIMILAR_PERCENT * m) & (100 * m >= SIMILAR_PERCENT * n)
 
 
+def _places_fit(n: Column, i: Column, m: Column, j: Column) -> Column:
+    """Positional filter: what follows the shared shingle in both orders can make up the overlap needed."""
+    return F.least(n - i, m - j) >= F.ceil((n + m) * SIMILAR_PERCENT / (100 + SIMILAR_PERCENT) - 1e-9)
+
+
+def _survivors(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a tile, in order of size, of different components and blocks, that sizes, places and bitmaps leave."""
+    doc, n, i, c, block = (rows[x].to_numpy(np.int64) for x in ("doc", "n", "i", "c", "block"))
+    whole = rows["t1"].iloc[0] == rows["t2"].iloc[0]
+    sizes = rows["bits"].map(len).to_numpy()
+    got_a, got_b = [], []
+    matrix = {int(k): np.frombuffer(b"".join(rows["bits"].to_numpy()[sizes == k]), np.uint8).reshape(-1, int(k)) for k in np.unique(sizes)}
+    row_of = {k: np.flatnonzero(sizes == k) for k in matrix}
+    lowest = np.searchsorted(n, -(-SIMILAR_PERCENT * n // 100))
+    for x in range(1, len(doc)):
+        own = np.frombuffer(rows["bits"].iat[x], np.uint8)
+        for k, at in row_of.items():
+            y = at[(at >= lowest[x]) & (at < x)]
+            need = -(-SIMILAR_PERCENT * (n[x] + n[y]) // (100 + SIMILAR_PERCENT))
+            keep = (c[y] != c[x]) & (doc[y] != doc[x]) & (np.minimum(n[x] - i[x], n[y] - i[y]) >= need) & (whole | (block[y] != block[x]))
+            y, need = y[keep], need[keep]
+            if not len(y):
+                continue
+            other, mine = matrix[k][np.searchsorted(at, y)], own
+            if len(mine) > k:
+                mine = np.bitwise_or.reduce(mine.reshape(-1, k), axis=0)
+            elif len(mine) < k:
+                other = np.bitwise_or.reduce(other.reshape(len(y), -1, len(mine)), axis=1)
+            most = np.minimum(n[x] - np.bitwise_count(mine & ~other).sum(1, dtype=np.int64), n[y] - np.bitwise_count(other & ~mine).sum(1, dtype=np.int64))
+            y = y[most >= need]
+            got_a.append(np.maximum(doc[x], doc[y]))
+            got_b.append(np.minimum(doc[x], doc[y]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *got_a]), np.concatenate([none, *got_b])
+
+
+def _within_tiles(mixed: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that the filters leave. Tiles beyond TILE rows are cut into pairs of blocks."""
+    parts = F.ceil(F.col("rows") / TILE).cast("int")
+    block = F.pmod(F.xxhash64("doc"), parts).cast("int")
+    cut = mixed.withColumn("parts", parts).withColumn("block", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = cut.select("w", F.least("block", "o").alias("t1"), F.greatest("block", "o").alias("t2"), "block", "n", "i", "doc", "c")
+    cut = cut.join(bits.select("doc", "bits"), "doc").repartition("w", "t1", "t2").sortWithinPartitions("w", "t1", "t2", "n", "doc")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for rows in batches:
+            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            new = (rows[["w", "t1", "t2"]] != rows[["w", "t1", "t2"]].shift()).any(axis=1).to_numpy()
+            starts = np.flatnonzero(new)
+            found = [_survivors(rows.iloc[p:q]) for p, q in zip(starts, starts[1:]) if q - p > 1]
+            held = rows.iloc[starts[-1] :] if len(starts) else None
+            yield pd.DataFrame({"a": np.concatenate([np.zeros(0, np.int64), *[x for x, _ in found]]), "b": np.concatenate([np.zeros(0, np.int64), *[y for _, y in found]])})
+        if held is not None and len(held) > 1:
+            a, b = _survivors(held)
+            yield pd.DataFrame({"a": a, "b": b})
+
+    return cut.mapInPandas(run, "a long, b long").distinct()
+
+
 def components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id per row of ``docs``."""
     d = small_batches(docs).select(F.col(key).alias("doc"), F.col(text).alias("text"))
@@ -211,24 +275,26 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     bits = reps.select("doc", "n", "bits")
     tiles = reps.select(F.posexplode("first").alias("i", "w"), "n", "doc")
     band = Window.partitionBy("w").orderBy("n", "doc")
-    near = tiles.withColumn("before", F.lag(F.struct("n", "doc")).over(band)).withColumn("after", F.lead(F.struct("n", "doc")).over(band))
-    fits_before, fits_after = (F.coalesce(_sizes_fit(F.col("n"), F.col(f"{x}.n")), F.lit(False)) for x in ("before", "after"))
-    near = saved(near.where(fits_before | fits_after).select("w", "i", "n", "doc", F.when(fits_before, F.col("before.doc")).alias("b")), "ngram-tiles")
-    pairs = near.where("b is not null").select(F.greatest("doc", "b").alias("a"), F.least("doc", "b").alias("b")).where("a <> b").distinct()
-    links = saved(_verified(saved(_bounded(pairs, bits), "ngram-pairs"), d), "ngram-links")
-    # Rows that share a doc_id are one node; so are equal sets, through their representative.
-    so_far = connected(links)
-    # Round two: what is left are sets of different components in one tile.
-    known = near.join(so_far, near["doc"] == so_far["node"], "left").select("w", "i", "n", "doc", F.coalesce("component", "doc").alias("c"))
-    whole = Window.partitionBy("w")
-    mixed = known.withColumn("lo", F.min("c").over(whole)).withColumn("hi", F.max("c").over(whole)).where("lo < hi").drop("lo", "hi")
-    mixed = saved(mixed, "ngram-mixed")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * SIMILAR_PERCENT / (100 + SIMILAR_PERCENT) - 1e-9)
-    meet = (F.col("x.w") == F.col("y.w")) & (F.col("x.doc") > F.col("y.doc")) & (F.col("x.c") != F.col("y.c")) & _sizes_fit(F.col("x.n"), F.col("y.n"))
-    meet = meet & (F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) >= need)
-    more = x.join(y, meet).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    late = saved(_bounded(more, bits), "ngram-pairs")
+    near = tiles.withColumn("before", F.lag("n").over(band)).withColumn("after", F.lead("n").over(band))
+    # A set without a neighbour of a compatible size in its tile has no partner there at all.
+    fits = [F.coalesce(_sizes_fit(F.col("n"), F.col(x)), F.lit(False)) for x in ("before", "after")]
+    near = saved(near.where(fits[0] | fits[1]).drop("before", "after"), "ngram-tiles")
+    links, mixed, tried = None, near.withColumn("c", F.col("doc")), None
+    for back, order in ROUNDS:
+        seen = Window.partitionBy("w").orderBy(*[F.xxhash64("doc") if o == "hash" else F.col(o) for o in order]).rowsBetween(-back, -1)
+        pairs = mixed.withColumn("back", F.collect_list(F.struct("i", "n", "doc", "c")).over(seen)).withColumn("b", F.explode("back"))
+        pairs = pairs.where((F.col("c") != F.col("b.c")) & _sizes_fit(F.col("n"), F.col("b.n")) & _places_fit(F.col("n"), F.col("i"), F.col("b.n"), F.col("b.i")))
+        pairs = pairs.select(F.greatest("doc", "b.doc").alias("a"), F.least("doc", "b.doc").alias("b")).where("a <> b").distinct()
+        pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        good = _verified(saved(_bounded(pairs, bits), "ngram-pairs"), d)
+        links = saved(good if links is None else links.unionByName(good), "ngram-links")
+        so_far = connected(links)
+        known = near.join(so_far, near["doc"] == so_far["node"], "left").select("w", "i", "n", "doc", F.coalesce("component", "doc").alias("c"))
+        whole = Window.partitionBy("w")
+        known = known.withColumn("lo", F.min("c").over(whole)).withColumn("hi", F.max("c").over(whole)).withColumn("rows", F.count("*").over(whole))
+        mixed = saved(known.where("lo < hi").drop("lo", "hi"), "ngram-mixed")
+    late = saved(_within_tiles(mixed, bits).join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
     if not late.isEmpty():
         links = links.unionByName(_verified(late, d))
     ties = members.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
