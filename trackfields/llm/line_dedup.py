@@ -6,9 +6,9 @@ similarity of at least ``SIMILAR``. Lines without words are kept.
 Equal sets are collapsed first, to the earliest line that holds them. Words are ordered by rarity (line counts in a hash table of fixed
 size, ties by hash). Two similar sets share a word among the first ``n - ceil(SIMILAR * n) + 1`` words of each, so only those
 words are shuffled. In a word's group each set meets the sets before it under a length filter, a positional filter
-and a 64-bit signature that bounds the overlap from above. A group is looked back ``BACK`` sets and at its first set; a set that
-finds its match there is settled, and only what is still open in longer groups meets the rest of them, so a group of many near copies
-does not make all its pairs. Candidates are verified on their words, which are read for candidates only: a
+and a 64-bit signature that bounds the overlap from above. In a group of more than ``HOT`` sets, each first looks back ``BACK`` sets and at the group's first; a set that
+finds its match there is settled, and only what is still open meets the rest of the group, so many near copies
+do not make all their pairs. Candidates are verified on their words, which are read for candidates only: a
 bit table of fixed size tells most other lines apart before anything is shuffled.
 
 Only DataFrame functions are used.
@@ -30,7 +30,8 @@ from .common import SPACE, let, saved
 SIMILAR = 0.8
 #: Buckets of the rarity table; bits of the candidate table (2 MB as longs).
 BUCKETS, BITS = 1 << 16, 1 << 24
-BACK = 64
+#: Sets in a word's group beyond which the group is worked in two steps; how far back the first step looks.
+HOT, BACK = 256, 64
 
 
 def _bit(i: Column) -> Column:
@@ -102,20 +103,28 @@ def matched(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[D
     # Sets of up to three words have only equal sets as partners.
     words = classes.where(F.col("n") > 3).select("doc", "line", "n", "sign", F.posexplode("first").alias("i", "w"))
     rows = words.select("w", F.struct("doc", "line", "n", "i", "sign").alias("own"))
-    group = Window.partitionBy("w").orderBy("own.doc", "own.line")
-    near = rows.withColumn("back", F.collect_list("own").over(group.rowsBetween(-BACK, -1))).withColumn("head", F.first("own").over(group)).withColumn("k", F.row_number().over(group))
-    near = near.where(F.col("k") > 1)
-    tries = F.when(F.col("k") > BACK + 1, F.concat(F.array("head"), "back")).otherwise(F.col("back"))
-    near = near.select("own", F.filter(tries, lambda b: _may_match(F.col("own"), b)).alias("found"), (F.col("k") > BACK + 1).alias("long"))
-    near = saved(near.where(F.col("long") | (F.size("found") > 0)), "line-near")
-    pairs = near.select("own.doc", "own.line", F.explode("found").alias("b")).select("doc", "line", F.col("b.doc").alias("of"), F.col("b.line").alias("of_line")).distinct()
-    later = saved(_verified(saved(pairs, "line-pairs"), lines).distinct(), "line-later")
-    open_ = near.where("long").select(F.col("own.doc").alias("doc"), F.col("own.line").alias("line")).distinct().join(later, ["doc", "line"], "left_anti")
-    if not open_.isEmpty():
-        own = words.join(open_, ["doc", "line"], "left_semi").select("w", F.struct("doc", "line", "n", "i", "sign").alias("own"))
-        rest = own.join(rows.withColumnRenamed("own", "b"), "w").where((F.struct("b.doc", "b.line") < F.struct("own.doc", "own.line")) & _may_match(F.col("own"), F.col("b")))
-        more = rest.select("own.doc", "own.line", F.col("b.doc").alias("of"), F.col("b.line").alias("of_line")).distinct()
-        later = later.unionByName(_verified(saved(more, "line-pairs"), lines)).distinct()
+    ahead = F.struct("b.doc", "b.line") < F.struct("own.doc", "own.line")
+    couple = [F.col("own.doc").alias("doc"), F.col("own.line").alias("line"), F.col("b.doc").alias("of"), F.col("b.line").alias("of_line")]
+    hot = saved(rows.groupBy("w").count().where(F.col("count") > HOT).select("w"), "line-hot")
+    crowded = not hot.isEmpty()
+    cold = rows.join(hot, "w", "left_anti") if crowded else rows
+    pairs = cold.join(cold.withColumnRenamed("own", "b"), "w").where(ahead & _may_match(F.col("own"), F.col("b"))).select(*couple)
+    if crowded:
+        group = Window.partitionBy("w").orderBy("own.doc", "own.line")
+        near = rows.join(hot, "w", "left_semi").withColumn("back", F.collect_list("own").over(group.rowsBetween(-BACK, -1)))
+        near = near.withColumn("head", F.first("own").over(group)).withColumn("k", F.row_number().over(group)).where(F.col("k") > 1)
+        tries = F.when(F.col("k") > BACK + 1, F.concat(F.array("head"), "back")).otherwise(F.col("back"))
+        near = near.select("own", F.filter(tries, lambda b: _may_match(F.col("own"), b)).alias("found"), (F.col("k") > BACK + 1).alias("long"))
+        near = saved(near, "line-near")
+        pairs = pairs.unionByName(near.withColumn("b", F.explode("found")).select(*couple))
+    later = saved(_verified(saved(pairs.distinct(), "line-pairs"), lines).distinct(), "line-later")
+    if crowded:
+        open_ = near.where("long").select(F.col("own.doc").alias("doc"), F.col("own.line").alias("line")).distinct().join(later, ["doc", "line"], "left_anti")
+        if not open_.isEmpty():
+            crowd = words.join(hot, "w", "left_semi")
+            own = crowd.join(open_, ["doc", "line"], "left_semi").select("w", F.struct("doc", "line", "n", "i", "sign").alias("own"))
+            rest = own.join(crowd.select("w", F.struct("doc", "line", "n", "i", "sign").alias("b")), "w").where(ahead & _may_match(F.col("own"), F.col("b")))
+            later = later.unionByName(_verified(saved(rest.select(*couple).distinct(), "line-pairs"), lines)).distinct()
     return classes.select("doc", "line"), later
 
 
