@@ -3,10 +3,10 @@
 A line is the set of its lower-case words. It is removed when an earlier line (by doc_id, then line number) has a Jaccard
 similarity of at least ``SIMILAR``. Lines without words are kept.
 
-Equal sets are collapsed first, to the earliest line that holds them. Words are ordered by rarity (line counts in a hash table of fixed
+Equal sets are collapsed first, to the earliest line that holds them. Words are ordered by rarity (counts in a hash table of fixed
 size, ties by hash). Two similar sets share a word among the first ``n - ceil(SIMILAR * n) + 1`` words of each, so only those
-words are shuffled. In a word's group each set meets the sets before it under a length filter, a positional filter
-and a 64-bit signature that bounds the overlap from above. In a group of more than ``HOT`` sets, each first looks back ``BACK`` sets and at the group's first; a set that
+words are shuffled. In a word's group each set meets the sets before it under a length filter and a 64-bit signature that bounds
+the overlap from above; a positional filter then asks that a pair shares enough first words for the rest to make up the overlap. In a group of more than ``HOT`` sets, each first looks back ``BACK`` sets and at the group's first; a set that
 finds its match there is settled, and only what is still open meets the rest of the group, so many near copies
 do not make all their pairs. Candidates are verified on their words, which are read for candidates only: a
 bit table of fixed size tells most other lines apart before anything is shuffled.
@@ -29,9 +29,9 @@ from .common import SPACE, let, saved
 
 SIMILAR = 0.8
 #: Buckets of the rarity table; bits of the candidate table (2 MB as longs).
-BUCKETS, BITS = 1 << 16, 1 << 24
+BUCKETS, BITS = 1 << 17, 1 << 24
 #: Sets in a word's group beyond which the group is worked in two steps; how far back the first step looks.
-HOT, BACK = 256, 64
+HOT, BACK = 256, 16
 
 
 def _bit(i: Column) -> Column:
@@ -39,39 +39,56 @@ def _bit(i: Column) -> Column:
 
 
 def _lines(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(doc, line, words: distinct hashes) of the lines that have words."""
+    """(doc, line, s: lower-case text) of the lines that have words."""
     d = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.posexplode(F.split(F.lower(F.col(text)), "\n")).alias("line", "s"))
-    words = F.array_distinct(F.transform(F.split(F.col("s"), f"{SPACE}+"), lambda w: F.when(w != "", F.xxhash64(w))))
-    return d.select("doc", "line", F.array_compact(words).alias("words")).where(F.size("words") > 0)
+    return d.where(F.col("s").rlike(r"[^ \t-\r]"))
 
 
-def _rarity(lines: DataFrame) -> bytes:
-    """For each bucket, a byte that grows with the number of lines in which its words stand (eighths of a power of two)."""
-    found = lines.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).cast("int").alias("b")).count().collect()
+def _words(s: Column) -> Column:
+    """The distinct word hashes of a line. Splitting at one plain blank is much cheaper than at a pattern."""
+    blank = F.when(s.rlike(r"[\t-\r]"), F.regexp_replace(s, r"[\t-\r]", " ")).otherwise(s)
+    return F.array_remove(F.array_distinct(F.transform(F.split(blank, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
+def _rarity(docs: DataFrame, text: str) -> bytes:
+    """For each bucket, a number up to 127 that grows with the count of its words in all texts (quarters of a power of two)."""
+    words = docs.select(F.explode(F.split(F.lower(F.col(text)), f"{SPACE}+")).alias("w"))
     table = bytearray(BUCKETS)
-    for r in found:  # BUCKETS rows at most
-        table[r["b"]] = min(255, round(8 * math.log2(1 + r["count"])))
+    for r in words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count().collect():  # BUCKETS rows at most
+        table[r["b"]] = min(127, round(4 * math.log2(1 + r["count"])))
     return bytes(table)
 
 
 def _with_sets(lines: DataFrame, rarity: bytes) -> DataFrame:
-    """doc, line, n, class (two hashes), first words by rarity, signature."""
-    table = F.lit(rarity)
-    ordered = F.transform(F.array_sort(F.transform("words", lambda w: F.struct(F.substr(table, F.pmod(w, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).alias("r"), w.alias("w")))), lambda x: x["w"])
+    """doc, line, n, class (two hashes), first words by rarity (its rank in the top byte of the hash), tail, signature.
+
+    ``tail`` counts the words after those of the first ones whose group surely has no more than HOT sets.
+    """
+    table, surely = F.lit(rarity), int(4 * math.log2(1 + HOT))
+
+    def ranked(w: Column) -> Column:
+        rank = F.ascii(F.substr(table, F.pmod(w, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
+        return F.call_function("shiftleft", rank, F.lit(56)).bitwiseOR(w.bitwiseAND(F.lit((1 << 56) - 1)))
+
+    d = lines.select("doc", "line", _words(F.col("s")).alias("words"))
     n = F.size("words")
     first = n - F.ceil(n * SIMILAR - 1e-9).cast("int") + 1
-    sign = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(_bit(F.pmod(F.call_function("shiftright", w, F.lit(20)), F.lit(64)))))
-    sets = let(ordered, lambda o: F.struct(F.xxhash64(o).alias("c1"), F.hash(o).alias("c2"), F.slice(o, F.lit(1), first).alias("first")))
-    return lines.select("doc", "line", n.alias("n"), sets.alias("s"), sign.alias("sign")).select("doc", "line", "n", "s.c1", "s.c2", "s.first", "sign")
+    sign = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(_bit(F.call_function("shiftright", w, F.lit(58)))))
+    ordered = F.sort_array(F.transform("words", ranked))
+    d = d.select("doc", "line", n.alias("n"), sign.alias("sign"), first.alias("p"), ordered.alias("o"))
+    return d.select("doc", "line", "n", F.xxhash64("o").alias("c1"), F.hash("o").alias("c2"), F.slice("o", F.lit(1), F.col("p")).alias("first"), "sign").withColumn("tail", F.col("n") - F.size(F.filter("first", lambda w: w < F.lit(surely << 56))))
+
+
+def _needed(a, b) -> Column:
+    """The overlap that SIMILAR asks of two sets."""
+    return F.ceil((a["n"] + b["n"]) * (SIMILAR / (1 + SIMILAR)) - 1e-9)
 
 
 def _may_match(a, b) -> Column:
-    """Length, position and signature filters: can the overlap of two sets reach what SIMILAR asks for?"""
-    need = F.ceil((a["n"] + b["n"]) * (SIMILAR / (1 + SIMILAR)) - 1e-9)
+    """Length and signature filters: can the overlap of two sets reach what SIMILAR asks for?"""
     length = (b["n"] >= a["n"] * SIMILAR - 1e-9) & (a["n"] >= b["n"] * SIMILAR - 1e-9)
-    place = F.least(a["n"] - a["i"], b["n"] - b["i"]) >= need
     over = F.least(a["n"] - F.bit_count(a["sign"].bitwiseAND(F.bitwise_not(b["sign"]))), b["n"] - F.bit_count(b["sign"].bitwiseAND(F.bitwise_not(a["sign"]))))
-    return length & place & (over >= need)
+    return length & (over >= _needed(a, b))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -86,7 +103,7 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     at = F.pmod(F.xxhash64("doc", "line"), F.lit(BITS))
     some = lines.where(F.getbit(F.element_at(known, F.floor(at / 64).cast("int") + 1), (at % 64).cast("int")) == 1)
     some = some.join(ends, (F.col("doc") == F.col("d")) & (F.col("line") == F.col("l")), "left_semi")
-    words = saved(some.select("doc", "line", "words"), "line-words")
+    words = saved(some.select("doc", "line", _words(F.col("s")).alias("words")), "line-words")
     a, b = words.select(F.col("doc"), F.col("line"), F.col("words").alias("x")), words.select(F.col("doc").alias("of"), F.col("line").alias("of_line"), F.col("words").alias("y"))
     both = pairs.join(a, ["doc", "line"]).join(b, ["of", "of_line"])
     same = F.size(F.array_intersect("x", "y"))
@@ -96,19 +113,21 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 def matched(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(firsts, later): the first line of each set as (doc, line), and those of them that match an earlier line."""
     lines = _lines(docs, text, key)
-    sets = _with_sets(lines, _rarity(lines))
+    sets = _with_sets(lines, _rarity(docs, text))
     spot = F.struct("doc", "line")
-    classes = sets.groupBy("c1", "c2", "n", "sign").agg(F.min(spot).alias("at"), F.first("first").alias("first"))
-    classes = saved(classes.select("at.doc", "at.line", "n", "sign", "first"), "line-sets")
+    classes = sets.groupBy("c1", "c2", "n", "sign", "tail").agg(F.min(spot).alias("at"), F.first("first").alias("first"))
+    classes = saved(classes.select("at.doc", "at.line", "n", "tail", "sign", "first"), "line-sets")
     # Sets of up to three words have only equal sets as partners.
-    words = classes.where(F.col("n") > 3).select("doc", "line", "n", "sign", F.posexplode("first").alias("i", "w"))
-    rows = words.select("w", F.struct("doc", "line", "n", "i", "sign").alias("own"))
+    words = classes.where(F.col("n") > 3).select("doc", "line", "n", "tail", "sign", F.explode("first").alias("w"))
+    rows = words.select("w", F.struct("doc", "line", "n", "tail", "sign").alias("own"))
     ahead = F.struct("b.doc", "b.line") < F.struct("own.doc", "own.line")
     couple = [F.col("own.doc").alias("doc"), F.col("own.line").alias("line"), F.col("b.doc").alias("of"), F.col("b.line").alias("of_line")]
+    # More words than the shared first ones and the longer tail cannot overlap.
+    lack = (_needed(F.col("own"), F.col("b")) - F.greatest("own.tail", "b.tail")).cast("int").alias("lack")
     hot = saved(rows.groupBy("w").count().where(F.col("count") > HOT).select("w"), "line-hot")
     crowded = not hot.isEmpty()
     cold = rows.join(hot, "w", "left_anti") if crowded else rows
-    pairs = cold.join(cold.withColumnRenamed("own", "b"), "w").where(ahead & _may_match(F.col("own"), F.col("b"))).select(*couple)
+    pairs = cold.join(cold.withColumnRenamed("own", "b"), "w").where(ahead & _may_match(F.col("own"), F.col("b"))).select(*couple, lack)
     if crowded:
         group = Window.partitionBy("w").orderBy("own.doc", "own.line")
         near = rows.join(hot, "w", "left_semi").withColumn("back", F.collect_list("own").over(group.rowsBetween(-BACK, -1)))
@@ -116,14 +135,15 @@ def matched(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[D
         tries = F.when(F.col("k") > BACK + 1, F.concat(F.array("head"), "back")).otherwise(F.col("back"))
         near = near.select("own", F.filter(tries, lambda b: _may_match(F.col("own"), b)).alias("found"), (F.col("k") > BACK + 1).alias("long"))
         near = saved(near, "line-near")
-        pairs = pairs.unionByName(near.withColumn("b", F.explode("found")).select(*couple))
-    later = saved(_verified(saved(pairs.distinct(), "line-pairs"), lines).distinct(), "line-later")
+        pairs = pairs.unionByName(near.withColumn("b", F.explode("found")).select(*couple, lack))
+    pairs = pairs.groupBy("doc", "line", "of", "of_line", "lack").count().where(F.col("count") >= F.col("lack")).drop("lack", "count")
+    later = saved(_verified(saved(pairs, "line-pairs"), lines).distinct(), "line-later")
     if crowded:
         open_ = near.where("long").select(F.col("own.doc").alias("doc"), F.col("own.line").alias("line")).distinct().join(later, ["doc", "line"], "left_anti")
         if not open_.isEmpty():
             crowd = words.join(hot, "w", "left_semi")
-            own = crowd.join(open_, ["doc", "line"], "left_semi").select("w", F.struct("doc", "line", "n", "i", "sign").alias("own"))
-            rest = own.join(crowd.select("w", F.struct("doc", "line", "n", "i", "sign").alias("b")), "w").where(ahead & _may_match(F.col("own"), F.col("b")))
+            own = crowd.join(open_, ["doc", "line"], "left_semi").select("w", F.struct("doc", "line", "n", "tail", "sign").alias("own"))
+            rest = own.join(crowd.select("w", F.struct("doc", "line", "n", "tail", "sign").alias("b")), "w").where(ahead & _may_match(F.col("own"), F.col("b")))
             later = later.unionByName(_verified(saved(rest.select(*couple).distinct(), "line-pairs"), lines)).distinct()
     return classes.select("doc", "line"), later
 
