@@ -12,6 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from trackfields.llm import ann, byte_bpe, fingerprints, licenses, line_dedup, mixing, ngram_join, pii, secrets, toxicity
+from trackfields.llm import queries as llm_queries
 from trackfields.llm.queries import BPE_RANKS
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, spans string, n int, range int, w int"
@@ -124,6 +125,34 @@ def test_curriculum_inverts_the_integral(spark):
             assert spark.range(1).select(mixing.progress(F.lit(share), knots).alias("u")).head().u == pytest.approx(u, abs=1e-9)
 
 
+def test_curriculum_query_against_brute_force(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = llm_queries.op1_curriculum_mix(spark, str(tmp_path)).collect()
+    places = [r.position for r in got]
+    taken = [p for p in places if p is not None]
+    assert taken and taken == sorted(taken) and places[len(taken) :] == [None] * (len(places) - len(taken))
+    md5 = lambda x: hashlib.md5(str("" if x is None else x).encode()).hexdigest()
+    rows = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r.text) for r in docs.collect()]
+    names = sorted({s for _, s, _, _ in rows}, key=lambda s: (s is None, s))
+    targets = {r.source: r.target for r in got}
+    want = []
+    for rank, name in enumerate(names):
+        a, b = mixing.RAMPS[rank % 3]
+        mine = sorted((r for r in rows if r[1] == name), key=lambda r: (md5(r[0]), r[0] is not None, r[0], md5(r[3])))
+        whole, target = sum(r[2] for r in mine), targets[name]
+        for copy in range(mixing.MOST + 1):
+            begun = copy * whole
+            for doc, _, size, _ in mine:
+                middle, begun = begun + size / 2, begun + size
+                if target > 0 and middle <= target:
+                    low, high = 0.0, 1.0  # the u at which the integral of the weight from 0 to u reaches its share
+                    for _ in range(60):
+                        u = (low + high) / 2
+                        low, high = (u, high) if a * u + (b - a) * u * u / 2 < middle / target * (a + b) / 2 else (low, u)
+                    want.append((round(low, 6), str(doc), copy))
+    assert sorted((round(r.position, 6), str(r.doc_id), r.copy) for r in got if r.position is not None) == sorted(want)
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(4)
     texts = [words(40, 100 + i) + (" vilesome " + rng.choice(["gruntish", "snarlow"]) if i % 4 == 0 else "") for i in range(300)]

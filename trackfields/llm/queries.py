@@ -23,6 +23,12 @@ def _of_kinds(spans: Column, *kinds: str) -> Column:
     return F.filter(spans, lambda x: x["kind"].isin(*kinds))
 
 
+def op1_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole mix: a row per copy with its training position, range-sorted; documents without a copy come last, without one."""
+    d = mixing.plan(table(spark, sf_dir, "documents")).select("*", F.posexplode_outer("positions").alias("copy", "position"))
+    return d.orderBy(F.col("position").asc_nulls_last(), "doc_id", "copy").select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "copy", "position")
+
+
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -101,6 +107,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_curriculum_mix": op1_curriculum_mix,
     "op1_source_mixing": op1_source_mixing,
     "op2_line_dedup": op2_line_dedup,
     "op3_fingerprints": op3_fingerprints,
