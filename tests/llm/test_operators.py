@@ -104,6 +104,20 @@ def test_pii_equals_a_full_scan(spark, docs, none):
     assert [x.kind for x in found] == ["email", "ip", "card", "phone", "iban"] and found[0].score > found[3].score
 
 
+def test_account_numbers_end_at_any_word(spark):
+    gb, de, spaced = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    cases = [
+        (f"IBAN {gb} Please", [gb]), (f"{de} Bank", [de]), (f"{spaced} 2024-01", [spaced]), (f"Konto {spaced} Herr M. 17 B", [spaced]), (f"{de}", [de]),
+        (f"{spaced} {gb} {de} {spaced}", [spaced, gb, de, spaced]), (f"AB12 {spaced} X", [spaced]), (f"é{gb}, {gb}é, {gb}.", [gb]), ("NO93 8601 1117 947 A1", ["NO93 8601 1117 947"]),
+        (f"{de}x {de}_ x{de} {de[:-1]}1 Bank", []), ("MT84 MALT 0110 0001 2345 MTLC AST0 01S BANK", ["MT84 MALT 0110 0001 2345 MTLC AST0 01S"]), (f"{gb} " * 40, [gb] * 40), ("AB12 " * 3000, []), ("AB12" + "A1" * 20000, []),
+    ]
+    rows = pii.find(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, text string")).collect()
+    for r in rows:
+        spans = [(x.start, x.end) for x in r.pii if x.kind == "iban"]
+        assert [r.text[a:b] for a, b in spans] == cases[r.i][1], r.text[:80]
+        assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
 def test_mixing(docs, none):
     got = mixing.plan(docs).collect()
     assert len(got) == len(TEXTS) + 2 and mixing.plan(none).count() == 0 and mixing.mix(none).count() == 0

@@ -5,7 +5,9 @@ positions, by sums over blocks of ``BLOCK`` matches so that a text full of match
 carry look-behinds and possessive quantifiers that change no match but keep the time linear on very long runs.
 
 Kinds: ``email``; ``ip`` with parts of at most 255; ``card`` with 16 to 19 digits that pass Luhn; ``phone`` with 8 to 15
-digits; and, beyond these, ``iban`` that passes mod-97.
+digits; and, beyond these, ``iban`` that passes mod-97. An account number may end at any word boundary within 34 characters;
+of the ends that pass, the one at its country's length counts, else the longest. Every possible start is tried, also within
+other candidates; of spans that overlap, those at their country's length go first, then the earlier.
 A span's score is its kind's base score, plus ``BONUS`` where a context word of its kind stands within ``NEAR`` characters
 before it, 1 at most.
 
@@ -28,7 +30,16 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+\b"
+# The start of an account number and what may follow it; the start alone is consumed, so none hides another.
+IBAN = r"(?<![\p{L}\p{N}_])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"
+IBAN_WHOLE = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}"
+IBAN_LEAST, IBAN_SPAN = 15, 64
+# Lengths by country (ISO 13616).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 
 # Kind: base score, context words.
 KINDS = {
@@ -104,18 +115,50 @@ def passes(kind: str, m: Column) -> Column:
         return let(digits(m), lambda d: F.when(F.length(d).between(16, 19), luhn(d)).otherwise(F.lit(False)))
     if kind == "phone":
         return F.length(digits(m)).between(8, 15)
-    if kind == "iban":
-        return let(F.regexp_replace(m, " ", ""), lambda v: F.when(F.length(v).between(15, 34), mod97(v)).otherwise(F.lit(False)))
     return F.lit(True)
 
 
+def country_length(iban: Column) -> Column:
+    """The length of a country's account numbers; 0 for an unknown country."""
+    known = F.lit(0)
+    for n, countries in IBAN_LENGTHS.items():
+        known = F.when(F.substr(iban, F.lit(1), F.lit(2)).isin(*countries.split()), F.lit(n)).otherwise(known)
+    return known
+
+
+def account_numbers(text: Column) -> Column:
+    """array<struct<m: string, start: bigint>> of the account numbers that pass mod-97, by start, without overlaps."""
+
+    def best(x: Column) -> Column:
+        """(usual, size, m) of the best end of a candidate, null without one."""
+        ahead = F.substr(text, x["start"].cast("int") + 1, F.lit(IBAN_SPAN + 1))
+        return let(F.struct(ahead.alias("ahead"), F.regexp_extract(ahead, IBAN_WHOLE, 0).alias("body")), ends)
+
+    def ends(c: Column) -> Column:
+        # A word boundary: a character of the candidate, then none of a word.
+        at = F.filter(
+            F.sequence(F.lit(IBAN_LEAST), F.greatest(F.length(c["body"]), F.lit(IBAN_LEAST))),
+            lambda i: (F.substr(c["body"], i, F.lit(1)) != " ") & ~F.substr(c["ahead"], i + 1, F.lit(1)).rlike(r"[\p{L}\p{N}_]"),
+        )
+        tried = F.transform(at, lambda i: let(F.substr(c["body"], F.lit(1), i), lambda m: let(F.regexp_replace(m, " ", ""), lambda v: F.struct((F.length(v) == country_length(v)).alias("usual"), F.length(v).alias("size"), m.alias("m"), v.alias("v")))))
+        return F.array_max(F.filter(tried, lambda e: F.when(e["size"] >= IBAN_LEAST, mod97(e["v"])).otherwise(F.lit(False))))
+
+    def apart(spans: Column) -> Column:
+        crossed = lambda x, y: (x["start"] < y["start"] + F.length(y["m"])) & (y["start"] < x["start"] + F.length(x["m"]))
+        first = F.filter(spans, lambda x: x["usual"] | ~F.exists(spans, lambda y: y["usual"] & crossed(x, y)))
+        return let(first, lambda s: F.aggregate(s, F.slice(s, F.lit(1), F.lit(0)), lambda a, x: F.when(F.exists(F.slice(a, F.greatest(F.size(a), F.lit(1)), F.lit(1)), lambda y: crossed(x, y)), a).otherwise(F.concat(a, F.array(x)))))
+
+    found = F.transform(located(text, IBAN), lambda x: let(best(x), lambda b: F.struct(b["m"].alias("m"), x["start"].alias("start"), b["usual"].alias("usual"))))
+    return let(F.filter(found, lambda x: x["m"].isNotNull()), lambda s: F.when(F.size(s) > 1, apart(s)).otherwise(s))
+
+
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``pii``: array of (kind, start, end, score), by kind in the order of ``KINDS``, then by start."""
     t = F.coalesce(F.col(text), F.lit(""))
     # What a text must hold for a kind at all; cheap, and spares most texts the expensive expressions.
     digit = t.rlike("[0-9]")
     gates = {"email": F.instr(t, "@") > 0, "ip": t.rlike(r"[0-9]\.[0-9]"), "card": digit, "phone": F.instr(t, "+") > 0, "iban": t.rlike("[A-Z]{2}[0-9]{2}")}
-    patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN}
+    patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
     none = F.expr("cast(array() as array<struct<kind: string, start: bigint, end: bigint, score: double>>)")
     def spans_of(kind: str) -> Column:
         score, words = KINDS[kind]
@@ -125,7 +168,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
             bonus = F.when(before.rlike(rf"(?i)\b(?:{words})\b"), F.lit(BONUS)).otherwise(F.lit(0.0))
             return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), F.least(F.lit(1.0), F.lit(score) + bonus).alias("score"))
 
-        kept = F.filter(located(t, patterns[kind]), lambda x: passes(kind, x["m"]))
+        kept = account_numbers(t) if kind == "iban" else F.filter(located(t, patterns[kind]), lambda x: passes(kind, x["m"]))
         return F.when(gates[kind], F.transform(kept, scored)).otherwise(none)
 
     return docs.withColumn("pii", F.concat(*[spans_of(kind) for kind in KINDS]))
