@@ -262,6 +262,20 @@ def test_ann(spark):
     assert ann.search(d.limit(0), d.limit(0)).count() == 0
 
 
+def test_ann_goes_on_to_further_lists(spark, monkeypatch):
+    assert [ann.width(n) for n in (1, 51, 256, 4096)] == [1, 51, 96, 1536]
+    monkeypatch.setattr(ann, "PROBES", 1)
+    monkeypatch.setattr(ann, "PROBE_SHARE", 0.0)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.tile([[50.0] * 8], (4, 1)), rng.normal(size=(600, 8))])  # a list of four equal vectors, its centroid on them
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(d, d.where("vec_id in (0, 300)")).collect()
+    mine = sorted((r.rank, r.vec_id) for r in got if r.query_id == 0)
+    dist = np.sqrt(((x - x[0]) ** 2).sum(1))
+    assert [v for _, v in mine] == [i for i in np.lexsort((np.arange(len(x)), dist)) if i][:10]
+    assert sorted(r.rank for r in got if r.query_id == 300) == list(range(1, 11))
+
+
 def test_licenses(docs, none):
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     assert got[15].families == ["apache"] and got[15].n_licenses == 1 and got[15].n_paragraphs == 2

@@ -3,8 +3,9 @@
 Centroids come from a balanced k-means on a bounded sample (``SAMPLE`` rows by hash of the id; at most ``MOST_LISTS``
 centroids), where a list pays for being longer than its share. Every vector goes to the posting list of its nearest
 centroid, and a vector near a boundary also to the others whose distance is within ``1 + BOUNDARY`` of the nearest
-(``REPLICAS`` lists at most). A query searches the centroids over an in-memory neighbour graph, best first, and keeps the
-lists whose centroid is within ``1 + REACH`` of the nearest one. Kept lists are scanned exactly, in double precision.
+(``REPLICAS`` lists at most). A query searches the centroids over an in-memory neighbour graph, best first, and scans the
+nearest lists, ``PROBE_SHARE`` of all and ``PROBES`` at least, exactly and in double precision. A query that finds fewer than
+``k`` rows there goes on to all other lists.
 
 Lists and the queries that probe them are cut into tiles of about ``TILE_ROWS`` by ``TILE_QUERIES``, so one list that holds a
 third of all rows is many tasks; each tile returns ``k`` rows per query. The centroids and their graph, at most MOST_LISTS rows, are
@@ -18,6 +19,7 @@ occurs twice is one candidate per distinct vector, and never its own neighbour;
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,9 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import saved
+
 SAMPLE, MOST_LISTS, PER_LIST = 20_000, 4_096, 200
 BOUNDARY, REPLICAS = 0.05, 4
-REACH, PROBES = 0.25, 96
+PROBE_SHARE, PROBES = 3 / 8, 96
 LINKS = 16
 TILE_ROWS, TILE_QUERIES = 4_000, 500
 
@@ -135,6 +139,11 @@ def post(d: DataFrame, index: Index) -> DataFrame:
     return d.withColumn("list", F.explode(F.pandas_udf(run, "array<int>")("v")))
 
 
+def width(lists: int) -> int:
+    """How many lists a query scans."""
+    return min(lists, max(PROBES, math.ceil(PROBE_SHARE * lists)))
+
+
 def probe(queries: DataFrame, index: Index) -> DataFrame:
     """(list, id, v): the lists that each query scans."""
     shared = queries.sparkSession.sparkContext.broadcast(index)
@@ -143,8 +152,7 @@ def probe(queries: DataFrame, index: Index) -> DataFrame:
         for s in batches:
             out = []
             for q in s:
-                found = search_centroids(shared.value, q, PROBES)
-                out.append(np.array([i for d, i in found if np.sqrt(d) <= np.sqrt(found[0][0]) * (1 + REACH) + 1e-12], np.int32))
+                out.append(np.array([i for _, i in search_centroids(shared.value, q, width(len(shared.value.centroids)))], np.int32))
             yield pd.Series(out, dtype=object)
 
     return queries.withColumn("list", F.explode(F.pandas_udf(run, "array<int>")("v")))
@@ -165,16 +173,8 @@ def _nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows found for each query, its own row excluded."""
-    spark = vectors.sparkSession
-    d = usable(vectors, key, vector).dropDuplicates(["id", "v"])
-    schema = "query_id long, rank int, vec_id long, score double"
-    index = fit(d)
-    if index is None:
-        return spark.createDataFrame([], schema)
-    lists = post(d, index)
-    probes = probe(usable(queries, key, vector).dropDuplicates(["id", "v"]), index)
+def scan(lists: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest rows of each query in each tile of the lists it probes."""
     # Rows and probes per list: MOST_LISTS rows at most.
     sizes = lists.groupBy("list").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("rows"))
     sizes = sizes.join(probes.groupBy("list").agg(F.ceil(F.count("*") / TILE_QUERIES).cast("int").alias("asks")), "list")
@@ -189,7 +189,32 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         return _nearest(asks["id"].to_numpy(), np.stack(asks["v"].to_numpy()), rows["id"].to_numpy(), np.stack(rows["v"].to_numpy()), k)
 
-    near = left.groupBy("list", "r", "a").cogroup(right.groupBy("list", "r", "a")).applyInPandas(tile, "query_id long, vec_id long, score double")
-    near = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return left.groupBy("list", "r", "a").cogroup(right.groupBy("list", "r", "a")).applyInPandas(tile, "query_id long, vec_id long, score double")
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest rows found for each query, its own row excluded."""
+    spark = vectors.sparkSession
+    d = usable(vectors, key, vector).dropDuplicates(["id", "v"])
+    schema = "query_id long, rank int, vec_id long, score double"
+    index = fit(d)
+    if index is None:
+        return spark.createDataFrame([], schema)
+    lists, asked = post(d, index), usable(queries, key, vector).dropDuplicates(["id", "v"])
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    def best(near: DataFrame) -> DataFrame:
+        near = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    found = best(scan(lists, probe(asked, index), k))
+    n = len(index.centroids)
+    if width(n) == n:
+        return found
+    found = saved(found, "ann-found")
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = saved(asked.join(full, "id", "left_anti"), "ann-short")
+    if short.isEmpty():
+        return found
+    again = best(scan(lists, short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), k))
+    return found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
