@@ -281,3 +281,19 @@ def test_licenses(docs, none):
     assert got[15].families == ["apache"] and got[15].n_licenses == 1 and got[15].n_paragraphs == 2
     assert all(not r.families for k, r in got.items() if k != 15) and got[0].n_paragraphs == 0
     assert licenses.scan(none).count() == 0
+
+
+def test_licenses_over_several_lines(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"
+    gnu = "{} is free software: you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    prose = words(60, 40).replace(" ", "\n", 6)
+    cases = [
+        (mit, ["mit"]), ("MIT License\n\nCopyright (c) 2020 A. Person", ["mit"]), (prose + "\n" + mit + "\n" + prose, ["mit"]), (gnu.format("This program", ""), ["gpl"]), (gnu.format("This library", "Lesser "), ["lgpl"]),
+        (gnu.format("This program", "Affero "), ["agpl"]), (isc, ["isc"]), ("This is free and unencumbered software released\ninto the public domain.", ["unlicense"]), ("Eclipse Public License - v 2.0", ["epl"]),
+        ("Licensed under the MIT License\nLicensed under the MIT License", ["mit"]), (prose, []), ("A new driving license for people at MIT who\nwork with free software is due.", []), (None, []),
+    ]
+    filler = [(100 + i, words(30, 200 + i)) for i in range(60)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([*((i, t) for i, (t, _) in enumerate(cases)), *filler], "doc_id long, text string")).collect()}
+    assert [got[i].families for i in range(len(cases))] == [f for _, f in cases]
+    assert got[9].n_licenses == 2 and got[0].n_licenses == 1 and all(not got[i].families for i, _ in filler)
