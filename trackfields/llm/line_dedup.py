@@ -4,161 +4,203 @@ A line is the set of its lower-case words. It is removed when an earlier line (b
 similarity of at least ``SIMILAR``. Lines without words are kept.
 
 Equal sets are collapsed first, to the earliest line that holds them. Words are ordered by rarity (counts in a hash table of fixed
-size, ties by hash). Two similar sets share a word among the first ``n - ceil(SIMILAR * n) + 1`` words of each, so only those
-words are shuffled. In a word's group each set meets the sets before it under a length filter and a 64-bit signature that bounds
-the overlap from above; a positional filter then asks that a pair shares enough first words for the rest to make up the overlap. In a group of more than ``HOT`` sets, each first looks back ``BACK`` sets and at the group's first; a set that
-finds its match there is settled, and only what is still open meets the rest of the group, so many near copies
-do not make all their pairs. Candidates are verified on their words, which are read for candidates only: a
-bit table of fixed size tells most other lines apart before anything is shuffled.
+size, ties by hash). Of two similar sets, the smaller one shares a word among its first ``n - needed(n, n) + 1`` with the first
+``n - ceil(SIMILAR * n) + 1`` of the larger, so only those words are shuffled. In a word's group, sets meet under a length
+filter, a positional filter (what follows the shared word in both orders can make up the overlap needed) and a 64-bit
+signature that bounds the overlap from above. Candidates are verified on their words, which are read for candidates only: a
+bit table of fixed size tells most other lines apart before anything is shuffled. A set's best candidate is verified
+first; the others only where that one fails.
+
+A word with more than ``HOT`` sets is worked in two steps, neither of which puts it into one task: first its sets meet in chunks
+of about ``CHUNK``, dealt by hash; only what finds no match there or elsewhere meets the rest of the group, so many near
+copies do not make all their pairs.
+
+In the shuffles a word is the low 31 bits of its hash; that can only add candidates. Texts are shuffled for documents that may
+lose lines; all others (by another bit table) stay where they are.
 
 Only DataFrame functions are used.
 
 Edge cases: null texts stay null and empty texts empty; rows with a null doc_id pass unchanged; rows that share a doc_id
-share line numbers (a line number kept for one is kept for all); other columns pass through, except that ``n_chars``, if
-there, is counted anew.
+share line numbers (a line number kept for one is kept for all); other columns pass through, whatever their names, except that
+``n_lines`` and ``n_removed`` are replaced and ``n_chars``, if there, is counted anew; an empty table stays empty.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, saved
+from .common import bit_table, discard, free, in_table, let, saved
 
 SIMILAR = 0.8
-#: Buckets of the rarity table; bits of the candidate table (2 MB as longs).
+#: Buckets of the rarity table and of the search for hot words; bits of the candidate tables (2 MB as longs).
 BUCKETS, BITS = 1 << 17, 1 << 24
-#: Sets in a word's group beyond which the group is worked in two steps; how far back the first step looks.
-HOT, BACK = 256, 16
+#: Sets of a word beyond which it is hot; sets of a hot word that meet in the first step.
+HOT, CHUNK = 256, 16
+KEY = 0x7FFFFFFF
 
 
 def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
 
 
+def _plain(s: Column) -> Column:
+    """Lower case, other white space as blanks: splitting at one plain blank is much cheaper than at a pattern."""
+    return F.lower(F.when(s.rlike(r"[\t-\r]"), F.regexp_replace(s, r"[\t-\r]", " ")).otherwise(s))
+
+
 def _lines(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(doc, line, s: lower-case text) of the lines that have words."""
-    d = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.posexplode(F.split(F.lower(F.col(text)), "\n")).alias("line", "s"))
+    """(doc, line, s) of the lines that have words."""
+    d = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "s"))
     return d.where(F.col("s").rlike(r"[^ \t-\r]"))
 
 
 def _words(s: Column) -> Column:
-    """The distinct word hashes of a line. Splitting at one plain blank is much cheaper than at a pattern."""
-    blank = F.when(s.rlike(r"[\t-\r]"), F.regexp_replace(s, r"[\t-\r]", " ")).otherwise(s)
-    return F.array_remove(F.array_distinct(F.transform(F.split(blank, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    """The distinct word hashes of a line."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(_plain(s), " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _rarity(docs: DataFrame, text: str) -> bytes:
     """For each bucket, a number up to 127 that grows with the count of its words in all texts (quarters of a power of two)."""
-    words = docs.select(F.explode(F.split(F.lower(F.col(text)), f"{SPACE}+")).alias("w"))
+    words = docs.select(F.explode(F.split(_plain(F.col(text)), " ")).alias("w"))
     table = bytearray(BUCKETS)
-    for r in words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count().collect():  # BUCKETS rows at most
+    for r in words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count().collect():  # BUCKETS rows at most
         table[r["b"]] = min(127, round(4 * math.log2(1 + r["count"])))
     return bytes(table)
 
 
 def _with_sets(lines: DataFrame, rarity: bytes) -> DataFrame:
-    """doc, line, n, class (two hashes), first words by rarity (its rank in the top byte of the hash), tail, signature.
-
-    ``tail`` counts the words after those of the first ones whose group surely has no more than HOT sets.
-    """
-    table, surely = F.lit(rarity), int(4 * math.log2(1 + HOT))
+    """doc, line, n, signature, class hash, keys of the first words by rarity."""
+    table = F.lit(rarity)
 
     def ranked(w: Column) -> Column:
-        rank = F.ascii(F.substr(table, F.pmod(w, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
+        rank = F.ascii(F.substr(table, w.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
         return F.call_function("shiftleft", rank, F.lit(56)).bitwiseOR(w.bitwiseAND(F.lit((1 << 56) - 1)))
 
     d = lines.select("doc", "line", _words(F.col("s")).alias("words"))
-    n = F.size("words")
-    first = n - F.ceil(n * SIMILAR - 1e-9).cast("int") + 1
     sign = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(_bit(F.call_function("shiftright", w, F.lit(58)))))
-    ordered = F.sort_array(F.transform("words", ranked))
-    d = d.select("doc", "line", n.alias("n"), sign.alias("sign"), first.alias("p"), ordered.alias("o"))
-    return d.select("doc", "line", "n", F.xxhash64("o").alias("c1"), F.hash("o").alias("c2"), F.slice("o", F.lit(1), F.col("p")).alias("first"), "sign").withColumn("tail", F.col("n") - F.size(F.filter("first", lambda w: w < F.lit(surely << 56))))
+    n = F.size("words")
+    d = d.select("doc", "line", n.alias("n"), sign.alias("sign"), F.sort_array(F.transform("words", ranked)).alias("o"))
+    first = F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * SIMILAR - 1e-9).cast("int") + 1)
+    return d.select("doc", "line", "n", "sign", F.xxhash64("o").alias("c"), F.transform(first, lambda w: w.bitwiseAND(F.lit(KEY)).cast("int")).alias("first"))
 
 
-def _needed(a, b) -> Column:
+def _needed(n: Column, m: Column) -> Column:
     """The overlap that SIMILAR asks of two sets."""
-    return F.ceil((a["n"] + b["n"]) * (SIMILAR / (1 + SIMILAR)) - 1e-9)
+    return F.ceil((n + m) * (SIMILAR / (1 + SIMILAR)) - 1e-9)
+
+
+def _before(a: str, b: str) -> Column:
+    return (F.col(f"{a}.doc") < F.col(f"{b}.doc")) | ((F.col(f"{a}.doc") == F.col(f"{b}.doc")) & (F.col(f"{a}.line") < F.col(f"{b}.line")))
 
 
-def _may_match(a, b) -> Column:
-    """Length and signature filters: can the overlap of two sets reach what SIMILAR asks for?"""
-    length = (b["n"] >= a["n"] * SIMILAR - 1e-9) & (a["n"] >= b["n"] * SIMILAR - 1e-9)
-    over = F.least(a["n"] - F.bit_count(a["sign"].bitwiseAND(F.bitwise_not(b["sign"]))), b["n"] - F.bit_count(b["sign"].bitwiseAND(F.bitwise_not(a["sign"]))))
-    return length & (over >= _needed(a, b))
+def _may_match() -> Column:
+    """Length, positional and signature filters on rows a and b of one word."""
+    n, m, x, y = F.col("a.n"), F.col("b.n"), F.col("a.sign"), F.col("b.sign")
+    need = _needed(n, m)
+    length = (m >= n * SIMILAR - 1e-9) & (n >= m * SIMILAR - 1e-9)
+    places = F.least(n - F.col("a.i"), m - F.col("b.i")) >= need
+    over = F.least(n - F.bit_count(x.bitwiseAND(F.bitwise_not(y))), m - F.bit_count(y.bitwiseAND(F.bitwise_not(x))))
+    return length & places & (over >= need)
 
 
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (doc, line, of, of_line) whose sets are similar. Words are read for lines of candidates only."""
+def _couples(both: DataFrame) -> DataFrame:
+    """(doc, line, of, of_line): the later set of a and b, then the earlier one."""
+    later = _before("b", "a")
+    pick = lambda x, y: F.when(later, F.col(x)).otherwise(F.col(y))
+    return both.select(pick("a.doc", "b.doc").alias("doc"), pick("a.line", "b.line").alias("line"), pick("b.doc", "a.doc").alias("of"), pick("b.line", "a.line").alias("of_line"))
+
+
+def _hot(rows: DataFrame) -> DataFrame:
+    """(w, sets) of the words with more than HOT sets. Counts in buckets come first, so that rare words are not grouped."""
+    bucket = F.col("w").bitwiseAND(F.lit(BUCKETS - 1))
+    full = rows.groupBy(bucket.alias("b")).count().where(F.col("count") > HOT).select(F.xxhash64("b").alias("b"))
+    table = bit_table(full, BUCKETS * 8)
+    some = rows.where(in_table(table, F.xxhash64(bucket)))
+    return saved(some.groupBy("w").agg(F.count("*").alias("sets")).where(F.col("sets") > HOT), "line-hot")
+
+
+def _word_sets(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc, line, words) of the lines in ``pairs``; texts of other lines are hardly touched."""
     ends = pairs.select(F.col("doc").alias("d"), F.col("line").alias("l")).unionByName(pairs.select(F.col("of").alias("d"), F.col("of_line").alias("l"))).distinct()
-    spot = F.pmod(F.xxhash64("d", "l"), F.lit(BITS))
-    table = ends.groupBy(F.floor(spot / 64).cast("int").alias("k")).agg(F.bit_or(_bit(spot % 64)).alias("bits"))
-    bits = [0] * (BITS // 64)
-    for r in table.collect():  # BITS / 64 rows at most
-        bits[r["k"]] = r["bits"]
-    known = pairs.sparkSession.createDataFrame([(bits,)], "t array<bigint>").scalar()
-    at = F.pmod(F.xxhash64("doc", "line"), F.lit(BITS))
-    some = lines.where(F.getbit(F.element_at(known, F.floor(at / 64).cast("int") + 1), (at % 64).cast("int")) == 1)
-    some = some.join(ends, (F.col("doc") == F.col("d")) & (F.col("line") == F.col("l")), "left_semi")
-    words = saved(some.select("doc", "line", _words(F.col("s")).alias("words")), "line-words")
-    a, b = words.select(F.col("doc"), F.col("line"), F.col("words").alias("x")), words.select(F.col("doc").alias("of"), F.col("line").alias("of_line"), F.col("words").alias("y"))
+    table = bit_table(ends.select(F.xxhash64("d", "l").alias("h")), BITS)
+    some = lines.where(in_table(table, F.xxhash64("doc", "line"))).select("doc", "line", _words(F.col("s")).alias("words"))
+    return saved(some.join(ends, (F.col("doc") == F.col("d")) & (F.col("line") == F.col("l")), "left_semi"), "line-words")
+
+
+def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc, line) of the pairs whose sets are similar."""
+    a, b = words.withColumnRenamed("words", "x"), words.select(F.col("doc").alias("of"), F.col("line").alias("of_line"), F.col("words").alias("y"))
     both = pairs.join(a, ["doc", "line"]).join(b, ["of", "of_line"])
     same = F.size(F.array_intersect("x", "y"))
-    return both.where(same >= (F.size("x") + F.size("y") - same) * SIMILAR - 1e-9).select("doc", "line")
+    return both.where(same >= (F.size("x") + F.size("y") - same) * SIMILAR - 1e-9).select("doc", "line").distinct()
+
+
+def _settled(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc, line) with a similar earlier line among ``pairs`` (doc, line, of, of_line, shared)."""
+    words = _word_sets(pairs, lines)
+    best = pairs.groupBy("doc", "line").agg(F.max(F.struct("shared", "of", "of_line")).alias("best")).select("doc", "line", "best.of", "best.of_line")
+    done = saved(_verified(best, words), "line-later")
+    more = saved(_verified(pairs.join(done, ["doc", "line"], "left_anti").select("doc", "line", "of", "of_line"), words), "line-later")
+    discard(words)
+    return done.unionByName(more)
 
 
 def matched(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(firsts, later): the first line of each set as (doc, line), and those of them that match an earlier line."""
     lines = _lines(docs, text, key)
     sets = _with_sets(lines, _rarity(docs, text))
-    spot = F.struct("doc", "line")
-    classes = sets.groupBy("c1", "c2", "n", "sign", "tail").agg(F.min(spot).alias("at"), F.first("first").alias("first"))
-    classes = saved(classes.select("at.doc", "at.line", "n", "tail", "sign", "first"), "line-sets")
+    classes = sets.groupBy("c", "n", "sign").agg(F.min(F.struct("doc", "line")).alias("at"), F.first("first").alias("first"))
+    classes = saved(classes.select("at.doc", "at.line", "n", "sign", "first"), "line-sets")
     # Sets of up to three words have only equal sets as partners.
-    words = classes.where(F.col("n") > 3).select("doc", "line", "n", "tail", "sign", F.explode("first").alias("w"))
-    rows = words.select("w", F.struct("doc", "line", "n", "tail", "sign").alias("own"))
-    ahead = F.struct("b.doc", "b.line") < F.struct("own.doc", "own.line")
-    couple = [F.col("own.doc").alias("doc"), F.col("own.line").alias("line"), F.col("b.doc").alias("of"), F.col("b.line").alias("of_line")]
-    # More words than the shared first ones and the longer tail cannot overlap.
-    lack = (_needed(F.col("own"), F.col("b")) - F.greatest("own.tail", "b.tail")).cast("int").alias("lack")
-    hot = saved(rows.groupBy("w").count().where(F.col("count") > HOT).select("w"), "line-hot")
+    rows = classes.where(F.col("n") > 3).select("doc", "line", "n", "sign", F.posexplode("first").alias("i", "w"))
+    hot = _hot(rows)
     crowded = not hot.isEmpty()
     cold = rows.join(hot, "w", "left_anti") if crowded else rows
-    pairs = cold.join(cold.withColumnRenamed("own", "b"), "w").where(ahead & _may_match(F.col("own"), F.col("b"))).select(*couple, lack)
+    smaller = cold.where(F.col("i") <= F.col("n") - _needed(F.col("n"), F.col("n")))
+    sizes = (F.col("b.n") < F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & _before("b", "a"))
+    pairs = _couples(cold.alias("a").join(smaller.alias("b"), (F.col("a.w") == F.col("b.w")) & sizes & _may_match()))
     if crowded:
-        group = Window.partitionBy("w").orderBy("own.doc", "own.line")
-        near = rows.join(hot, "w", "left_semi").withColumn("back", F.collect_list("own").over(group.rowsBetween(-BACK, -1)))
-        near = near.withColumn("head", F.first("own").over(group)).withColumn("k", F.row_number().over(group)).where(F.col("k") > 1)
-        tries = F.when(F.col("k") > BACK + 1, F.concat(F.array("head"), "back")).otherwise(F.col("back"))
-        near = near.select("own", F.filter(tries, lambda b: _may_match(F.col("own"), b)).alias("found"), (F.col("k") > BACK + 1).alias("long"))
-        near = saved(near, "line-near")
-        pairs = pairs.unionByName(near.withColumn("b", F.explode("found")).select(*couple, lack))
-    pairs = pairs.groupBy("doc", "line", "of", "of_line", "lack").count().where(F.col("count") >= F.col("lack")).drop("lack", "count")
-    later = saved(_verified(saved(pairs, "line-pairs"), lines).distinct(), "line-later")
+        salt = F.pmod(F.xxhash64("w", "doc", "line"), F.ceil(F.col("sets") / CHUNK)).cast("int")
+        crowd = saved(rows.join(hot, "w").withColumn("salt", salt).drop("sets"), "line-crowd")
+        meet = (F.col("a.w") == F.col("b.w")) & (F.col("a.salt") == F.col("b.salt")) & _before("b", "a")
+        pairs = pairs.unionByName(_couples(crowd.alias("a").join(crowd.alias("b"), meet & _may_match())))
+    pairs = saved(pairs.groupBy("doc", "line", "of", "of_line").agg(F.count("*").alias("shared")), "line-pairs")
+    later = _settled(pairs, lines)
+    discard(pairs)
     if crowded:
-        open_ = near.where("long").select(F.col("own.doc").alias("doc"), F.col("own.line").alias("line")).distinct().join(later, ["doc", "line"], "left_anti")
-        if not open_.isEmpty():
-            crowd = words.join(hot, "w", "left_semi")
-            own = crowd.join(open_, ["doc", "line"], "left_semi").select("w", F.struct("doc", "line", "n", "tail", "sign").alias("own"))
-            rest = own.join(crowd.select("w", F.struct("doc", "line", "n", "tail", "sign").alias("b")), "w").where(ahead & _may_match(F.col("own"), F.col("b")))
-            later = later.unionByName(_verified(saved(rest.select(*couple).distinct(), "line-pairs"), lines)).distinct()
+        open_ = crowd.join(later, ["doc", "line"], "left_anti")
+        meet = (F.col("a.w") == F.col("b.w")) & _before("b", "a")
+        rest = _couples(open_.alias("a").join(crowd.alias("b"), meet & _may_match()))
+        rest = saved(rest.groupBy("doc", "line", "of", "of_line").agg(F.count("*").alias("shared")), "line-pairs")
+        if not rest.isEmpty():
+            later = later.unionByName(_settled(rest, lines))
+        discard(rest, crowd)
     return classes.select("doc", "line"), later
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with later lines removed from the text, and ``n_lines``, ``n_removed``."""
     firsts, later = matched(docs, text, key)
-    kept = firsts.join(later, ["doc", "line"], "left_anti").groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("_kept")).withColumnRenamed("doc", "_doc")
-    d = docs.join(kept, F.col(key) == F.col("_doc"), "left")
+    kept = firsts.join(later, ["doc", "line"], "left_anti").groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    kept = saved(kept, "line-kept")
+    docs = docs.drop("n_lines", "n_removed")
+    doc, own, left = free(docs, "doc", "kept_lines", "left_lines")
     lines = F.split(F.col(text), "\n")
-    own = F.coalesce("_kept", F.expr("cast(array() as array<int>)"))
-    stays = let(F.struct(lines.alias("s"), own.alias("k")), lambda x: F.filter(x["s"], lambda s, i: F.array_contains(x["k"], i) | ~s.rlike(r"[^ \t-\r]")))
-    whole = F.when(F.col(key).isNull() | F.col(text).isNull(), lines).otherwise(stays)
-    out = d.withColumn("_lines", whole).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    out = out.withColumn("n_removed", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_lines")).cast("long")).withColumn(text, F.array_join("_lines", "\n"))
+    # Lines 0 to n - 1 are kept just where there are n of them and the last is n - 1.
+    whole = (F.size("lines") == F.col("n")) & (F.element_at("lines", -1) == F.col("n") - 1)
+    sizes = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), (F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).alias("n"))
+    cut = sizes.join(kept, "doc", "left").where(~F.coalesce(whole, F.lit(False))).select(F.xxhash64("doc").alias("h"))
+    may_lose = in_table(bit_table(cut, BITS), F.xxhash64(F.col(key))) & F.col(key).isNotNull()
+    same = docs.where(~may_lose).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_removed", F.lit(0).cast("long"))
+    d = docs.where(may_lose).join(kept.select(F.col("doc").alias(doc), F.col("lines").alias(own)), F.col(key) == F.col(doc), "left")
+    numbers = F.coalesce(own, F.expr("cast(array() as array<int>)"))
+    stays = let(F.struct(lines.alias("s"), numbers.alias("k")), lambda x: F.filter(x["s"], lambda s, i: F.array_contains(x["k"], i) | ~s.rlike(r"[^ \t-\r]")))
+    d = d.withColumn(left, stays).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
+    d = d.withColumn("n_removed", F.coalesce(F.col("n_lines") - F.size(left), F.lit(0)).cast("long")).withColumn(text, F.array_join(left, "\n"))
+    out = same.unionByName(d.drop(left, own, doc))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length(text), F.lit(0)).cast("long"))
-    return out.drop("_lines", "_kept", "_doc")
+    return out
