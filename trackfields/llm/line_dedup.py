@@ -4,12 +4,12 @@ A line is the set of its lower-case words. It is removed when an earlier line (b
 similarity of at least ``SIMILAR``. Lines without words are kept.
 
 Equal sets are collapsed first, to the earliest line that holds them. Words are ordered by rarity (counts in a hash table of fixed
-size, ties by hash). Of two similar sets, the smaller one shares a word among its first ``n - needed(n, n) + 1`` with the first
-``n - ceil(SIMILAR * n) + 1`` of the larger, so only those words are shuffled. In a word's group, sets meet under a length
-filter, a positional filter (what follows the shared word in both orders can make up the overlap needed) and a 64-bit
-signature that bounds the overlap from above. Candidates are verified on their words, which are read for candidates only: a
-bit table of fixed size tells most other lines apart before anything is shuffled. A set's best candidate is verified
-first; the others only where that one fails.
+size, ties by hash). Two similar sets share a word among the first ``n - ceil(SIMILAR * n) + 1`` of each, so only those words
+are shuffled. In a word's group, sets meet under a length filter, a positional filter (what follows the shared word in both
+orders can make up the overlap needed) and a 64-bit signature of the ``SIGNED`` rarest words, which bounds the overlap from
+above. Candidates are verified on their words; their lines are read again for candidates only: a bit table of fixed size
+tells most other lines apart before anything is shuffled. A set's best candidate is verified first; the others only where that
+one fails.
 
 A word with more than ``HOT`` sets is worked in two steps, neither of which puts it into one task: first its sets meet in chunks
 of about ``CHUNK``, dealt by hash; only what finds no match there or elsewhere meets the rest of the group, so many near
@@ -39,6 +39,10 @@ SIMILAR = 0.8
 BUCKETS, BITS = 1 << 17, 1 << 24
 #: Sets of a word beyond which it is hot; sets of a hot word that meet in the first step.
 HOT, CHUNK = 256, 16
+#: Sets of a hot word that one task compares with open ones in the second step.
+TILE = 4_096
+#: Words of a signature: about two thirds of its bits.
+SIGNED = 44
 KEY = 0x7FFFFFFF
 
 
@@ -62,9 +66,17 @@ def _words(s: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(F.split(_plain(s), " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
+def _split(s: Column) -> Column:
+    """The distinct words of a line."""
+    return F.array_remove(F.array_distinct(F.split(_plain(s), " ")), "")
+
+
 def _rarity(docs: DataFrame, text: str) -> bytes:
-    """For each bucket, a number up to 127 that grows with the count of its words in all texts (quarters of a power of two)."""
-    words = docs.select(F.explode(F.split(_plain(F.col(text)), " ")).alias("w"))
+    """For each bucket, a number up to 127 that grows with the count of its words in all texts (quarters of a power of two).
+
+    Words are told apart at blanks and line ends here; it is an order of words, and any order gives the same result.
+    """
+    words = docs.select(F.explode(F.split(F.lower(F.replace(F.col(text), F.lit("\n"), F.lit(" "))), " ")).alias("w"))
     table = bytearray(BUCKETS)
     for r in words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count().collect():  # BUCKETS rows at most
         table[r["b"]] = min(127, round(4 * math.log2(1 + r["count"])))
@@ -79,12 +91,11 @@ def _with_sets(lines: DataFrame, rarity: bytes) -> DataFrame:
         rank = F.ascii(F.substr(table, w.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
         return F.call_function("shiftleft", rank, F.lit(56)).bitwiseOR(w.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    d = lines.select("doc", "line", _words(F.col("s")).alias("words"))
-    sign = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(_bit(F.call_function("shiftright", w, F.lit(58)))))
-    n = F.size("words")
-    d = d.select("doc", "line", n.alias("n"), sign.alias("sign"), F.sort_array(F.transform("words", ranked)).alias("o"))
+    d = lines.select("doc", "line", F.sort_array(F.transform(_words(F.col("s")), ranked)).alias("o")).withColumn("n", F.size("o"))
+    signed = F.slice("o", F.lit(1), F.lit(SIGNED))
+    sign = F.aggregate(signed, F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(_bit(F.call_function("shiftright", w, F.lit(40)))))
     first = F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * SIMILAR - 1e-9).cast("int") + 1)
-    return d.select("doc", "line", "n", "sign", F.xxhash64("o").alias("c"), F.transform(first, lambda w: w.bitwiseAND(F.lit(KEY)).cast("int")).alias("first"))
+    return d.select("doc", "line", "n", sign.alias("sign"), F.xxhash64("o").alias("c"), F.transform(first, lambda w: w.bitwiseAND(F.lit(KEY)).cast("int")).alias("first"))
 
 
 def _needed(n: Column, m: Column) -> Column:
@@ -102,15 +113,16 @@ def _may_match() -> Column:
     need = _needed(n, m)
     length = (m >= n * SIMILAR - 1e-9) & (n >= m * SIMILAR - 1e-9)
     places = F.least(n - F.col("a.i"), m - F.col("b.i")) >= need
-    over = F.least(n - F.bit_count(x.bitwiseAND(F.bitwise_not(y))), m - F.bit_count(y.bitwiseAND(F.bitwise_not(x))))
-    return length & places & (over >= need)
+    k, j = F.least(n, F.lit(SIGNED)), F.least(m, F.lit(SIGNED))
+    over = F.least(k - F.bit_count(x.bitwiseAND(F.bitwise_not(y))), j - F.bit_count(y.bitwiseAND(F.bitwise_not(x))))
+    # Words shared beyond the signed ones lie beyond them in one of the sets at least.
+    return length & places & (over + F.greatest(n - k, m - j) >= need)
 
 
 def _couples(both: DataFrame) -> DataFrame:
-    """(doc, line, of, of_line): the later set of a and b, then the earlier one."""
-    later = _before("b", "a")
-    pick = lambda x, y: F.when(later, F.col(x)).otherwise(F.col(y))
-    return both.select(pick("a.doc", "b.doc").alias("doc"), pick("a.line", "b.line").alias("line"), pick("b.doc", "a.doc").alias("of"), pick("b.line", "a.line").alias("of_line"))
+    """(doc, line, of, of_line, shared) of candidates; ``shared`` counts the words under which they met."""
+    pairs = both.select("a.doc", "a.line", F.col("b.doc").alias("of"), F.col("b.line").alias("of_line"))
+    return pairs.groupBy("doc", "line", "of", "of_line").agg(F.count("*").alias("shared"))
 
 
 def _hot(rows: DataFrame) -> DataFrame:
@@ -122,30 +134,31 @@ def _hot(rows: DataFrame) -> DataFrame:
     return saved(some.groupBy("w").agg(F.count("*").alias("sets")).where(F.col("sets") > HOT), "line-hot")
 
 
-def _word_sets(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc, line, words) of the lines in ``pairs``; texts of other lines are hardly touched."""
-    ends = pairs.select(F.col("doc").alias("d"), F.col("line").alias("l")).unionByName(pairs.select(F.col("of").alias("d"), F.col("of_line").alias("l"))).distinct()
-    table = bit_table(ends.select(F.xxhash64("d", "l").alias("h")), BITS)
-    some = lines.where(in_table(table, F.xxhash64("doc", "line"))).select("doc", "line", _words(F.col("s")).alias("words"))
-    return saved(some.join(ends, (F.col("doc") == F.col("d")) & (F.col("line") == F.col("l")), "left_semi"), "line-words")
+def _texts(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc, line, s) of the lines in ``pairs``, and of a few more."""
+    ends = pairs.select(F.xxhash64("doc", "line").alias("h")).unionByName(pairs.select(F.xxhash64("of", "of_line").alias("h")))
+    return saved(lines.where(in_table(bit_table(ends, BITS), F.xxhash64("doc", "line"))), "line-texts")
 
 
-def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc, line) of the pairs whose sets are similar."""
-    a, b = words.withColumnRenamed("words", "x"), words.select(F.col("doc").alias("of"), F.col("line").alias("of_line"), F.col("words").alias("y"))
-    both = pairs.join(a, ["doc", "line"]).join(b, ["of", "of_line"])
+    a, b = texts.withColumnRenamed("s", "x"), texts.select(F.col("doc").alias("of"), F.col("line").alias("of_line"), F.col("s").alias("y"))
+    both = pairs.join(a, ["doc", "line"]).join(b, ["of", "of_line"]).select("doc", "line", _split(F.col("x")).alias("x"), _split(F.col("y")).alias("y"))
     same = F.size(F.array_intersect("x", "y"))
     return both.where(same >= (F.size("x") + F.size("y") - same) * SIMILAR - 1e-9).select("doc", "line").distinct()
 
 
 def _settled(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc, line) with a similar earlier line among ``pairs`` (doc, line, of, of_line, shared)."""
-    words = _word_sets(pairs, lines)
     best = pairs.groupBy("doc", "line").agg(F.max(F.struct("shared", "of", "of_line")).alias("best")).select("doc", "line", "best.of", "best.of_line")
-    done = saved(_verified(best, words), "line-later")
-    more = saved(_verified(pairs.join(done, ["doc", "line"], "left_anti").select("doc", "line", "of", "of_line"), words), "line-later")
-    discard(words)
-    return done.unionByName(more)
+    texts = _texts(pairs, lines)
+    done = saved(_verified(best, texts), "line-later")
+    left = saved(pairs.join(done, ["doc", "line"], "left_anti").join(best, ["doc", "line", "of", "of_line"], "left_anti").select("doc", "line", "of", "of_line"), "line-pairs")
+    if left.isEmpty():
+        return done
+    more = saved(_verified(left, _texts(left, texts)), "line-later")
+    discard(texts, left)
+    return done.unionByName(more.distinct())
 
 
 def matched(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -159,22 +172,21 @@ def matched(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[D
     hot = _hot(rows)
     crowded = not hot.isEmpty()
     cold = rows.join(hot, "w", "left_anti") if crowded else rows
-    smaller = cold.where(F.col("i") <= F.col("n") - _needed(F.col("n"), F.col("n")))
-    sizes = (F.col("b.n") < F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & _before("b", "a"))
-    pairs = _couples(cold.alias("a").join(smaller.alias("b"), (F.col("a.w") == F.col("b.w")) & sizes & _may_match()))
+    meet = (F.col("a.w") == F.col("b.w")) & _before("b", "a") & _may_match()
+    pairs = _couples(cold.alias("a").join(cold.alias("b"), meet))
     if crowded:
         salt = F.pmod(F.xxhash64("w", "doc", "line"), F.ceil(F.col("sets") / CHUNK)).cast("int")
-        crowd = saved(rows.join(hot, "w").withColumn("salt", salt).drop("sets"), "line-crowd")
-        meet = (F.col("a.w") == F.col("b.w")) & (F.col("a.salt") == F.col("b.salt")) & _before("b", "a")
-        pairs = pairs.unionByName(_couples(crowd.alias("a").join(crowd.alias("b"), meet & _may_match())))
-    pairs = saved(pairs.groupBy("doc", "line", "of", "of_line").agg(F.count("*").alias("shared")), "line-pairs")
+        tiles = F.ceil(F.col("sets") / TILE).cast("int")
+        crowd = rows.join(hot, "w").select("doc", "line", "n", "sign", "i", "w", salt.alias("salt"), tiles.alias("tiles"), F.pmod(F.xxhash64("doc", "line"), tiles).cast("int").alias("tile"))
+        crowd = saved(crowd, "line-crowd")
+        pairs = pairs.unionByName(_couples(crowd.alias("a").join(crowd.alias("b"), meet & (F.col("a.salt") == F.col("b.salt")))))
+        pairs = pairs.groupBy("doc", "line", "of", "of_line").agg(F.sum("shared").alias("shared"))
+    pairs = saved(pairs, "line-pairs")
     later = _settled(pairs, lines)
     discard(pairs)
     if crowded:
-        open_ = crowd.join(later, ["doc", "line"], "left_anti")
-        meet = (F.col("a.w") == F.col("b.w")) & _before("b", "a")
-        rest = _couples(open_.alias("a").join(crowd.alias("b"), meet & _may_match()))
-        rest = saved(rest.groupBy("doc", "line", "of", "of_line").agg(F.count("*").alias("shared")), "line-pairs")
+        open_ = crowd.join(later, ["doc", "line"], "left_anti").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        rest = saved(_couples(open_.alias("a").join(crowd.alias("b"), meet & (F.col("a.tile") == F.col("b.tile")))), "line-pairs")
         if not rest.isEmpty():
             later = later.unionByName(_settled(rest, lines))
         discard(rest, crowd)
