@@ -9,8 +9,9 @@ The stream of a source runs over all its documents in the order of a hash of the
 target is met. The running sum is made of sums over buckets of the hash, so no source needs to fit one task.
 
 Edge cases: null texts have size 0; documents of size 0 take no words and stand where their stream position is; a null
-source is a source; an empty table gives an empty mix; repeated ids are ordered by text hash; extra columns pass through
-``mix`` unless their names begin with an underscore. A target of 0 takes nothing.
+source is a source; an empty table gives an empty mix; repeated ids are ordered by text hash and rows equal in id, source and
+text are separate documents of the stream; extra columns pass through ``mix``, except ``copy`` and ``position``, which are
+replaced. A target of 0 takes nothing.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, words_count
+from .common import free, saved, words_count
 
 #: Weights by the rank of a source's name, repeating.
 WEIGHTS = (5, 2, 1)
@@ -110,23 +111,32 @@ def plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     )
     d = d.join(small, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b")))
     run = Window.partitionBy("source", "_bucket").orderBy("_order", "doc_id", "_text").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_start", F.col("_before") + F.coalesce(F.sum("size").over(run), F.lit(0)))
+    d = d.withColumn("start", F.col("_before") + F.coalesce(F.sum("size").over(run), F.lit(0)))
     d = d.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int"))
     left = F.col("target") - F.col("_whole") * F.col("source_size")
-    more = ((left > 0) & (F.col("_start") + F.col("size") / 2 <= left)).cast("int")
+    more = ((left > 0) & (F.col("start") + F.col("size") / 2 <= left)).cast("int")
     d = d.withColumn("copies", F.when(F.col("target") > 0, F.col("_whole") + more).otherwise(F.lit(0)))
-    middle = F.col("_start") + F.col("size") / 2
+    middle = F.col("start") + F.col("size") / 2
     positions = F.transform(
         F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.expr("cast(array() as array<int>)")),
         lambda k: progress(F.least((middle + k * F.col("source_size")) / F.col("target"), F.lit(1.0)), schedule(F.col("weight"))),
     )
-    return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"), positions.alias("positions"), "_text")
+    return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"), positions.alias("positions"), "start", "_text")
 
 
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", schedule=default_schedule) -> DataFrame:
-    """The columns of ``docs``, a row per copy that the mix takes, range-sorted by training position."""
-    where = plan(docs, text, key, source, schedule).select(F.col("doc_id").alias("_key"), F.col("source").alias("_src"), "_text", F.posexplode("positions").alias("_copy", "_position"))
-    where = where.dropDuplicates(["_key", "_src", "_text", "_copy"])
-    d = docs.withColumn("_md5", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    on = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_md5") == F.col("_text")) & F.col(source).eqNullSafe(F.col("_src"))
-    return d.join(where, on).orderBy("_position", key, "_copy").select(*docs.columns)
+    """The columns of ``docs``, a row per copy that the mix takes, with ``copy`` and ``position``, range-sorted by position.
+
+    The plan is joined back by id, source and text; rows equal in all three are numbered on both sides, so each gets the copies
+    that the plan gives one of them. Columns called ``copy`` or ``position`` are replaced.
+    """
+    docs = docs.drop("copy", "position")
+    k, src, digest, nth = free(docs, "mix_key", "mix_source", "mix_text", "mix_nth")
+    where = plan(docs, text, key, source, schedule).select(F.col("doc_id").alias(k), F.col("source").alias(src), F.col("_text").alias(digest), "start", "positions")
+    where = where.withColumn(nth, F.row_number().over(Window.partitionBy(k, digest, src).orderBy("start"))).where(F.size("positions") > 0).drop("start")
+    d = docs.withColumn(digest, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    d = d.withColumn(nth, F.row_number().over(Window.partitionBy(key, digest, source).orderBy(F.hash(*docs.columns))))
+    here = d.select(*docs.columns, F.col(digest).alias(f"{digest}_own"), F.col(nth).alias(f"{nth}_own"))
+    on = here[key].eqNullSafe(where[k]) & (here[f"{digest}_own"] == where[digest]) & here[source].eqNullSafe(where[src]) & (here[f"{nth}_own"] == where[nth])
+    out = here.join(where, on).select(*[here[c] for c in docs.columns], F.posexplode("positions").alias("copy", "position"))
+    return out.orderBy("position", key, "copy")

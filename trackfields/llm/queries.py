@@ -23,17 +23,22 @@ def _of_kinds(spans: Column, *kinds: str) -> Column:
     return F.filter(spans, lambda x: x["kind"].isin(*kinds))
 
 
-def op1_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole mix: a row per copy with its training position, range-sorted; documents without a copy come last, without one."""
-    d = mixing.plan(table(spark, sf_dir, "documents")).select("*", F.posexplode_outer("positions").alias("copy", "position"))
-    return d.orderBy(F.col("position").asc_nulls_last(), "doc_id", "copy").select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "copy", "position")
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document, range-sorted by its first training position; documents that the mix doesn't take come last."""
+    d = mixing.plan(table(spark, sf_dir, "documents"))
+    first, last = F.round(F.try_element_at("positions", F.lit(1)), 6), F.round(F.try_element_at("positions", F.lit(-1)), 6)
+    d = d.select("doc_id", "size", "source_size", "target", "taken", "copies", first.alias("first_position"), last.alias("last_position"))
+    return d.orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
-def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+def curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole mix: a row per copy with its training position, range-sorted; documents without a copy come last, without one."""
+    d = mixing.plan(table(spark, sf_dir, "documents")).select("*", F.posexplode_outer("positions").alias("copy", "position"))
+    return d.orderBy(F.col("position").asc_nulls_last(), "doc_id", "copy").select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "copy", F.round("position", 6).alias("position"))
 
 
-OP1_SQL = r"""
+#: The plan of the mix; a schedule is linear in training progress, so its integral is inverted by the root of a square.
+OP1_PLAN = r"""
 with d as (
   select doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> ''))::bigint as size,
          md5(coalesce(doc_id::varchar, '')) as ord from documents),
@@ -42,15 +47,18 @@ w as (select *, case (rn - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as weig
 l as (select *, (1.5::double * total - coalesce(sum(lim) over (order by lim / weight, source nulls last rows between unbounded preceding and 1 preceding), 0)::double)
                 / (sum(weight) over (order by lim / weight, source nulls last rows between current row and unbounded following))::double as level from w),
 f as (select min_by(level, lim / weight) as final from l where level * weight <= lim),
-g as (select source, source_size, least(lim::double, coalesce(final * weight, lim::double)) as target from l left join f on true),
-r as (select d.doc_id, d.size, g.source_size, g.target,
+g as (select source, source_size, weight, least(lim::double, coalesce(final * weight, lim::double)) as target from l left join f on true),
+r as (select d.doc_id, d.source, d.size, g.source_size, g.target, case weight when 5 then 1.5 when 2 then 1.0 else 0.5 end as a, case weight when 5 then -1.0 when 2 then 0.0 else 1.0 end as b,
              coalesce(sum(d.size) over (partition by d.source order by d.ord, d.doc_id rows between unbounded preceding and 1 preceding), 0)::double as begun,
              case when g.source_size > 0 then floor(g.target / g.source_size) else 0 end as rounds
-      from d join g on d.source is not distinct from g.source)
-select doc_id, size, source_size, target,
-       (size * (rounds + case when target - rounds * source_size > 0 and begun + size / 2 <= target - rounds * source_size then 1 else 0 end))::bigint as taken
-from r
+      from d join g on d.source is not distinct from g.source),
+c as (select *, case when target > 0 then (rounds + case when target - rounds * source_size > 0 and begun + size / 2 <= target - rounds * source_size then 1 else 0 end)::int else 0 end as copies from r),
+p as (select *, list_transform(range(copies), lambda k: least((begun + size / 2 + k * source_size) / target, 1.0)) as shares from c),
+q as (select *, list_transform(shares, lambda y: least(2 * y / (a + sqrt(greatest(a * a + 2 * b * y, 0))), 1.0)) as positions from p)
 """
+OP1_SQL = OP1_PLAN + """select doc_id, size, source_size, target, (size * copies)::bigint as taken, copies, round(positions[1], 6) as first_position, round(positions[-1], 6) as last_position from q"""
+CURRICULUM_SQL = OP1_PLAN + """, x as (select *, unnest(case when copies > 0 then range(copies) else [null] end)::int as copy from q)
+select doc_id, source, size, source_size, target, copies, (size * copies)::bigint as taken, copy, round(positions[copy + 1], 6) as position from x"""
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +106,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.components(table(spark, sf_dir, "documents"))
+    return ngram_join.components(table(spark, sf_dir, "documents"), rule=ngram_join.Rule(4, 85))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +115,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_curriculum_mix": op1_curriculum_mix,
     "op1_source_mixing": op1_source_mixing,
     "op2_line_dedup": op2_line_dedup,
     "op3_fingerprints": op3_fingerprints,
@@ -118,5 +125,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_license_scan": op10_license_scan,
+    "curriculum_mix": curriculum_mix,
 }
-ORACLES: dict[str, str] = {"op1_source_mixing": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_source_mixing": OP1_SQL, "curriculum_mix": CURRICULUM_SQL}
