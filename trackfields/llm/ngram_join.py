@@ -1,10 +1,11 @@
-"""N-gram Jaccard join: documents whose sets of 4-word shingles have a Jaccard similarity of at least 0.85, as components.
+"""N-gram Jaccard join: documents whose sets of word shingles are similar, as components.
 
-Equal sets are collapsed to one representative first. Two similar sets share a shingle among the first
-``n - ceil(0.85 n) + 1`` of each in a common order (rare ones first, by counts over all documents in a hash table of fixed
-size), so each set is dealt to a tile per such shingle. A tile is sorted by set size, which bands it: only sets of
-compatible sizes within a tile meet. A pair is tested on hashed bitmaps of the sets first, whose bit counts bound the overlap
-from above, and then by intersecting the sorted arrays of shingle hashes.
+A ``Rule`` says how many words a shingle has and what similarity links two sets, in percent. Equal sets are collapsed to one
+representative first. Two similar sets share a shingle among the first ``n - ceil(similarity * n) + 1`` of each in a common
+order (rare ones first, by counts over all documents in a hash table of fixed size), so each set is dealt to a tile per such
+shingle. A tile is sorted by set size and worked in bands of compatible sizes: a set meets only those from its lower size
+bound on. A pair is tested on hashed bitmaps of the sets first, whose bit counts bound the overlap from above, and then by
+intersecting the sorted arrays of shingle hashes.
 
 Tiles are worked in rounds, so a tile of many near copies does not make all its pairs: first each set meets a few
 neighbours, by size and by hash; then, with the components so far, all sets of different components meet, in tiles of
@@ -13,47 +14,54 @@ bounded size. Within one component nothing more can change the result. Component
 Shingles are compared by 64-bit hashes, sets by 128 bits. Arrays are made again from texts, for candidates only; a bit table
 of fixed size keeps most other texts out of the shuffle.
 
-Edge cases: documents without words or with a null text have size 0 and link with nothing; fewer than four words make one
-shingle of the whole sequence; rows that share a doc_id count as linked; a null doc_id has a null component and takes no
-part; other columns are dropped by ``components`` and kept by ``keep_first``.
+Edge cases: documents without words or with a null text have size 0 and link with nothing; fewer words than a shingle has
+make one shingle of the whole sequence; rows that share a doc_id count as linked, each text with its own set; a null
+doc_id has a null component and takes no part; ids are below 2**62; other columns are dropped by ``components`` and kept by
+``keep_first``, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import bit_table, discard, free, in_table, saved, small_batches
 from .fingerprints import _BYTES, _INVERSE, ODD, _mix, _powers
 
-WORDS, SIMILAR_PERCENT = 4, 85
+
+class Rule(NamedTuple):
+    words: int = 5
+    percent: int = 80
+
+
 BUCKETS, BITS = 1 << 18, 1 << 24
 #: How many rows back a set meets others in its tile, and the tile's order, before all that are left meet.
 ROUNDS = ((2, ("n", "doc")), (8, ("n", "doc")), (8, ("hash", "n")))
-#: Rows of a tile that one task compares.
-TILE = 2_000
+#: Rows of a tile that one task compares; pairs that it holds at once.
+TILE, PAIRS = 2_000, 500_000
 #: Bytes of text handled together.
 SLICE = 500_000
-_STEPS = [np.uint64(pow(ODD, 2 * k + 3, 1 << 64)) for k in range(WORDS)]
 
 
-def shingles(texts: list[str | None]) -> list[np.ndarray]:
+def shingles(texts: list[str | None], words: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     raws = [(t or "").encode() for t in texts]
     out, begin, held = [], 0, 0
     for i, r in enumerate(raws):
         if held and held + len(r) > SLICE:
-            out += _shingles(raws[begin:i])
+            out += _shingles(raws[begin:i], words)
             begin, held = i, 0
         held += len(r) + 1
-    return out + (_shingles(raws[begin:]) if begin < len(raws) else [])
+    return out + (_shingles(raws[begin:], words) if begin < len(raws) else [])
 
 
-def _shingles(raws: list[bytes]) -> list[np.ndarray]:
+def _shingles(raws: list[bytes], words: int) -> list[np.ndarray]:
+    steps = [np.uint64(pow(ODD, 2 * k + 3, 1 << 64)) for k in range(words)]
     b = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
     b = b + ((b >= 65) & (b <= 90)) * np.uint8(32)
     word = ~((b == 32) | ((b >= 9) & (b <= 13)))
@@ -64,16 +72,16 @@ def _shingles(raws: list[bytes]) -> list[np.ndarray]:
     w = _mix((sums[stops] - sums[starts]) * _powers(_INVERSE, len(b))[starts] if len(starts) else np.zeros(0, np.uint64))
     ends = np.cumsum([len(r) + 1 for r in raws])
     cut = np.concatenate([[0], np.searchsorted(starts, ends)])
-    full = np.zeros(max(0, len(w) - WORDS + 1), np.uint64)
-    for k in range(WORDS):
-        full += w[k : k + len(full)] * _STEPS[k]
+    full = np.zeros(max(0, len(w) - words + 1), np.uint64)
+    for k in range(words):
+        full += w[k : k + len(full)] * steps[k]
     full = _mix(full)
     out = []
     for i, j in zip(cut.tolist(), cut[1:].tolist()):
-        if j - i >= WORDS:
-            out.append(np.unique(full[i : j - WORDS + 1]))
+        if j - i >= words:
+            out.append(np.unique(full[i : j - words + 1]))
         elif j > i:
-            out.append(_mix(np.array([(w[i:j] * np.array(_STEPS[: j - i])).sum() + np.uint64(j - i)], np.uint64)))
+            out.append(_mix(np.array([(w[i:j] * np.array(steps[: j - i])).sum() + np.uint64(j - i)], np.uint64)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -102,13 +110,13 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)
 
 
-def _rarity(docs: DataFrame) -> bytes:
+def _rarity(docs: DataFrame, rule: Rule) -> bytes:
     """For each bucket of hashes a byte that grows with its count over all documents."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS, np.int64)
         for rows in batches:
-            for a in shingles(rows["text"].tolist()):
+            for a in shingles(rows["text"].tolist(), rule.words):
                 np.add.at(total, _bucket(a), 1)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"b": at, "n": total[at]})
@@ -121,7 +129,7 @@ def _rarity(docs: DataFrame) -> bytes:
     return table.tobytes()
 
 
-def _sets(docs: DataFrame, rarity: bytes) -> DataFrame:
+def _sets(docs: DataFrame, rarity: bytes, rule: Rule) -> DataFrame:
     """doc, n, two set hashes, the first shingles by rarity, bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
@@ -129,9 +137,9 @@ def _sets(docs: DataFrame, rarity: bytes) -> DataFrame:
         rank = np.frombuffer(shared.value, np.uint8)
         for rows in batches:
             out = []
-            for doc, a in zip(rows["doc"], shingles(rows["text"].tolist())):
+            for doc, a in zip(rows["doc"], shingles(rows["text"].tolist(), rule.words)):
                 n = len(a)
-                first = n - -(-SIMILAR_PERCENT * n // 100) + 1 if n else 0
+                first = n - -(-rule.percent * n // 100) + 1 if n else 0
                 order = np.lexsort((a, rank[_bucket(a)]))[:first]
                 h = int(a.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(_mix(a * np.uint64(ODD)))) if n else 0
                 out.append((doc, n, *(x - (1 << 64) if x >> 63 else x for x in h), a[order].view(np.int64), bitmap(a) if n else b""))
@@ -140,7 +148,7 @@ def _sets(docs: DataFrame, rarity: bytes) -> DataFrame:
     return docs.mapInPandas(run, "doc long, n int, h1 long, h2 long, first array<long>, bits binary")
 
 
-def _bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+def _bounded(pairs: DataFrame, bits: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that the bitmaps leave."""
     both = pairs.join(bits.select(F.col("doc").alias("a"), F.col("n").alias("n"), F.col("bits").alias("x")), "a")
     both = both.join(bits.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
@@ -149,28 +157,22 @@ def _bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
         for rows in batches:
             most = np.array([overlap_bound(*r) for r in rows[["x", "n", "y", "m"]].itertuples(index=False)], np.int64)
             both = (rows["n"] + rows["m"]).to_numpy(np.int64)
-            yield rows.loc[100 * most >= SIMILAR_PERCENT * (both - most), ["a", "b"]]
+            yield rows.loc[100 * most >= rule.percent * (both - most), ["a", "b"]]
 
     return both.mapInPandas(keep, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that are links, by intersecting their sorted arrays."""
-    spark = pairs.sparkSession
     ends = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("doc"), F.lit(64)).cast("int"))
-    spot = F.floor(F.pmod(F.xxhash64("doc"), F.lit(BITS)) / 64).cast("int")
-    bits = [0] * (BITS // 64)
-    for r in ends.groupBy(spot.alias("k")).agg(F.bit_or(one).alias("v")).collect():  # BITS / 64 rows at most
-        bits[r["k"]] = r["v"]
-    known = spark.createDataFrame([(bits,)], "t array<bigint>").scalar()
-    some = docs.where(F.getbit(F.element_at(known, spot + 1), F.pmod(F.xxhash64("doc"), F.lit(64)).cast("int")) == 1).join(ends, "doc", "left_semi")
+    table = bit_table(ends.select(F.xxhash64("doc").alias("h")), BITS)
+    some = docs.where(in_table(table, F.xxhash64("doc"))).join(ends, "doc", "left_semi")
 
     def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame({"doc": rows["doc"], "s": [a.tobytes() for a in shingles(rows["text"].tolist())]})
+            yield pd.DataFrame({"doc": rows["doc"], "s": [a.tobytes() for a in shingles(rows["text"].tolist(), rule.words)]})
 
-    sets = saved(some.mapInPandas(arrays, "doc long, s binary"), "ngram-arrays")
+    sets = saved(some.mapInPandas(arrays, "doc long, s binary").dropDuplicates(["doc"]), "ngram-arrays")
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("s").alias("y")), "b")
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,7 +181,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             for x, y in zip(rows["x"], rows["y"]):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 same = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(100 * same >= SIMILAR_PERCENT * (len(p) + len(q) - same))
+                good.append(100 * same >= rule.percent * (len(p) + len(q) - same))
             yield rows.loc[np.array(good, bool), ["a", "b"]]
 
     return both.mapInPandas(test, "a long, b long").distinct()
@@ -199,47 +201,62 @@ def connected(links: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
 
 
-def _sizes_fit(n: Column, m: Column) -> Column:
-    return (100 * n >= SIMILAR_PERCENT * m) & (100 * m >= SIMILAR_PERCENT * n)
+def _sizes_fit(n: Column, m: Column, rule: Rule) -> Column:
+    return (100 * n >= rule.percent * m) & (100 * m >= rule.percent * n)
 
 
-def _places_fit(n: Column, i: Column, m: Column, j: Column) -> Column:
+def _places_fit(n: Column, i: Column, m: Column, j: Column, rule: Rule) -> Column:
     """Positional filter: what follows the shared shingle in both orders can make up the overlap needed."""
-    return F.least(n - i, m - j) >= F.ceil((n + m) * SIMILAR_PERCENT / (100 + SIMILAR_PERCENT) - 1e-9)
+    return F.least(n - i, m - j) >= F.ceil((n + m) * rule.percent / (100 + rule.percent) - 1e-9)
+
+
+def _overlap_bounds(bits: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``overlap_bound`` of many pairs of rows; ``bits`` holds the rows' bitmaps as bytes."""
+    sizes = np.fromiter(map(len, bits), np.int64, len(bits))
+    out = np.zeros(len(x), np.int64)
+    shapes = sizes[x] * (1 << 32) + sizes[y]
+    for shape in np.unique(shapes):
+        at = np.flatnonzero(shapes == shape)
+        k, m = int(shape >> 32), int(shape & 0xFFFFFFFF)
+        step = max(1, (8 << 20) // max(k, m))
+        for part in np.split(at, range(step, len(at), step)):
+            a = np.frombuffer(b"".join(bits[x[part]]), np.uint64).reshape(len(part), -1)
+            b = np.frombuffer(b"".join(bits[y[part]]), np.uint64).reshape(len(part), -1)
+            if k > m:  # a larger bitmap folds onto a smaller one
+                a = np.bitwise_or.reduce(a.reshape(len(part), -1, m // 8), axis=1)
+            elif m > k:
+                b = np.bitwise_or.reduce(b.reshape(len(part), -1, k // 8), axis=1)
+            only_a, only_b = (np.bitwise_count(v).sum(1, dtype=np.int64) for v in (a & ~b, b & ~a))
+            out[part] = np.minimum(n[x[part]] - only_a, n[y[part]] - only_b)
+    return out
+
 
+def _survivors(rows: pd.DataFrame, tile: np.ndarray, rule: Rule) -> Iterator[pd.DataFrame]:
+    """Pairs within tiles, of different components and blocks, that sizes, places and bitmaps leave.
 
-def _survivors(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a tile, in order of size, of different components and blocks, that sizes, places and bitmaps leave."""
+    ``rows`` are in order of tile and size, so a row's partners are the stretch from its lower size bound up to itself.
+    """
     doc, n, i, c, block = (rows[x].to_numpy(np.int64) for x in ("doc", "n", "i", "c", "block"))
-    whole = rows["t1"].iloc[0] == rows["t2"].iloc[0]
-    sizes = rows["bits"].map(len).to_numpy()
-    got_a, got_b = [], []
-    matrix = {int(k): np.frombuffer(b"".join(rows["bits"].to_numpy()[sizes == k]), np.uint8).reshape(-1, int(k)) for k in np.unique(sizes)}
-    row_of = {k: np.flatnonzero(sizes == k) for k in matrix}
-    lowest = np.searchsorted(n, -(-SIMILAR_PERCENT * n // 100))
-    for x in range(1, len(doc)):
-        own = np.frombuffer(rows["bits"].iat[x], np.uint8)
-        for k, at in row_of.items():
-            y = at[(at >= lowest[x]) & (at < x)]
-            need = -(-SIMILAR_PERCENT * (n[x] + n[y]) // (100 + SIMILAR_PERCENT))
-            keep = (c[y] != c[x]) & (doc[y] != doc[x]) & (np.minimum(n[x] - i[x], n[y] - i[y]) >= need) & (whole | (block[y] != block[x]))
-            y, need = y[keep], need[keep]
-            if not len(y):
-                continue
-            other, mine = matrix[k][np.searchsorted(at, y)], own
-            if len(mine) > k:
-                mine = np.bitwise_or.reduce(mine.reshape(-1, k), axis=0)
-            elif len(mine) < k:
-                other = np.bitwise_or.reduce(other.reshape(len(y), -1, len(mine)), axis=1)
-            most = np.minimum(n[x] - np.bitwise_count(mine & ~other).sum(1, dtype=np.int64), n[y] - np.bitwise_count(other & ~mine).sum(1, dtype=np.int64))
-            y = y[most >= need]
-            got_a.append(np.maximum(doc[x], doc[y]))
-            got_b.append(np.minimum(doc[x], doc[y]))
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *got_a]), np.concatenate([none, *got_b])
-
-
-def _within_tiles(mixed: DataFrame, bits: DataFrame) -> DataFrame:
+    whole, bits = (rows["t1"] == rows["t2"]).to_numpy(), rows["bits"].to_numpy()
+    key = tile * (1 << 32)
+    low = np.searchsorted(key + n, key + -(-rule.percent * n // 100))
+    count = np.arange(len(n)) - low
+    ends = np.cumsum(count)
+    begin = 0
+    while begin < len(n):
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PAIRS, side="right")))
+        x = np.repeat(np.arange(begin, stop), count[begin:stop])
+        y = np.arange(len(x)) - np.repeat(np.cumsum(count[begin:stop]) - count[begin:stop], count[begin:stop]) + low[x]
+        need = -(-rule.percent * (n[x] + n[y]) // (100 + rule.percent))
+        keep = (c[y] != c[x]) & (doc[y] != doc[x]) & (np.minimum(n[x] - i[x], n[y] - i[y]) >= need) & (whole[x] | (block[y] != block[x]))
+        x, y, need = x[keep], y[keep], need[keep]
+        a, b = np.maximum(doc[x], doc[y]), np.minimum(doc[x], doc[y])
+        good = _overlap_bounds(bits, n, x, y) >= need
+        yield pd.DataFrame({"a": a[good], "b": b[good]}).drop_duplicates()
+        begin = stop
+
+
+def _within_tiles(mixed: DataFrame, bits: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of different components that the filters leave. Tiles beyond TILE rows are cut into pairs of blocks."""
     parts = F.ceil(F.col("rows") / TILE).cast("int")
     block = F.pmod(F.xxhash64("doc"), parts).cast("int")
@@ -248,63 +265,92 @@ def _within_tiles(mixed: DataFrame, bits: DataFrame) -> DataFrame:
     cut = cut.join(bits.select("doc", "bits"), "doc").repartition("w", "t1", "t2").sortWithinPartitions("w", "t1", "t2", "n", "doc")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+        held: list[pd.DataFrame] = []
+        last, count = None, 0
+
+        def work() -> Iterator[pd.DataFrame]:
+            rows = pd.concat(held, ignore_index=True)
+            tile = np.cumsum((rows[["w", "t1", "t2"]] != rows[["w", "t1", "t2"]].shift()).any(axis=1).to_numpy())
+            yield from _survivors(rows, tile, rule)
+
         for rows in batches:
-            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
-            new = (rows[["w", "t1", "t2"]] != rows[["w", "t1", "t2"]].shift()).any(axis=1).to_numpy()
-            starts = np.flatnonzero(new)
-            found = [_survivors(rows.iloc[p:q]) for p, q in zip(starts, starts[1:]) if q - p > 1]
-            held = rows.iloc[starts[-1] :] if len(starts) else None
-            yield pd.DataFrame({"a": np.concatenate([np.zeros(0, np.int64), *[x for x, _ in found]]), "b": np.concatenate([np.zeros(0, np.int64), *[y for _, y in found]])})
-        if held is not None and len(held) > 1:
-            a, b = _survivors(held)
-            yield pd.DataFrame({"a": a, "b": b})
+            keys = rows[["w", "t1", "t2"]].to_numpy()
+            changes = np.flatnonzero((keys != np.concatenate([keys[:1] if last is None else last, keys[:-1]])).any(axis=1))
+            if count + len(rows) > 2 * TILE and len(changes):  # whole tiles only
+                cut = int(changes[-1])
+                held.append(rows.iloc[:cut])
+                yield from work()
+                held, count, rows = [], 0, rows.iloc[cut:]
+            held.append(rows)
+            count += len(rows)
+            last = keys[-1:]
+        if count:
+            yield from work()
 
     return cut.mapInPandas(run, "a long, b long").distinct()
 
 
-def components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def _one_text_each(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``d`` (doc, text) with a new id for each further text of an id, above all ids; and (doc, new) of those."""
+    mark = F.coalesce(F.xxhash64("text"), F.lit(0))
+    lowest = d.where("doc is not null").groupBy("doc").agg(F.min(mark).alias("lowest"))
+    top = d.agg(F.max("doc")).head()[0] or 0
+    fresh = F.lit(top + 1) + F.pmod(F.xxhash64("doc", mark), F.lit((1 << 62) - 1))
+    both = d.join(lowest, "doc", "left").withColumn("new", F.when(mark == F.col("lowest"), F.col("doc")).otherwise(F.when(F.col("doc").isNotNull(), fresh)))
+    both = saved(both.select("doc", "new", "text"), "ngram-texts")
+    return both.select(F.col("new").alias("doc"), "text"), both.where("doc <> new").select("doc", "new").distinct()
+
+
+def components(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id per row of ``docs``."""
     d = small_batches(docs).select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    sets = saved(_sets(d, _rarity(d)), "ngram-sets")
-    real = sets.where((F.col("n") > 0) & F.col("doc").isNotNull())
+    sets = saved(_sets(d, _rarity(d, rule), rule), "ngram-sets")
+    several = sets.where("doc is not null").groupBy("doc").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi")
+    known, more = sets, None
+    if not several.isEmpty():
+        d, more = _one_text_each(d)
+        known = saved(_sets(d, _rarity(d, rule), rule), "ngram-sets")
+    real = known.where((F.col("n") > 0) & F.col("doc").isNotNull())
     classes = real.groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"))
-    members = saved(real.select("doc", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select("doc", "rep", "h1", "h2").distinct(), "ngram-members")
-    own = members.where("doc = rep").select("doc", "h1", "h2")
-    reps = real.join(own, ["doc", "h1", "h2"], "left_semi").dropDuplicates(["doc"])
+    members = saved(real.select("doc", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select("doc", "rep").distinct(), "ngram-members")
+    reps = real.join(members.where("doc = rep").select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
     bits = reps.select("doc", "n", "bits")
     tiles = reps.select(F.posexplode("first").alias("i", "w"), "n", "doc")
     band = Window.partitionBy("w").orderBy("n", "doc")
     near = tiles.withColumn("before", F.lag("n").over(band)).withColumn("after", F.lead("n").over(band))
     # A set without a neighbour of a compatible size in its tile has no partner there at all.
-    fits = [F.coalesce(_sizes_fit(F.col("n"), F.col(x)), F.lit(False)) for x in ("before", "after")]
+    fits = [F.coalesce(_sizes_fit(F.col("n"), F.col(x), rule), F.lit(False)) for x in ("before", "after")]
     near = saved(near.where(fits[0] | fits[1]).drop("before", "after"), "ngram-tiles")
     links, mixed, tried = None, near.withColumn("c", F.col("doc")), None
     for back, order in ROUNDS:
         seen = Window.partitionBy("w").orderBy(*[F.xxhash64("doc") if o == "hash" else F.col(o) for o in order]).rowsBetween(-back, -1)
         pairs = mixed.withColumn("back", F.collect_list(F.struct("i", "n", "doc", "c")).over(seen)).withColumn("b", F.explode("back"))
-        pairs = pairs.where((F.col("c") != F.col("b.c")) & _sizes_fit(F.col("n"), F.col("b.n")) & _places_fit(F.col("n"), F.col("i"), F.col("b.n"), F.col("b.i")))
+        pairs = pairs.where((F.col("c") != F.col("b.c")) & _sizes_fit(F.col("n"), F.col("b.n"), rule) & _places_fit(F.col("n"), F.col("i"), F.col("b.n"), F.col("b.i"), rule))
         pairs = pairs.select(F.greatest("doc", "b.doc").alias("a"), F.least("doc", "b.doc").alias("b")).where("a <> b").distinct()
         pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        good = _verified(saved(_bounded(pairs, bits), "ngram-pairs"), d)
+        left = saved(_bounded(pairs, bits, rule), "ngram-pairs")
+        good = _verified(left, d, rule)
         links = saved(good if links is None else links.unionByName(good), "ngram-links")
+        discard(left)
         so_far = connected(links)
-        known = near.join(so_far, near["doc"] == so_far["node"], "left").select("w", "i", "n", "doc", F.coalesce("component", "doc").alias("c"))
+        mine = near.join(so_far, near["doc"] == so_far["node"], "left").select("w", "i", "n", "doc", F.coalesce("component", "doc").alias("c"))
         whole = Window.partitionBy("w")
-        known = known.withColumn("lo", F.min("c").over(whole)).withColumn("hi", F.max("c").over(whole)).withColumn("rows", F.count("*").over(whole))
-        mixed = saved(known.where("lo < hi").drop("lo", "hi"), "ngram-mixed")
-    late = saved(_within_tiles(mixed, bits).join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+        mine = mine.withColumn("lo", F.min("c").over(whole)).withColumn("hi", F.max("c").over(whole)).withColumn("rows", F.count("*").over(whole))
+        mixed = saved(mine.where("lo < hi").drop("lo", "hi"), "ngram-mixed")
+    late = saved(_within_tiles(mixed, bits, rule).join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
     if not late.isEmpty():
-        links = links.unionByName(_verified(late, d))
+        links = links.unionByName(_verified(late, d, rule))
     ties = members.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    # A doc_id whose rows have several sets ties their representatives together.
+    if more is not None:
+        ties = ties.unionByName(more.select(F.col("new").alias("a"), F.col("doc").alias("b")))
     final = connected(links.unionByName(ties).distinct()).withColumnRenamed("node", "id")
     out = sets.select("doc", F.col("n").cast("long").alias("n_shingles")).join(final, F.col("doc") == F.col("id"), "left")
     return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.coalesce("component", "doc").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """The rows of ``docs`` that are first of their component (or have no id); repeated rows of one id stay together."""
-    rest = components(docs, text, key).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(rest, F.col(key) == F.col("_gone"), "left_anti")
+    (gone,) = free(docs, "gone")
+    rest = components(docs, text, key, rule).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(rest, F.col(key) == F.col(gone), "left_anti")
