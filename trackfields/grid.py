@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import clean
+from .audit import reasons
+
 STEP = ("event_id", "t_idx")
 METRES_PER_DEGREE = 111_320.0
 # Constants of the saturation vapour pressure and the bulk heat fluxes.
@@ -149,3 +152,55 @@ def standardised(df: DataFrame, stats: DataFrame, channels: list[str]) -> DataFr
     """Channels minus mean over deviation; missing cells 0. ``stats`` has one row per channel."""
     wide = stats.agg(*[F.max(F.when(F.col("channel") == c, F.struct("mean", "sd"))).alias(f"_{c}") for c in channels])
     return df.crossJoin(F.broadcast(wide)).withColumns({c: F.coalesce((F.col(c) - F.col(f"_{c}.mean")) / F.col(f"_{c}.sd"), F.lit(0.0)) for c in channels}).drop(*[f"_{c}" for c in channels])
+
+
+def _odd(channels: list[str]) -> Column:
+    return F.greatest(*[(clean.finite(F.col(c)).isNull() & F.col(c).isNotNull()).cast("int") for c in channels], F.lit(0))
+
+
+def _absent(channels: list[str]) -> Column:
+    return F.greatest(*[F.col(c).isNull().cast("int") for c in channels], F.lit(0))
+
+
+def event_outcomes(df: DataFrame, channels: list[str]) -> DataFrame:
+    """(outcome, n): events used, and those skipped since a cell is not finite or missing."""
+    e = df.groupBy("event_id").agg(F.max(_odd(channels)).alias("odd"), F.max(_absent(channels)).alias("absent"))
+    return e.groupBy(F.when(F.col("odd") == 1, "not_finite").when(F.col("absent") == 1, "missing").otherwise("used").alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def whole_events(df: DataFrame, channels: list[str]) -> DataFrame:
+    """The rows of events all of whose cells are finite."""
+    bad = df.groupBy("event_id").agg(F.max(F.greatest(_odd(channels), _absent(channels))).alias("bad")).where("bad = 1")
+    return df.join(bad, "event_id", "left_anti")
+
+
+def eligibility(df: DataFrame, channels: list[str], limits: dict[str, float], steps: int) -> DataFrame:
+    """(event_id, reasons): why an event may not be trained on, sorted; none if it may."""
+    most = {f"most_{c}": F.max(F.abs(c)) for c in limits}
+    e = df.groupBy("event_id").agg(F.count_distinct("t_idx").alias("steps"), F.max(_odd(channels)).alias("odd"), F.max(_absent(channels)).alias("absent"), *[x.alias(n) for n, x in most.items()])
+    out = F.lit(False)
+    for c, top in limits.items():
+        out = out | F.coalesce(F.col(f"most_{c}") > top, F.lit(False))
+    return e.select("event_id", reasons(not_finite=F.col("odd") == 1, out_of_range=out, missing_input=F.col("absent") == 1, too_few_steps=F.col("steps") < steps).alias("reasons"))
+
+
+def diagnostics(df: DataFrame, names: list[str], metres: float = 27_830.0) -> DataFrame:
+    """The cells' keys and the channels asked for, in that order; an unknown name is an error that lists it."""
+    d = F.lit(metres)
+    known = {
+        "wind_speed": wind_speed, "vorticity": lambda: vorticity(d, d), "divergence": lambda: divergence(d, d), "p_gradient": lambda: gradient_magnitude("p", d, d),
+        "t_anomaly": lambda: anomaly("t"), **{c: (lambda c=c: F.col(c)) for c in ("u", "v", "p", "t")},
+    }
+    if unknown := [n for n in names if n not in known]:
+        raise ValueError(f"unknown channels: {', '.join(unknown)}")
+    return df.select(*STEP, "i", "j", *[known[n]().alias(n) for n in names])
+
+
+def flagged_stats(df: DataFrame, channels: list[str]) -> DataFrame:
+    """Per event: mean, sd, lo, hi of each channel over finite cells and whether it has none; those are 0 then."""
+    aggs = []
+    for c in channels:
+        v = clean.finite(F.col(c))
+        aggs += [F.coalesce(f(v), F.lit(0.0)).alias(f"{c}_{n}") for n, f in (("mean", F.avg), ("sd", F.stddev_pop), ("lo", F.min), ("hi", F.max))]
+        aggs.append((F.count(v) == 0).cast("int").alias(f"{c}_missing"))
+    return df.groupBy("event_id").agg(*aggs)

@@ -58,3 +58,9 @@ def windows(events: DataFrame, grid: DataFrame, size: int) -> DataFrame:
     g = grid.withColumn("ti", F.floor(F.col("i") / size)).withColumn("tj", F.floor(F.col("j") / size))
     near = (F.col("i") >= F.col("ci") - half) & (F.col("i") < F.col("ci") + half) & (F.col("j") >= F.col("cj") - half) & (F.col("j") < F.col("cj") + half)
     return e.join(g, ["time", "ti", "tj"]).where(near).drop("ti", "tj")
+
+
+def with_peaks(predictions: DataFrame, peaks: DataFrame, keys: list[str], accepted: tuple[str, ...]) -> DataFrame:
+    """``predictions`` with ``outcome``: used, no_peak, or the status that excludes the peak."""
+    d = predictions.join(peaks.select(*keys, "status"), keys, "left")
+    return d.withColumn("outcome", F.when(F.col("status").isNull(), "no_peak").when(F.col("status").isin(*accepted), "used").otherwise(F.concat(F.lit("status_"), "status")))

@@ -1,31 +1,36 @@
 """Scores against labels: ranks, curves, thresholds and calibration.
 
-Everything that needs cumulative counts starts from one table per distinct score. Running sums go in two passes, over value
-ranges and within them, so no window holds all rows: the number of ranges is fixed (``RANGES``), their limits come from
-approximate quantiles, and results do not depend on them.
+Everything that needs cumulative counts starts from one table per distinct score, with running sums in two passes
+(``stats.cumulative``), so no window holds all rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RANGES = 128
+from . import stats
+from .clean import finite
 
+def curve(df: DataFrame, score: str = "score", label: str = "y", *by: str) -> DataFrame:
+    """Per group and distinct score, from the highest: pos, neg, and tp, fp at the threshold score >= t; totals as p, n.
 
-def curve(df: DataFrame, score: str = "score", label: str = "y") -> DataFrame:
-    """Per distinct score, from the highest: pos, neg, and tp, fp at the threshold score >= t; totals as p, n."""
-    d = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("t")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum((1 - F.col(label)).cast("long")).alias("neg"))
-    limits = d.agg(F.percentile_approx("t", [i / RANGES for i in range(1, RANGES)], 10_000)).head()[0] or []
-    steps = F.array(*[F.lit(float(x)) for x in sorted(set(limits))]).cast("array<double>")
-    d = d.withColumn("range", F.size(F.filter(steps, lambda x: x > F.col("t"))))
-    sums = d.groupBy("range").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
-    whole = Window.partitionBy()
-    sums = sums.select("range", F.coalesce(F.sum("a").over(before), F.lit(0)).alias("a"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b"), F.sum("a").over(whole).alias("p"), F.sum("b").over(whole).alias("n"))
-    own = Window.partitionBy("range").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.join(F.broadcast(sums), "range")
-    return d.select("t", "pos", "neg", (F.col("a") + F.sum("pos").over(own)).alias("tp"), (F.col("b") + F.sum("neg").over(own)).alias("fp"), "p", "n")
+    Rows without a finite score or a label take no part.
+    """
+    d = df.withColumn("t", finite(F.col(score))).where(F.col("t").isNotNull() & F.col(label).isNotNull())
+    d = d.groupBy(*by, "t").agg(F.sum(F.col(label)).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
+    return _totalled(d, *by)
+
+
+def weighted_curve(df: DataFrame, weight: str, score: str, label: str, *by: str) -> DataFrame:
+    """As ``curve``, with a weight for each row."""
+    d = df.groupBy(*by, F.col(score).alias("t")).agg(F.sum(F.col(label) * F.col(weight)).alias("pos"), F.sum((1 - F.col(label)) * F.col(weight)).alias("neg"))
+    return _totalled(d, *by)
+
+
+def _totalled(d: DataFrame, *by: str) -> DataFrame:
+    d = stats.cumulative(d, "t", ["pos", "neg"], *by, descending=True)
+    return d.select(*by, "t", "pos", "neg", (F.col("pos_before") + F.col("pos")).alias("tp"), (F.col("neg_before") + F.col("neg")).alias("fp"), F.col("pos_total").alias("p"), F.col("neg_total").alias("n"))
 
 
 def roc_auc(c: DataFrame) -> DataFrame:
@@ -93,7 +98,8 @@ def reliability(df: DataFrame, bins: int = 10, score: str = "score", label: str
 
 def quantile_reliability(df: DataFrame, bins: int = 10, merge_low: bool = True, score: str = "score", label: str = "y") -> DataFrame:
     """As ``reliability`` over quantile bins. ``merge_low`` joins the two lowest bins, as published tables do."""
-    edges = df.agg(F.percentile(score, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("e"))
+    q = stats.quantiles(df, score, {f"e{i}": i / bins for i in range(1, bins)})
+    edges = q.select(F.array(*[f"e{i}" for i in range(1, bins)]).alias("e"))
     above = F.size(F.filter(F.col("e"), lambda e: F.col(score) >= e))
     which = F.greatest(above - 1, F.lit(0)) if merge_low else above
     d = df.crossJoin(F.broadcast(edges))  # one row
@@ -119,14 +125,32 @@ def brier_parts(df: DataFrame, bins: int = 10, score: str = "score", label: str
 
 
 def score_summary(df: DataFrame, score: str = "score", label: str = "y") -> DataFrame:
-    q = (0.05, 0.25, 0.5, 0.75, 0.95)
-    return df.groupBy(label).agg(F.count("*").alias("n"), F.min(score).alias("lo"), F.max(score).alias("hi"), *[F.percentile(score, x).alias(f"q{int(x * 100)}") for x in q])
+    q = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+    plain = df.groupBy(label).agg(F.count("*").alias("n"), F.min(score).alias("lo"), F.max(score).alias("hi"))
+    return stats.with_group(plain, stats.quantiles(df, score, {f"q{int(x * 100)}": x for x in q}, label), label)
+
 
+def auc_by(df: DataFrame, *by: str, score: str = "score", label: str = "y") -> DataFrame:
+    """ROC-AUC and average precision per group; null for a group of one class."""
+    return areas(curve(df, score, label, *by), *by)
 
-def auc_by(df: DataFrame, by: str, score: str = "score", label: str = "y") -> DataFrame:
-    """ROC-AUC and average precision per group; a group is a fold, a seed or an arm, so each fits one window."""
-    d = df.groupBy(by, F.col(score).alias("t")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum((1 - F.col(label)).cast("long")).alias("neg"))
-    run, whole = Window.partitionBy(by).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(by)
-    d = d.withColumns({"tp": F.sum("pos").over(run), "fp": F.sum("neg").over(run), "p": F.sum("pos").over(whole), "n": F.sum("neg").over(whole)})
+
+def areas(c: DataFrame, *by: str) -> DataFrame:
     won = F.sum(F.col("pos") * ((F.col("n") - F.col("fp")) + F.col("neg") / 2)) / F.nullif(F.max("p") * F.max("n"), F.lit(0))
-    return d.groupBy(by).agg(won.alias("roc_auc"), F.sum(F.col("pos") / F.nullif(F.col("p"), F.lit(0)) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("pr_auc"))
+    return c.groupBy(*by).agg(won.alias("roc_auc"), F.sum(F.col("pos") / F.nullif(F.col("p"), F.lit(0)) * F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0))).alias("pr_auc"))
+
+
+def arms_by_fold(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row from (fold, arm, y, score): folds with both classes, folds that arm ``a`` wins, mean and sample deviation of the AUC difference."""
+    d = auc_by(df.where(F.col("arm").isin(a, b)), "fold", "arm").groupBy("fold").agg(*[F.max(F.when(F.col("arm") == x, F.col("roc_auc"))).alias(f"_{n}") for n, x in (("a", a), ("b", b))])
+    gap = F.col("_a") - F.col("_b")
+    return d.agg(F.count(gap).alias("folds"), F.sum((gap > 0).cast("long")).alias("won"), F.avg(gap).alias("mean"), F.stddev_samp(gap).alias("sd"))
+
+
+def core(df: DataFrame, threshold: float) -> DataFrame:
+    """One row: areas, Brier score, precision, recall and F1 at the threshold, calibration errors."""
+    parts = [areas(curve(df)), brier(df), at_threshold(df, threshold).select("precision", "recall", "f1"), calibration_errors(reliability(df))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.crossJoin(F.broadcast(part))  # one row each
+    return out

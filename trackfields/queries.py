@@ -386,9 +386,10 @@ def m10_brier_parts(spark, sf_dir):
     return _r(metrics.brier_parts(scores(spark, sf_dir)), "rel", "res", "unc", "wbv", "wbc", digits=9)
 
 
-@query("m11_score_summary", f"with {SCORES} select y, count(*) as n, min(score) as lo, max(score) as hi, " + ", ".join(f"round(quantile_cont(score, {x}), 9) as q{int(x * 100)}" for x in (0.05, 0.25, 0.5, 0.75, 0.95)) + " from scores group by 1")
+@query("m11_score_summary", f"with {SCORES} select y, count(*) as n, round(min(score), 9) as lo, round(max(score), 9) as hi, " + ", ".join(f"round(quantile_cont(score, {q}), 9) as q{int(q * 100)}" for q in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) + " from scores group by 1")
 def m11_score_summary(spark, sf_dir):
-    return _r(metrics.score_summary(scores(spark, sf_dir)), "q5", "q25", "q50", "q75", "q95", digits=9)
+    d = metrics.score_summary(scores(spark, sf_dir))
+    return _r(d, *[c for c in d.columns if c not in ("y", "n")], digits=9)
 
 
 @query("m12_operating_points", f"""with {CURVE}, w as (select unnest([0.9, 0.8, 0.5]::double[]) as target), r as (select target, pts.*, row_number() over (partition by target order by abs(recall - target), t) as k from w, pts)
@@ -546,3 +547,7 @@ def a16_a18_normalised(spark, sf_dir):
     d = patches(spark, sf_dir)
     norm = grid.normalisation(d.where("event_id % 3 <> 0"), ["u"])
     return _r(grid.standardised(d, norm, ["u"]).groupBy("event_id").agg(F.avg("u").alias("mean_u")), "mean_u")
+
+
+# The other query modules register theirs in the same tables.
+from . import queries_audit, queries_fields, queries_io, queries_stats  # noqa: E402, F401

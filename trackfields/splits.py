@@ -30,12 +30,27 @@ def make_splits(df: DataFrame, key: str, frozen: DataFrame | None = None, **shar
 def folds(df: DataFrame, group: str, label: str, n: int = 5, seed: int = 0) -> DataFrame:
     """(group, fold): no group in two folds; positives and sizes dealt out in serpentine order."""
     g = df.groupBy(group).agg(F.sum(F.coalesce(F.col(label), F.lit(0))).alias("positives"), F.count("*").alias("size"))
-    order = Window.orderBy(F.desc("positives"), F.desc("size"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"))), group)
-    k = F.row_number().over(order) - 1
+    # Numbered within parts of equal positives and size by a stretch of the hash, then across parts: no window holds all groups.
+    g = g.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string")))).withColumn("_part", F.substring("_h", 1, 2))
+    parts = g.groupBy("positives", "size", "_part").count()  # 256 rows for each pair of positives and size
+    earlier = F.coalesce(F.sum("count").over(Window.orderBy(F.desc("positives"), F.desc("size"), "_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    g = g.join(parts.select("positives", "size", "_part", earlier.alias("_earlier")), ["positives", "size", "_part"])
+    k = F.col("_earlier") + F.row_number().over(Window.partitionBy("positives", "size", "_part").orderBy("_h", group)) - 1
     place = (k % n).cast("int")
     return g.select(group, "positives", "size", F.when(F.floor(k / n) % 2 == 0, place).otherwise(n - 1 - place).cast("int").alias("fold"))
 
 
+def fold_plan(df: DataFrame, group: str, label: str, n: int, seeds: tuple[int, ...]) -> DataFrame:
+    """seed, fold, n_train, n_val, n_pos_val."""
+    out = None
+    for seed in seeds:
+        f = folds(df, group, label, n, seed).groupBy("fold").agg(F.sum("size").alias("n_val"), F.sum("positives").alias("n_pos_val"))
+        rest = F.sum("n_val").over(Window.partitionBy()) - F.col("n_val")  # a row per fold
+        f = f.select(F.lit(seed).alias("seed"), "fold", rest.alias("n_train"), "n_val", "n_pos_val")
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
 def sample(df: DataFrame, stratum: str, key: str, k: int, seed: int = 0) -> DataFrame:
     """``k`` rows per stratum, the least by a hash of seed and key: a seeded sample that any engine repeats."""
     w = Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .clean import finite
+
 EARTH_KM = 6371.0
+RANGES = 128
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -27,18 +30,66 @@ def circular(df: DataFrame, angle: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(angle).alias("n"), F.pmod(F.degrees(F.atan2(s, c)), F.lit(360.0)).alias("mean_deg"), F.sqrt(c * c + s * s).alias("length"))
 
 
+def cumulative(d: DataFrame, t: str, columns: list[str], *by: str, descending: bool = False) -> DataFrame:
+    """``d``, one row per group and value of ``t``, with c_before (the sum over the rows before it in the group) and c_total for each column.
+
+    Running sums go in two passes, over value ranges and within them, so no task holds a whole group: the number of ranges is
+    fixed (``RANGES``), their limits come from approximate quantiles, and results do not depend on them.
+    """
+    limits = d.agg(F.percentile_approx(t, [i / RANGES for i in range(1, RANGES)], 10_000)).head()[0] or []
+    steps = F.array(*[F.lit(float(x)) for x in sorted(set(limits))]).cast("array<double>")
+    d = d.withColumn("_range", F.size(F.filter(steps, lambda x: x > F.col(t) if descending else x < F.col(t))))
+    sums = d.groupBy(*by, "_range").agg(*[F.sum(c).alias(c) for c in columns])
+    before = Window.partitionBy(*by).orderBy(F.asc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a group
+    whole = Window.partitionBy(*by)
+    sums = sums.select(*[F.col(x).alias(f"_k{i}") for i, x in enumerate((*by, "_range"))], *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_b_{c}") for c in columns], *[F.sum(c).over(whole).alias(f"{c}_total") for c in columns])
+    on = F.lit(True)
+    for i, x in enumerate((*by, "_range")):
+        on = on & d[x].eqNullSafe(sums[f"_k{i}"])
+    own = Window.partitionBy(*by, "_range").orderBy(F.desc(t) if descending else F.asc(t)).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.join(sums if by else F.broadcast(sums), on)  # RANGES rows without groups
+    return d.withColumns({f"{c}_before": F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(own), F.lit(0)) for c in columns}).drop("_range", *[f"_k{i}" for i in range(len(by) + 1)], *[f"_b_{c}" for c in columns])
+
+
+def quantiles(df: DataFrame, x: str, shares: dict[str, float], *by: str) -> DataFrame:
+    """by and, for each name, the exact quantile with linear interpolation, over finite values."""
+    v = finite(F.col(x).cast("double"))
+    d = cumulative(df.select(*by, v.alias("_x")).where("_x is not null").groupBy(*by, "_x").agg(F.count("*").alias("_n")), "_x", ["_n"], *by)
+    out = []
+    for name, q in shares.items():
+        place = q * (F.col("_n_total") - 1)
+        at = lambda k: F.max(F.when((F.col("_n_before") <= k) & (k < F.col("_n_before") + F.col("_n")), F.col("_x")))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        part = F.max(place - F.floor(place))
+        out.append((low + (high - low) * part).alias(name))
+    return d.groupBy(*by).agg(*out)
+
+
 def summary(df: DataFrame, x: str, *by: str) -> DataFrame:
-    """n, mean, median, population deviation, min, max, p10, p90, over values that are there."""
-    return df.where(F.col(x).isNotNull() & ~F.isnan(x)).groupBy(*by).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.stddev_pop(x).alias("sd"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.percentile(x, 0.1).alias("p10"), F.percentile(x, 0.9).alias("p90")
-    )
+    """n, mean, median, population deviation, min, max, p10, p90, over finite values."""
+    d = df.withColumn(x, finite(F.col(x))).where(F.col(x).isNotNull())
+    plain = d.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    q = quantiles(d, x, {"median": 0.5, "p10": 0.1, "p90": 0.9}, *by)
+    both = with_group(plain, q, *by)
+    return both.select(*by, "n", "mean", "median", "sd", "lo", "hi", "p10", "p90")
+
+
+def with_group(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
+    """One row of ``b`` beside each row of ``a`` of the same group (null is a group)."""
+    if not by:
+        return a.crossJoin(F.broadcast(b))  # one row
+    b = b.select(*[F.col(c).alias(f"_g_{c}") if c in by else F.col(c) for c in b.columns])
+    on = F.lit(True)
+    for c in by:
+        on = on & a[c].eqNullSafe(b[f"_g_{c}"])
+    return a.join(b, on).drop(*[f"_g_{c}" for c in by])
 
 
 def average_rank(df: DataFrame, x: str, name: str, *by: str) -> DataFrame:
-    """Ranks from 1 within each group; ties share their average."""
-    w = Window.partitionBy(*by).orderBy(x)
-    ties = Window.partitionBy(*by, x)
-    return df.withColumn(name, F.rank().over(w) + (F.count("*").over(ties) - 1) / 2)
+    """Ranks from 1 within each group; ties share their average. Rows without a finite value are dropped."""
+    d = df.withColumn(x, finite(F.col(x).cast("double"))).where(F.col(x).isNotNull())
+    r = cumulative(d.groupBy(*by, x).agg(F.count("*").alias("_n")), x, ["_n"], *by)
+    return with_group(d, r.select(*by, x, (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(name)), *by, x)
 
 
 def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
@@ -62,3 +113,27 @@ def paired_t(df: DataFrame, d: str, *by: str) -> DataFrame:
 
 def share_within(df: DataFrame, x: str, limits: tuple[float, ...]) -> DataFrame:
     return df.agg(*[F.avg((F.col(x) <= v).cast("double")).alias(f"within_{v:g}") for v in limits])
+
+
+def paired_skill(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
+    """n, pairs, paired means, mean difference and the share of pairs in which ``a`` is closer."""
+    x, y = finite(F.col(a)), finite(F.col(b))
+    both = x.isNotNull() & y.isNotNull()
+    return df.groupBy(*by).agg(
+        F.count("*").alias("n"), F.count(F.when(both, 1)).alias("paired"), F.avg(F.when(both, x)).alias("mean_a"), F.avg(F.when(both, y)).alias("mean_b"), F.avg(x - y).alias("difference"), F.avg((x < y).cast("double")).alias("closer")
+    )
+
+
+def across_runs(df: DataFrame, run: str, *metrics: str) -> DataFrame:
+    """metric, mean, population deviation, min, max, runs, and the runs' values in order."""
+    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics]))
+    d = df.select(F.col(run).alias("run"), rows.alias("r"))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("run", "r.x"))), lambda v: v["x"])  # a value per run
+    return d.groupBy("r.metric").agg(F.avg("r.x").alias("mean"), F.stddev_pop("r.x").alias("sd"), F.min("r.x").alias("lo"), F.max("r.x").alias("hi"), F.count("*").alias("runs"), values.alias("values"))
+
+
+def strata(df: DataFrame, x: str, d: str, least: int) -> DataFrame:
+    """stratum (quarter of ``x``), n and the mean of ``d``, null in strata of fewer than ``least`` rows."""
+    edges = quantiles(df, x, {"_a": 0.25, "_b": 0.5, "_c": 0.75})
+    above = sum(((F.col(x) > F.col(e)).cast("int") for e in ("_a", "_b", "_c")), F.lit(0))
+    return df.crossJoin(F.broadcast(edges)).groupBy(above.alias("stratum")).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.avg(d)).alias("mean"))  # one row of edges

@@ -60,3 +60,44 @@ def geojson(df: DataFrame, properties: list[str]) -> DataFrame:
 
 def duration_text(hours: Column) -> Column:
     return F.concat(F.floor(hours / 24).cast("string"), F.lit("d "), F.pmod(hours, F.lit(24)).cast("int").cast("string"), F.lit("h"))
+
+
+def points(tracks: DataFrame, properties: str, geojson: str = "geojson") -> DataFrame:
+    """The points of each track's FeatureCollection: sid, t, lat, lon and the properties asked for."""
+    one = f"struct<geometry: struct<type: string, coordinates: string>, properties: struct<t: string, {properties.replace(' ', ': ').replace(',:', ',')}>>"
+    names = [p.split()[0] for p in properties.split(",")]
+    f = tracks.select("sid", F.explode(F.from_json(geojson, f"struct<features: array<{one}>>")["features"]).alias("f")).where("f.geometry.type = 'Point'")
+    place = F.from_json("f.geometry.coordinates", "array<double>")
+    return f.select("sid", "f.properties.t", place[1].alias("lat"), place[0].alias("lon"), *[f"f.properties.{n}" for n in names])
+
+
+def channel(names: str, values: str, name: str) -> Column:
+    """The value of a named channel; null where the channel is absent."""
+    at = F.array_position(names, name)
+    return F.when(at > 0, F.try_element_at(values, at.cast("int")))
+
+
+def has_channels(names: str, *wanted: str) -> Column:
+    return F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), names)) == 0
+
+
+def search(storms: DataFrame, text: str) -> DataFrame:
+    """Storms whose name, in either case, or start year contains the text."""
+    return storms.where(F.lower("name").contains(text.lower()) | F.col("year").contains(text))
+
+
+def missing_months(need: DataFrame, have: DataFrame, size: str) -> DataFrame:
+    """Per year: months needed that are not there, and their size at the mean of those that are."""
+    mean = have.agg(F.avg(size).alias("mean"))  # one row
+    gone = need.join(have.select("year", "month"), ["year", "month"], "left_anti").groupBy("year").agg(F.count("*").alias("missing"))
+    return gone.crossJoin(F.broadcast(mean)).select("year", "missing", (F.col("missing") * F.col("mean")).alias(size))
+
+
+def evenly_spaced(times: str, step: int) -> Column:
+    """Whether sorted numbers follow each other at the step."""
+    later = F.slice(times, F.lit(2), F.greatest(F.size(times) - 1, F.lit(0)))
+    return F.forall(F.zip_with(F.slice(times, F.lit(1), F.greatest(F.size(times) - 1, F.lit(0))), later, lambda a, b: b - a), lambda d: d == step)
+
+
+def all_distinct(values: Column, n: int) -> Column:
+    return F.size(F.array_distinct(values)) == n
