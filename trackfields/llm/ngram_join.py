@@ -41,7 +41,7 @@ class Rule(NamedTuple):
 
 BUCKETS, BITS = 1 << 18, 1 << 24
 #: How many rows back a set meets others in its tile, and the tile's order, before all that are left meet.
-ROUNDS = ((2, ("n", "doc")), (8, ("n", "doc")), (8, ("hash", "n")))
+ROUNDS = ((6, ("n", "doc")),)
 #: Rows of a tile that one task compares; pairs that it holds at once.
 TILE, PAIRS = 2_000, 500_000
 #: Bytes of text handled together.
