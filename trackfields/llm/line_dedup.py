@@ -7,9 +7,9 @@ Equal sets are collapsed first, to the earliest line that holds them. Words are
 size, ties by hash). Two similar sets share a word among the first ``n - ceil(SIMILAR * n) + 1`` of each, so only those words
 are shuffled. In a word's group, sets meet under a length filter, a positional filter (what follows the shared word in both
 orders can make up the overlap needed) and a 64-bit signature of the ``SIGNED`` rarest words, which bounds the overlap from
-above. Candidates are verified on their words; their lines are read again for candidates only: a bit table of fixed size
-tells most other lines apart before anything is shuffled. A set's best candidate is verified first; the others only where that
-one fails.
+above. Candidates' lines are read again, and only theirs: a bit table of fixed size tells most other lines apart before
+anything is shuffled. Their words, hashed to 15 bits, bound the overlap again; what is left is verified on the words themselves, a
+set's best candidate first and the others only where that one fails.
 
 A word with more than ``HOT`` sets is worked in two steps, neither of which puts it into one task: first its sets meet in chunks
 of about ``CHUNK``, dealt by hash; only what finds no match there or elsewhere meets the rest of the group, so many near
@@ -148,17 +148,30 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(same >= (F.size("x") + F.size("y") - same) * SIMILAR - 1e-9).select("doc", "line").distinct()
 
 
+def _near(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs that words hashed to 15 bits leave. Shared words that fall together are made up for by what each set lost so."""
+    ends = pairs.select(F.xxhash64("doc", "line").alias("h")).unionByName(pairs.select(F.xxhash64("of", "of_line").alias("h")))
+    d = lines.where(in_table(bit_table(ends, BITS), F.xxhash64("doc", "line"))).select("doc", "line", _split(F.col("s")).alias("x"))
+    small = F.array_distinct(F.transform("x", lambda w: F.hash(w).bitwiseAND(F.lit(0x7FFF)).cast("short")))
+    d = saved(d.select("doc", "line", F.size("x").alias("n"), small.alias("x")), "line-small")
+    both = pairs.join(d, ["doc", "line"]).join(d.select(F.col("doc").alias("of"), F.col("line").alias("of_line"), F.col("n").alias("m"), F.col("x").alias("y")), ["of", "of_line"])
+    most = F.size(F.array_intersect("x", "y")) + F.least(F.col("n") - F.size("x"), F.col("m") - F.size("y"))
+    near = saved(both.where(most >= _needed(F.col("n"), F.col("m"))).select(*pairs.columns), "line-near")
+    discard(d)
+    return near
+
+
 def _settled(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc, line) with a similar earlier line among ``pairs`` (doc, line, of, of_line, shared)."""
-    best = pairs.groupBy("doc", "line").agg(F.max(F.struct("shared", "of", "of_line")).alias("best")).select("doc", "line", "best.of", "best.of_line")
-    texts = _texts(pairs, lines)
+    near = _near(pairs, lines)
+    best = near.groupBy("doc", "line").agg(F.max(F.struct("shared", "of", "of_line")).alias("best")).select("doc", "line", "best.of", "best.of_line")
+    texts = _texts(near, lines)
     done = saved(_verified(best, texts), "line-later")
-    left = saved(pairs.join(done, ["doc", "line"], "left_anti").join(best, ["doc", "line", "of", "of_line"], "left_anti").select("doc", "line", "of", "of_line"), "line-pairs")
-    if left.isEmpty():
-        return done
-    more = saved(_verified(left, _texts(left, texts)), "line-later")
-    discard(texts, left)
-    return done.unionByName(more.distinct())
+    left = saved(near.join(done, ["doc", "line"], "left_anti").join(best, ["doc", "line", "of", "of_line"], "left_anti").select("doc", "line", "of", "of_line"), "line-pairs")
+    if not left.isEmpty():
+        done = done.unionByName(saved(_verified(left, texts), "line-later"))
+    discard(near, texts, left)
+    return done
 
 
 def matched(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
