@@ -1,51 +1,55 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are runs of ``GRAM`` characters of the lower-cased text, with everything but letters read as blanks, so stems and
-whole words both count in any language. The ``TERMS`` terms that tell the labels apart best (chi-square over the labelled
-examples) are kept; their document frequencies are counted over all documents. Examples are sorted into blocks of
-``BLOCK``; for each term and block the index holds the greatest weight. A query adds these up to a bound per block, scores
-blocks exactly from the highest bound down, and stops at the first block whose bound is below the k-th best cosine, so the
-neighbours found are the true ones. Votes are weighted by cosine and made into probabilities by a logistic curve that is
-fitted on the examples themselves, each left out of its own neighbours.
-
-The labelled examples are a bounded sample (``EXAMPLES`` rows, by hash of the id): they are what the classifier is fitted on,
-and their index, which is broadcast, is at most EXAMPLES * TERMS * 4 bytes (16 MB).
+Terms are the words (runs of letters, lower case) of the labelled examples, all of them. A term's weight in a text is
+``(1 + log tf) * idf * tell``: idf counts all documents, and ``tell`` is the absolute log odds of the labels given the term,
+from the examples. Without ``tell``, chance repeats of rare words outweigh what the labels are about. Examples are sorted into blocks of
+``BLOCK``; a term's posting list is cut into these blocks, each with its greatest weight. A text adds these up to a bound per
+block, scores its ``FIRST`` best blocks exactly, and then all blocks whose bound reaches the k-th best cosine so far, so the
+neighbours found are the true ones. Votes are weighted by cosine and made into probabilities by a logistic curve that is fitted
+on the examples themselves, each left out of its own neighbours.
+
+The labelled examples are a bounded sample, taken by hash of the id: at most ``EXAMPLES`` rows, and as many as together have
+``SAMPLE_WORDS`` words (the first in any case). They are what the classifier is fitted on; their index, which is broadcast,
+has a posting for each word of theirs at most.
 
 Edge cases: null and empty texts have no terms and get the score of a text without neighbours; rows without a label, or with
-another label than 0 and 1, are no examples; a document labelled twice counts as toxic if either says so; without
-examples every score is 0.25. Other columns pass through unless called ``toxicity``, which is replaced.
+another label than 0 and 1, are no examples; a document labelled twice counts as toxic if either says so; of several texts of an
+example's id the least by hash counts; without examples of both kinds every score is 0.25. Other columns pass through unless called
+``toxicity``, which is replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import LETTER, class_table
-from .common import small_batches
+from .common import small_batches, words_count
+from .fingerprints import _INVERSE, ODD, _mix, _powers
 
-GRAM = 5
-TERMS, EXAMPLES = 1024, 4096
-BLOCK, NEIGHBOURS = 64, 16
-#: Documents that must hold a term before it may be kept.
-LEAST = 3
+EXAMPLES, SAMPLE_WORDS = 4096, 1 << 21
+BLOCK, FIRST, NEIGHBOURS = 64, 4, 16
 #: Characters handled together.
-SLICE = 2_000_000
-_ODD = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(GRAM)]
+SLICE = 500_000
 
 
 class Model(NamedTuple):
     terms: np.ndarray  # sorted hashes
-    idf: np.ndarray  # by term
-    examples: np.ndarray  # unit vectors, a row per example, sorted into blocks
+    weight: np.ndarray  # idf * tell, by term
+    cuts: np.ndarray  # by term: where its blocks begin in the next two
+    block: np.ndarray
+    most: np.ndarray  # the greatest weight of the term in the block
+    posts: np.ndarray  # by block of a term: where its postings begin in the next two
+    example: np.ndarray
+    value: np.ndarray  # weights of the examples' unit vectors
     labels: np.ndarray
     ids: np.ndarray
-    most: np.ndarray  # block-max: blocks x terms
     curve: np.ndarray  # of the logistic calibration: 1, vote, nearness
 
 
@@ -54,20 +58,24 @@ def learnable(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the run of characters at each position, and the number of the text it belongs to."""
-    gap = " " * GRAM
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """A number for each code point."""
+    return _mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(ODD))
+
+
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of the texts, in order, and the number of the text it belongs to."""
     lower = [t.lower() for t in texts]
-    points = np.frombuffer((gap.join(lower) + gap).encode("utf-32-le"), np.uint32)
-    points = np.where(class_table()[points] == LETTER, points, np.uint32(32)).astype(np.uint64)
-    n = len(points) - GRAM + 1
-    out = np.zeros(n, np.uint64)
-    for k, odd in enumerate(_ODD):
-        out += points[k : k + n] * np.uint64(odd)
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    ends = np.cumsum([len(t) + GRAM for t in lower])
-    return out, ends
+    points = np.frombuffer((" ".join(lower) + " ").encode("utf-32-le"), np.uint32)
+    letter = class_table()[points] == LETTER
+    edge = np.diff(np.concatenate([[0], letter.view(np.int8), [0]]))
+    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(_letters()[points] * _powers(ODD, len(points)), out=sums[1:])
+    hashes = _mix((sums[stops] - sums[starts]) * _powers(_INVERSE, len(points))[starts]) if len(starts) else np.zeros(0, np.uint64)
+    ends = np.cumsum([len(t) + 1 for t in lower])
+    return hashes, np.searchsorted(ends, starts, side="right")
 
 
 def slices(texts: list[str]) -> Iterator[list[str]]:
@@ -82,50 +90,94 @@ def slices(texts: list[str]) -> Iterator[list[str]]:
 
 
 def counts(texts: list[str], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, count) of the kept terms, by text and term."""
-    hashes, ends = grams(texts)
-    gate = np.zeros(1 << 16, bool)
-    gate[(terms >> np.uint64(48)).astype(np.intp)] = True
-    at = np.flatnonzero(gate[(hashes >> np.uint64(48)).astype(np.intp)])
-    place = np.searchsorted(terms, hashes[at])
-    good = terms[np.minimum(place, len(terms) - 1)] == hashes[at] if len(terms) else np.zeros(0, bool)
-    pair, n = np.unique(np.searchsorted(ends, at[good], side="right") * len(terms) + place[good], return_counts=True)
-    return pair // max(1, len(terms)), pair % max(1, len(terms)), n
+    """(text, term, count) of the known terms, by text and term."""
+    hashes, of = words(texts)
+    if not len(terms):
+        return (np.zeros(0, np.int64),) * 3
+    place = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
+    good = terms[place] == hashes
+    pair, n = np.unique(of[good] * len(terms) + place[good], return_counts=True)
+    return pair // len(terms), pair % len(terms), n
 
 
 def _texts(s: pd.Series) -> list[str]:
     return ["" if t is None else t for t in s.where(s.notna(), None)]
 
 
-def _unit(terms: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    w = (1 + np.log(n)) * idf[terms]
-    return w / max(np.sqrt(np.dot(w, w)), 1e-12)
-
-
-def nearest(model: Model, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and cosines of the nearest examples with a positive cosine, ties to the earlier position."""
-    none = np.zeros(0, np.intp), np.zeros(0)
-    if not len(terms) or not len(model.most):
-        return none
-    bound = model.most[:, terms] @ weights
-    order = np.argsort(-bound, kind="stable")
-    at, cos = none
-    for k in range(0, len(order), 4):
-        if bound[order[k]] <= 0 or len(cos) >= NEIGHBOURS and bound[order[k]] < cos[NEIGHBOURS - 1] - 1e-9:
-            break
-        rows = (order[k : k + 4, None] * BLOCK + np.arange(BLOCK)).ravel()
-        rows = rows[rows < len(model.examples)]
-        got = model.examples[rows[:, None], terms] @ weights
-        keep = (got > 1e-9) & (rows != skip)
-        at, cos = np.concatenate([at, rows[keep]]), np.concatenate([cos, got[keep]])
-        best = np.lexsort((at, -cos))[:NEIGHBOURS]
-        at, cos = at[best], cos[best]
-    return at, cos
-
-
-def _evidence(model: Model, at: np.ndarray, cos: np.ndarray) -> tuple[float, float]:
-    """The cosine-weighted vote (minus a half, 0 without neighbours) and how near the neighbours are."""
-    return (float(np.dot(cos, model.labels[at]) / cos.sum()) - 0.5, float(cos.mean())) if len(at) else (-0.5, 0.0)
+def _ranges(begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after the other, and for each the range it comes from."""
+    n = stop - begin
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begin[of], of
+
+
+def unit(of: np.ndarray, term: np.ndarray, n: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
+    """The weights of (text, term, count) in unit vectors."""
+    w = (1 + np.log(n)) * weight[term]
+    return w / np.maximum(np.sqrt(np.bincount(of, w * w, texts)), 1e-12)[of]
+
+
+def indexed(of: np.ndarray, term: np.ndarray, value: np.ndarray, terms: int) -> dict[str, np.ndarray]:
+    """The posting lists of examples' vectors, cut into blocks."""
+    order = np.lexsort((of, term))
+    of, term, value = of[order], term[order], value[order]
+    key = term * (1 << 20) + of // BLOCK
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    most = np.maximum.reduceat(value, first) if len(first) else np.zeros(0)
+    return {
+        "cuts": np.searchsorted(term[first], np.arange(terms + 1)), "block": (of[first] // BLOCK).astype(np.int32), "most": most.astype(np.float32) * np.float32(1 + 1e-6),
+        "posts": np.append(first, len(of)), "example": of.astype(np.int32), "value": value.astype(np.float32),
+    }
+
+
+def nearest(m: Model, of: np.ndarray, term: np.ndarray, value: np.ndarray, texts: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, example, cosine) of each text's nearest examples with a positive cosine, nearest first, ties to the earlier example.
+
+    ``skip``: for each text an example that doesn't count.
+    """
+    blocks = -(-len(m.ids) // BLOCK)
+    entry, at = _ranges(m.cuts[term], m.cuts[term + 1])
+    where = of[at] * blocks + m.block[entry]
+    bound = np.bincount(where, m.most[entry] * value[at], texts * blocks).reshape(texts, blocks)
+
+    def exact(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat = chosen.ravel()
+        slot = np.cumsum(flat) - 1
+        here = flat[where]
+        e, a = entry[here], at[here]
+        post, back = _ranges(m.posts[e], m.posts[e + 1])
+        spot = (slot[where[here]] * BLOCK)[back] + m.example[post] % BLOCK
+        every = np.bincount(spot, m.value[post] * value[a][back], (slot[-1] + 1) * BLOCK if len(slot) else 0)
+        good = np.flatnonzero(every > 1e-9)
+        which = np.flatnonzero(flat)[good // BLOCK]
+        t, x, cos = which // blocks, which % blocks * BLOCK + good % BLOCK, every[good]
+        if skip is not None:
+            keep = x != skip[t]
+            t, x, cos = t[keep], x[keep], cos[keep]
+        return t, x, cos
+
+    def best(t: np.ndarray, x: np.ndarray, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((x, -cos, t))
+        t, x, cos = t[order], x[order], cos[order]
+        keep = np.arange(len(t)) - np.searchsorted(t, t) < NEIGHBOURS
+        return t[keep], x[keep], cos[keep]
+
+    some = np.zeros_like(bound, bool)
+    np.put_along_axis(some, np.argpartition(-bound, min(FIRST, blocks) - 1, axis=1)[:, :FIRST], True, 1)
+    t, x, cos = best(*exact(some & (bound > 0)))
+    kth = np.zeros(texts)
+    last = np.searchsorted(t, np.arange(texts)) + NEIGHBOURS - 1
+    full = np.bincount(t, minlength=texts) >= NEIGHBOURS
+    kth[full] = cos[last[full]]
+    rest = exact((bound > 0) & (bound >= kth[:, None] - 1e-6) & ~some)
+    return best(*(np.concatenate(v) for v in zip((t, x, cos), rest)))
+
+
+def evidence(m: Model, t: np.ndarray, x: np.ndarray, cos: np.ndarray, texts: int) -> np.ndarray:
+    """1, the cosine-weighted vote (minus a half) and how near the neighbours are; 1, -0.5, 0 without neighbours."""
+    n, total = np.bincount(t, minlength=texts), np.bincount(t, cos, texts)
+    vote = np.bincount(t, cos * m.labels[x], texts) / np.maximum(total, 1e-12) - 0.5
+    return np.stack([np.ones(texts), vote, total / np.maximum(n, 1)], axis=1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -138,78 +190,75 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
+def examples(docs: DataFrame, labels: DataFrame, text: str, key: str) -> DataFrame:
+    """(doc_id, toxic, text) of the labelled sample."""
     named = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & learnable(F.col("doc_id")))
     named = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = named.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(EXAMPLES)
-    d = small_batches(docs).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    chosen = d.join(F.broadcast(sample), "doc_id")
+    chosen = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
+    one = chosen.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "toxic", "t.text")
+    # A running count over EXAMPLES rows at most.
+    before = F.sum(words_count(F.col("text"))).over(Window.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    return one.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SAMPLE_WORDS).drop("before")
 
-    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            texts, toxic, begin = _texts(rows["text"]), rows["toxic"].to_numpy(), 0
-            for some in slices(texts):
-                hashes, ends = grams(some)
-                owner = np.minimum(np.searchsorted(ends, np.arange(len(hashes)), side="right"), len(some) - 1)
-                order = np.lexsort((owner, hashes))
-                h, o = hashes[order], owner[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
-                h, o = h[new], o[new]
-                term, at = np.unique(h, return_index=True)
-                y = toxic[begin : begin + len(some)][o]
-                yield pd.DataFrame({"term": term.view(np.int64), "pos": np.add.reduceat(y, at).astype(np.int64), "n": np.diff([*at, len(h)]).astype(np.int64)})
-                begin += len(some)
-
-    told = chosen.select("text", "toxic").mapInPandas(tell, "term long, pos long, n long").groupBy("term").agg(F.sum("pos").alias("a"), F.sum("n").alias("n"))
-    size = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).head()
-    total, positive = size["n"], size["p"] or 0
-    # Chi-square of the 2 x 2 table of term and label.
-    a, n, N, P = F.col("a").cast("double"), F.col("n").cast("double"), F.lit(float(total)), F.lit(float(positive))
-    chi = (a * N - n * P) ** 2 / F.greatest(n * (N - n) * P * (N - P), F.lit(1.0))
-    picked = told.where(F.col("n") >= LEAST).orderBy(chi.desc(), "term").limit(TERMS).select("term").collect() if 0 < positive < total else []
-    terms = np.sort(np.array([r["term"] for r in picked], np.int64).view(np.uint64))
-
-    def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, seen = np.zeros(len(terms), np.int64), 0
-        for rows in batches:
-            texts = _texts(rows["text"])
-            seen += len(texts)
-            for some in slices(texts):
-                df += np.bincount(counts(some, terms)[1], minlength=len(terms))
-        yield pd.DataFrame({"at": np.arange(-1, len(terms)), "n": np.concatenate([[seen], df])})
 
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
+    d = small_batches(docs)
+
+    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            texts, out = _texts(rows["text"]), []
-            for some in slices(texts):
-                of, term, n = counts(some, terms)
+            out = []
+            for some in slices(_texts(rows["text"])):
+                hashes, of = words(some)
                 cut = np.searchsorted(of, np.arange(len(some) + 1))
-                out += [(term[i:j].astype(np.int32), n[i:j].astype(np.int32)) for i, j in zip(cut, cut[1:])]
+                out += [tuple(v.view(np.int64) for v in np.unique(hashes[i:j], return_counts=True)) for i, j in zip(cut, cut[1:])]
             yield pd.DataFrame({"doc_id": rows["doc_id"], "toxic": rows["toxic"], "terms": [x for x, _ in out], "n": [y for _, y in out]})
 
-    nothing = Model(terms, np.zeros(0), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.array([np.log(1 / 3), 0, 0]))
-    if not len(terms):
-        return nothing
-    found = dict(d.select("text").mapInPandas(frequencies, "at long, n long").groupBy("at").agg(F.sum("n")).collect())
-    idf = np.log((1 + found[-1]) / (1 + np.array([found[i] for i in range(len(terms))]))) + 1e-3
-    # One row per example with the counts of at most TERMS terms.
-    rows = chosen.mapInPandas(vectors, "doc_id long, toxic int, terms array<int>, n array<int>").dropDuplicates(["doc_id"]).collect()
-    whole = np.zeros((len(rows), len(terms)), np.float32)
-    for i, r in enumerate(rows):
-        if r["terms"]:
-            t = np.array(r["terms"])
-            whole[i, t] = _unit(t, np.array(r["n"]), idf)
-    ids, y = np.array([r["doc_id"] for r in rows], np.int64), np.array([r["toxic"] for r in rows], float)
-    order = np.lexsort((ids, whole.argmax(1)))  # like examples share blocks, which keeps the bounds tight
-    whole, ids, y = whole[order], ids[order], y[order]
-    blocks = np.stack([whole[i : i + BLOCK].max(0) for i in range(0, len(whole), BLOCK)])
-    model = Model(terms, idf, whole, y, ids, blocks, np.zeros(3))
-    x = np.ones((len(rows), 3))
-    for i in range(len(rows)):
-        t = np.flatnonzero(whole[i])
-        x[i, 1:] = _evidence(model, *nearest(model, t, whole[i, t], skip=i))
-    return model._replace(curve=_logistic(x, y))
+    rows = examples(d, labels, text, key).mapInPandas(bags, "doc_id long, toxic int, terms array<long>, n array<long>").toPandas().sort_values("doc_id", ignore_index=True)
+    ids, y = rows["doc_id"].to_numpy(np.int64), rows["toxic"].to_numpy(float)
+    none = np.zeros(0, np.int64)
+    if not 0 < y.sum() < len(y):
+        return Model(none.view(np.uint64), none, np.zeros(1, np.int64), none, none, np.zeros(1, np.int64), none, none, none, none, np.array([np.log(1 / 3), 0, 0]))
+    sizes = rows["terms"].map(len).to_numpy()
+    of, n = np.repeat(np.arange(len(rows)), sizes), np.concatenate(rows["n"].to_numpy())
+    terms, term = np.unique(np.concatenate(rows["terms"].to_numpy()).astype(np.int64).view(np.uint64), return_inverse=True)
+    shared = d.sparkSession.sparkContext.broadcast(terms)
+
+    def frequencies(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        df, seen = np.zeros(len(known), np.int64), 0
+        for rows in batches:
+            texts = _texts(rows["text"])
+            seen += len(texts)
+            for some in slices(texts):
+                df += np.bincount(counts(some, known)[1], minlength=len(known))
+        at = np.flatnonzero(df)
+        yield pd.DataFrame({"at": np.concatenate([[-1], at]), "n": np.concatenate([[seen], df[at]])})
+
+    found = d.select(F.col(text).alias("text")).mapInPandas(frequencies, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # a row per term of the sample
+    df = np.zeros(len(terms))
+    real = found["at"].to_numpy() >= 0
+    df[found["at"].to_numpy()[real]] = found["n"].to_numpy()[real]
+    idf = np.log((1 + float(found["n"].to_numpy()[~real].sum())) / (1 + df))
+    pos, every = np.bincount(term, y[of], len(terms)), np.bincount(term, minlength=len(terms))
+    odds = np.log((pos + 0.5) / (every - pos + 0.5)) - np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    weight = np.maximum(idf, 1e-3) * np.abs(odds)
+    value = unit(of, term, n, weight, len(rows))
+    # Like examples share blocks, which keeps the bounds tight: they are sorted by their heaviest term.
+    heavy = np.lexsort((value, of))[np.cumsum(sizes)[sizes > 0] - 1]
+    top = np.full(len(rows), -1)
+    top[of[heavy]] = term[heavy]
+    order = np.lexsort((ids, top))
+    rank = np.argsort(order)
+    model = Model(terms, weight, **indexed(rank[of], term, value, len(terms)), labels=y[order], ids=ids[order], curve=np.zeros(3))
+    seen = np.concatenate([evidence(model, *_of_rows(model, of, term, value, part, rank), len(part)) for part in np.array_split(np.arange(len(rows)), -(-len(rows) // 256))])
+    return model._replace(curve=_logistic(seen, y))
+
+
+def _of_rows(m: Model, of: np.ndarray, term: np.ndarray, value: np.ndarray, part: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The neighbours of a stretch of examples, each without itself."""
+    i, j = np.searchsorted(of, [part[0], part[-1] + 1])
+    return nearest(m, of[i:j] - part[0], term[i:j], value[i:j], len(part), rank[part])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -219,14 +268,15 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for s in batches:
-            out = []
+            p, near, cosines = [], [], []
             for some in slices(_texts(s)):
                 of, term, n = counts(some, m.terms)
-                cut = np.searchsorted(of, np.arange(len(some) + 1))
-                for i, j in zip(cut.tolist(), cut[1:].tolist()):
-                    at, cos = nearest(m, term[i:j], _unit(term[i:j], n[i:j], m.idf)) if j > i else (np.zeros(0, np.intp), np.zeros(0))
-                    z = float(np.dot(m.curve, (1.0, *_evidence(m, at, cos))))
-                    out.append((1 / (1 + np.exp(-max(-30.0, min(30.0, z)))), m.ids[at], cos))
-            yield pd.DataFrame(out, columns=["score", "neighbours", "cosines"])
+                t, x, cos = nearest(m, of, term, unit(of, term, n, m.weight, len(some)), len(some)) if len(m.ids) else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+                z = evidence(m, t, x, cos, len(some)) @ m.curve
+                p.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+                cut = np.searchsorted(t, np.arange(len(some) + 1))
+                near += [m.ids[x[i:j]] for i, j in zip(cut, cut[1:])]
+                cosines += [cos[i:j] for i, j in zip(cut, cut[1:])]
+            yield pd.DataFrame({"score": np.concatenate(p) if p else np.zeros(0), "neighbours": near, "cosines": cosines})
 
     return small_batches(docs).withColumn("toxicity", F.pandas_udf(run, "score double, neighbours array<bigint>, cosines array<double>")(F.col(text)))
