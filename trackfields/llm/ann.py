@@ -1,15 +1,16 @@
 """Approximate nearest neighbours with balanced posting lists.
 
 Centroids come from a balanced k-means on a bounded sample (``SAMPLE`` rows by hash of the id; at most ``MOST_LISTS``
-centroids), where a list pays for being longer than its share. Every vector goes to the posting list of its nearest
-centroid, and a vector near a boundary also to the others whose distance is within ``1 + BOUNDARY`` of the nearest
-(``REPLICAS`` lists at most). A query searches the centroids over an in-memory neighbour graph, best first, and scans the
-nearest lists, ``PROBE_SHARE`` of all and ``PROBES`` at least, exactly and in double precision. A query that finds fewer than
-``k`` rows there goes on to all other lists.
+centroids), in which a list pays for being longer than its share; vectors are posted at the same prices. A vector near a
+boundary also goes to its second nearest list; the boundary is set so that a share ``TWICE`` of the sample does. A query
+searches the centroids over an in-memory neighbour graph, best first, and scans the lists whose centroid is at most ``reach``
+times as far as the nearest one, exactly and in double precision. ``reach`` is calibrated: on ``PROOF`` queries of the sample it
+lets ``RECALL`` of their neighbours within the sample be found. Neighbours in the whole table are nearer, hence no harder
+to reach, so the share of lists follows how clustered the data are. A query that finds fewer than ``k`` rows goes on to all lists.
 
-Lists and the queries that probe them are cut into tiles of about ``TILE_ROWS`` by ``TILE_QUERIES``, so one list that holds a
-third of all rows is many tasks; each tile returns ``k`` rows per query. The centroids and their graph, at most MOST_LISTS rows, are
-all that is broadcast.
+Lists are worked in bundles; bundles and the queries that probe them are cut into tiles of about ``TILE_ROWS`` by
+``TILE_QUERIES``, so a list that holds a third of all rows is many tasks; each tile returns ``k`` rows per query. The
+centroids and their graph, at most MOST_LISTS rows, are all that is broadcast.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components take no part, nor do those of another
 dimension than most; fewer candidates than k give fewer neighbours; ties go to the smaller id; an id that
@@ -19,7 +20,6 @@ occurs twice is one candidate per distinct vector, and never its own neighbour;
 from __future__ import annotations
 
 import heapq
-import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -30,17 +30,26 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-SAMPLE, MOST_LISTS, PER_LIST = 20_000, 4_096, 200
-BOUNDARY, REPLICAS = 0.05, 4
-PROBE_SHARE, PROBES = 3 / 8, 96
-LINKS = 16
-TILE_ROWS, TILE_QUERIES = 4_000, 500
+SAMPLE, MOST_LISTS, PER_LIST = 20_000, 4_096, 100
+TWICE, RECALL, PROOF = 0.3, 0.95, 400
+LINKS, BUNDLE = 16, 8
+#: How much farther (squared) than the limit the search over the graph still goes on.
+SLACK = 1.1
+TILE_ROWS, TILE_QUERIES = 8_000, 1_000
+#: How fast the price of a list follows its size.
+STEP = 0.03
+#: Rows whose distances to all centroids a worker holds at once.
+CHUNK = 256
 
 
 class Index(NamedTuple):
     centroids: np.ndarray
+    prices: np.ndarray  # what a row pays, in squared distance, to enter a list
     graph: np.ndarray  # neighbours of each centroid
     entries: np.ndarray  # where a search begins
+    boundary: float = 1.0  # of the second nearest list's distance to the nearest one's
+    reach: float = 1.0
+    least: float = 0.0  # the nearest centroid counts as at least that far
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -48,34 +57,75 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 
 
-def balanced_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
-    """k-means in which a centroid's distance grows with the number of rows it already has."""
+def balanced_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids and prices of a k-means in which entering a list costs the more, the longer it is."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=False)]
-    extra = np.zeros(k)
+    price = np.zeros(k)
     for _ in range(rounds):
-        d = _distances(x, c)
-        own = (d + extra).argmin(1)
+        own, near = np.zeros(len(x), int), np.zeros(len(x))
+        for part in np.array_split(np.arange(len(x)), max(1, len(x) // 4096)):
+            d = _distances(x[part], c)
+            own[part] = (d + price).argmin(1)
+            near[part] = d[np.arange(len(part)), own[part]]
         size = np.bincount(own, minlength=k)
-        spread = d[np.arange(len(x)), own].mean()
-        extra = np.maximum(0, extra + 0.1 * spread * (size * k / len(x) - 1)).clip(max=2 * spread)
+        spread = near.mean()
+        price = np.maximum(0, price + STEP * spread * np.minimum(size * k / len(x) - 1, 2)).clip(max=2 * spread)
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
         c = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], x[rng.integers(len(x), size=k)])
-    return c
+    return c, price
 
 
-def neighbour_graph(c: np.ndarray) -> Index:
+def neighbour_graph(c: np.ndarray, price: np.ndarray) -> Index:
     """Nearest centroids of each, half of the links; the other half spread over ever farther ones, so no part is cut off."""
     near = np.argsort(_distances(c, c), axis=1, kind="stable")[:, 1:]
     n = near.shape[1]
     picks = np.unique(np.concatenate([np.arange(min(n, LINKS)), np.geomspace(1, max(n, 1), LINKS).astype(int) - 1])) if n else np.zeros(0, int)
     step = max(1, len(c) // 8)
-    return Index(c, near[:, picks[picks < n]], np.arange(0, len(c), step))
-
-
-def search_centroids(index: Index, q: np.ndarray, width: int) -> list[tuple[float, int]]:
-    """The nearest centroids found best first over the graph: (squared distance, centroid), at most ``width``."""
+    return Index(c, price, near[:, picks[picks < n]], np.arange(0, len(c), step))
+
+
+def lists_of(x: np.ndarray, index: Index) -> np.ndarray:
+    """The nearest list of each row at the prices, and the second one or -1, as two columns."""
+    out = np.full((len(x), 2), -1, np.int32)
+    for begin in range(0, len(x), CHUNK):
+        d = _distances(x[begin : begin + CHUNK], index.centroids)
+        at = np.arange(len(d))
+        order = d + index.prices
+        first = order.argmin(1)
+        out[begin : begin + CHUNK, 0] = first
+        if d.shape[1] > 1:
+            order[at, first] = np.inf
+            second = order.argmin(1)
+            close = np.sqrt(d[at, second]) <= index.boundary * np.sqrt(d[at, first]) + 1e-12
+            out[begin : begin + CHUNK, 1] = np.where(close, second, -1)
+    return out
+
+
+def calibrated(index: Index, x: np.ndarray, k: int = 10) -> Index:
+    """``index`` with boundary and reach from a sample."""
+    if len(index.centroids) < 2:
+        return index
+    proof = x[:: max(1, len(x) // PROOF)]  # ``fitted`` leaves these out
+    every = index._replace(boundary=np.inf)
+    pair = lists_of(proof, every)
+    gap = np.linalg.norm(proof - index.centroids[pair[:, 1]], axis=1) / np.maximum(np.linalg.norm(proof - index.centroids[pair[:, 0]], axis=1), 1e-12)
+    index = index._replace(boundary=float(np.quantile(gap, TWICE)))
+    posted = lists_of(x, index)
+    far = np.sqrt(_distances(proof, index.centroids))
+    least = float(np.median(far.min(1)))
+    ratios = []
+    for q, d in zip(proof, far):
+        near = np.argsort(((x - q) ** 2).sum(1), kind="stable")[1 : k + 1]  # the first is the query's own row
+        own = posted[near]
+        best = np.minimum(d[own[:, 0]], np.where(own[:, 1] >= 0, d[own[:, 1]], np.inf))
+        ratios.append(best / max(d.min(), least))
+    return index._replace(reach=max(1.0, float(np.quantile(np.concatenate(ratios), RECALL))), least=least)
+
+
+def search_centroids(index: Index, q: np.ndarray) -> list[int]:
+    """The centroids within ``reach`` of a query, found best first over the graph; the search ends once nothing nearer than its limit is open."""
 
     def reach(ids: np.ndarray) -> list[tuple[float, int]]:
         diff = index.centroids[ids] - q
@@ -85,24 +135,22 @@ def search_centroids(index: Index, q: np.ndarray, width: int) -> list[tuple[floa
     seen[index.entries] = True
     open_ = reach(index.entries)
     heapq.heapify(open_)
-    best = [(-d, -i) for d, i in open_]
-    heapq.heapify(best)
-    while len(best) > width:
-        heapq.heappop(best)
+    found = list(open_)
+    nearest = open_[0][0]
     while open_:
         d, at = heapq.heappop(open_)
-        if len(best) >= width and d > -best[0][0]:
+        limit = (index.reach * max(np.sqrt(nearest), index.least)) ** 2
+        if d > max(limit, nearest) * SLACK:
             break
         ids = index.graph[at]
         ids = ids[~seen[ids]]
         seen[ids] = True
         for x in reach(ids) if len(ids) else ():
-            if len(best) < width or x[0] < -best[0][0]:
-                heapq.heappush(open_, x)
-                heapq.heappush(best, (-x[0], -x[1]))
-                if len(best) > width:
-                    heapq.heappop(best)
-    return sorted((-d, -i) for d, i in best)
+            heapq.heappush(open_, x)
+            found.append(x)
+            nearest = min(nearest, x[0])
+    limit = (index.reach * max(np.sqrt(nearest), index.least)) ** 2
+    return [i for d, i in found if d <= limit + 1e-12]
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -114,82 +162,95 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return d.where(F.size("v") == (size["n"] if size else 0))
 
 
-def fit(d: DataFrame) -> Index | None:
+def fitted(x: np.ndarray, lists: int, k: int = 10) -> Index:
+    """An index of about ``lists`` lists, calibrated on rows that its centroids have not seen."""
+    seen = np.ones(len(x), bool)
+    seen[:: max(1, len(x) // PROOF)] = len(x) <= 4 * PROOF
+    return calibrated(neighbour_graph(*balanced_means(x[seen], lists)), x, k)
+
+
+def fit(d: DataFrame, k: int = 10) -> Index | None:
     n = d.count()
     if not n:
         return None
-    rows = d.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).collect()
+    # Only about as many rows as the sample needs are sorted.
+    some = d.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, 1.2 * SAMPLE / n + 1e-6) * (1 << 30)))
+    rows = some.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).collect()
     x = np.array([r["v"] for r in rows], float)
-    return neighbour_graph(balanced_means(x, max(1, min(MOST_LISTS, n // PER_LIST, len(x)))))
+    return fitted(x, max(1, min(MOST_LISTS, n // PER_LIST, len(x) // 4)), k)
 
 
 def post(d: DataFrame, index: Index) -> DataFrame:
-    """(list, id, v): every vector in its nearest list and, near a boundary, in others too."""
+    """(list, id, v): every vector in its nearest list and, near a boundary, in the second one."""
     shared = d.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = shared.value.centroids
         for s in batches:
-            x = np.stack(s.to_numpy()) if len(s) else np.zeros((0, c.shape[1]))
-            dist = np.sqrt(_distances(x, c))
-            near = np.argsort(dist, axis=1, kind="stable")[:, :REPLICAS]
-            kept = np.take_along_axis(dist, near, 1)
-            yield pd.Series([a[b <= b[0] * (1 + BOUNDARY) + 1e-12].astype(np.int32) for a, b in zip(near, kept)], dtype=object)
+            both = lists_of(np.stack(s.to_numpy()), shared.value) if len(s) else np.zeros((0, 2), np.int32)
+            yield pd.Series([a[a >= 0] for a in both], dtype=object)
 
     return d.withColumn("list", F.explode(F.pandas_udf(run, "array<int>")("v")))
 
 
-def width(lists: int) -> int:
-    """How many lists a query scans."""
-    return min(lists, max(PROBES, math.ceil(PROBE_SHARE * lists)))
-
-
 def probe(queries: DataFrame, index: Index) -> DataFrame:
     """(list, id, v): the lists that each query scans."""
     shared = queries.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            out = []
-            for q in s:
-                out.append(np.array([i for _, i in search_centroids(shared.value, q, width(len(shared.value.centroids)))], np.int32))
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([np.array(search_centroids(shared.value, q), np.int32) for q in s], dtype=object)
 
     return queries.withColumn("list", F.explode(F.pandas_udf(run, "array<int>")("v")))
 
 
-def _nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest rows of each query within a tile, with exact distances."""
+def _nearest(rows: pd.DataFrame, asks: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest rows of each query within a tile, among the lists that it probes, with exact distances."""
+    ids, v, lists = rows["id"].to_numpy(), np.stack(rows["v"].to_numpy()), rows["list"].to_numpy()
+    asked = asks.drop_duplicates(["id", "u"])
+    q = np.stack(asked["v"].to_numpy())
+    names = np.unique(lists)
+    probed = np.zeros((len(asked), len(names)), bool)
+    place = pd.Series(np.arange(len(asked)), index=pd.MultiIndex.from_frame(asked[["id", "u"]]))
+    who = place.loc[pd.MultiIndex.from_frame(asks[["id", "u"]])].to_numpy()
+    col = np.searchsorted(names, asks["list"].to_numpy())
+    good = (col < len(names)) & (names[np.minimum(col, len(names) - 1)] == asks["list"].to_numpy())
+    probed[who[good], col[good]] = True
+    which = np.searchsorted(names, lists)
     out = []
-    for one, x in zip(q_ids, q):
-        diff = v - x
+    for x, one, mine in zip(q, asked["id"], probed):
+        at = np.flatnonzero(mine[which] & (ids != one))
+        if not len(at):
+            continue
+        near = v[at]
+        rough = (near * near).sum(1) - 2 * near @ x
+        if len(at) > k:
+            at = at[rough <= np.partition(rough, k - 1)[k - 1] + 1e-9 * (1 + np.abs(rough).max())]
+        diff = v[at] - x
         dist = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-        other = np.flatnonzero(ids != one)
-        if len(other) > k:
-            limit = np.partition(dist[other], k - 1)[k - 1]
-            other = other[dist[other] <= limit]
-        best = other[np.lexsort((ids[other], dist[other]))[:k]]
-        out.append(pd.DataFrame({"query_id": one, "vec_id": ids[best], "score": dist[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        best = np.lexsort((ids[at], dist))[:k]
+        out.append(pd.DataFrame({"query_id": one, "vec_id": ids[at][best], "score": dist[best]}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
 
 def scan(lists: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score): the k nearest rows of each query in each tile of the lists it probes."""
-    # Rows and probes per list: MOST_LISTS rows at most.
-    sizes = lists.groupBy("list").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("rows"))
-    sizes = sizes.join(probes.groupBy("list").agg(F.ceil(F.count("*") / TILE_QUERIES).cast("int").alias("asks")), "list")
+    lists, probes = (d.withColumn("bundle", F.floor(F.col("list") / BUNDLE).cast("int")) for d in (lists, probes))
+    # Rows and probes per bundle: MOST_LISTS / BUNDLE rows at most.
+    sizes = lists.groupBy("bundle").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("rows"))
+    sizes = sizes.join(probes.groupBy("bundle").agg(F.ceil(F.count_distinct("id") / TILE_QUERIES).cast("int").alias("asks")), "bundle")
     sizes = F.broadcast(sizes)
-    mine = F.pmod(F.xxhash64("id"), F.col("rows")).cast("int")
-    asked = F.pmod(F.xxhash64("id"), F.col("asks")).cast("int")
-    left = lists.join(sizes, "list").select("list", mine.alias("r"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("a"), "id", "v")
-    right = probes.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), asked.alias("a"), "id", "v")
+    # An id may stand for several vectors, so a query is an id and a hash of its vector.
+    mine, asked = F.pmod(F.xxhash64("id"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("id"), F.col("asks")).cast("int")
+    left = lists.join(sizes, "bundle").select("bundle", mine.alias("r"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("a"), "list", "id", "v")
+    right = probes.join(sizes, "bundle").select("bundle", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), asked.alias("a"), "list", "id", F.xxhash64("v").alias("u"), "v")
+    none = "query_id long, vec_id long, score double"
 
     def tile(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asks):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        return _nearest(asks["id"].to_numpy(), np.stack(asks["v"].to_numpy()), rows["id"].to_numpy(), np.stack(rows["v"].to_numpy()), k)
+        return _nearest(rows, asks, k)
 
-    return left.groupBy("list", "r", "a").cogroup(right.groupBy("list", "r", "a")).applyInPandas(tile, "query_id long, vec_id long, score double")
+    return left.groupBy("bundle", "r", "a").cogroup(right.groupBy("bundle", "r", "a")).applyInPandas(tile, none)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -197,7 +258,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
     spark = vectors.sparkSession
     d = usable(vectors, key, vector).dropDuplicates(["id", "v"])
     schema = "query_id long, rank int, vec_id long, score double"
-    index = fit(d)
+    index = fit(d, k)
     if index is None:
         return spark.createDataFrame([], schema)
     lists, asked = post(d, index), usable(queries, key, vector).dropDuplicates(["id", "v"])
@@ -209,7 +270,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
 
     found = best(scan(lists, probe(asked, index), k))
     n = len(index.centroids)
-    if width(n) == n:
+    if n == 1:
         return found
     found = saved(found, "ann-found")
     full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
