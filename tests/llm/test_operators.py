@@ -71,6 +71,68 @@ def test_fingerprints(docs, none):
     assert fingerprints.likeness(fingerprints.fingerprint(words(300, 5)), fingerprints.fingerprint(words(300, 6))) < 0.3
 
 
+def plain_fingerprint(text):
+    """Chunks found byte by byte, with whole numbers only."""
+    raw, odd, mask = text.encode(), fingerprints.ODD, fingerprints.MASK
+    if not raw:
+        return "0:::"
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    value = [mix((b + 1) * odd & mask) for b in raw]
+    hashed = lambda a, b: sum(v * pow(odd, k, 1 << 64) for k, v in enumerate(value[a:b])) & mask
+    rolling = []
+    for i in range(len(raw)):
+        a = max(0, i + 1 - fingerprints.WINDOW)
+        r = hashed(a, i + 1) * pow(odd, a - i, 1 << 64) & mask  # scaled by the window's place
+        rolling.append((r ^ (r >> 32)) * 0xBF58476D1CE4E5B9 & mask)
+    ends = lambda k: [i for i, r in enumerate(rolling) if not k or r >> (64 - k) == 0]
+    k = next(k for k in range(64) if len(ends(k)) < fingerprints.CHUNKS)
+    signs = [""] if not k else []
+    for at in range(max(0, k - 1), k + 2):
+        stops = [i + 1 for i in ends(at)]
+        stops += [] if stops and stops[-1] == len(raw) else [len(raw)]
+        signs.append("".join(chr(fingerprints.SIGNS[mix(hashed(a, b)) >> 58]) for a, b in zip([0, *stops], stops)))
+    return f"{k}:{':'.join(signs)}"
+
+
+def test_fingerprints_against_a_plain_version():
+    for t in ["", "a", "ab" * 200, words(12, 1), words(300, 2), "é" + words(700, 3)]:
+        assert fingerprints.fingerprint(t) == plain_fingerprint(t)
+    a, b = words(300, 4), words(280, 4)
+    one, other = fingerprints.fingerprint(a).split(":"), fingerprints.fingerprint(b).split(":")
+    best = 0.0
+    for i in range(3):
+        for j in range(3):
+            x, y = one[1 + i], other[1 + j]
+            if int(one[0]) + i != int(other[0]) + j or not x or not y:
+                continue
+            table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+            for p in range(len(x)):
+                for q in range(len(y)):
+                    table[p + 1][q + 1] = table[p][q] + 1 if x[p] == y[q] else max(table[p][q + 1], table[p + 1][q])
+            if any(x[p : p + 4] in y for p in range(len(x) - 3)):
+                best = max(best, 2 * table[-1][-1] / (len(x) + len(y)))
+    assert fingerprints.likeness(":".join(one), ":".join(other)) == pytest.approx(best) and best > 0.5
+
+
+def test_fingerprints_of_far_and_frequent_ids(spark):
+    rows = [(i, f"t{i}") for i in range(1500)] + [(10**15, "far"), (None, "none")] + [(700, f"u{i}") for i in range(1500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = fingerprints.in_order(d).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == len(rows) and sorted(r.text for r in got) == sorted(r.next_text for r in got)
+    following = {r.text: r.next_text for r in got}
+    assert following["far"] == "t1499" and following["none"] == "far" and following["t0"] == "none" and following["t800"] == "t799"
+    text, ring = "far", []
+    while text not in ring[:1]:
+        ring.append(text)
+        text = following[text]
+    assert len(ring) == len(rows)
+
+
 def test_secrets_equal_a_full_scan(docs, none):
     for r in secrets.scan(docs).collect():
         want = sorted((m.start(), k, m.end()) for k, rule in enumerate(secrets.RULES) for m in rule.compiled().finditer(r.text or "") if len(m.group(rule.group)) >= rule.least)
@@ -273,9 +335,7 @@ def test_ann(spark):
 
 
 def test_ann_goes_on_to_further_lists(spark, monkeypatch):
-    assert [ann.width(n) for n in (1, 51, 256, 4096)] == [1, 51, 96, 1536]
-    monkeypatch.setattr(ann, "PROBES", 1)
-    monkeypatch.setattr(ann, "PROBE_SHARE", 0.0)
+    monkeypatch.setattr(ann, "calibrated", lambda index, x, k: index)  # a query scans its nearest list only
     rng = np.random.default_rng(5)
     x = np.concatenate([np.tile([[50.0] * 8], (4, 1)), rng.normal(size=(600, 8))])  # a list of four equal vectors, its centroid on them
     d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
@@ -286,6 +346,29 @@ def test_ann_goes_on_to_further_lists(spark, monkeypatch):
     assert sorted(r.rank for r in got if r.query_id == 300) == list(range(1, 11))
 
 
+def scanned(x, lists, queries):
+    """The share of rows that queries scan, their recall at 10, and the rows posted per row."""
+    index = ann.fitted(x, lists)
+    posted = ann.lists_of(x, index)
+    share, hits = 0, 0
+    for q in queries:
+        probed = ann.search_centroids(index, x[q])
+        at = np.flatnonzero(np.isin(posted, probed).any(1))
+        share += len(at) / len(x)
+        dist = ((x - x[q]) ** 2).sum(1)
+        best = np.argsort(dist, kind="stable")[1:11]
+        hits += len(np.intersect1d(best, at))
+    return share / len(queries), hits / 10 / len(queries), (posted >= 0).sum() / len(x), np.bincount(posted[:, 0], minlength=lists)
+
+
+def test_ann_with_many_lists():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(300, 16)) * 4
+    x = centres[rng.integers(300, size=12_000)] + rng.normal(size=(12_000, 16))
+    share, recall, posted, sizes = scanned(x, 240, range(0, 12_000, 100))
+    assert recall >= 0.9 and share < 0.1 and 1.2 < posted < 1.4 and sizes.max() < 6 * sizes.mean()
+
+
 def test_licenses(docs, none):
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     assert got[15].families == ["apache"] and got[15].n_licenses == 1 and got[15].n_paragraphs == 2

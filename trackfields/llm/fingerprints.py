@@ -1,17 +1,18 @@
 """Document fingerprints by context-triggered piecewise hashing.
 
 A hash rolls over the last ``WINDOW`` bytes of the text; where its high ``k`` bits are zero, a chunk of block size ``2**k``
-ends. Each chunk gives one character of a signature. A fingerprint is ``k:signature at k:signature at k+1`` with the
-smallest ``k`` that leaves at most ``CHUNKS`` chunks, so two texts of similar length have signatures at a common block size.
+ends. Each chunk gives one character of a signature. A fingerprint is ``k:signature at k-1:at k:at k+1`` with the smallest ``k``
+that leaves at most ``CHUNKS`` chunks, so two texts whose lengths differ less than fourfold have signatures at a common block size.
 Likeness is one minus the insert-and-delete distance over the summed lengths, at the best block size that both hold, and
 0 when the signatures share no run of characters at all that chance would not give.
 
-Spark deals texts out by ranges of doc_id; a window finds the next document inside a range, and one small
-aggregate per range carries the first document over to the range before. Nothing is collected but the range limits.
+Spark deals texts out by ranges of doc_id between quantiles of the ids; ids that fill a whole range by themselves are dealt on
+by a hash of the text. A window finds the next document inside a range, and one small aggregate per range carries
+the first document over to the range before. Nothing is collected but the range limits and sizes.
 
-Edge cases: null and empty texts have the fingerprint ``0::``, like it to each other by 1 and to any other text by 0; a
-single document follows itself; equal doc_ids are ordered by text; a null doc_id comes last. Columns other than the id
-and the text are dropped.
+Edge cases: null and empty texts have the fingerprint ``0:::``, like it to each other by 1 and to any other text by 0; a
+single document follows itself; equal doc_ids are ordered by a hash of the text, then by the text; a null doc_id comes last.
+Columns other than the id and the text are dropped.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ WINDOW = 7
 CHUNKS = 64
 #: Characters of a shared run below which unlike signatures of full length count as unlike.
 RUN = 4
-#: Rows in a range, about; ranges are made of at most CELLS cells of equal width between the least and the largest id.
-RANGE_ROWS, CELLS = 512, 65_536
+#: Rows in a range, about; how many ranges at most; parts of an id that fills a range by itself.
+RANGE_ROWS, MOST_RANGES, PARTS = 512, 65_536, 64
 # The 64 characters of signatures.
 SIGNS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 ODD = 0x9E3779B97F4A7C15
@@ -62,7 +63,7 @@ def fingerprint(text: str | None) -> str:
     raw = np.frombuffer((text or "").encode(), np.uint8)
     n = len(raw)
     if not n:
-        return "0::"
+        return "0:::"
     # Prefix sums of byte values times powers give the hash of any stretch: of the window and of chunks.
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTES[raw] * _powers(ODD, n), out=sums[1:])
@@ -83,15 +84,18 @@ def fingerprint(text: str | None) -> str:
     k = guess
     while k < 63 and (k and np.count_nonzero(hit < np.uint64(1 << (64 - k))) or (not k) * len(hit)) >= CHUNKS:
         k += 1
-    signs = []
-    for at in (k, k + 1):
+    if k and k - 1 < guess:
+        ends = np.flatnonzero(rolling < np.uint64(1 << (65 - k))) if k > 1 else np.arange(n)
+        hit = rolling[ends]
+    signs = [""] if not k else []
+    for at in range(max(0, k - 1), k + 2):
         stops = ends[hit < np.uint64(1 << (64 - at))] + 1 if at else ends + 1
         if not len(stops) or stops[-1] != n:
             stops = np.append(stops, n)
         begins = np.concatenate([[0], stops[:-1]])
         chunk = _mix((sums[stops] - sums[begins]) * back[begins])
         signs.append(SIGNS[(chunk >> np.uint64(58)).astype(np.intp)].tobytes().decode())
-    return f"{k}:{signs[0]}:{signs[1]}"
+    return f"{k}:{':'.join(signs)}"
 
 
 def _common(a: str, b: str) -> int:
@@ -117,13 +121,11 @@ def likeness(one: str, other: str) -> float:
     if one == other:
         return 1.0
     a, b = one.split(":"), other.split(":")
-    if not a[1] or not b[1]:
-        return 0.0
     best = 0.0
-    for i in (0, 1):
-        for j in (0, 1):
-            if int(a[0]) + i == int(b[0]) + j:
-                x, y = a[1 + i], b[1 + j]
+    for i in range(3):
+        for j in range(3):
+            x, y = a[1 + i], b[1 + j]
+            if int(a[0]) + i == int(b[0]) + j and x and y:
                 if _shares_run(x, y, min(RUN, len(x), len(y))):
                     best = max(best, 2 * _common(x, y) / (len(x) + len(y)))
     return best
@@ -133,11 +135,20 @@ def in_order(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     """(doc_id, text, next_text) in descending doc_id; after the last document comes the first."""
     spark = docs.sparkSession
     d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    low, high = d.agg(F.min("doc_id"), F.max("doc_id")).head()
-    low, width = low or 0, max(1, -(-((high or 0) - (low or 0) + 1) // CELLS))
-    cell = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(float(low))) / F.lit(float(width))), F.lit(-1))
-    d = d.withColumn("cell", cell.cast("int"))
-    # Cells in descending order make up ranges; there are CELLS + 2 rows at most here, whatever the input.
+    ranges = min(MOST_RANGES, d.count() // RANGE_ROWS + 1)
+    found = d.agg(F.expr(f"percentile_approx(doc_id, transform(sequence(1, {ranges}), x -> x / double({ranges + 1})), {10 * ranges})")).head()[0]
+    limits = np.array(sorted(found or []), np.int64)
+    shared = spark.sparkContext.broadcast((limits, np.unique(limits[:-1][limits[1:] == limits[:-1]])))  # MOST_RANGES numbers at most
+
+    def cell_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        limits, often = shared.value
+        x = ids.fillna(0).to_numpy(np.int64)
+        part = np.where(np.isin(x, often), (hashes.to_numpy(np.int64) >> 58) + PARTS // 2, 0)
+        return pd.Series(np.where(ids.isna(), -PARTS, np.searchsorted(limits, x, side="left") * PARTS - part))
+
+    d = d.withColumn("h", F.xxhash64("text"))
+    d = d.withColumn("cell", F.pandas_udf(cell_of, "long")("doc_id", "h"))
+    # Cells in descending order make up ranges; there are MOST_RANGES and PARTS for each frequent id at most here, whatever the input.
     ranges, held, number = [], RANGE_ROWS, -1
     for c, n in sorted(map(tuple, d.groupBy("cell").count().collect()), reverse=True):
         if held >= RANGE_ROWS:
@@ -145,14 +156,14 @@ def in_order(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
         held += n
         ranges.append((c, number))
     ranges = [(c, r, (r or number + 1) - 1) for c, r in ranges]
-    d = d.join(F.broadcast(spark.createDataFrame(ranges, "cell int, range int, before int")), "cell").drop("cell")
+    d = d.join(F.broadcast(spark.createDataFrame(ranges, "cell long, range int, before int")), "cell").drop("cell")
     # The first document of each range also follows the last one of the range before, in a circle.
-    heads = d.groupBy("range").agg(F.max("doc_id").alias("head"))
-    tops = d.join(F.broadcast(heads.withColumnRenamed("range", "r")), (F.col("range") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("head")))
-    tops = tops.groupBy("range", "before").agg(F.min("text").alias("text"))
-    tops = tops.select(F.lit(None).cast("bigint").alias("doc_id"), "text", F.col("before").alias("range"), F.lit(1).alias("extra"))
-    w = Window.partitionBy("range").orderBy("extra", F.col("doc_id").desc_nulls_last(), "text")
-    both = d.drop("before").withColumn("extra", F.lit(0)).unionByName(tops)
+    heads = d.groupBy("range", "before").agg(F.min(F.struct(F.col("doc_id").isNull(), -F.col("doc_id"), "h")).alias("head"))
+    first = (F.col("range") == F.col("r")) & (F.struct(F.col("doc_id").isNull(), -F.col("doc_id"), "h").eqNullSafe(F.col("head")))
+    tops = d.join(F.broadcast(heads.select(F.col("range").alias("r"), "head")), first).groupBy("range", "before").agg(F.min("text").alias("text"))
+    tops = tops.select(F.lit(None).cast("bigint").alias("doc_id"), "text", F.lit(0).cast("bigint").alias("h"), F.col("before").alias("range"), F.lit(1).alias("extra"))
+    w = Window.partitionBy("range").orderBy("extra", F.col("doc_id").desc_nulls_last(), "h", "text")
+    both = d.select("doc_id", "text", "h", "range", F.lit(0).alias("extra")).unionByName(tops)
     return both.withColumn("next_text", F.lead("text").over(w)).where("extra = 0").select("doc_id", "text", "next_text")
 
 
