@@ -136,7 +136,8 @@ def in_order(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     spark = docs.sparkSession
     d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ranges = min(MOST_RANGES, d.count() // RANGE_ROWS + 1)
-    found = d.agg(F.expr(f"percentile_approx(doc_id, transform(sequence(1, {ranges}), x -> x / double({ranges + 1})), {10 * ranges})")).head()[0]
+    shares = ",".join(repr(i / (ranges + 1)) for i in range(1, ranges + 1))
+    found = d.agg(F.expr(f"percentile_approx(doc_id, cast(split('{shares}', ',') as array<double>), {10 * ranges})")).head()[0]
     limits = np.array(sorted(found or []), np.int64)
     shared = spark.sparkContext.broadcast((limits, np.unique(limits[:-1][limits[1:] == limits[:-1]])))  # MOST_RANGES numbers at most
 
