@@ -35,8 +35,10 @@ from .fingerprints import _INVERSE, ODD, _mix, _powers
 
 EXAMPLES, SAMPLE_WORDS = 4096, 1 << 21
 BLOCK, FIRST, NEIGHBOURS = 64, 4, 16
+#: Examples that the driver scores at once, for the calibration.
+STRETCH = 32
 #: Characters handled together.
-SLICE = 500_000
+SLICE = 150_000
 
 
 class Model(NamedTuple):
@@ -251,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     order = np.lexsort((ids, top))
     rank = np.argsort(order)
     model = Model(terms, weight, **indexed(rank[of], term, value, len(terms)), labels=y[order], ids=ids[order], curve=np.zeros(3))
-    seen = np.concatenate([evidence(model, *_of_rows(model, of, term, value, part, rank), len(part)) for part in np.array_split(np.arange(len(rows)), -(-len(rows) // 256))])
+    seen = np.concatenate([evidence(model, *_of_rows(model, of, term, value, part, rank), len(part)) for part in np.array_split(np.arange(len(rows)), -(-len(rows) // STRETCH))])
     return model._replace(curve=_logistic(seen, y))
 
 
