@@ -386,6 +386,9 @@ def test_licenses_over_several_lines(spark):
         (gnu.format("This program", "Affero "), ["agpl"]), (isc, ["isc"]), ("This is free and unencumbered software released\ninto the public domain.", ["unlicense"]), ("Eclipse Public License - v 2.0", ["epl"]),
         ("Licensed under the MIT License\nLicensed under the MIT License", ["mit"]), (prose, []), ("A new driving license for people at MIT who\nwork with free software is due.", []), (None, []),
     ]
+    # Wordings that are in no notice, and sentences that hold a notice's words but state nothing.
+    cases += [("This project is licensed under the terms of the MIT license.", ["mit"]), ("All code here is released under the Apache License 2.0, see below", ["apache"]), ("The library is distributed and licensed under the GNU Lesser General Public License, version 3", ["lgpl"])]
+    cases += [(t, []) for t in ("This software is not released under the MIT License", "The module is no longer licensed under the Apache License, Version 2.0", "We will never release it under the BSD License")]
     filler = [(100 + i, words(30, 200 + i)) for i in range(60)]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([*((i, t) for i, (t, _) in enumerate(cases)), *filler], "doc_id long, text string")).collect()}
     assert [got[i].families for i in range(len(cases))] == [f for _, f in cases]
