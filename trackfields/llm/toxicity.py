@@ -222,8 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     if not 0 < y.sum() < len(y):
         return Model(none.view(np.uint64), none, np.zeros(1, np.int64), none, none, np.zeros(1, np.int64), none, none, none, none, np.array([np.log(1 / 3), 0, 0]))
     sizes = rows["terms"].map(len).to_numpy()
-    of, n = np.repeat(np.arange(len(rows)), sizes), np.concatenate(rows["n"].to_numpy())
-    terms, term = np.unique(np.concatenate(rows["terms"].to_numpy()).astype(np.int64).view(np.uint64), return_inverse=True)
+    of, n = np.repeat(np.arange(len(rows)), sizes), np.concatenate([np.asarray(x, np.int64) for x in rows["n"]])
+    terms, term = np.unique(np.concatenate([np.asarray(x, np.int64) for x in rows["terms"]]).view(np.uint64), return_inverse=True)
     shared = d.sparkSession.sparkContext.broadcast(terms)
 
     def frequencies(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
