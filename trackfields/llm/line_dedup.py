@@ -11,8 +11,8 @@ above. Candidates' lines are read again, and only theirs: a bit table of fixed s
 anything is shuffled. Their words, hashed to 15 bits, bound the overlap again; what is left is verified on the words themselves, a
 set's best candidate first and the others only where that one fails.
 
-A word with more than ``HOT`` sets is worked in two steps, neither of which puts it into one task: first its sets meet in chunks
-of about ``CHUNK``, dealt by hash; only what finds no match there or elsewhere meets the rest of the group, so many near
+A word with more than ``HOT`` sets is worked in two steps, neither of which puts it into one task: first its sets meet its
+earliest one, often the text that the others were copied from, and each other in chunks of about ``CHUNK``, dealt by hash; only what finds no match there or elsewhere meets the rest of the group, so many near
 copies do not make all their pairs.
 
 In the shuffles a word is the low 31 bits of its hash; that can only add candidates. Texts are shuffled for documents that may
@@ -192,7 +192,8 @@ def matched(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[D
         tiles = F.ceil(F.col("sets") / TILE).cast("int")
         crowd = rows.join(hot, "w").select("doc", "line", "n", "sign", "i", "w", salt.alias("salt"), tiles.alias("tiles"), F.pmod(F.xxhash64("doc", "line"), tiles).cast("int").alias("tile"))
         crowd = saved(crowd, "line-crowd")
-        pairs = pairs.unionByName(_couples(crowd.alias("a").join(crowd.alias("b"), meet & (F.col("a.salt") == F.col("b.salt")))))
+        heads = crowd.groupBy("w").agg(F.min(F.struct("doc", "line", "n", "sign", "i")).alias("h")).select("w", "h.*")
+        pairs = pairs.unionByName(_couples(crowd.alias("a").join(heads.alias("b"), meet))).unionByName(_couples(crowd.alias("a").join(crowd.alias("b"), meet & (F.col("a.salt") == F.col("b.salt")))))
         pairs = pairs.groupBy("doc", "line", "of", "of_line").agg(F.sum("shared").alias("shared"))
     pairs = saved(pairs, "line-pairs")
     later = _settled(pairs, lines)
