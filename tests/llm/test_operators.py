@@ -55,7 +55,7 @@ def test_bpe_round_trip(docs, none):
     for r in got:
         t = r.text or ""
         assert r.ids == own.encode_ordinary(t) and bytes(r.decoded) == t.encode()
-        assert len(r.offsets) == len(r.ids) and (not r.ids or r.offsets[0] == 0)
+        assert r.offsets == np.cumsum([0, *[len(own.decode_single_token_bytes(i)) for i in r.ids]]).tolist()[:-1]
     assert byte_bpe.encode(none, BPE_RANKS).count() == 0
 
 
@@ -236,6 +236,14 @@ def test_curriculum_query_against_brute_force(spark, docs, tmp_path):
     assert sorted((round(r.position, 6), str(r.doc_id), r.copy) for r in got if r.position is not None) == sorted(want)
 
 
+def test_toxicity_with_empty_examples(spark):
+    texts = [None, "", "bad sour word", "bad sour thing", "good plain word", "good plain thing"] * 20
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    y = spark.createDataFrame([(i, int("bad" in (t or ""))) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    got = toxicity.score(d, toxicity.fit(d, y)).collect()
+    assert all((r.toxicity.score >= 0.5) == ("bad" in (r.text or "")) for r in got)
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(4)
     texts = [words(40, 100 + i) + (" vilesome " + rng.choice(["gruntish", "snarlow"]) if i % 4 == 0 else "") for i in range(300)]
@@ -244,13 +252,18 @@ def test_toxicity(spark, docs, none):
     model = toxicity.fit(d, y)
     got = toxicity.score(d, model).collect()
     assert np.mean([(r.toxicity.score >= 0.5) == (r.doc_id % 4 == 0) for r in got]) > 0.97
-    # The block-max search finds the same neighbours as all cosines.
-    for k in range(0, len(model.examples), 25):
-        t = np.flatnonzero(model.examples[k])
-        at, cos = toxicity.nearest(model, t, model.examples[k, t], skip=k)
-        every = model.examples @ model.examples[k]
+    # The block-max search finds the same neighbours as all cosines, over all terms of the examples.
+    unit = np.zeros((len(model.ids), len(model.terms)))
+    term = np.repeat(np.repeat(np.arange(len(model.terms)), np.diff(model.cuts)), np.diff(model.posts))
+    unit[model.example, term] = model.value
+    assert len(model.terms) == len({w for t in (texts[i] for i in model.ids) for w in re.findall(r"[^\W\d_]+", t.lower())})
+    assert np.allclose((unit**2).sum(1), 1, atol=1e-5)
+    for k in range(0, len(model.ids), 25):
+        t = np.flatnonzero(unit[k])
+        of, at, cos = toxicity.nearest(model, np.zeros(len(t), np.int64), t, unit[k, t], 1, np.array([k]))
+        every = unit @ unit[k]
         every[k] = 0
-        assert np.allclose(cos, np.sort(every[every > 1e-9])[::-1][: toxicity.NEIGHBOURS], atol=1e-6)
+        assert np.allclose(cos, np.sort(every[every > 1e-9])[::-1][: toxicity.NEIGHBOURS], atol=1e-6) and np.allclose(every[at], cos, atol=1e-6)
     rest = toxicity.score(docs, model).collect()
     assert len(rest) == len(TEXTS) + 2 and all(0 <= r.toxicity.score <= 1 for r in rest) and all(r.toxicity.score < 0.5 for r in rest if not (r.text or "").strip())
     untold = toxicity.score(docs, toxicity.fit(none, y.limit(0))).head()

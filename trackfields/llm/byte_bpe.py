@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import free, small_batches
 
 # Classes of code points.
 LETTER, NUMBER, WHITE, OTHER = 0, 1, 2, 3
@@ -248,7 +248,8 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     run = F.pandas_udf(ids_of, kind)
     docs = small_batches(docs)
     rest = [c for c in docs.columns if c not in ("ids", "offsets")]
-    return docs.withColumn("_bpe", run(F.col(text))).select(*rest, F.col("_bpe.ids").alias("ids"), F.col("_bpe.offsets").alias("offsets"))
+    (both,) = free(docs, "bpe")
+    return docs.withColumn(both, run(F.col(text))).select(*rest, F.col(both)["ids"].alias("ids"), F.col(both)["offsets"].alias("offsets"))
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
