@@ -125,3 +125,16 @@ def test_geojson_round_trip(spark):
     assert one.head().geojson.startswith('{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"LineString","coordinates":[[-60.0,10.0],[-60.0,16.0],[-60.0,22.0]]}')
     got = summary.points(one, "wind_kt double, label int").collect()
     assert [(r.t, r.lat, r.lon, r.wind_kt, r.label) for r in got] == [("2024-01-01T00:00", 10.0, -60.0, 0.0, 1), ("2024-01-01T06:00", 16.0, -60.0, 6.0, None), ("2024-01-01T12:00", 22.0, -60.0, 12.0, None)]
+
+
+def test_statistics_leave_out_what_is_not_finite(spark):
+    rows = [(1, 0, 0, j, v) for j, v in enumerate((1.0, 3.0, math.nan, math.inf, None))]
+    d = spark.createDataFrame(rows, "event_id long, t_idx int, i int, j int, u double")
+    s = grid.channel_stats(d, ["u"], "event_id").head()
+    assert (s.u_mean, s.u_sd, s.u_lo, s.u_hi) == (2.0, 1.0, 1.0, 3.0)
+    n = grid.normalisation(d, ["u"])
+    assert [(r.n, r.mean, r.sd) for r in n.collect()] == [(2, 2.0, 1.0)]
+    assert [r.u for r in grid.standardised(d, n, ["u"]).orderBy("j").collect()] == [-1.0, 1.0, 0.0, 0.0, 0.0]
+    r = grid.ranges(d, {"u": (0, 2)}).head()
+    assert (r.u_missing, r.u_ok) == (0.6, 0)
+    assert grid.whole_events(d, ["u"]).count() == 0 and [tuple(x) for x in grid.event_outcomes(d, ["u"]).collect()] == [("not_finite", 1)]

@@ -75,7 +75,7 @@ def trend(dv6: Column) -> Column:
 
 def finite(c: Column) -> Column:
     """The value, or null where it is NaN or infinite."""
-    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
+    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(None)).otherwise(c)
 
 
 def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -129,7 +129,8 @@ def ranges(df: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
     """Per patch: share of missing cells and whether values stay within physical limits."""
     aggs = []
     for c, (lo, hi) in limits.items():
-        aggs += [F.avg(F.col(c).isNull().cast("double")).alias(f"{c}_missing"), F.min(F.coalesce(F.col(c).between(lo, hi), F.lit(True)).cast("int")).alias(f"{c}_ok")]
+        v = clean.finite(F.col(c))
+        aggs += [F.avg(v.isNull().cast("double")).alias(f"{c}_missing"), F.min(F.coalesce(v.between(lo, hi), F.lit(True)).cast("int")).alias(f"{c}_ok")]
     return df.groupBy(*STEP).agg(*aggs)
 
 
@@ -138,20 +139,21 @@ def channel_stats(df: DataFrame, channels: list[str], *by: str) -> DataFrame:
     aggs = []
     for c in channels:
         for name, f in (("mean", F.avg), ("sd", F.stddev_pop), ("lo", F.min), ("hi", F.max)):
-            aggs.append(F.coalesce(f(c), F.lit(0.0)).alias(f"{c}_{name}"))
+            aggs.append(F.coalesce(f(clean.finite(F.col(c))), F.lit(0.0)).alias(f"{c}_{name}"))
     return df.groupBy(*by).agg(*aggs)
 
 
 def normalisation(df: DataFrame, channels: list[str]) -> DataFrame:
-    """(channel, n, mean, sd) over all rows of the training patches, variance at least 1e-12."""
-    one = df.agg(*[F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.sqrt(F.greatest(F.var_pop(c), F.lit(1e-12))).alias("sd")).alias(c) for c in channels])
+    """(channel, n, mean, sd) over the finite cells of the training patches, variance at least 1e-12; ``whole_events`` leaves out events with others."""
+    v = {c: clean.finite(F.col(c)) for c in channels}
+    one = df.agg(*[F.struct(F.count(x).alias("n"), F.avg(x).alias("mean"), F.sqrt(F.greatest(F.var_pop(x), F.lit(1e-12))).alias("sd")).alias(c) for c, x in v.items()])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("s")) for c in channels])).alias("x")).select("x.channel", "x.s.*")
 
 
 def standardised(df: DataFrame, stats: DataFrame, channels: list[str]) -> DataFrame:
-    """Channels minus mean over deviation; missing cells 0. ``stats`` has one row per channel."""
+    """Channels minus mean over deviation; missing and not finite cells 0. ``stats`` has one row per channel."""
     wide = stats.agg(*[F.max(F.when(F.col("channel") == c, F.struct("mean", "sd"))).alias(f"_{c}") for c in channels])
-    return df.crossJoin(F.broadcast(wide)).withColumns({c: F.coalesce((F.col(c) - F.col(f"_{c}.mean")) / F.col(f"_{c}.sd"), F.lit(0.0)) for c in channels}).drop(*[f"_{c}" for c in channels])
+    return df.crossJoin(F.broadcast(wide)).withColumns({c: F.coalesce((clean.finite(F.col(c)) - F.col(f"_{c}.mean")) / F.col(f"_{c}.sd"), F.lit(0.0)) for c in channels}).drop(*[f"_{c}" for c in channels])
 
 
 def _odd(channels: list[str]) -> Column:

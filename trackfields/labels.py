@@ -77,7 +77,7 @@ def transitions(df: DataFrame, old: str, new: str, *by: str) -> DataFrame:
 
 
 def reason(old: Column, new: Column, old_dv: Column, new_dv: Column, tolerance: float = 1e-9) -> Column:
-    """Why a label version differs from another: flip before null before drift before unchanged."""
+    """Why a label version differs from another: flip before null before drift before unchanged. The names are fixed values."""
     flip = F.when((old == 1) & (new == 0), "flip_1_to_0").when((old == 0) & (new == 1), "flip_0_to_1")
     null = F.when(new.isNull() & old.isNotNull(), "null_no_partner")
     drift = F.when(~old_dv.eqNullSafe(new_dv) & (F.abs(F.coalesce(old_dv - new_dv, F.lit(1.0))) > tolerance), "dv_drift")
