@@ -23,17 +23,24 @@ def filled_basin(df: DataFrame, raw: DataFrame, order: str) -> DataFrame:
     return df.join(first, "sid", "left").withColumn("basin", F.when(blank, F.coalesce("_first", "basin")).otherwise(F.col("basin"))).drop("_first")
 
 
-def nearest_time(left: DataFrame, right: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
+def nearest_time(left: DataFrame, right: DataFrame, keys: list[str], ts: str, value: str, span: int = 30 * 86_400) -> DataFrame:
     """For each row of ``left`` the ``value`` of the row of ``right`` nearest in time with equal keys; the earlier on ties.
 
-    One union and one pass per direction, no range join.
+    One union, no range join. A key's rows are worked in stretches of ``span`` seconds; what lies nearest outside a stretch is carried
+    over from a table of one row per key and stretch, so a hot key is many tasks.
     """
     s = epoch_s(F.col(ts)).alias("_s")
     a = left.select("*", s, F.lit(None).cast("struct<s:bigint,v:double>").alias("_r"), F.lit(1).alias("_own"))
     b = right.select(*keys, s, F.struct(epoch_s(F.col(ts)).alias("s"), F.col(value).cast("double").alias("v")).alias("_r"), F.lit(0).alias("_own"))
-    w = Window.partitionBy(*keys).orderBy("_s", "_own")
-    v = Window.partitionBy(*keys).orderBy(F.col("_s").desc(), "_own")
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_p", F.last("_r", True).over(w)).withColumn("_n", F.last("_r", True).over(v)).where("_own = 1")
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_s") / span))
+    at = [*keys, "_b"]
+    stretches = both.groupBy(*at).agg(F.max("_r").alias("_hi"), F.min("_r").alias("_lo"))
+    order = Window.partitionBy(*keys).orderBy("_b")
+    before, after = F.last("_hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.first("_lo", True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    stretches = stretches.select(*at, before.alias("_before"), after.alias("_after"))
+    w, v = Window.partitionBy(*at).orderBy("_s", "_own"), Window.partitionBy(*at).orderBy(F.col("_s").desc(), "_own")
+    both = both.withColumn("_p", F.last("_r", True).over(w)).withColumn("_n", F.last("_r", True).over(v)).where("_own = 1").join(stretches, at, "left")
+    both = both.withColumn("_p", F.coalesce("_p", "_before")).withColumn("_n", F.coalesce("_n", "_after"))
     take = F.when(F.col("_n").isNull() | (F.col("_s") - F.col("_p.s") <= F.col("_n.s") - F.col("_s")), F.col("_p")).otherwise(F.col("_n"))
     return both.withColumn("_t", take).select(*left.columns, F.col("_t.s").alias("found_s"), F.col("_t.v").alias("found"))
 

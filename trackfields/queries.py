@@ -228,7 +228,7 @@ def j3_basin_fill(spark, sf_dir):
 def j4_nearest_time(spark, sf_dir):
     f = fixes(spark, sf_dir)
     right = f.where("basin = 'view'").groupBy("sid", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts")).agg(F.max("wind_kt").alias("wind_kt"))
-    return joins.nearest_time(f, right, ["sid"], "ts", "wind_kt").where("found_s is not null").select("src_seq", "found_s", "found")
+    return joins.nearest_time(f, right, ["sid"], "ts", "wind_kt", 5 * 86_400).where("found_s is not null").select("src_seq", "found_s", "found")
 
 
 @query("j6_window_join", f"""with {TRACK}, e as (select sid || '_' || h as event_id, h % 24 as time, (sid::bigint * 7 + h) % 60 as ci, (sid::bigint * 13 + h) % 80 as cj from track),
