@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import saved
 
 SAMPLE, MOST_LISTS, PER_LIST = 20_000, 4_096, 100
-TWICE, RECALL, PROOF = 0.3, 0.95, 400
+TWICE, RECALL, PROOF = 0.3, 0.97, 400
 LINKS, BUNDLE = 16, 8
 #: How much farther (squared) than the limit the search over the graph still goes on.
 SLACK = 1.1

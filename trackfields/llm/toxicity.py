@@ -34,7 +34,7 @@ from .common import small_batches, words_count
 from .fingerprints import _INVERSE, ODD, _mix, _powers
 
 EXAMPLES, SAMPLE_WORDS = 4096, 1 << 21
-BLOCK, FIRST, NEIGHBOURS = 64, 4, 16
+BLOCK, FIRST, NEIGHBOURS = 256, 2, 16
 #: Examples that the driver scores at once, for the calibration.
 STRETCH = 32
 #: Characters handled together.
@@ -107,10 +107,9 @@ def _texts(s: pd.Series) -> list[str]:
 
 
 def _ranges(begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all ranges one after the other, and for each the range it comes from."""
+    """The numbers of all ranges one after the other, and the length of each range."""
     n = stop - begin
-    of = np.repeat(np.arange(len(n)), n)
-    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begin[of], of
+    return np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n), n
 
 
 def unit(of: np.ndarray, term: np.ndarray, n: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
@@ -138,18 +137,19 @@ def nearest(m: Model, of: np.ndarray, term: np.ndarray, value: np.ndarray, texts
     ``skip``: for each text an example that doesn't count.
     """
     blocks = -(-len(m.ids) // BLOCK)
-    entry, at = _ranges(m.cuts[term], m.cuts[term + 1])
-    where = of[at] * blocks + m.block[entry]
-    bound = np.bincount(where, m.most[entry] * value[at], texts * blocks).reshape(texts, blocks)
+    entry, n = _ranges(m.cuts[term], m.cuts[term + 1])
+    where, weight = np.repeat(of * blocks, n) + m.block[entry], np.repeat(value, n)
+    bound = np.bincount(where, m.most[entry] * weight, texts * blocks).reshape(texts, blocks)
 
     def exact(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         flat = chosen.ravel()
         slot = np.cumsum(flat) - 1
         here = flat[where]
-        e, a = entry[here], at[here]
-        post, back = _ranges(m.posts[e], m.posts[e + 1])
-        spot = (slot[where[here]] * BLOCK)[back] + m.example[post] % BLOCK
-        every = np.bincount(spot, m.value[post] * value[a][back], (slot[-1] + 1) * BLOCK if len(slot) else 0)
+        e = entry[here]
+        post, n = _ranges(m.posts[e], m.posts[e + 1])
+        # An example's place in its block, in the slot of the text and the block.
+        spot = np.repeat(slot[where[here]] * BLOCK - m.block[e] * BLOCK, n) + m.example[post]
+        every = np.bincount(spot, m.value[post] * np.repeat(weight[here], n), (slot[-1] + 1) * BLOCK if len(slot) else 0)
         good = np.flatnonzero(every > 1e-9)
         which = np.flatnonzero(flat)[good // BLOCK]
         t, x, cos = which // blocks, which % blocks * BLOCK + good % BLOCK, every[good]
@@ -172,7 +172,8 @@ def nearest(m: Model, of: np.ndarray, term: np.ndarray, value: np.ndarray, texts
     full = np.bincount(t, minlength=texts) >= NEIGHBOURS
     kth[full] = cos[last[full]]
     rest = exact((bound > 0) & (bound >= kth[:, None] - 1e-6) & ~some)
-    return best(*(np.concatenate(v) for v in zip((t, x, cos), rest)))
+    high = rest[2] >= kth[rest[0]]
+    return best(*(np.concatenate([u, v[high]]) for u, v in zip((t, x, cos), rest)))
 
 
 def evidence(m: Model, t: np.ndarray, x: np.ndarray, cos: np.ndarray, texts: int) -> np.ndarray:
