@@ -33,8 +33,8 @@ from .common import saved
 SAMPLE, MOST_LISTS, PER_LIST = 20_000, 4_096, 100
 TWICE, RECALL, PROOF = 0.3, 0.97, 400
 LINKS, BUNDLE = 16, 8
-#: How much farther (squared) than the limit the search over the graph still goes on.
-SLACK = 1.1
+#: How much farther (squared) than the limit the search over the graph still goes on, and how many centroids it opens at least.
+SLACK, BEAM = 1.1, 64
 TILE_ROWS, TILE_QUERIES = 8_000, 1_000
 #: How fast the price of a list follows its size.
 STEP = 0.03
@@ -125,7 +125,7 @@ def calibrated(index: Index, x: np.ndarray, k: int = 10) -> Index:
 
 
 def search_centroids(index: Index, q: np.ndarray) -> list[int]:
-    """The centroids within ``reach`` of a query, found best first over the graph; the search ends once nothing nearer than its limit is open."""
+    """The centroids within ``reach`` of a query, found best first over the graph; the search ends once nothing near its limit is open."""
 
     def reach(ids: np.ndarray) -> list[tuple[float, int]]:
         diff = index.centroids[ids] - q
@@ -136,11 +136,12 @@ def search_centroids(index: Index, q: np.ndarray) -> list[int]:
     open_ = reach(index.entries)
     heapq.heapify(open_)
     found = list(open_)
-    nearest = open_[0][0]
+    nearest, opened = open_[0][0], 0
     while open_:
         d, at = heapq.heappop(open_)
+        opened += 1
         limit = (index.reach * max(np.sqrt(nearest), index.least)) ** 2
-        if d > max(limit, nearest) * SLACK:
+        if d > max(limit, nearest) * SLACK and opened > BEAM:
             break
         ids = index.graph[at]
         ids = ids[~seen[ids]]
