@@ -359,6 +359,47 @@ def test_ann_goes_on_to_further_lists(spark, monkeypatch):
     assert sorted(r.rank for r in got if r.query_id == 300) == list(range(1, 11))
 
 
+def recall_of(got, x, ids, queries):
+    """Recall at 10 against brute force; every query has as many neighbours as there are candidates, ten at most, each once."""
+    hits = total = 0
+    for q in queries:
+        mine = sorted((r.rank, r.vec_id) for r in got if r.query_id == q)
+        dist = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        best = [ids[i] for i in np.lexsort((ids, dist)) if ids[i] != q][:10]
+        assert [k for k, _ in mine] == list(range(1, len(best) + 1)) and len({v for _, v in mine}) == len(best)
+        hits, total = hits + len(set(best) & {v for _, v in mine}), total + len(best)
+    return hits / total
+
+
+@pytest.mark.parametrize(("rows", "lists"), [(8, 2), (40, 2), (500, 5)])
+def test_ann_on_few_lists_keeps_all_ranks(spark, monkeypatch, rows, lists):
+    monkeypatch.setattr(ann, "PER_LIST", rows // lists)  # all lists lie in one bundle, and vectors near a boundary are in two of them
+    x, ids = np.random.default_rng(rows).normal(size=(rows, 8)), np.arange(rows)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert recall_of(ann.search(d, d.where("vec_id % 4 = 0")).collect(), x, ids, range(0, rows, 4)) >= 0.9
+
+
+def test_ann_with_an_id_of_two_vectors(spark):
+    x = np.random.default_rng(8).normal(size=(60, 4))
+    ids = np.array([0, *[1] * 30, *range(2, 31)])  # id 1 has thirty vectors
+    d = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    mine = sorted((r.rank, r.vec_id, r.score) for r in ann.search(d, d.where("vec_id = 0")).collect())
+    least = {}
+    for i, v in zip(ids[1:], x[1:]):
+        least[int(i)] = min(least.get(int(i), np.inf), float(np.linalg.norm(v - x[0])))
+    assert [v for _, v, _ in mine] == sorted(least, key=lambda i: (least[i], i))[:10]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_ann_recall_on_the_given_tables(spark, sf):
+    at = f"/root/testdata/{sf}"
+    rows = spark.read.parquet(f"{at}/embeddings.parquet").collect()
+    x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+    recall = recall_of(llm_queries.op5_ann(spark, at).collect(), x, ids, [i for i in ids if i % 100 == 0])
+    print(f"op5 recall on {sf}: {recall:.3f}")
+    assert recall >= 0.9
+
+
 def scanned(x, lists, queries):
     """The share of rows that queries scan, their recall at 10, and the rows posted per row."""
     index = ann.fitted(x, lists)

@@ -217,6 +217,7 @@ def _nearest(rows: pd.DataFrame, asks: pd.DataFrame, k: int) -> pd.DataFrame:
     good = (col < len(names)) & (names[np.minimum(col, len(names) - 1)] == asks["list"].to_numpy())
     probed[who[good], col[good]] = True
     which = np.searchsorted(names, lists)
+    repeats = int(np.unique(ids, return_counts=True)[1].max())  # an id is here once per list that it is posted to, and per vector
     out = []
     for x, one, mine in zip(q, asked["id"], probed):
         at = np.flatnonzero(mine[which] & (ids != one))
@@ -224,11 +225,12 @@ def _nearest(rows: pd.DataFrame, asks: pd.DataFrame, k: int) -> pd.DataFrame:
             continue
         near = v[at]
         rough = (near * near).sum(1) - 2 * near @ x
-        if len(at) > k:
-            at = at[rough <= np.partition(rough, k - 1)[k - 1] + 1e-9 * (1 + np.abs(rough).max())]
+        if len(at) > k * repeats:
+            at = at[rough <= np.partition(rough, k * repeats - 1)[k * repeats - 1] + 1e-9 * (1 + np.abs(rough).max())]
         diff = v[at] - x
         dist = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-        best = np.lexsort((ids[at], dist))[:k]
+        best = np.lexsort((ids[at], dist))
+        best = best[np.sort(np.unique(ids[at][best], return_index=True)[1])[:k]]  # each id once, at its least distance
         out.append(pd.DataFrame({"query_id": one, "vec_id": ids[at][best], "score": dist[best]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
