@@ -57,7 +57,7 @@ def staged(spark, corpus, tmp_path_factory):
 def test_toxicity_keeps_clean_rows(staged):
     before, after, columns, kept = staged[0]
     left = sorted((r.doc_id is None, r.doc_id or 0) for r in after)
-    assert columns == kept and left == sorted((r.doc_id is None, r.doc_id or 0) for r in before if VILE not in (r.text or ""))
+    assert columns == kept and {r.toxicity for r in after} <= {"y", None} and left == sorted((r.doc_id is None, r.doc_id or 0) for r in before if VILE not in (r.text or ""))
 
 
 def test_line_dedup(staged):

@@ -264,8 +264,8 @@ def _of_rows(m: Model, of: np.ndarray, term: np.ndarray, value: np.ndarray, part
     return nearest(m, of[i:j] - part[0], term[i:j], value[i:j], len(part), rank[part])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``toxicity``: (score, neighbours: the ids of the nearest examples, cosines)."""
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``name``: (score, neighbours: the ids of the nearest examples, cosines)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -282,4 +282,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 cosines += [cos[i:j] for i, j in zip(cut, cut[1:])]
             yield pd.DataFrame({"score": np.concatenate(p) if p else np.zeros(0), "neighbours": near, "cosines": cosines})
 
-    return small_batches(docs).withColumn("toxicity", F.pandas_udf(run, "score double, neighbours array<bigint>, cosines array<double>")(F.col(text)))
+    return small_batches(docs).withColumn(name, F.pandas_udf(run, "score double, neighbours array<bigint>, cosines array<double>")(F.col(text)))
