@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackfields.llm import byte_bpe, line_dedup, mixing, ngram_join, toxicity
-from trackfields.llm.common import saved, table
+from trackfields.llm.common import free, saved, table
 from trackfields.llm.queries import BPE_RANKS
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("toxicity.score") < 0.5).select(*docs.columns)
+    (name,) = free(docs, "toxicity")
+    return toxicity.score(docs, model, name=name).where(F.col(f"{name}.score") < 0.5).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
