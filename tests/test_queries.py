@@ -3,11 +3,14 @@
 import datetime
 import decimal
 import os
+import sys
+import warnings
 
 import duckdb
 import pytest
 
 import __spark_entry__
+from trackfields import queries as own
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +44,15 @@ def test_against_sql(spark, duck, name):
 
 def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("broken", ["trackfields.llm.queries", "public_tokenizers", "corpus_pipeline"])
+def test_entry_survives_what_cannot_be_imported(monkeypatch, broken):
+    every = set(__spark_entry__.queries())
+    for name in [n for n in sys.modules if n.startswith("trackfields.llm") or n in ("corpus_pipeline", broken)]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, broken, None)  # importing it raises ImportError
+    monkeypatch.setattr(warnings, "warn", lambda *a, **k: None)
+    left = set(__spark_entry__.queries())
+    gone = {"pipeline"} if broken == "corpus_pipeline" else {n for n in every if n not in own.QUERIES}
+    assert left == every - gone and set(__spark_entry__.oracle_sql()) <= left
