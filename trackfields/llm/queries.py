@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, fingerprints, licenses, line_dedup, mixing, ngram_join, pii, secrets, toxicity
+from . import ann, byte_bpe, collocations, fingerprints, licenses, line_dedup, mixing, ngram_join, pii, secrets, spelling, topk, toxicity
 from .common import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -114,6 +114,43 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_paragraphs", "n_licenses", F.array_join("families", ",").alias("families"), F.round("best", 6).alias("best"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) as piece from documents where text is not null),
+ws as (select lang, row_number() over () as piece, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') as ws from p),
+o as (select lang, piece, unnest(ws) as w1, generate_subscripts(ws, 1) as i from ws),
+x as (select lang, w1, lead(w1) over p as w2, lead(w1, 2) over p as w3, lead(w1, 3) over p as w4 from o window p as (partition by piece order by i)),
+g as (select lang, 1 as k, w1 as phrase, count(*) as a from x group by 1, 3 union all select lang, 2, w1 || ' ' || w2, count(*) from x where w2 is not null group by 1, 3
+      union all select lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) from x where w3 is not null group by 1, 3 union all select lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) from x where w4 is not null group by 1, 3),
+t as (select lang, sum(a)::bigint as n from g where k = 1 group by 1),
+c as (select *, string_split(phrase, ' ') as w from g where k > 1 and a >= 30),
+e as (select *, array_to_string(w[1:j], ' ') as first, array_to_string(w[j + 1:], ' ') as rest from c, (select unnest([1, 2, 3]) as j) where j < k),
+s as (select e.lang, e.phrase, e.a, j, l.a as l, r.a as r, (2000000::hugeint * e.a // (l.a + r.a))::bigint as score from e join g l on l.lang = e.lang and l.phrase = e.first join g r on r.lang = e.lang and r.phrase = e.rest),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+i as (select lang, array_to_string(w[x:x + m - 1], ' ') as phrase, max(a) as longer from c, (select unnest([1, 2, 3]) as x) xs, (select unnest([2, 3]) as m) ms where m < k and x + m - 1 <= k group by 1, 2),
+f as (select b.* from b left join i using (lang, phrase) where i.longer is null or 100::hugeint * i.longer < 80::hugeint * b.a),
+q as (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, score from f qualify rank <= 2000)
+select lang, rank, phrase, a, l, r, n, score from q join t using (lang)"""
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+OP12_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as query_id, b.vec_id, list_dot_product(a.v, b.v)::bigint as score from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s qualify rank <= 20"""
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_line_dedup": op2_line_dedup,
@@ -125,6 +162,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_license_scan": op10_license_scan,
+    "op11_phrases": op11_phrases,
+    "op12_top_k": op12_top_k,
+    "op13_spelling_variants": op13_spelling_variants,
     "curriculum_mix": curriculum_mix,
 }
-ORACLES: dict[str, str] = {"op1_source_mixing": OP1_SQL, "curriculum_mix": CURRICULUM_SQL}
+ORACLES: dict[str, str] = {"op1_source_mixing": OP1_SQL, "op11_phrases": OP11_SQL, "op12_top_k": OP12_SQL, "curriculum_mix": CURRICULUM_SQL}
