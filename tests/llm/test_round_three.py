@@ -202,9 +202,14 @@ def test_spelling_variants(spark, misspelt, monkeypatch, tile):
     assert any(r[3] and r[3] != r[5] for r in want)
 
 
-def test_trie_reaches_all_words_one_edit_away():
+@pytest.mark.parametrize("bucket", [1, 4])
+def test_trie_reaches_all_words_one_edit_away(monkeypatch, bucket):
+    monkeypatch.setattr(spelling, "BUCKET", bucket)
     rng = random.Random(3)
-    some = sorted({"".join(rng.choice("abeß") for _ in range(rng.randint(3, 6))) for _ in range(400)})
-    root = spelling.trie(some, [1] * len(some))
-    for w, v in zip(some, spelling.vectors(some).tolist()):
-        assert {x for x, _ in spelling.leaves(root, tuple(v)) if spelling.one_edit(w, x)} == {x for x in some if edits(w, x)}
+    some = sorted({"".join(rng.choice("abeß") for _ in range(rng.randint(2, 8))) for _ in range(900)} | {"a" * k for k in range(1, 45)} | {"e" * 40 + "b", "e" * 40 + "ß"})
+    a = spelling.Words(some)
+    i, j = spelling.verified(a, *(lambda x: (x[0], a, x[1]))(spelling.Trie(a).leaves(a.counts)))
+    found = {(some[x], some[y]) for x, y in zip(i, j)}
+    assert {p for p in found} | {(y, x) for x, y in found} == {(x, y) for x in some for y in some if edits(x, y)}
+    once = [(x, y) for x, y in zip(i, j) if a.key[y] >= a.key[x]]
+    assert len(set(once)) == len(once)
