@@ -436,21 +436,45 @@ def t5_a19_summary(spark, sf_dir):
     return _r(stats.summary(_steps(spark, sf_dir), "km", "basin"), "mean", "median", "sd", "lo", "hi", "p10", "p90")
 
 
-@query("t6_spearman", f"""with {STEPS}, r as (select basin, rank() over (partition by basin order by km) + (count(*) over (partition by basin, km) - 1) / 2 as x, rank() over (partition by basin order by wind_kt) + (count(*) over (partition by basin, wind_kt) - 1) / 2 as y from (select basin, wind_kt, round(km, 5) as km from steps where wind_kt is not null))
-  select basin, count(*) as n, round(corr(x, y), 6) as rho from r group by 1""")
+def normal_tail_sql(z: str) -> str:
+    """P(Z > z) by Simpson's rule."""
+    return f"(0.5 - sign({z}) * least(abs({z}), 12) / 6000 * list_sum(list_transform(range(0, 2001), lambda i: (case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end) * exp(-pow(least(abs({z}), 12) * i / 2000, 2) / 2))) / sqrt(2 * pi()))"
+
+
+def student_sql(t: str, v: str) -> str:
+    """P(|T| > |t|) by Simpson's rule."""
+    return f"(1 - 2 * least(abs({t}), 60) / 24000 * exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2)) / sqrt({v} * pi()) * list_sum(list_transform(range(0, 8001), lambda i: (case when i in (0, 8000) then 1 when i % 2 = 1 then 4 else 2 end) * pow(1 + pow(least(abs({t}), 60) * i / 8000, 2) / {v}, -({v} + 1) / 2))))"
+
+
+@query("t6_spearman", f"""with {STEPS}, r as (select basin, rank() over (partition by basin order by km) + (count(*) over (partition by basin, km) - 1) / 2 as x, rank() over (partition by basin order by wind_kt) + (count(*) over (partition by basin, wind_kt) - 1) / 2 as y from (select basin, wind_kt, round(km, 5) as km from steps where wind_kt is not null)),
+  s as (select basin, count(*) as n, corr(x, y) as rho from r group by 1), t as (select *, rho * sqrt((n - 2) / (1 - rho * rho)) as t, (n - 2)::double as v from s) select basin, n, round(rho, 6) as rho, round({student_sql("t", "v")}, 7) as p from t""")
 def t6_spearman(spark, sf_dir):
-    return _r(stats.spearman(_r(_steps(spark, sf_dir), "km", digits=5), "km", "wind_kt", "basin"), "rho")
+    d = stats.spearman(_r(_steps(spark, sf_dir), "km", digits=5), "km", "wind_kt", "basin")
+    return _r(_r(d, "rho"), "p", digits=7)
 
 
-@query("t7_t8_mann_whitney", f"""with {LABELLED}, r as (select basin, label, rank() over (partition by basin order by wind_kt) + (count(*) over (partition by basin, wind_kt) - 1) / 2 as r from labelled where label is not null),
-  g as (select basin, sum(case when label = 1 then r end) as r, sum(label)::bigint as m, sum(1 - label)::bigint as n from r group by 1) select basin, m, n, round(r - m * (m + 1) / 2, 3) as u, round(2 * (r - m * (m + 1) / 2) / (m * n) - 1, 9) as delta from g""")
+@query("t7_t8_mann_whitney", f"""with {LABELLED}, w as (select basin, label, wind_kt from labelled where label is not null), r as (select basin, label, rank() over (partition by basin order by wind_kt) + (count(*) over (partition by basin, wind_kt) - 1) / 2 as r from w),
+  e as (select basin, sum(pow(c, 3) - c) as tied from (select basin, wind_kt, count(*)::double as c from w group by 1, 2) group by 1),
+  g as (select basin, sum(case when label = 1 then r end) as r, sum(label)::bigint as m, sum(1 - label)::bigint as n from r group by 1),
+  z as (select basin, m, n, r - m * (m + 1) / 2 as u, (r - m * (m + 1) / 2 - m * n / 2 - 0.5) / sqrt(m * n / 12 * (m + n + 1 - tied / ((m + n)::double * (m + n - 1)))) as z from g join e using (basin))
+  select basin, m, n, round(u, 3) as u, round(2 * u / (m * n) - 1, 9) as delta, round(z, 7) as z, round({normal_tail_sql("z")}, 9) as p_greater from z""")
 def t7_t8_mann_whitney(spark, sf_dir):
-    return _r(_r(stats.mann_whitney(labelled(spark, sf_dir), "wind_kt", "label", "basin"), "u", digits=3), "delta", digits=9)
+    d = stats.mann_whitney(labelled(spark, sf_dir), "wind_kt", "label", "basin")
+    return _r(_r(_r(d, "u", digits=3), "delta", "p_greater", digits=9), "z", digits=7)
 
 
-@query("t9_paired_t", f"with {LABELLED} select basin, count(dv24) as n, round(avg(dv24), 6) as mean, round(avg(dv24) / (stddev_samp(dv24) / sqrt(count(dv24))), 6) as t from labelled where dv24 is not null group by 1")
+@query("t9_paired_t", f"""with {LABELLED}, g as (select basin, count(dv24) as n, count(*) - count(dv24) as dropped, avg(dv24) as mean, avg(dv24) / (stddev_samp(dv24) / sqrt(count(dv24))) as t, (count(dv24) - 1)::double as v from labelled group by 1)
+  select basin, n, dropped, round(mean, 6) as mean, round(t, 6) as t, round({student_sql("t", "v")}, 7) as p from g""")
 def t9_paired_t(spark, sf_dir):
-    return _r(stats.paired_t(labelled(spark, sf_dir), "dv24", "basin"), "mean", "t")
+    return _r(_r(stats.paired_t(labelled(spark, sf_dir), "dv24", "basin"), "mean", "t"), "p", digits=7)
+
+
+@query("t9_drop_report", f"""with {LABELLED}, d as (select basin, dv24, dv12, dv24 - dv12 as d from labelled), b as (select * from d where d is not null),
+  g as (select basin, count(*) as n, avg(d) as difference, avg(d) / (stddev_samp(d) / sqrt(count(*))) as t, (count(*) - 1)::double as v, avg(dv24) as mean_dv24, avg(dv12) as mean_dv12, avg((dv24 > dv12)::int) as stronger from b group by 1),
+  p as (select *, {student_sql("t", "v")} as p from g) select basin, n, (select count(*) from d x where x.basin = p.basin) - n as dropped, round(difference, 6) as difference, round(t, 6) as t, round(p, 7) as p, round(mean_dv24, 6) as mean_dv24, round(mean_dv12, 6) as mean_dv12, round(stronger, 9) as stronger, p < 0.05 and difference > 0 as significant from p""")
+def t9_drop_report(spark, sf_dir):
+    d = stats.drop_report(labelled(spark, sf_dir), "dv24", "dv12", "basin")
+    return _r(_r(_r(d, "difference", "t", "mean_dv24", "mean_dv12"), "p", digits=7), "stronger", digits=9)
 
 
 @query("t20_share_within", f"with {STEPS} select round(avg((km <= 100)::int), 9) as within_100, round(avg((km <= 222.4)::int), 9) as within_222_4 from steps")

@@ -201,7 +201,7 @@ RANKED = "rank() over (partition by event_id, t_idx order by {c}) + (count(*) ov
 
 @query("g35_map_spearman", f"with {PATCH}, r as (select event_id, t_idx, {RANKED.format(c='u')} as x, {RANKED.format(c='v')} as y from patch where u is not null and v is not null) select event_id, t_idx::int as t_idx, count(*) as n, round(corr(x, y), 6) as rho from r group by 1, 2")
 def g35_map_spearman(spark, sf_dir):
-    return _r(stats.spearman(patches(spark, sf_dir), "u", "v", *grid.STEP), "rho")
+    return _r(stats.spearman(patches(spark, sf_dir), "u", "v", *grid.STEP).drop("p"), "rho")
 
 
 @query("g37_scaled_masks", f"with {PATCH}, m as (select *, row_number() over (partition by event_id, t_idx order by t desc, i, j) <= 6 as top from patch where t is not null) select event_id, t_idx::int as t_idx, i::int as i, j::int as j, round(case when top then u * 0.75 else u end, 6) as u from m")
