@@ -45,9 +45,9 @@ def _diffs(spark, sf_dir):
     return d.where("d is not null").withColumn("g", F.col("sid").cast("long") % 2)
 
 
-@query("t10_sign_flip", f"with {DIFFS}, m as (select r, avg(case when {U.format(k="r || ':' || sid")} < 0.5 then d else -d end) as m from diffs, range(1, 101) q(r) group by 1), o as (select avg(d) as observed from diffs) select round((sum((abs(m) >= abs(observed) - 1e-12)::int) + 1) / 101, 9) as p, round(any_value(observed), 6) as observed from m, o")
+@query("t10_sign_flip", f"with {DIFFS}, m as (select r, avg(case when {U.format(k="r || ':' || sid")} < 0.5 then d else -d end) as m from diffs, range(1, 101) q(r) group by 1), o as (select avg(d) as observed from diffs) select round((sum((abs(m) >= abs(observed) - 1e-12)::int) + 1) / 101, 9) as p, round((sum((m <= observed + 1e-12)::int) + 1) / 101, 9) as p_less, round(any_value(observed), 6) as observed from m, o")
 def t10_sign_flip(spark, sf_dir):
-    return _r(_r(resampling.sign_flip(_diffs(spark, sf_dir), "d", "sid", 100), "p", digits=9), "observed")
+    return _r(_r(resampling.sign_flip(_diffs(spark, sf_dir), "d", "sid", 100), "p", "p_less", digits=9), "observed")
 
 
 @query("t11_label_permutation", f"""with {DIFFS}, k as (select r, sid, x, row_number() over (partition by r order by md5(r || ':' || sid), sid) as k from diffs, range(1, 41) q(r)), n as (select sum(g) as ones from diffs), m as (select r, median(case when k <= ones then x end) - median(case when k > ones then x end) as m from k, n group by 1),
@@ -80,32 +80,50 @@ def t13_random_points(spark, sf_dir):
     return _r(_r(resampling.random_points(e, "id", 5.0, 40), "p", digits=9), "observed", digits=5)
 
 
-def _boot(seeds: str, b: str) -> str:
-    return f"""with {SCORES}, s as (select seed, sid, y, score as a, {b} as b from scores, (select unnest([{seeds}]) as seed)), w as (select r, sid, {POISSON.format(k="r || ':' || sid")} as w from (select distinct sid from scores), range(1, 21) q(r)),
+def _mixed(x: str, *, steps: tuple = ((16, 2246822507), (13, 3266489909))) -> str:
+    """``resampling._mix`` of column x (ubigint) as the last of a chain of subqueries' columns."""
+    for shift, by in steps:
+        x = f"((xor({x}, {x} >> {shift}) * {by}::ubigint) & 4294967295::ubigint)"
+    return f"xor({x}, {x} >> 16)"
+
+
+def _boot(seeds: str, b: str, n: int) -> str:
+    return f"""with {SCORES}, s as (select seed, sid, y, score as a, {b} as b from scores, (select unnest([{seeds}]) as seed)), k as (select distinct sid, ('0x' || substr(md5(sid), 1, 8))::ubigint as h1, ('0x' || substr(md5(sid), 9, 8))::ubigint as h2 from scores),
+  q as (select r, sid, h2, ((h1 + r::ubigint * 2654435769::ubigint) & 4294967295::ubigint) as x from k, range(1, {n + 1}) q(r)), q2 as (select r, sid, xor({_mixed("x")}, h2) as x from q), q3 as (select r, sid, {_mixed("x")}::double / 4294967296 as u from q2),
+  w as (select r, sid, {" + ".join(f"(u >= {p!r})::int" for p in resampling.POISSON)} as w from q3),
   l as (select r, seed, arm, t, sum(w * y) as pos, sum(w * (1 - y)) as neg from (select r, seed, w, y, 'a' as arm, a as t from s join w using (sid) union all select r, seed, w, y, 'b', b from s join w using (sid)) where w > 0 group by 1, 2, 3, 4),
-  c as (select *, sum(neg) over (partition by r, seed, arm order by t desc) as fp, sum(pos) over (partition by r, seed, arm) as p, sum(neg) over (partition by r, seed, arm) as n from l), u as (select r, seed, arm, sum(pos * (n - fp + neg / 2)) / nullif(any_value(p * n), 0) as auc from c group by 1, 2, 3),
-  g as (select r, seed, max(case when arm = 'a' then auc end) - max(case when arm = 'b' then auc end) as d from u group by 1, 2), m as (select r, case when count(d) = count(*) then avg(d) end as d from g group by 1),
-  o as (select avg(d) as mean, quantile_cont(d, 0.025) as lo, quantile_cont(d, 0.975) as hi, count(d) as used, (20 - count(d))::bigint as skipped from m) select round(mean, 9) as mean, round(lo, 9) as lo, round(hi, 9) as hi, used, skipped, case when lo > 0 then 'first' when hi < 0 then 'second' else 'none' end as verdict from o"""
+  c as (select *, sum(pos) over o as tp, sum(neg) over o as fp, sum(pos) over (partition by r, seed, arm) as p, sum(neg) over (partition by r, seed, arm) as n from l window o as (partition by r, seed, arm order by t desc)),
+  u as (select r, seed, arm, sum(pos * (n - fp + neg / 2)) / nullif(any_value(p * n), 0) as roc_auc, case when any_value(p * n) > 0 then sum(pos * tp / (tp + fp)) / any_value(p) end as pr_auc from c group by 1, 2, 3),
+  e as (unpivot u on roc_auc, pr_auc into name endpoint value v), g as (select endpoint, r, seed, max(case when arm = 'a' then v end) - max(case when arm = 'b' then v end) as d from e group by 1, 2, 3), m as (select endpoint, r, case when count(d) = count(*) then avg(d) end as d from g group by 1, 2),
+  o as (select endpoint, avg(d) as mean, quantile_cont(d, 0.025) as lo, quantile_cont(d, 0.975) as hi, count(d) as used, ({n} - count(d))::bigint as skipped from m group by 1) select endpoint, round(mean, 9) as mean, round(lo, 9) as lo, round(hi, 9) as hi, used, skipped, case when lo > 0 then 'first' when hi < 0 then 'second' else 'none' end as verdict from o"""
+
 
+def _two_arms(spark, sf_dir):
+    return scores(spark, sf_dir).select("sid", "y", F.col("score").alias("a"), F.round((F.col("score") * 7 + F.col("event_id") % 10) / 17, 9).alias("b"))
 
-@query("t14_cluster_bootstrap", _boot("1", "round((score * 7 + event_id % 10) / 17, 9)"))
+
+@query("t14_cluster_bootstrap", _boot("1", "round((score * 7 + event_id % 10) / 17, 9)", 100))
 def t14_cluster_bootstrap(spark, sf_dir):
-    s = scores(spark, sf_dir).select("sid", "y", F.col("score").alias("a"), F.round((F.col("score") * 7 + F.col("event_id") % 10) / 17, 9).alias("b"))
-    return _r(resampling.cluster_bootstrap(s, "sid", "a", "b", 20), "mean", "lo", "hi", digits=9)
+    return _r(resampling.cluster_bootstrap(_two_arms(spark, sf_dir), "sid", "a", "b", 100), "mean", "lo", "hi", digits=9)
+
 
+@query("t14_ten_thousand")
+def t14_ten_thousand(spark, sf_dir):
+    return _r(resampling.cluster_bootstrap(_two_arms(spark, sf_dir), "sid", "a", "b", 10_000), "mean", "lo", "hi", digits=9)
 
-@query("t15_across_seeds", _boot("1, 2, 3", "round((score * 7 + event_id * seed % 10) / 17, 9)"))
+
+@query("t15_across_seeds", _boot("1, 2, 3", "round((score * 7 + event_id * seed % 10) / 17, 9)", 40))
 def t15_across_seeds(spark, sf_dir):
     s = scores(spark, sf_dir).withColumn("seed", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
     s = s.select("seed", "sid", "y", F.col("score").alias("a"), F.round((F.col("score") * 7 + F.col("event_id") * F.col("seed") % 10) / 17, 9).alias("b"))
-    return _r(resampling.cluster_bootstrap(s, "sid", "a", "b", 20, "seed"), "mean", "lo", "hi", digits=9)
+    return _r(resampling.cluster_bootstrap(s, "sid", "a", "b", 40, "seed"), "mean", "lo", "hi", digits=9)
 
 
-PAIRS = f"{TRACK}, f as (select *, h - min(h) over (partition by sid) as lag from track), pairs as (select a.sid, a.lag, a.wind_kt as x, b.wind_kt as z, a.wind_kt - b.wind_kt as d from f a join f b on b.sid::bigint = a.sid::bigint + 1 and a.lag = b.lag where a.sid::bigint % 2 = 0 and a.lag <= 240)"
+PAIRS = f"{TRACK}, f as (select *, h - min(h) over (partition by sid) as lag from track), pairs as (select a.sid, a.lag, a.wind_kt as x, b.wind_kt as z, a.wind_kt - b.wind_kt as d from f a join f b on b.sid::bigint = a.sid::bigint + 1 and a.lag = b.lag where a.sid::bigint % 2 = 0)"
 
 
 def _pairs(spark, sf_dir):
-    t = track(spark, sf_dir).withColumn("lag", F.col("h") - F.min("h").over(Window.partitionBy("sid"))).where("lag <= 240")
+    t = track(spark, sf_dir).withColumn("lag", F.col("h") - F.min("h").over(Window.partitionBy("sid")))
     u = F.col("sid").cast("long")
     a, b = t.where(u % 2 == 0).select("sid", "lag", F.col("wind_kt").alias("x")), t.where(u % 2 == 1).select((u - 1).cast("string").alias("sid"), "lag", F.col("wind_kt").alias("z"))
     return a.join(b, ["sid", "lag"]).withColumn("d", F.col("x") - F.col("z"))
@@ -125,7 +143,18 @@ def t17_strata(spark, sf_dir):
     return _r(stats.strata(_pairs(spark, sf_dir).where("d is not null"), "x", "d", 20), "mean")
 
 
+def _pair_differences(spark, sf_dir):
+    """Standardised differences of matched pairs: wind, its change since the fix before, and latitude."""
+    w = Window.partitionBy("sid").orderBy("h")
+    t = track(spark, sf_dir).withColumns({"lag": F.col("h") - F.min("h").over(Window.partitionBy("sid")), "trend": F.col("wind_kt") - F.lag("wind_kt").over(w)})
+    u, names = F.col("sid").cast("long"), ("wind_kt", "trend", "lat")
+    a, b = t.where(u % 2 == 0).select("sid", "lag", *names), t.where(u % 2 == 1).select((u - 1).cast("string").alias("sid"), "lag", *[F.col(c).alias(f"_{c}") for c in names])
+    d = a.join(b, ["sid", "lag"]).select(F.concat_ws("_", "sid", "lag").alias("id"), *[(F.col(c) - F.col(f"_{c}")).alias(c) for c in names]).na.drop()
+    scale = d.agg(*[F.stddev_pop(c).alias(f"_{c}") for c in names])
+    return d.crossJoin(F.broadcast(scale)).select("id", *[(F.col(c) / F.nullif(F.col(f"_{c}"), F.lit(0.0))).alias(c) for c in names])  # one row
+
+
 @query("t18_conditional_logit")
 def t18_conditional_logit(spark, sf_dir):
-    p = _pairs(spark, sf_dir).where("d is not null").select(F.concat_ws("_", "sid", "lag").alias("id"), (F.col("d") / 100).alias("d"))
-    return _r(resampling.conditional_logit_p(p, "d", "id", 20, 6), "p", "observed")
+    d = resampling.pair_coefficients(_pair_differences(spark, sf_dir), ("wind_kt", "trend", "lat"), "id", 500)
+    return _r(_r(d, "beta"), "p", digits=9)

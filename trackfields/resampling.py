@@ -1,14 +1,21 @@
 """Permutation tests and bootstraps as replicates spread over tasks.
 
 Draws come from hashes of the replicate and the row's key, so any engine repeats them and no task holds a generator's state.
+Where rows times replicates would be too many, rows stay where they are and a task works all replicates over its rows as arrays;
+only sums per task and replicate are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import metrics, stats
+from . import sources, stats
+from .clean import finite
 
 # The distribution function of a Poisson variable of mean 1, at 0 to 7.
 POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
@@ -30,16 +37,52 @@ def poisson_weight(*keys: Column) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda p: p <= u))
 
 
+#: Rows of a chunk of the bootstrap, and replicates that a task works at once.
+CHUNK, AT_ONCE = 8_192, 250
+
+
+def halves(key: Column) -> list[Column]:
+    """Two 32-bit numbers of a key, from which ``draws`` go on."""
+    h = F.md5(F.coalesce(key.cast("string"), F.lit("")))
+    return [F.conv(F.substring(h, at, 8), 16, 10).cast("long").alias(name) for at, name in ((1, "h1"), (9, "h2"))]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A permutation of 32-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(2246822507)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(3266489909)
+    return x ^ (x >> np.uint32(16))
+
+
+def draws(h1: np.ndarray, h2: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """A 32-bit number for each key (rows) and replicate (columns)."""
+    first = h1.astype(np.uint32)[:, None] + r.astype(np.uint32)[None] * np.uint32(2654435769)
+    return _mix(_mix(first) ^ h2.astype(np.uint32)[:, None])
+
+
+LIMITS = np.ceil(np.array(POISSON) * 2**32).astype(np.uint64)
+
+
+def weights(h1: np.ndarray, h2: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """How often each cluster is drawn in each replicate: Poisson with mean 1."""
+    x = draws(h1, h2, r)
+    out = np.zeros(x.shape)
+    for limit in LIMITS[LIMITS < 2**32].astype(np.uint32):
+        out += x >= limit
+    return out
+
+
 def _tail(d: DataFrame, extreme: Column, n: int) -> DataFrame:
     return d.agg(((F.count(F.when(extreme, 1)) + 1) / (n + 1)).alias("p"))
 
 
 def sign_flip(df: DataFrame, d: str, key: str, n: int) -> DataFrame:
-    """Two-sided p of a mean difference of 0, one added to both counts."""
+    """p of a mean difference of 0, two-sided and of one as low (p_less), one added to both counts."""
     flipped = F.when(uniform(F.col("r"), F.col(key)) < 0.5, F.col(d)).otherwise(-F.col(d))
     seen = df.agg(F.avg(d).alias("observed"))
     means = replicated(df.select(key, d), n).groupBy("r").agg(F.avg(flipped).alias("m")).crossJoin(F.broadcast(seen))  # one row
-    return _tail(means, F.abs("m") >= F.abs("observed") - 1e-12, n).crossJoin(seen)
+    share = lambda c: ((F.count(F.when(c, 1)) + 1) / (n + 1))
+    return means.agg(share(F.abs("m") >= F.abs("observed") - 1e-12).alias("p"), share(F.col("m") <= F.col("observed") + 1e-12).alias("p_less"), F.max("observed").alias("observed"))
 
 
 def label_permutation(df: DataFrame, x: str, label: str, key: str, n: int) -> DataFrame:
@@ -75,23 +118,158 @@ def random_points(df: DataFrame, key: str, half: float, n: int) -> DataFrame:
     return _tail(medians, F.col("m") <= F.col("observed") + 1e-9, n).crossJoin(seen)
 
 
+def _chunks(df: DataFrame, cluster: str, scores: tuple[str, ...], *by: str) -> DataFrame:
+    """A row per chunk (key, arm, chunk, hot, o, h1, h2, pos, neg) of the scores in order, from the highest, equal scores together.
+
+    A chunk has about ``CHUNK`` clusters' counts; a score of more clusters has chunks of its own (``hot``), whose order does not matter.
+    """
+    arms = F.explode(F.array(*[F.struct(F.lit(x).alias("arm"), finite(F.col(x).cast("double")).alias("t")) for x in scores]))
+    d = df.where(F.col("y").isNotNull()).select(F.to_json(F.struct(*by), {"ignoreNullFields": "false"}).alias("key") if by else F.lit("").alias("key"), *halves(F.col(cluster)), "y", arms.alias("x"))
+    d = d.select("key", "h1", "h2", "y", "x.arm", "x.t").where("t is not null").groupBy("key", "arm", "t", "h1", "h2").agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"))
+    sizes = stats.cumulative(d.groupBy("key", "arm", "t").agg(F.count("*").alias("m")), "t", ["m"], "key", "arm", descending=True)
+    hot = F.col("m") > CHUNK
+    sizes = sizes.select("key", "arm", "t", hot.alias("hot"), (2 * F.floor(F.col("m_before") / CHUNK) + hot.cast("long")).alias("chunk"), F.ceil(F.col("m") / CHUNK).cast("int").alias("pieces"))
+    d = d.join(sizes, ["key", "arm", "t"]).withColumn("piece", F.when(F.col("hot"), F.pmod(F.xxhash64("h1", "h2"), F.col("pieces"))).otherwise(0))
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("t")).alias("o"), "h1", "h2", "pos", "neg")))  # about CHUNK clusters
+    d = d.groupBy("key", "arm", "chunk", "hot", "piece").agg(rows.alias("rows"))
+    return d.select("key", "arm", "chunk", "hot", *[F.col(f"rows.{c}").alias(c) for c in ("o", "h1", "h2", "pos", "neg")])
+
+
+def _blocks(n: int) -> list[np.ndarray]:
+    return [np.arange(i, min(i + AT_ONCE, n + 1)) for i in range(1, n + 1, AT_ONCE)]
+
+
+def _drawn(row, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The clusters' weights in replicates, and the cluster of each of the chunk's rows."""
+    h1, h2 = np.asarray(row.h1, np.int64), np.asarray(row.h2, np.int64)
+    _, first, of = np.unique(h1 << 32 | h2, return_index=True, return_inverse=True)
+    return weights(h1[first], h2[first], r), of.ravel()
+
+
+def _totals(n: int):
+    """(key, arm, chunk, r, pos, neg): each chunk's drawn counts in each replicate."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for row in rows.itertuples():
+                for r in _blocks(n):
+                    w, of = _drawn(row, r)
+                    pos, neg = (np.bincount(of, np.asarray(x, float), len(w)) @ w for x in (row.pos, row.neg))
+                    yield pd.DataFrame({"key": row.key, "arm": row.arm, "chunk": row.chunk, "hot": row.hot, "r": r, "pos": pos, "neg": neg})
+
+    return run
+
+
+def _parts(n: int):
+    """(key, arm, r, pos, neg, wins, found): each chunk's part of the areas, given the counts above it in each replicate."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for row in rows.itertuples():
+                o, above, under = np.asarray(row.o, float), np.asarray(row.tp, float), np.asarray(row.fp, float)
+                begin = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
+                for r in _blocks(n):
+                    w, of = _drawn(row, r)
+                    w = w[of]
+                    pos, neg = (np.add.reduceat(w * np.asarray(x, float)[:, None], begin, 0) for x in (row.pos, row.neg))
+                    tp, fp = np.cumsum(pos, 0) + above[r - 1], np.cumsum(neg, 0) + under[r - 1]
+                    yield pd.DataFrame({"key": row.key, "arm": row.arm, "r": r, "pos": pos.sum(0), "neg": neg.sum(0), "wins": (pos * (neg / 2 - fp)).sum(0), "found": (pos * tp / np.maximum(tp + fp, 1)).sum(0)})
+
+    return run
+
+
+def replicate_areas(df: DataFrame, cluster: str, scores: tuple[str, ...], n: int, *by: str) -> DataFrame:
+    """(key, arm, r, roc_auc, pr_auc) of every replicate; both null where it has one class only.
+
+    Two passes over the chunks: the first sums each chunk's counts per replicate, the second adds up areas with what lies above.
+    A row is never multiplied by replicates in a shuffle: tasks give one row per chunk and replicate.
+    """
+    chunks = sources.saved(_chunks(df, cluster, scores, *by), "bootstrap-chunks")
+    t = chunks.mapInPandas(_totals(n), "key string, arm string, chunk long, hot boolean, r int, pos double, neg double").groupBy("key", "arm", "chunk", "hot", "r").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    t = sources.saved(t, "bootstrap-totals")
+    before = Window.partitionBy("key", "arm", "r").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row per chunk
+    t = t.withColumns({"tp": F.coalesce(F.sum("pos").over(before), F.lit(0.0)), "fp": F.coalesce(F.sum("neg").over(before), F.lit(0.0))})
+    above = t.where("not hot").groupBy("key", "arm", "chunk").agg(F.array_sort(F.collect_list(F.struct("r", "tp", "fp"))).alias("x"))  # n at most
+    d = chunks.where("not hot").join(above.select("key", "arm", "chunk", F.col("x.tp").alias("tp"), F.col("x.fp").alias("fp")), ["key", "arm", "chunk"])
+    d = d.mapInPandas(_parts(n), "key string, arm string, r int, pos double, neg double, wins double, found double")
+    tp, fp = F.col("tp") + F.col("pos"), F.col("fp") + F.col("neg")
+    same = t.where("hot").select("key", "arm", "r", "pos", "neg", (F.col("pos") * (F.col("neg") / 2 - fp)).alias("wins"), (F.col("pos") * tp / F.greatest(tp + fp, F.lit(1.0))).alias("found"))
+    d = d.unionByName(same).groupBy("key", "arm", "r").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "wins", "found")])
+    both = (F.col("pos") > 0) & (F.col("neg") > 0)
+    return d.select("key", "arm", "r", F.when(both, F.col("wins") / (F.col("pos") * F.col("neg")) + 1).alias("roc_auc"), F.when(both, F.col("found") / F.col("pos")).alias("pr_auc"))
+
+
 def cluster_bootstrap(df: DataFrame, cluster: str, a: str, b: str, n: int, *by: str) -> DataFrame:
-    """One row: mean AUC difference of two scores over groups (seeds), its 95 % interval, replicates used and skipped, and the verdict.
+    """endpoint (roc_auc, pr_auc), mean difference of two scores over groups (seeds), its 95 % interval, replicates used and skipped, verdict.
 
     Clusters are drawn, not rows, and a replicate draws the same ones in every group; replicates in which a group has one class only are skipped.
     """
-    keys = [*by, "r"]
-    arms = F.explode(F.array(*[F.struct(F.lit(x).alias("arm"), F.col(x).alias("t")) for x in (a, b)]))
-    one = df.groupBy(*by, cluster, "y", a, b).agg(F.count("*").alias("w"))
-    drawn = replicated(one, n).withColumn("w", F.col("w") * poisson_weight(F.col("r"), F.col(cluster))).where("w > 0")
-    rows = drawn.select(*keys, "y", "w", arms.alias("x")).select(*keys, "y", "w", "x.arm", F.col("x.t").alias("t"))
-    auc = metrics.areas(metrics.weighted_curve(rows, "w", "t", "y", *keys, "arm"), *keys, "arm")
-    gap = auc.groupBy(*keys).agg((F.max(F.when(F.col("arm") == a, F.col("roc_auc"))) - F.max(F.when(F.col("arm") == b, F.col("roc_auc")))).alias("d"))
-    means = gap.groupBy("r").agg(F.when(F.count("d") == F.count("*"), F.avg("d")).alias("d"))  # a row per replicate
-    out = means.agg(F.avg("d").alias("mean"), F.percentile("d", 0.025).alias("lo"), F.percentile("d", 0.975).alias("hi"), F.count("d").alias("used"), (F.lit(n) - F.count("d")).alias("skipped"))
+    arm = lambda name, c: F.max(F.when(F.col("arm") == name, F.col(c)))
+    areas = replicate_areas(df, cluster, (a, b), n, *by).groupBy("key", "r").agg(*[(arm(a, c) - arm(b, c)).alias(c) for c in ("roc_auc", "pr_auc")])
+    ends = F.explode(F.array(*[F.struct(F.lit(c).alias("endpoint"), F.col(c).alias("d")) for c in ("roc_auc", "pr_auc")]))
+    means = areas.select("r", ends.alias("e")).groupBy("r", "e.endpoint").agg(F.when(F.count("e.d") == F.count("*"), F.avg("e.d")).alias("d"))
+    out = means.groupBy("endpoint").agg(F.avg("d").alias("mean"), F.percentile("d", 0.025).alias("lo"), F.percentile("d", 0.975).alias("hi"), F.count("d").alias("used"), (F.lit(n) - F.count("d")).alias("skipped"))
     return out.withColumn("verdict", F.when(F.col("lo") > 0, "first").when(F.col("hi") < 0, "second").otherwise("none"))
 
 
+#: Newton steps at most, and the step below which they end.
+NEWTON, SMALL = 40, 1e-10
+
+
+def pair_coefficients(df: DataFrame, columns: tuple[str, ...], key: str, n: int) -> DataFrame:
+    """(coefficient, beta, p, pairs, converged) of a conditional logit on matched pairs' differences, p two-sided by turning pairs around at random.
+
+    A Newton step reads the pairs once for all ``n`` replicates: a task sums likelihood, gradient and Hessian of its pairs per
+    replicate, and the driver, which holds n + 1 replicates of d + d (d + 1) / 2 numbers, solves them. A step that lowers a likelihood is halved. Where a
+    combination of columns separates the pairs, coefficients grow until the steps end: ``converged`` is false. Pairs with a
+    value that is not finite take no part.
+    """
+    good = [finite(F.col(c).cast("double")).alias(c) for c in columns]
+    pairs = sources.saved(df.select(*halves(F.col(key)), *good).na.drop(), "pairs")
+    k, at = len(columns), [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    beta, old, step, best = np.zeros((n + 1, k)), np.zeros((n + 1, k)), np.zeros((n + 1, k)), np.full(n + 1, -np.inf)
+    open_ = np.ones(n + 1, bool)
+
+    def sums(beta: np.ndarray, which: np.ndarray):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = np.zeros((len(which), 1 + k + len(at)))
+            for rows in batches:
+                x = rows[list(columns)].to_numpy(float)
+                for some in np.array_split(np.arange(len(which)), -(-len(which) // AT_ONCE)):
+                    r = which[some]
+                    s = np.where((draws(rows["h1"].to_numpy(), rows["h2"].to_numpy(), r) < 2**31) | (r == 0), 1.0, -1.0)
+                    z = s * (x @ beta[some].T)
+                    p = np.exp(-np.logaddexp(0, z))
+                    out[some, 0] -= np.logaddexp(0, -z).sum(0)
+                    out[some, 1 : k + 1] += (x.T @ (s * p)).T
+                    out[some, k + 1 :] += np.stack([(x[:, i] * x[:, j]) @ (p * (1 - p)) for i, j in at], 1)
+            yield pd.DataFrame({"r": which, "sums": list(out)})
+
+        return run
+
+    for _ in range(NEWTON):
+        which = np.flatnonzero(open_)
+        got = pairs.mapInPandas(sums(beta[which], which), "r int, sums array<double>").groupBy("r").agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(1 + k + len(at))]).toPandas()  # n + 1 rows at most
+        if not len(got):
+            break
+        got = got.sort_values("r").drop(columns="r").to_numpy(float)
+        worse = got[:, 0] < best[which] - 1e-12 * np.abs(best[which])
+        step[which[worse]] /= 2
+        better = which[~worse]
+        best[better], old[better] = got[~worse, 0], beta[better]
+        bend = np.zeros((len(better), k, k))
+        for m, (i, j) in enumerate(at):
+            bend[:, i, j] = bend[:, j, i] = got[~worse, k + 1 + m]
+        step[better] = np.einsum("rij,rj->ri", np.linalg.pinv(bend, hermitian=True), got[~worse, 1 : k + 1])
+        beta[which] = old[which] + step[which]
+        open_[which] = np.abs(step[which]).max(1) > SMALL
+        if not open_.any():
+            break
+    p = (1 + (np.abs(beta[1:]) >= np.abs(beta[0]) - 1e-12).sum(0)) / (n + 1)
+    count = pairs.count()
+    return df.sparkSession.createDataFrame([(c, float(beta[0, i]), float(p[i]), count, not bool(open_[0])) for i, c in enumerate(columns)], "coefficient string, beta double, p double, pairs long, converged boolean")
+
+
 def conditional_logit(df: DataFrame, d: str, steps: int = 12, *by: str) -> DataFrame:
     """by, beta: the coefficient of matched pairs' differences, by Newton steps over aggregates; a step reads the pairs once."""
     beta = df.select(*by).distinct().withColumn("beta", F.lit(0.0)) if by else df.sparkSession.range(1).select(F.lit(0.0).alias("beta"))

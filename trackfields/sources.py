@@ -25,14 +25,30 @@ SIDECAR = "event_id string, sid string, ri_label int, timestamps array<string>,
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``; the warehouse or, locally, a folder of this machine without it)."""
+    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Without it a local master gets a folder of this machine and a cluster its warehouse, unless that is a path of one machine.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         local = spark.sparkContext.master.split("[")[0] == "local"
-        found = _local_dir(spark.sparkContext.applicationId) if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        found = _local_dir(spark.sparkContext.applicationId) if local else _shared(spark.conf.get("spark.sql.warehouse.dir").rstrip("/"))
     return f"{found}/{name}-{uuid.uuid4().hex}"
 
 
+def _shared(path: str) -> str:
+    if path.startswith(("file:", "/")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share; the warehouse {path} is one machine's")
+    return path
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 @lru_cache(4)
 def _local_dir(application: str) -> str:
     return f"file://{tempfile.mkdtemp(prefix='spark-')}"
