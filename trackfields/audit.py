@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sources, stats
 from .splits import assign
 
 
@@ -50,22 +53,59 @@ def arms_aligned(df: DataFrame, a: str, b: str) -> DataFrame:
     return out.withColumn("usable", (F.col("only_a") + F.col("only_b") + F.col("labels_differ") == 0).cast("int"))
 
 
+def _numbered(d: DataFrame, seed: int, *by: str) -> DataFrame:
+    """``d`` (id, value) with _k, from 1 in each group in the order of value, hash and id, and _m, the group's rows.
+
+    Two passes: counts per value and leading digits of the hash, and places within them, so no task holds a group, be it of one value.
+    """
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id")))
+    d = d.withColumns({"_h": h, "_salt": F.substring(h, 1, 2)})
+    counts = d.groupBy(*by, "value", "_salt").agg(F.count("*").alias("_n"))
+    values = stats.cumulative(counts.groupBy(*by, "value").agg(F.sum("_n").alias("_c")), "value", ["_c"], *by)
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "value").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 256 rows
+    places = stats.with_group(counts.withColumn("_b", before), values, *by, "value").select(*by, "value", "_salt", (F.col("_b") + F.col("_c_before")).alias("_b"), F.col("_c_total").alias("_m"))
+    own = F.row_number().over(Window.partitionBy(*by, "value", "_salt").orderBy("_h", "id"))
+    return stats.with_group(d, places, *by, "value", "_salt").withColumn("_k", F.col("_b") + own).drop("_h", "_salt", "_b")
+
+
+def _paired(cases: DataFrame, controls: DataFrame, width: float, seed: int, side: int, *by: str) -> DataFrame:
+    """(case_id, control_id) of cases with controls of the same block of values (side 0), or of the next one above or below.
+
+    Within a block of one width any two match, and equal places are paired. Across an edge the cases nearest to it are paired with the
+    controls nearest to it, place by place, as long as they are within the width: beyond the first pair that is not, none is.
+    """
+    block = F.floor(F.col("value") / width)
+    a, b = cases.withColumn("_block", block), controls.withColumn("_block", block - side)
+    value = "value"
+    if side == 0:
+        a, b = (d.withColumn("_value", F.col("value")).withColumn("value", F.lit(0.0)) for d in (a, b))
+        value = "_value"
+    keys = [*by, "_block"]
+    a, b = _numbered(a, seed, *keys), _numbered(b, seed, *keys)
+    place = lambda far: F.col("_m") - F.col("_k") + 1 if far else F.col("_k")
+    a = a.select(*keys, place(side > 0).alias("_p"), F.col("id").alias("case_id"), F.col(value).alias("_a"))
+    b = b.select(*keys, place(side < 0).alias("_p"), F.col("id").alias("control_id"), F.col(value).alias("_b"))
+    return a.join(b, [*keys, "_p"]).where(F.abs(F.col("_a") - F.col("_b")) <= width).select("case_id", "control_id")
+
+
 def matched_controls(cases: DataFrame, controls: DataFrame, band: float, seed: int = 0) -> DataFrame:
-    """(case_id, control_id, pass): 1:1 controls without replacement, of similar ``value``.
+    """(case_id, control_id, pass): 1:1 controls without replacement, of a ``value`` within the band.
 
-    Cases and controls (id, basin, value) are ranked by a seeded hash within blocks of values no wider than ``band``, and equal ranks
-    are paired: first within a basin, then over all basins, at last in blocks of one and a half bands. No task holds more than a block.
+    Cases and controls (id, basin, value): first within a basin, then over all, at last within one and a half bands. In each pass the
+    values are cut into blocks of one width; a control within the width lies in the case's block or in one beside it, and each of the three
+    is paired to the end, so after a pass no case has a free control within its width. Ids are unique; rows without a value take no part.
     """
-    order = lambda by: Window.partitionBy(*by).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id"))), "id")
-    out = None
-    for k, (width, by) in enumerate(((band, ["basin", "block"]), (band, ["block"]), (1.5 * band, ["block"]))):
-        place = lambda d: d.withColumn("block", F.floor(F.col("value") / width)).withColumn("k", F.row_number().over(order(by)))  # noqa: B023, E731
-        got = place(cases).withColumnRenamed("id", "case_id").select(*by, "k", "case_id").join(place(controls).withColumnRenamed("id", "control_id").select(*by, "k", "control_id"), [*by, "k"])
-        got = got.select("case_id", "control_id", F.lit(k + 1).alias("pass"))
-        out = got if out is None else out.unionByName(got)
-        cases = cases.join(got.select(F.col("case_id").alias("id")), "id", "left_anti")
-        controls = controls.join(got.select(F.col("control_id").alias("id")), "id", "left_anti")
-    return out
+    cases, controls = (d.where(F.col("value").isNotNull()).select("id", "basin", F.col("value").cast("double").alias("value")) for d in (cases, controls))
+    out = []
+    for k, (width, by) in enumerate(((band, ["basin"]), (band, []), (1.5 * band, []))):
+        for side in (0, 1, -1):
+            got = sources.saved(_paired(cases, controls, width, seed, side, *by), "matched").withColumn("pass", F.lit(k + 1))
+            out.append(got)
+            cases = cases.join(got.select(F.col("case_id").alias("id")), "id", "left_anti")
+            controls = controls.join(got.select(F.col("control_id").alias("id")), "id", "left_anti")
+        if k < 2:
+            cases, controls = sources.saved(cases, "cases"), sources.saved(controls, "controls")
+    return reduce(DataFrame.unionByName, out)
 
 
 def split_audit(df: DataFrame, frozen: DataFrame) -> DataFrame:

@@ -17,16 +17,21 @@ def _track(sid: str = "sid") -> Window:
     return Window.partitionBy(sid).orderBy("_s")
 
 
-def strict_deltas(df: DataFrame, hours: tuple[int, ...] = (12, 24), value: str = "wind_kt", ts: str = "ts") -> DataFrame:
+def _first_at(h: int, value: str, order: str | None) -> Column:
+    """The value h hours on: of several fixes at that instant the first by ``order``, whether or not it has a value; without an order the least value."""
+    frame = _track().rangeBetween(h * HOUR, h * HOUR)
+    return F.min(value).over(frame) if order is None else F.min(F.struct(F.col(order).alias("_o"), F.col(value).alias("_v"))).over(frame)["_v"]
+
+
+def strict_deltas(df: DataFrame, hours: tuple[int, ...] = (12, 24), value: str = "wind_kt", ts: str = "ts", order: str | None = None) -> DataFrame:
     """dv{h}: the value exactly h hours later in the same storm minus the value now; null where there is no such fix.
 
-    A range frame of one instant finds the partner in the same exchange for every lag. Of several fixes at that instant the first
-    in (value) order counts, nulls last.
+    A range frame of one instant finds the partner in the same exchange for every lag. ``order`` is the column of the fixes' order at
+    the source, by which the first of several fixes at that instant is the partner, without a value too; tracks with one fix an instant need none.
     """
     out = df.withColumn("_s", epoch_s(F.col(ts)))
     for h in hours:
-        frame = _track().rangeBetween(h * HOUR, h * HOUR)
-        partner = F.min(value).over(frame)
+        partner = _first_at(h, value, order)
         out = out.withColumn(f"dv{h}", partner - F.col(value))
     return out.drop("_s")
 
@@ -63,10 +68,10 @@ def onset(label: str = "label", order: str = "ts") -> Column:
     return (F.col(label) == 1) & (F.coalesce(F.lag(label).over(w), F.lit(0)) == 0)
 
 
-def lagged(df: DataFrame, lags: tuple[int, ...], value: str = "wind_kt", ts: str = "ts") -> DataFrame:
-    """A row per lag in hours with the value at ts + lag, null where there is no fix."""
+def lagged(df: DataFrame, lags: tuple[int, ...], value: str = "wind_kt", ts: str = "ts", order: str | None = None) -> DataFrame:
+    """A row per lag in hours with the value at ts + lag, null where there is no fix; ``order`` as in ``strict_deltas``."""
     out = df.withColumn("_s", epoch_s(F.col(ts)))
-    cols = [F.struct(F.lit(h).alias("lag_h"), F.min(value).over(_track().rangeBetween(h * HOUR, h * HOUR)).alias("then")) for h in lags]
+    cols = [F.struct(F.lit(h).alias("lag_h"), _first_at(h, value, order).alias("then")) for h in lags]
     return out.withColumn("_l", F.array(*cols)).withColumn("_l", F.explode("_l")).select(*df.columns, "_l.lag_h", "_l.then")
 
 

@@ -161,6 +161,29 @@ def l8_lagged(spark, sf_dir):
     return labels.lagged(track(spark, sf_dir), (-12, 6, 24)).select("sid", "h", "lag_h", "then")
 
 
+IRREGULAR = f"""{FIXES}, irregular as (select src_seq, sid, s // 21600 * 6 as h, case when src_seq % 7 > 0 then wind_kt end as wind_kt from fixes),
+firsts as (select * from irregular qualify row_number() over (partition by sid, h order by src_seq) = 1)"""
+
+
+def irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixes with several at one instant, some without a value, in the order of src_seq."""
+    h = F.floor(clean.epoch_s(F.col("ts")) / 21600) * 6
+    ts = F.expr("timestamp_ntz '1970-01-01 00:00:00' + make_dt_interval(0, cast(h as int), 0, 0)")
+    return fixes(spark, sf_dir).withColumn("h", h).select("src_seq", "sid", "h", ts.alias("ts"), F.when(F.col("src_seq") % 7 > 0, F.col("wind_kt")).alias("wind_kt"))
+
+
+@query("l1_first_in_order", f"""with {IRREGULAR} select a.src_seq, b.wind_kt - a.wind_kt as dv12, c.wind_kt - a.wind_kt as dv24, case when c.wind_kt - a.wind_kt >= 30 then 1 when c.wind_kt - a.wind_kt < 30 then 0 end as label
+  from irregular a left join firsts b on b.sid = a.sid and b.h = a.h + 12 left join firsts c on c.sid = a.sid and c.h = a.h + 24""")
+def l1_first_in_order(spark, sf_dir):
+    d = labels.strict_deltas(irregular(spark, sf_dir), order="src_seq")
+    return d.select("src_seq", "dv12", "dv24", labels.three_state(F.col("dv24")).alias("label"))
+
+
+@query("l8_first_in_order", f"with {IRREGULAR}, l as (select unnest([-12, 6, 24]) as lag_h) select a.src_seq, l.lag_h, b.wind_kt as then from irregular a cross join l left join firsts b on a.sid = b.sid and b.h = a.h + l.lag_h")
+def l8_first_in_order(spark, sf_dir):
+    return labels.lagged(irregular(spark, sf_dir), (-12, 6, 24), order="src_seq").select("src_seq", "lag_h", "then")
+
+
 ONSETS = f"{LABELLED}, onsets as (select *, coalesce(label = 1 and coalesce(lag(label) over (partition by sid order by h), 0) = 0, false) as onset from labelled)"
 
 

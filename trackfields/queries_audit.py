@@ -102,20 +102,24 @@ def j13_exclusions(spark, sf_dir):
     return _r(d.groupBy("outcome").agg(F.count("*").alias("n"), F.avg("km").alias("km")), "km")
 
 
-def _matching(kind: str, width: float, by: str) -> str:
-    return f"(select *, row_number() over (partition by {by} order by md5('0:' || id), id) as k from (select *, floor(value / {width}) as block from {kind}))"
-
-
-def _pass(n: int, a: str, b: str, width: float, by: tuple[str, ...]) -> str:
-    keys = " and ".join(f"x.{c} = y.{c}" for c in (*by, "k"))
-    return f"m{n} as (select x.id as case_id, y.id as control_id, {n} as pass from {_matching(a, width, ', '.join(by))} x join {_matching(b, width, ', '.join(by))} y on {keys})"
-
-
-@query("j15_matched_controls", f"""with {ONSETS}, r as (select *, sid || '_' || h as id, wind_kt as value from onsets where wind_kt is not null), a1 as (select id, basin, value from r where onset),
-  b1 as (select id, basin, value from r a where not onset and label = 0), {_pass(1, 'a1', 'b1', 20.0, ('basin', 'block'))},
-  a2 as (select * from a1 where id not in (select case_id from m1)), b2 as (select * from b1 where id not in (select control_id from m1)), {_pass(2, 'a2', 'b2', 20.0, ('block',))},
-  a3 as (select * from a2 where id not in (select case_id from m2)), b3 as (select * from b2 where id not in (select control_id from m2)), {_pass(3, 'a3', 'b3', 30.0, ('block',))}
-  select * from m1 union all select * from m2 union all select * from m3""")
+def _passes(band: float) -> str:
+    """The passes of ``audit.matched_controls`` over a0 (cases) and b0 (controls): m1 to m9."""
+    out = []
+    for n, (stage, width, by, side) in enumerate(((k + 1, w, by, side) for k, (w, by) in enumerate(((band, ("basin",)), (band, ()), (1.5 * band, ()))) for side in (0, 1, -1)), 1):
+        part = ", ".join((*by, "block"))
+        order = "md5('0:' || id), id" if side == 0 else "value, md5('0:' || id), id"
+        for kind, shift in (("a", 0), ("b", side)):
+            out.append(f"{kind}n{n} as materialized (select *, row_number() over (partition by {part} order by {order}) as k, count(*) over (partition by {part}) as m from (select *, floor(value / {width}) - {shift} as block from {kind}{n - 1}))")
+        place = lambda x, far: f"{x}.m - {x}.k" if far else f"{x}.k - 1"
+        keys = " and ".join(f"x.{c} = y.{c}" for c in (*by, "block"))
+        out.append(f"m{n} as materialized (select x.id as case_id, y.id as control_id, {stage} as pass from an{n} x join bn{n} y on {keys} and {place('x', side > 0)} = {place('y', side < 0)} and abs(x.value - y.value) <= {width})")
+        out.append(f"a{n} as materialized (select * from a{n - 1} where id not in (select case_id from m{n}))")
+        out.append(f"b{n} as materialized (select * from b{n - 1} where id not in (select control_id from m{n}))")
+    return ", ".join(out) + " " + " union all ".join(f"select * from m{n}" for n in range(1, 10))
+
+
+@query("j15_matched_controls", f"""with {ONSETS}, r as (select *, sid || '_' || h as id, wind_kt as value from onsets where wind_kt is not null), a0 as (select id, basin, value from r where onset),
+  b0 as (select id, basin, value from r where not onset and label = 0), {_passes(20.0)}""")
 def j15_matched_controls(spark, sf_dir):
     d = _onsets(spark, sf_dir).where("wind_kt is not null").withColumns({"id": F.concat_ws("_", "sid", "h"), "value": F.col("wind_kt")})
     return audit.matched_controls(d.where("onset").select("id", "basin", "value"), d.where("not onset and label = 0").select("id", "basin", "value"), 20.0)

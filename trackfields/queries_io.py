@@ -162,6 +162,21 @@ def i2_runs(spark, sf_dir):
     return spark.createDataFrame(done, "y0 int, y1 int, status string")
 
 
+@query("i2_resumed", f"""with {YEARS}, n as (select y0, y1, count(*) as n, count(case when sid::bigint % 2 = 0 then 1 end) as half, row_number() over (order by y0) as k from w join y on year between y0 and y1 group by 1, 2)
+  select 1 as run, y0::int as y0, y1::int as y1, case when k < 2 then 'completed' else 'failed' end as status, case when k < 2 then n else half end as n from n where k <= 2 union all
+  select 2, y0::int, y1::int, case when k < 2 then 'skipped' else 'completed' end, n from n union all select 3, y0::int, y1::int, 'in the table', n from n""")
+def i2_resumed(spark, sf_dir):
+    y, path = _years(spark, sf_dir).select("sid", "h", "year"), sources.scratch(spark, "windows")
+    second = [r.y0 for r in sources.windows(y, "year", 5).orderBy("y0").limit(2).collect()][-1]
+    lossy = lambda rows, y0, y1: rows.where("cast(sid as long) % 2 = 0") if y0 == second else rows
+    first = sources.run_resumable(y, "year", 5, path, lossy)  # loses rows of the second window, which ends the run
+    again = sources.run_resumable(y, "year", 5, path, lambda rows, y0, y1: rows)
+    runs = spark.createDataFrame([(1, *r) for r in first] + [(2, *r) for r in again], "run int, y0 int, y1 int, status string, n long")
+    at = sources.written(spark, path, y).groupBy(F.col("_y0").alias("y0")).agg(F.count("*").alias("n"))
+    ends = sources.manifest(spark, f"{path}/manifest").select("y0", "y1")
+    return runs.unionByName(at.join(ends, "y0").select(F.lit(3).alias("run"), "y0", "y1", F.lit("in the table").alias("status"), "n"))
+
+
 @query("i3_pending", f"with {TRACK} select sid, h from track where not (sid::bigint % 4 = 0 and h % 12 = 0)")
 def i3_pending(spark, sf_dir):
     t = track(spark, sf_dir).select("sid", "h")

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import types as T
 
 from . import clean
 
@@ -161,3 +162,56 @@ def run_windows(spans: list[tuple[int, int]], done: set[tuple[int, int]], work,
         if not good:
             break
     return out
+
+
+#: Columns of the manifest of ``run_resumable``.
+MANIFEST = "y0 int, y1 int, attempt int, status string, n long, digest long"
+
+
+def _digest(df: DataFrame) -> tuple[int, int]:
+    """Rows, and a number that any other rows would hardly have, in whatever order."""
+    r = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*sorted(df.columns))).alias("x"), F.sum(F.pmod(F.xxhash64(F.lit(1), *sorted(df.columns)), F.lit(1 << 31))).alias("s")).head()
+    return r["n"], (r["x"] or 0) ^ (r["s"] or 0)
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The last attempt at each window; no rows before the first run."""
+    rows = spark.createDataFrame([], MANIFEST)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+        rows = spark.read.schema(MANIFEST).parquet(path)
+    last = rows.groupBy("y0", "y1").agg(F.max(F.struct("attempt", "status", "n", "digest")).alias("m"))
+    return last.select("y0", "y1", "m.*")
+
+
+def run_resumable(wanted: DataFrame, year: str, k: int, path: str, work, stop: bool = True) -> list[tuple[int, int, str, int]]:
+    """(y0, y1, status, n): windows of ``k`` years of ``wanted`` written to ``path``/data, those with a completed manifest row skipped.
+
+    ``work(rows, y0, y1)`` gives what is to be written for a window's rows. A window's part is written by dynamic overwrite, so one
+    that failed or was cut off is replaced and no other is touched. It is read back and compared with what should be there by rows and
+    digest, and only then does the manifest get a row: a run that dies in between leaves a window that the next run works again. The first failed
+    window ends the run (``stop``). Windows without rows are completed.
+    """
+    spark = wanted.sparkSession
+    done = {(r["y0"], r["y1"]): r for r in manifest(spark, f"{path}/manifest").collect()}  # a row per window
+    out = []
+    for y0, y1 in [(r["y0"], r["y1"]) for r in windows(wanted, year, k).orderBy("y0").collect()]:
+        before = done.get((y0, y1))
+        if before is not None and before["status"] == "completed":
+            out.append((y0, y1, "skipped", before["n"]))
+            continue
+        rows = wanted.where(F.col(year).between(y0, y1))
+        made = work(rows, y0, y1).withColumn("_y0", F.lit(y0))
+        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_y0").parquet(f"{path}/data")
+        found = _digest(written(spark, path, wanted).where(F.col("_y0") == y0).select(*wanted.columns))
+        status = "completed" if found == _digest(rows) else "failed"
+        spark.createDataFrame([(y0, y1, before["attempt"] + 1 if before is not None else 1, status, *found)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+        out.append((y0, y1, status, found[0]))
+        if status == "failed" and stop:
+            break
+    return out
+
+
+def written(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The windows' data, of the columns of ``like`` and _y0."""
+    return spark.read.schema(T.StructType([*like.schema.fields, T.StructField("_y0", T.IntegerType())])).parquet(f"{path}/data")
