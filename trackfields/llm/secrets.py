@@ -52,7 +52,8 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", least=16),
     Rule("hex", r"[0-9a-f]+", least=32),
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    # Begins where no character of it precedes, and gives nothing back: linear on repeats.
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"),
     Rule("forge_token", r"(?:ghp|gho|ghs|ghr)_[A-Za-z0-9]{36}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("map_key", r"AIza[A-Za-z0-9_-]{35}"),
