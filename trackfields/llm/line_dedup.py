@@ -223,7 +223,8 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     same = docs.where(~may_lose).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_removed", F.lit(0).cast("long"))
     d = docs.where(may_lose).join(kept.select(F.col("doc").alias(doc), F.col("lines").alias(own)), F.col(key) == F.col(doc), "left")
     numbers = F.coalesce(own, F.expr("cast(array() as array<int>)"))
-    stays = let(F.struct(lines.alias("s"), numbers.alias("k")), lambda x: F.filter(x["s"], lambda s, i: F.array_contains(x["k"], i) | ~s.rlike(r"[^ \t-\r]")))
+    blank = lambda s: F.filter(F.transform(s, lambda v, i: F.when(~v.rlike(r"[^ \t-\r]"), i)), lambda i: i.isNotNull())
+    stays = let(lines, lambda s: F.transform(F.array_sort(F.array_union(numbers, blank(s))), lambda i: F.element_at(s, i + 1)))
     d = d.withColumn(left, stays).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
     d = d.withColumn("n_removed", F.coalesce(F.col("n_lines") - F.size(left), F.lit(0)).cast("long")).withColumn(text, F.array_join(left, "\n"))
     out = same.unionByName(d.drop(left, own, doc))
