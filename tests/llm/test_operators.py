@@ -166,6 +166,21 @@ def test_pii_equals_a_full_scan(spark, docs, none):
     assert [x.kind for x in found] == ["email", "ip", "card", "phone", "iban"] and found[0].score > found[3].score
 
 
+def test_spans_of_texts_with_very_many_matches(spark):
+    """Time grows with a text's length: these take seconds, where quadratic work would take many minutes."""
+    n = 100_000
+    text = "write to a1@b.co or " * n + "10.0.0.1 " * 3
+    r = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).head()
+    mails = [x for x in r.pii if x.kind == "email"]
+    assert len(mails) == n and all(x.start == 20 * i + 9 and x.end == x.start + 7 and x.score == 1.0 for i, x in enumerate(mails))
+    assert [x.start for x in r.pii if x.kind == "ip"] == [20 * n + 9 * i for i in range(3)]
+    long = ["eyJ" * 350_000, "eyJ." * 250_000, "eyJa.eyJb" * 100_000]
+    got = [len([x for x in r.spans if x.kind == "jwt"]) for r in secrets.scan(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[0] == 0
+    lines = "\n".join(f"w{i % 50_000} line" for i in range(60_000))
+    assert line_dedup.dedup(spark.createDataFrame([(1, lines)], "doc_id long, text string")).head().text.count("\n") < 60_000
+
+
 def test_account_numbers_end_at_any_word(spark):
     gb, de, spaced = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
     cases = [

@@ -25,6 +25,7 @@ from .common import let
 BLOCK = 64
 NEAR = 40
 BONUS = 0.3
+SPANS = "array<struct<kind: string, start: bigint, end: bigint, score: double>>"
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -51,35 +52,49 @@ KINDS = {
 }
 
 
-def located(text: Column, pattern: str) -> Column:
-    """array<struct<m: string, start: bigint>> of the matches of ``pattern``, from the left, without overlaps."""
-    found = F.struct(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
-        F.transform(F.split(text, pattern, -1), lambda g: F.length(g)).alias("gap"),
-    )
+def _sums(x: Column) -> Column:
+    """The sums of every BLOCK numbers of an array."""
+    some = lambda b: F.aggregate(F.slice(x, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), some)
 
-    def with_lengths(f: Column) -> Column:
-        both = F.zip_with(f["gap"], f["m"], lambda g, m: g + F.coalesce(F.length(m), F.lit(0)))
-        return let(F.struct(f["m"].alias("m"), f["gap"].alias("gap"), both.alias("both")), with_blocks)
 
-    def with_blocks(f: Column) -> Column:
-        blocks = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(f["m"]) - 1) / BLOCK).cast("int")),
-            lambda b: F.aggregate(F.slice(f["both"], b * BLOCK + 1, F.lit(BLOCK)), F.lit(0), lambda a, x: a + x),
-        )
-        return let(F.struct(f["m"].alias("m"), f["gap"].alias("gap"), f["both"].alias("both"), blocks.alias("blocks")), placed)
+def located(text: Column, pattern: str, body) -> Column:
+    """``body(f)`` where there are matches of ``pattern``, from the left, without overlaps; an empty array of spans otherwise.
+
+    f.m are the matches, f.gap the texts between them (one more), f.start their places: sums over blocks, and blocks of blocks, of what comes before.
+    """
+
+    def with_sums(f: Column) -> Column:
+        both = F.zip_with(f["gap"], f["m"], lambda g, m: (F.length(g) + F.coalesce(F.length(m), F.lit(0))).cast("bigint"))
+        return let(both, lambda x: let(_sums(x), lambda y: let(_sums(y), lambda z: body(F.struct(f["m"].alias("m"), f["gap"].alias("gap"), starts(f, x, y, z).alias("start"))))))
 
-    def placed(f: Column) -> Column:
+    def starts(f: Column, x: Column, y: Column, z: Column) -> Column:
         def start(i: Column) -> Column:
-            block = F.floor(i / BLOCK).cast("int")
-            earlier = F.aggregate(F.slice(f["blocks"], F.lit(1), block), F.lit(0), lambda a, x: a + x)
-            inside = F.aggregate(F.slice(f["both"], block * BLOCK + 1, i - block * BLOCK), F.lit(0), lambda a, x: a + x)
-            return earlier + inside + F.element_at(f["gap"], i + 1)
+            out = F.length(F.element_at(f["gap"], i + 1)).cast("bigint")
+            for sums, begin, stop in ((z, F.lit(0), F.floor(i / BLOCK**2)), (y, F.floor(i / BLOCK**2) * BLOCK, F.floor(i / BLOCK)), (x, F.floor(i / BLOCK) * BLOCK, i)):
+                out = out + F.aggregate(F.slice(sums, begin.cast("int") + 1, (stop - begin).cast("int")), F.lit(0).cast("bigint"), lambda a, v: a + v)
+            return out
+
+        return F.transform(f["m"], lambda m, i: start(i))
+
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap"))
+    return let(found, lambda f: F.when(F.size(f["m"]) > 0, let(with_sums(f), lambda spans: spans)).otherwise(F.expr(f"cast(array() as {SPANS})")))
 
-        return F.transform(f["m"], lambda m, i: F.struct(m.alias("m"), start(i).cast("long").alias("start")))
 
-    none = F.expr("cast(array() as array<struct<m: string, start: bigint>>)")
-    return let(found, lambda f: F.when(F.size(f["m"]) > 0, with_lengths(f)).otherwise(none))
+def _before(f: Column, i: Column) -> Column:
+    """The NEAR characters before match i: its gap, and the matches and gaps before it, two characters each at least."""
+    piece = lambda j: F.concat(F.when(j > 0, F.right(F.get(f["m"], j - 1), F.lit(NEAR))).otherwise(F.lit("")), F.right(F.get(f["gap"], j), F.lit(NEAR)))
+    own = F.right(F.get(f["gap"], i), F.lit(NEAR))
+    more = F.array_join(F.transform(F.sequence(F.greatest(i - NEAR // 2, F.lit(0)), i), piece), "")
+    return F.when(F.length(own) == NEAR, own).otherwise(F.right(more, F.lit(NEAR)))
+
+
+def _ahead(f: Column, i: Column, size: int, least: int) -> Column:
+    """``size`` characters from the begin of match i on; matches have ``least`` characters or more."""
+    piece = lambda j: F.concat(F.coalesce(F.get(f["m"], j), F.lit("")), F.left(F.get(f["gap"], j + 1), F.lit(size)))
+    own = F.left(piece(i), F.lit(size))
+    more = F.array_join(F.transform(F.sequence(i, F.least(i + size // least + 1, F.size(f["m"]) - 1)), piece), "")
+    return F.when(F.length(own) == size, own).otherwise(F.left(more, F.lit(size)))
 
 
 def digits(m: Column) -> Column:
@@ -126,13 +141,12 @@ def country_length(iban: Column) -> Column:
     return known
 
 
-def account_numbers(text: Column) -> Column:
-    """array<struct<m: string, start: bigint>> of the account numbers that pass mod-97, by start, without overlaps."""
+def account_numbers(f: Column) -> Column:
+    """array<struct<m, start, i>> of the account numbers that pass mod-97, by start, without overlaps, of the located begins ``f``."""
 
-    def best(x: Column) -> Column:
+    def best(i: Column) -> Column:
         """(usual, size, m) of the best end of a candidate, null without one."""
-        ahead = F.substr(text, x["start"].cast("int") + 1, F.lit(IBAN_SPAN + 1))
-        return let(F.struct(ahead.alias("ahead"), F.regexp_extract(ahead, IBAN_WHOLE, 0).alias("body")), ends)
+        return let(_ahead(f, i, IBAN_SPAN + 1, 4), lambda ahead: let(F.struct(ahead.alias("ahead"), F.regexp_extract(ahead, IBAN_WHOLE, 0).alias("body")), ends))
 
     def ends(c: Column) -> Column:
         # A word boundary: a character of the candidate, then none of a word.
@@ -148,7 +162,7 @@ def account_numbers(text: Column) -> Column:
         first = F.filter(spans, lambda x: x["usual"] | ~F.exists(spans, lambda y: y["usual"] & crossed(x, y)))
         return let(first, lambda s: F.aggregate(s, F.slice(s, F.lit(1), F.lit(0)), lambda a, x: F.when(F.exists(F.slice(a, F.greatest(F.size(a), F.lit(1)), F.lit(1)), lambda y: crossed(x, y)), a).otherwise(F.concat(a, F.array(x)))))
 
-    found = F.transform(located(text, IBAN), lambda x: let(best(x), lambda b: F.struct(b["m"].alias("m"), x["start"].alias("start"), b["usual"].alias("usual"))))
+    found = F.transform(f["start"], lambda start, i: let(best(i), lambda b: F.struct(b["m"].alias("m"), start.alias("start"), i.alias("i"), b["usual"].alias("usual"))))
     return let(F.filter(found, lambda x: x["m"].isNotNull()), lambda s: F.when(F.size(s) > 1, apart(s)).otherwise(s))
 
 
@@ -158,17 +172,20 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     # What a text must hold for a kind at all; cheap, and spares most texts the expensive expressions.
     digit = t.rlike("[0-9]")
     gates = {"email": F.instr(t, "@") > 0, "ip": t.rlike(r"[0-9]\.[0-9]"), "card": digit, "phone": F.instr(t, "+") > 0, "iban": t.rlike("[A-Z]{2}[0-9]{2}")}
-    patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
-    none = F.expr("cast(array() as array<struct<kind: string, start: bigint, end: bigint, score: double>>)")
+    patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN}
+    none = F.expr(f"cast(array() as {SPANS})")
+
     def spans_of(kind: str) -> Column:
         score, words = KINDS[kind]
 
-        def scored(x: Column) -> Column:
-            before = F.substr(t, F.greatest(x["start"] - NEAR, F.lit(0)).cast("int") + 1, F.least(x["start"], F.lit(NEAR)).cast("int"))
-            bonus = F.when(before.rlike(rf"(?i)\b(?:{words})\b"), F.lit(BONUS)).otherwise(F.lit(0.0))
-            return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), F.least(F.lit(1.0), F.lit(score) + bonus).alias("score"))
+        def body(f: Column) -> Column:
+            def scored(x: Column) -> Column:
+                bonus = F.when(_before(f, x["i"]).rlike(rf"(?i)\b(?:{words})\b"), F.lit(BONUS)).otherwise(F.lit(0.0))
+                return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), F.least(F.lit(1.0), F.lit(score) + bonus).alias("score"))
+
+            every = F.transform(f["start"], lambda start, i: F.struct(F.get(f["m"], i).alias("m"), start.alias("start"), i.alias("i")))
+            return F.transform(account_numbers(f) if kind == "iban" else F.filter(every, lambda x: passes(kind, x["m"])), scored)
 
-        kept = account_numbers(t) if kind == "iban" else F.filter(located(t, patterns[kind]), lambda x: passes(kind, x["m"]))
-        return F.when(gates[kind], F.transform(kept, scored)).otherwise(none)
+        return F.when(gates[kind], located(t, patterns[kind], body)).otherwise(none)
 
     return docs.withColumn("pii", F.concat(*[spans_of(kind) for kind in KINDS]))
