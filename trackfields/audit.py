@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sources, stats
+from .clean import finite
 from .splits import assign
 
 
@@ -132,12 +133,29 @@ def artifact_status(expected: DataFrame, found: DataFrame, key: str, valid: Colu
 
 
 def compared_values(stored: DataFrame, again: DataFrame, keys: list[str], column: str, tolerance: float) -> DataFrame:
-    """keys, status: equal (within the tolerance, or both null), differs, not_stored, not_recomputed."""
-    a = stored.select(*keys, F.col(column).cast("double").alias("_a"), F.lit(1).alias("_x"))
-    b = again.select(*keys, F.col(column).cast("double").alias("_b"), F.lit(1).alias("_y"))
+    """keys, status: equal (within the tolerance, or both null), differs, not_stored, not_recomputed. Null is a key like others."""
+    a = stored.select(*[F.col(k).alias(f"_a_{k}") for k in keys], F.col(column).cast("double").alias("_a"), F.lit(1).alias("_x"))
+    b = again.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.col(column).cast("double").alias("_b"), F.lit(1).alias("_y"))
     same = F.col("_a").eqNullSafe(F.col("_b")) | F.coalesce(F.abs(F.col("_a") - F.col("_b")) <= tolerance, F.lit(False))
     status = F.when(F.col("_x").isNull(), "not_stored").when(F.col("_y").isNull(), "not_recomputed").when(same, "equal").otherwise("differs")
-    return a.join(b, keys, "full").select(*keys, status.alias("status"))
+    on = reduce(lambda x, y: x & y, [F.col(f"_a_{k}").eqNullSafe(F.col(f"_b_{k}")) for k in keys])
+    return a.join(b, on, "full").select(*[F.when(F.col("_x").isNull(), F.col(f"_b_{k}")).otherwise(F.col(f"_a_{k}")).alias(k) for k in keys], status.alias("status"))
+
+
+def gate(stored: DataFrame, again: DataFrame, keys: list[str], columns: list[str], tolerance: float) -> DataFrame:
+    """(column, status, n, first): how many cells of each column agree with what is computed anew, and the least key of each status.
+
+    The two tables may have any rows; a cell that only one of them has counts as not stored or not recomputed.
+    """
+    long = lambda d: d.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(keys, columns, "column", "value")
+    d = compared_values(long(stored), long(again), [*keys, "column"], "value", tolerance)
+    return d.groupBy("column", "status").agg(F.count("*").alias("n"), F.min(F.concat_ws(":", *keys)).alias("first"))
+
+
+def statistics(df: DataFrame, columns: list[str], *by: str) -> DataFrame:
+    """by, column, n, mean, sd (population): over finite values."""
+    d = df.select(*by, *[finite(F.col(c).cast("double")).alias(c) for c in columns]).unpivot(list(by), columns, "column", "x")
+    return d.groupBy(*by, "column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
 
 
 def counted(df: DataFrame, expected: dict[str, int]) -> DataFrame:

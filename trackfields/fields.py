@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import stats
+from . import grid, stats
 from .audit import reasons
 from .clean import finite
 from .grid import STEP
@@ -223,3 +223,14 @@ def displacement(a: DataFrame, b: DataFrame) -> DataFrame:
     d = a.alias("a").join(b.alias("b"), list(STEP))
     at = [F.col(c) for c in ("a.lat", "a.lon", "b.lat", "b.lon")]
     return d.select(*STEP, stats.haversine_km(*at).alias("km"), stats.bearing_deg(*at).alias("bearing"))
+
+
+def extreme_bearings(df: DataFrame, lat: float, lon: float, extremes: dict[str, tuple[str, bool]]) -> DataFrame:
+    """STEP and, for each name, the bearing from a centre to the highest (or, if told so, lowest) cell of a channel; null where that is the centre."""
+    out = df.select(*STEP).distinct()
+    for name, (channel, lowest) in extremes.items():
+        p = grid.peak(df.withColumn("_x", -F.col(channel) if lowest else F.col(channel)), "_x")
+        away = (F.abs(F.col("lat") - lat) >= 1e-6) | (F.abs(F.col("lon") - lon) >= 1e-6)
+        p = p.select(*STEP, F.when(away, stats.bearing_deg(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon"))).alias(name))
+        out = out.join(p, list(STEP), "left")
+    return out

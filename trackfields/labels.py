@@ -5,9 +5,12 @@ Windows are partitioned by sid, so one exchange serves all of a storm's deltas.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import stats
 from .clean import epoch_s
 
 HOUR = 3600
@@ -81,14 +84,32 @@ def transitions(df: DataFrame, old: str, new: str, *by: str) -> DataFrame:
     return df.groupBy(*by, name(old), name(new)).count()
 
 
-def reason(old: Column, new: Column, old_dv: Column, new_dv: Column, tolerance: float = 1e-9) -> Column:
-    """Why a label version differs from another: flip before null before drift before unchanged. The names are fixed values."""
+def reason(old: Column, new: Column, *deltas: tuple[Column, Column], tolerance: float = 1e-9) -> Column:
+    """Why a label version differs from another: flip before null before drift before unchanged. The names are fixed values.
+
+    ``deltas`` are (old, new) pairs, such as of 24 and of 12 hours: a pair drifts where both differ or the new one is null.
+    """
     flip = F.when((old == 1) & (new == 0), "flip_1_to_0").when((old == 0) & (new == 1), "flip_0_to_1")
     null = F.when(new.isNull() & old.isNotNull(), "null_no_partner")
-    drift = F.when(~old_dv.eqNullSafe(new_dv) & (F.abs(F.coalesce(old_dv - new_dv, F.lit(1.0))) > tolerance), "dv_drift")
+    moved = [~a.eqNullSafe(b) & (F.abs(F.coalesce(a - b, F.lit(1.0))) > tolerance) for a, b in deltas]
+    drift = F.when(reduce(lambda x, y: x | y, moved), "dv_drift")
     return F.coalesce(flip, null, drift, F.lit("unchanged"))
 
 
+def change_effects(df: DataFrame, old: str, new: str, old_dv: str, new_dv: str, *by: str) -> DataFrame:
+    """effect (flip, undefined, drift, none), n, and min, median, p95 and max of the absolute change of the delta, per group.
+
+    The three effects of a label version: another label, no label any more, or the same label from another change.
+    """
+    o, n, change = F.col(old), F.col(new), F.abs(F.col(new_dv) - F.col(old_dv))
+    effect = F.when(o.isNotNull() & n.isNull(), "undefined").when(~o.eqNullSafe(n), "flip").when(change > 1e-9, "drift").otherwise("none")
+    d = df.select(*by, effect.alias("effect"), change.alias("change"))
+    keys = [*by, "effect"]
+    q = stats.quantiles(d, "change", {"median": 0.5, "p95": 0.95}, *keys)
+    plain = d.groupBy(*keys).agg(F.count("*").alias("n"), F.min("change").alias("lo"), F.max("change").alias("hi"))
+    return plain.join(q, keys, "left") if not by else plain.join(q.select(*[F.col(k).alias(f"_{k}") for k in keys], "median", "p95"), reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left").drop(*[f"_{k}" for k in keys])
+
+
 def version_counts(df: DataFrame, old: str, new: str, *by: str) -> DataFrame:
     """Flips both ways, changes to null, positives before and after."""
     o, n = F.col(old), F.col(new)

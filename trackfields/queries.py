@@ -221,7 +221,7 @@ def l13_lost_positives(spark, sf_dir):
 @query("l14_diff_manifest", f"""with {POSITIONAL} select sid, h, case when label_v1 = 1 and label = 0 then 'flip_1_to_0' when label_v1 = 0 and label = 1 then 'flip_0_to_1' when label is null then 'null_no_partner'
   when dv24 is null or abs(p24 - dv24) > 1e-9 then 'dv_drift' else 'unchanged' end as reason from versions""")
 def l14_diff_manifest(spark, sf_dir):
-    return _versions(spark, sf_dir).select("sid", "h", labels.reason(F.col("label_v1"), F.col("label"), F.col("p24"), F.col("dv24")).alias("reason"))
+    return _versions(spark, sf_dir).select("sid", "h", labels.reason(F.col("label_v1"), F.col("label"), (F.col("p24"), F.col("dv24"))).alias("reason"))
 
 
 @query("l16_version_counts", f"""with {POSITIONAL} select basin, sum((label_v1 = 1 and label = 0)::int)::bigint as flip_1_to_0, sum((label_v1 = 0 and label = 1)::int)::bigint as flip_0_to_1, sum((label is null)::int)::bigint as to_null,
@@ -597,4 +597,4 @@ def a16_a18_normalised(spark, sf_dir):
 
 
 # The other query modules register theirs in the same tables.
-from . import queries_audit, queries_fields, queries_io, queries_stats  # noqa: E402, F401
+from . import queries_audit, queries_fields, queries_gates, queries_io, queries_stats  # noqa: E402, F401

@@ -31,9 +31,9 @@ def _levels(spark, sf_dir):
     return _first(spark, sf_dir).select(F.floor(v / 5).alias("event_id"), level.alias("level"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("z").alias("r"))
 
 
-@query("j5_nearest_index", f"with {TRACK}, p as (select sid, h, lat * 1.01 as y, lon * 0.97 as x from track) select sid, h, (select min(k) from range(121) r(k) where abs(10 + 0.25 * k - y) = (select min(abs(10 + 0.25 * q - y)) from range(121) z(q)))::int as i, (select min(k) from range(201) r(k) where abs(-60 + 0.25 * k - x) = (select min(abs(-60 + 0.25 * q - x)) from range(201) z(q)))::int as j from p where h % 48 = 0")
+@query("j5_nearest_index", f"with {TRACK}, p as (select sid, h, lat * 1.01 as y, lon * 0.97 as x from track) select sid, h, (select min(k) from range(121) r(k) where abs(10 + 0.25 * k - y) = (select min(abs(10 + 0.25 * q - y)) from range(121) z(q)))::int as i, (select min(k) from range(201) r(k) where abs(-60 + 0.25 * k - x) = (select min(abs(-60 + 0.25 * q - x)) from range(201) z(q)))::int as j from p")
 def j5_nearest_index(spark, sf_dir):
-    t = track(spark, sf_dir).where("h % 48 = 0")
+    t = track(spark, sf_dir)
     return t.select("sid", "h", fields.nearest_index(F.col("lat") * 1.01, 10, 0.25, 121).alias("i"), fields.nearest_index(F.col("lon") * 0.97, -60, 0.25, 201).alias("j"))
 
 

@@ -71,11 +71,11 @@ def t12_pairing_permutation(spark, sf_dir):
     return _r(_r(resampling.pairing_permutation(_angles(spark, sf_dir), "a", "b", "sid", 40), "p", digits=9), "observed")
 
 
-@query("t13_random_points", f"""with {STEPS}, e as (select sid || '_' || h as id, lat as clat, lon as clon, blat as lat, blon as lon from nx where blat is not null and h % 48 = 0), d as (select r, lat as blat, lon as blon, clat + (2 * {U.format(k="r || ':' || id || ':y'")} - 1) * 5 as alat, clon + (2 * {U.format(k="r || ':' || id || ':x'")} - 1) * 5 as alon from e, range(1, 41) q(r)),
+@query("t13_random_points", f"""with {STEPS}, e as (select sid || '_' || h as id, lat as clat, lon as clon, blat as lat, blon as lon from nx where blat is not null), d as (select r, lat as blat, lon as blon, clat + (2 * {U.format(k="r || ':' || id || ':y'")} - 1) * 5 as alat, clon + (2 * {U.format(k="r || ':' || id || ':x'")} - 1) * 5 as alon from e, range(1, 41) q(r)),
   m as (select r, median({HAVERSINE.format(a='a', b='b')}) as m from d group by 1), o as (select median({HAVERSINE.format(a='c', b='')}) as observed from e) select round((sum((m <= observed + 1e-9)::int) + 1) / 41, 9) as p, round(any_value(observed), 5) as observed from m, o""")
 def t13_random_points(spark, sf_dir):
     w = Window.partitionBy("sid").orderBy("h")
-    t = track(spark, sf_dir).withColumns({"blat": F.lead("lat").over(w), "blon": F.lead("lon").over(w)}).where("blat is not null and h % 48 = 0")
+    t = track(spark, sf_dir).withColumns({"blat": F.lead("lat").over(w), "blon": F.lead("lon").over(w)}).where("blat is not null")
     e = t.select(F.concat_ws("_", "sid", "h").alias("id"), F.col("lat").alias("clat"), F.col("lon").alias("clon"), F.col("blat").alias("lat"), F.col("blon").alias("lon"))
     return _r(_r(resampling.random_points(e, "id", 5.0, 40), "p", digits=9), "observed", digits=5)
 

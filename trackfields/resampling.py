@@ -85,6 +85,22 @@ def sign_flip(df: DataFrame, d: str, key: str, n: int) -> DataFrame:
     return means.agg(share(F.abs("m") >= F.abs("observed") - 1e-12).alias("p"), share(F.col("m") <= F.col("observed") + 1e-12).alias("p_less"), F.max("observed").alias("observed"))
 
 
+def sign_flip_by(df: DataFrame, d: str, key: str, n: int, *by: str) -> DataFrame:
+    """by, n, observed and the two-sided p of a mean difference of 0 in each group; a replicate turns a key around in all groups alike."""
+    flipped = F.when(uniform(F.col("r"), F.col(key)) < 0.5, F.col(d)).otherwise(-F.col(d))
+    means = replicated(df.select(*by, key, d), n).groupBy(*by, "r").agg(F.avg(flipped).alias("m"))
+    seen = df.groupBy(*by).agg(F.count(d).alias("n"), F.avg(d).alias("observed"))
+    out = stats.with_group(means, seen, *by)
+    p = (F.count(F.when(F.abs("m") >= F.abs("observed") - 1e-12, 1)) + 1) / (n + 1)
+    return out.groupBy(*by).agg(F.max("n").alias("n"), F.max("observed").alias("observed"), p.alias("p"))
+
+
+def fall(df: DataFrame, key: str, lag: str, d: str, hours: int) -> DataFrame:
+    """n, mean, t and p of how much a key's difference changes within so many hours, over all lags that have both ends."""
+    w = Window.partitionBy(key).orderBy(lag).rangeBetween(hours, hours)
+    return stats.paired_t(df.withColumn("_fall", F.min(d).over(w) - F.col(d)).where("_fall is not null"), "_fall")
+
+
 def label_permutation(df: DataFrame, x: str, label: str, key: str, n: int) -> DataFrame:
     """Two-sided p of the difference of the medians of label 1 and 0 under permuted labels."""
     medians = lambda d, y, *by: d.groupBy(*by).agg((F.median(F.when(y, F.col(x))) - F.median(F.when(~y, F.col(x)))).alias("m"))

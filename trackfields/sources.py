@@ -127,6 +127,17 @@ def strict_json(df: DataFrame, *numbers: str) -> Column:
     return F.to_json(F.struct(*[strict(F.col(c)).alias(c) if c in numbers else F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
 
 
+def write_texts(df: DataFrame, group: str, order: str, text: str, path: str) -> None:
+    """One text file per value of ``group`` in folders group=value, a line per row in order."""
+    df.repartition(group).sortWithinPartitions(group, order).select(group, F.col(text).alias("value")).write.partitionBy(group).text(path)
+
+
+def files(spark: SparkSession, path: str, pattern: str = "*", least: int = 0) -> DataFrame:
+    """(path, below ``path``; length; content) of the files of a folder and those in it that match a pattern and have so many bytes."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return d.where(F.col("length") >= least).select(F.substring_index("path", f"{path.rstrip('/').rpartition('/')[2]}/", -1).alias("path"), "length", "content")
+
+
 def artifacts(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """(path, size, sha256) of contents, such as those of the ``binaryFile`` source."""
     return files.select(F.col(path).alias("path"), F.octet_length(content).cast("long").alias("size"), F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))

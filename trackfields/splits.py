@@ -55,3 +55,21 @@ def sample(df: DataFrame, stratum: str, key: str, k: int, seed: int = 0) -> Data
     """``k`` rows per stratum, the least by a hash of seed and key: a seeded sample that any engine repeats."""
     w = Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
     return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).drop("_k")
+
+
+def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows (all, if fewer): an equal share of each stratum, one at least, and the rest by rank over all others.
+
+    Ranks are by a hash of seed and key, so any engine repeats the sample. Strata of fewer rows than their share give all of
+    them. More strata than ``n`` give a row each. A null stratum is one.
+    """
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    sizes = df.groupBy(stratum).agg(F.count("*").alias("_n"))
+    strata = sizes.count()
+    share = max(1, n // max(1, strata))
+    first = sizes.agg(F.sum(F.least(F.col("_n"), F.lit(share)))).head()[0] or 0
+    w = Window.partitionBy(stratum).orderBy("_h", key)  # held to ``share`` rows before the shuffle
+    ranked = df.withColumn("_h", h)
+    own = ranked.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= share).drop("_k")
+    rest = ranked.join(own.select(F.col(key).alias("_own")), F.col(key) == F.col("_own"), "left_anti")
+    return own.unionByName(rest.orderBy("_h", key).limit(max(0, n - first))).drop("_h")
