@@ -40,7 +40,7 @@ def cumulative(d: DataFrame, t: str, columns: list[str], *by: str, descending: b
     range is cut into equal widths. Results do not depend on the limits. All is one plan; no job runs while it is built.
     """
     limits = d.groupBy(*by).agg(F.count("*").alias("_rows"), F.percentile_approx(F.col(t).cast("double"), [i / QUANTILES for i in range(1, QUANTILES)], ACCURACY).alias("_all"))
-    ranges = F.least(F.lit(QUANTILES), F.ceil(F.col("_rows") / ROWS)).cast("int")
+    ranges = F.greatest(F.lit(1), F.least(F.lit(QUANTILES), F.ceil(F.col("_rows") / ROWS))).cast("int")
     some = F.transform(F.sequence(F.lit(1), ranges - 1), lambda i: F.element_at("_all", F.floor(i * QUANTILES / ranges).cast("int")))
     limits = limits.select(*by, F.when(ranges > 1, F.array_distinct(some)).otherwise(F.array().cast("array<double>")).alias("_limits"), F.ceil(F.col("_rows") / (ROWS * ranges)).cast("int").alias("_cuts"))
     limits = limits.withColumn("_coarse", F.transform(F.sequence(F.lit(1), F.floor(F.size("_limits") / STEP).cast("int") + 1), lambda i: F.get("_limits", i * STEP - 1)))
