@@ -40,8 +40,9 @@ class Rule(NamedTuple):
 
 
 BUCKETS, BITS = 1 << 18, 1 << 24
-#: How many rows back a set meets others in its tile, and the tile's order, before all that are left meet.
-ROUNDS = ((6, ("n", "doc")),)
+#: How many rows back a set meets others in its tile, and the tile's order, before all that are left meet; so much is done in
+#: ``MEETS`` of a set's tiles only, those of the least hashes, which near copies share, so a group gives few pairs per set.
+ROUNDS, MEETS = ((2, ("n", "doc")),), 8
 #: Rows of a tile that one task compares; pairs that it holds at once.
 TILE, PAIRS = 2_000, 500_000
 #: Bytes of text handled together.
@@ -324,7 +325,8 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: R
     links, mixed, tried = None, near.withColumn("c", F.col("doc")), None
     for back, order in ROUNDS:
         seen = Window.partitionBy("w").orderBy(*[F.xxhash64("doc") if o == "hash" else F.col(o) for o in order]).rowsBetween(-back, -1)
-        pairs = mixed.withColumn("back", F.collect_list(F.struct("i", "n", "doc", "c")).over(seen)).withColumn("b", F.explode("back"))
+        few = mixed.withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy(F.xxhash64("w"), "w"))).where(F.col("k") <= MEETS)
+        pairs = few.withColumn("back", F.collect_list(F.struct("i", "n", "doc", "c")).over(seen)).withColumn("b", F.explode("back"))
         pairs = pairs.where((F.col("c") != F.col("b.c")) & _sizes_fit(F.col("n"), F.col("b.n"), rule) & _places_fit(F.col("n"), F.col("i"), F.col("b.n"), F.col("b.i"), rule))
         pairs = pairs.select(F.greatest("doc", "b.doc").alias("a"), F.least("doc", "b.doc").alias("b")).where("a <> b").distinct()
         pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
