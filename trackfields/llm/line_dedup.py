@@ -6,7 +6,7 @@ similarity of at least ``SIMILAR``. Lines without words are kept.
 Equal sets are collapsed first, to the earliest line that holds them. Words are ordered by rarity (counts in a hash table of fixed
 size, ties by hash). Two similar sets share a word among the first ``n - ceil(SIMILAR * n) + 1`` of each, so only those words
 are shuffled. In a word's group, sets meet under a length filter, a positional filter (what follows the shared word in both
-orders can make up the overlap needed) and a 64-bit signature of the ``SIGNED`` rarest words, which bounds the overlap from
+orders can make up the overlap needed) and a 128-bit signature of the ``SIGNED`` rarest words, which bounds the overlap from
 above. Candidates' lines are read again, and only theirs: a bit table of fixed size tells most other lines apart before
 anything is shuffled. Their words, hashed to 15 bits, bound the overlap again; what is left is verified on the words themselves, a
 set's best candidate first and the others only where that one fails.
@@ -41,8 +41,8 @@ BUCKETS, BITS = 1 << 17, 1 << 24
 HOT, CHUNK = 256, 16
 #: Sets of a hot word that one task compares with open ones in the second step.
 TILE = 4_096
-#: Words of a signature: about two thirds of its bits.
-SIGNED = 44
+#: Words of a signature: about two thirds of its 128 bits.
+SIGNED = 88
 KEY = 0x7FFFFFFF
 
 
@@ -84,7 +84,7 @@ def _rarity(docs: DataFrame, text: str) -> bytes:
 
 
 def _with_sets(lines: DataFrame, rarity: bytes) -> DataFrame:
-    """doc, line, n, signature, class hash, keys of the first words by rarity."""
+    """doc, line, n, both halves of the signature, class hash, keys of the first words by rarity."""
     table = F.lit(rarity)
 
     def ranked(w: Column) -> Column:
@@ -93,9 +93,9 @@ def _with_sets(lines: DataFrame, rarity: bytes) -> DataFrame:
 
     d = lines.select("doc", "line", F.sort_array(F.transform(_words(F.col("s")), ranked)).alias("o")).withColumn("n", F.size("o"))
     signed = F.slice("o", F.lit(1), F.lit(SIGNED))
-    sign = F.aggregate(signed, F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(_bit(F.call_function("shiftright", w, F.lit(40)))))
+    half = lambda h: F.aggregate(F.filter(signed, lambda w: F.getbit(w, F.lit(46)) == h), F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(_bit(F.call_function("shiftright", w, F.lit(40)))))
     first = F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * SIMILAR - 1e-9).cast("int") + 1)
-    return d.select("doc", "line", "n", sign.alias("sign"), F.xxhash64("o").alias("c"), F.transform(first, lambda w: w.bitwiseAND(F.lit(KEY)).cast("int")).alias("first"))
+    return d.select("doc", "line", "n", half(0).alias("low"), half(1).alias("high"), F.xxhash64("o").alias("c"), F.transform(first, lambda w: w.bitwiseAND(F.lit(KEY)).cast("int")).alias("first"))
 
 
 def _needed(n: Column, m: Column) -> Column:
@@ -109,12 +109,13 @@ def _before(a: str, b: str) -> Column:
 
 def _may_match() -> Column:
     """Length, positional and signature filters on rows a and b of one word."""
-    n, m, x, y = F.col("a.n"), F.col("b.n"), F.col("a.sign"), F.col("b.sign")
+    n, m = F.col("a.n"), F.col("b.n")
+    only = lambda x, y: sum((F.bit_count(F.col(f"{x}.{h}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{h}")))) for h in ("low", "high")), F.lit(0))
     need = _needed(n, m)
     length = (m >= n * SIMILAR - 1e-9) & (n >= m * SIMILAR - 1e-9)
     places = F.least(n - F.col("a.i"), m - F.col("b.i")) >= need
     k, j = F.least(n, F.lit(SIGNED)), F.least(m, F.lit(SIGNED))
-    over = F.least(k - F.bit_count(x.bitwiseAND(F.bitwise_not(y))), j - F.bit_count(y.bitwiseAND(F.bitwise_not(x))))
+    over = F.least(k - only("a", "b"), j - only("b", "a"))
     # Words shared beyond the signed ones lie beyond them in one of the sets at least.
     return length & places & (over + F.greatest(n - k, m - j) >= need)
 
@@ -178,10 +179,10 @@ def matched(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[D
     """(firsts, later): the first line of each set as (doc, line), and those of them that match an earlier line."""
     lines = _lines(docs, text, key)
     sets = _with_sets(lines, _rarity(docs, text))
-    classes = sets.groupBy("c", "n", "sign").agg(F.min(F.struct("doc", "line")).alias("at"), F.first("first").alias("first"))
-    classes = saved(classes.select("at.doc", "at.line", "n", "sign", "first"), "line-sets")
+    classes = sets.groupBy("c", "n", "low", "high").agg(F.min(F.struct("doc", "line")).alias("at"), F.first("first").alias("first"))
+    classes = saved(classes.select("at.doc", "at.line", "n", "low", "high", "first"), "line-sets")
     # Sets of up to three words have only equal sets as partners.
-    rows = classes.where(F.col("n") > 3).select("doc", "line", "n", "sign", F.posexplode("first").alias("i", "w"))
+    rows = classes.where(F.col("n") > 3).select("doc", "line", "n", "low", "high", F.posexplode("first").alias("i", "w"))
     hot = _hot(rows)
     crowded = not hot.isEmpty()
     cold = rows.join(hot, "w", "left_anti") if crowded else rows
@@ -190,9 +191,9 @@ def matched(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[D
     if crowded:
         salt = F.pmod(F.xxhash64("w", "doc", "line"), F.ceil(F.col("sets") / CHUNK)).cast("int")
         tiles = F.ceil(F.col("sets") / TILE).cast("int")
-        crowd = rows.join(hot, "w").select("doc", "line", "n", "sign", "i", "w", salt.alias("salt"), tiles.alias("tiles"), F.pmod(F.xxhash64("doc", "line"), tiles).cast("int").alias("tile"))
+        crowd = rows.join(hot, "w").select("doc", "line", "n", "low", "high", "i", "w", salt.alias("salt"), tiles.alias("tiles"), F.pmod(F.xxhash64("doc", "line"), tiles).cast("int").alias("tile"))
         crowd = saved(crowd, "line-crowd")
-        heads = crowd.groupBy("w").agg(F.min(F.struct("doc", "line", "n", "sign", "i")).alias("h")).select("w", "h.*")
+        heads = crowd.groupBy("w").agg(F.min(F.struct("doc", "line", "n", "low", "high", "i")).alias("h")).select("w", "h.*")
         pairs = pairs.unionByName(_couples(crowd.alias("a").join(heads.alias("b"), meet))).unionByName(_couples(crowd.alias("a").join(crowd.alias("b"), meet & (F.col("a.salt") == F.col("b.salt")))))
         pairs = pairs.groupBy("doc", "line", "of", "of_line").agg(F.sum("shared").alias("shared"))
     pairs = saved(pairs, "line-pairs")
