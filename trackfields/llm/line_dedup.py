@@ -193,8 +193,10 @@ def matched(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[D
         tiles = F.ceil(F.col("sets") / TILE).cast("int")
         crowd = rows.join(hot, "w").select("doc", "line", "n", "low", "high", "i", "w", salt.alias("salt"), tiles.alias("tiles"), F.pmod(F.xxhash64("doc", "line"), tiles).cast("int").alias("tile"))
         crowd = saved(crowd, "line-crowd")
-        heads = crowd.groupBy("w").agg(F.min(F.struct("doc", "line", "n", "low", "high", "i")).alias("h")).select("w", "h.*")
-        pairs = pairs.unionByName(_couples(crowd.alias("a").join(heads.alias("b"), meet))).unionByName(_couples(crowd.alias("a").join(crowd.alias("b"), meet & (F.col("a.salt") == F.col("b.salt")))))
+        heads = crowd.groupBy("w").agg(F.min(F.struct("doc", "line", "n", "low", "high", "i", "salt")).alias("h"), F.max("salt").alias("last"))
+        heads = heads.select("w", "h.*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("at")).where("at <> salt").drop("salt").withColumnRenamed("at", "salt")
+        partners = crowd.select(*heads.columns).unionByName(heads)
+        pairs = pairs.unionByName(_couples(crowd.alias("a").join(partners.alias("b"), meet & (F.col("a.salt") == F.col("b.salt")))))
         pairs = pairs.groupBy("doc", "line", "of", "of_line").agg(F.sum("shared").alias("shared"))
     pairs = saved(pairs, "line-pairs")
     later = _settled(pairs, lines)
