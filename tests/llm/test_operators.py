@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -322,7 +323,10 @@ def brute_components(texts):
     return [root(i) for i in range(len(texts))], [len(s) for s in sets]
 
 
-def test_ngram_join(spark, docs, none):
+@pytest.mark.parametrize("hot,tile", [(ngram_join.HOT, ngram_join.TILE), (20, 30)])
+def test_ngram_join(spark, docs, none, monkeypatch, hot, tile):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "TILE", tile)
     rng = random.Random(9)
     base = words(120, 20).split()
     texts = list(TEXTS)
@@ -344,6 +348,39 @@ def test_ngram_join(spark, docs, none):
     assert {6, None, 0, 1} <= kept and not kept & {7, 8}
 
 
+def test_hot_shingles_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", 20)
+    rarity = bytearray(ngram_join.BUCKETS)
+    hot, rare = 77 << 40, 78 << 40
+    rarity[77] = round(8 * math.log2(1 + 100))
+    tiles = spark.createDataFrame([(0, hot, 50, i) for i in range(100)] + [(1, rare, 50, i) for i in range(15)], "i int, w long, n int, doc long")
+    dealt = ngram_join._dealt(tiles, bytes(rarity)).groupBy("w", "parts", "part").count().collect()
+    assert {(r.w, r.parts) for r in dealt} == {(hot, 5), (rare, 1)} and sum(r["count"] for r in dealt) == 115
+    assert sum(r.w == hot for r in dealt) == 5
+
+
+def test_ngram_join_in_linear_pairs(spark, monkeypatch):
+    """Copies of one text that are mostly too far apart from each other make few pairs and still form the right groups."""
+    rng = random.Random(4)
+    base, texts = words(150, 21).split(), []
+    for _ in range(400):
+        copy = base[:]
+        for _ in range(rng.choice([0, 1, 2, 2, 3])):
+            copy[rng.randrange(150)] = f"w{rng.randrange(10000)}"
+        texts.append(" ".join(copy))
+    made = {}
+    saved = ngram_join.saved
+
+    def counted(df, name):
+        made.setdefault(name, []).append((out := saved(df, name)).count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "saved", counted)
+    got = {r.doc_id: r.component_id for r in ngram_join.components(spark.createDataFrame(rows_of(texts), SCHEMA), rule=ngram_join.Rule(4, 85)).collect()}
+    assert [got[i] for i in range(400)] == brute_components(texts)[0]
+    assert sum(made["ngram-pairs"]) < 20 * 400
+
+
 def test_ann(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(900, 16)), np.tile(rng.normal(size=(1, 16)), (300, 1))])

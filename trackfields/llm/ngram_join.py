@@ -8,8 +8,10 @@ bound on. A pair is tested on hashed bitmaps of the sets first, whose bit counts
 intersecting the sorted arrays of shingle hashes.
 
 Tiles are worked in rounds, so a tile of many near copies does not make all its pairs: first each set meets a few
-neighbours, by size and by hash; then, with the components so far, all sets of different components meet, in tiles of
-bounded size. Within one component nothing more can change the result. Components are found by minimum labels with pointer jumping.
+neighbours by size; then, with the components so far, each set meets the one set of another component that its bitmap finds
+likeliest, which joins nearly all that belong together; at last all sets of still different components meet. The later
+rounds work in tiles of bounded size. Within one component nothing more can change the result. Components are found by
+minimum labels with pointer jumping. A shingle of more than ``HOT`` sets is dealt to several tasks in every round.
 
 Shingles are compared by 64-bit hashes, sets by 128 bits. Arrays are made again from texts, for candidates only; a bit table
 of fixed size keeps most other texts out of the shuffle.
@@ -40,8 +42,10 @@ class Rule(NamedTuple):
 
 
 BUCKETS, BITS = 1 << 18, 1 << 24
-#: How many rows back a set meets others in its tile, and the tile's order, before all that are left meet.
-ROUNDS = ((6, ("n", "doc")),)
+#: How many rows back a set meets others in its tile at first; rounds in which it meets its likeliest partner, before all that are left meet.
+BACK, LIKELIEST = 6, 2
+#: Sets of a shingle that one task holds while they meet their neighbours.
+HOT = 16_384
 #: Rows of a tile that one task compares; pairs that it holds at once.
 TILE, PAIRS = 2_000, 500_000
 #: Bytes of text handled together.
@@ -231,8 +235,8 @@ def _overlap_bounds(bits: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarra
     return out
 
 
-def _survivors(rows: pd.DataFrame, tile: np.ndarray, rule: Rule) -> Iterator[pd.DataFrame]:
-    """Pairs within tiles, of different components and blocks, that sizes, places and bitmaps leave.
+def _survivors(rows: pd.DataFrame, tile: np.ndarray, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows within tiles, of different components and blocks, that sizes, places and bitmaps leave, and their bounds in parts of 10,000.
 
     ``rows`` are in order of tile and size, so a row's partners are the stretch from its lower size bound up to itself.
     """
@@ -250,14 +254,37 @@ def _survivors(rows: pd.DataFrame, tile: np.ndarray, rule: Rule) -> Iterator[pd.
         need = -(-rule.percent * (n[x] + n[y]) // (100 + rule.percent))
         keep = (c[y] != c[x]) & (doc[y] != doc[x]) & (np.minimum(n[x] - i[x], n[y] - i[y]) >= need) & (whole[x] | (block[y] != block[x]))
         x, y, need = x[keep], y[keep], need[keep]
-        a, b = np.maximum(doc[x], doc[y]), np.minimum(doc[x], doc[y])
-        good = _overlap_bounds(bits, n, x, y) >= need
-        yield pd.DataFrame({"a": a[good], "b": b[good]}).drop_duplicates()
+        most = _overlap_bounds(bits, n, x, y)
+        good = most >= need
+        x, y, most = x[good], y[good], most[good]
+        yield x, y, 10_000 * most // (n[x] + n[y] - most)
         begin = stop
 
 
-def _within_tiles(mixed: DataFrame, bits: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of different components that the filters leave. Tiles beyond TILE rows are cut into pairs of blocks."""
+def _all_pairs(rows: pd.DataFrame, tile: np.ndarray, rule: Rule) -> Iterator[pd.DataFrame]:
+    doc = rows["doc"].to_numpy(np.int64)
+    for x, y, _ in _survivors(rows, tile, rule):
+        yield pd.DataFrame({"a": np.maximum(doc[x], doc[y]), "b": np.minimum(doc[x], doc[y])}).drop_duplicates()
+
+
+def _likeliest(rows: pd.DataFrame, tile: np.ndarray, rule: Rule) -> Iterator[pd.DataFrame]:
+    """For each row that has any, the partner of the greatest bound (ties: the greatest doc)."""
+    doc = rows["doc"].to_numpy(np.int64)
+    best, other = np.full(len(doc), -1, np.int64), np.zeros(len(doc), np.int64)
+    for x, y, bound in _survivors(rows, tile, rule):
+        row, to, value = np.concatenate([x, y]), np.concatenate([doc[y], doc[x]]), np.concatenate([bound, bound])
+        order = np.lexsort((to, value, row))
+        last = order[np.flatnonzero(np.append(row[order][1:] != row[order][:-1], True))] if len(order) else order
+        at = row[last]
+        better = (value[last] > best[at]) | ((value[last] == best[at]) & (to[last] > other[at]))
+        best[at[better]], other[at[better]] = value[last][better], to[last][better]
+    some = best >= 0
+    yield pd.DataFrame({"a": doc[some], "b": other[some], "bound": best[some]})
+
+
+def _within_tiles(mixed: DataFrame, bits: DataFrame, rule: Rule, likeliest: bool = False) -> DataFrame:
+    """Pairs (a, b) of different components that the filters leave, or each set's likeliest of them. Tiles beyond TILE rows are cut into pairs of blocks."""
+    found = _likeliest if likeliest else _all_pairs
     parts = F.ceil(F.col("rows") / TILE).cast("int")
     block = F.pmod(F.xxhash64("doc"), parts).cast("int")
     cut = mixed.withColumn("parts", parts).withColumn("block", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -271,7 +298,7 @@ def _within_tiles(mixed: DataFrame, bits: DataFrame, rule: Rule) -> DataFrame:
         def work() -> Iterator[pd.DataFrame]:
             rows = pd.concat(held, ignore_index=True)
             tile = np.cumsum((rows[["w", "t1", "t2"]] != rows[["w", "t1", "t2"]].shift()).any(axis=1).to_numpy())
-            yield from _survivors(rows, tile, rule)
+            yield from found(rows, tile, rule)
 
         for rows in batches:
             keys = rows[["w", "t1", "t2"]].to_numpy()
@@ -287,7 +314,37 @@ def _within_tiles(mixed: DataFrame, bits: DataFrame, rule: Rule) -> DataFrame:
         if count:
             yield from work()
 
-    return cut.mapInPandas(run, "a long, b long").distinct()
+    if not likeliest:
+        return cut.mapInPandas(run, "a long, b long").distinct()
+    best = cut.mapInPandas(run, "a long, b long, bound long").groupBy("a").agg(F.max(F.struct("bound", "b")).alias("best"))
+    return best.select(F.greatest("a", "best.b").alias("a"), F.least("a", "best.b").alias("b")).distinct()
+
+
+def _dealt(tiles: DataFrame, rarity: bytes) -> DataFrame:
+    """``tiles`` with ``parts`` and ``part``: how many tasks share the shingle, 1 for up to HOT sets, and the set's own.
+
+    Buckets of the rarity table that hold few shingles need no count; for the others, shingles are counted.
+    """
+    full = np.frombuffer(rarity, np.uint8) >= int(8 * np.log2(1 + HOT))
+    few = lambda d: d.withColumn("parts", F.lit(1)).withColumn("part", F.lit(0))
+    if not full.any():
+        return few(tiles)
+    table = tiles.sparkSession.createDataFrame([(np.packbits(full, bitorder="little").view(np.int64).tolist(),)], "t array<bigint>").scalar()
+    may = in_table((table, BUCKETS), F.call_function("shiftright", "w", F.lit(40)).bitwiseAND(F.lit(BUCKETS - 1)))
+    some = tiles.where(may)
+    counts = some.groupBy("w").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT)
+    counts = saved(counts.select("w", F.ceil(F.col("rows") / HOT).cast("int").alias("parts")), "ngram-hot")
+    if counts.isEmpty():
+        return few(tiles)
+    some = some.join(counts, "w", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return few(tiles.where(~may)).unionByName(some.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")))
+
+
+def _mixed(tiles: DataFrame, so_far: DataFrame) -> DataFrame:
+    """w, i, n, doc, c (component), rows of the tiles that hold several components. Counts are combined before they are shuffled."""
+    mine = tiles.join(so_far, tiles["doc"] == so_far["node"], "left").select("w", "i", "n", "doc", F.coalesce("component", "doc").alias("c"))
+    several = mine.groupBy("w").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
+    return saved(mine.join(several.select("w", "rows"), "w"), "ngram-mixed")
 
 
 def _one_text_each(d: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -304,43 +361,41 @@ def _one_text_each(d: DataFrame) -> tuple[DataFrame, DataFrame]:
 def components(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id per row of ``docs``."""
     d = small_batches(docs).select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    sets = saved(_sets(d, _rarity(d, rule), rule), "ngram-sets")
+    rarity = _rarity(d, rule)
+    sets = saved(_sets(d, rarity, rule), "ngram-sets")
     several = sets.where("doc is not null").groupBy("doc").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi")
     known, more = sets, None
     if not several.isEmpty():
         d, more = _one_text_each(d)
-        known = saved(_sets(d, _rarity(d, rule), rule), "ngram-sets")
+        rarity = _rarity(d, rule)
+        known = saved(_sets(d, rarity, rule), "ngram-sets")
     real = known.where((F.col("n") > 0) & F.col("doc").isNotNull())
     classes = real.groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"))
     members = saved(real.select("doc", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select("doc", "rep").distinct(), "ngram-members")
     reps = real.join(members.where("doc = rep").select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
     bits = reps.select("doc", "n", "bits")
-    tiles = reps.select(F.posexplode("first").alias("i", "w"), "n", "doc")
-    band = Window.partitionBy("w").orderBy("n", "doc")
+    tiles = _dealt(reps.select(F.posexplode("first").alias("i", "w"), "n", "doc"), rarity)
+    band = Window.partitionBy("w", "part").orderBy("n", "doc")
     near = tiles.withColumn("before", F.lag("n").over(band)).withColumn("after", F.lead("n").over(band))
-    # A set without a neighbour of a compatible size in its tile has no partner there at all.
+    # A set without a neighbour of a compatible size in its tile has no partner there at all; a tile that is dealt to several tasks keeps all.
     fits = [F.coalesce(_sizes_fit(F.col("n"), F.col(x), rule), F.lit(False)) for x in ("before", "after")]
-    near = saved(near.where(fits[0] | fits[1]).drop("before", "after"), "ngram-tiles")
-    links, mixed, tried = None, near.withColumn("c", F.col("doc")), None
-    for back, order in ROUNDS:
-        seen = Window.partitionBy("w").orderBy(*[F.xxhash64("doc") if o == "hash" else F.col(o) for o in order]).rowsBetween(-back, -1)
-        pairs = mixed.withColumn("back", F.collect_list(F.struct("i", "n", "doc", "c")).over(seen)).withColumn("b", F.explode("back"))
-        pairs = pairs.where((F.col("c") != F.col("b.c")) & _sizes_fit(F.col("n"), F.col("b.n"), rule) & _places_fit(F.col("n"), F.col("i"), F.col("b.n"), F.col("b.i"), rule))
-        pairs = pairs.select(F.greatest("doc", "b.doc").alias("a"), F.least("doc", "b.doc").alias("b")).where("a <> b").distinct()
-        pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        left = saved(_bounded(pairs, bits, rule), "ngram-pairs")
-        good = _verified(left, d, rule)
-        links = saved(good if links is None else links.unionByName(good), "ngram-links")
-        discard(left)
+    near = saved(near.where(fits[0] | fits[1] | (F.col("parts") > 1)).drop("before", "after", "parts"), "ngram-tiles")
+    back = near.withColumn("back", F.collect_list(F.struct("i", "n", "doc")).over(band.rowsBetween(-BACK, -1))).withColumn("b", F.explode("back"))
+    back = back.where(_sizes_fit(F.col("n"), F.col("b.n"), rule) & _places_fit(F.col("n"), F.col("i"), F.col("b.n"), F.col("b.i"), rule))
+    tried = saved(back.select(F.greatest("doc", "b.doc").alias("a"), F.least("doc", "b.doc").alias("b")).where("a <> b").distinct(), "ngram-pairs")
+    left = saved(_bounded(tried, bits, rule), "ngram-pairs")
+    links = saved(_verified(left, d, rule), "ngram-links")
+    discard(left)
+    mixed = near
+    for turn in range(LIKELIEST + 1):
         so_far = connected(links)
-        mine = near.join(so_far, near["doc"] == so_far["node"], "left").select("w", "i", "n", "doc", F.coalesce("component", "doc").alias("c"))
-        whole = Window.partitionBy("w")
-        mine = mine.withColumn("lo", F.min("c").over(whole)).withColumn("hi", F.max("c").over(whole)).withColumn("rows", F.count("*").over(whole))
-        mixed = saved(mine.where("lo < hi").drop("lo", "hi"), "ngram-mixed")
-    late = saved(_within_tiles(mixed, bits, rule).join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
-    if not late.isEmpty():
-        links = links.unionByName(_verified(late, d, rule))
+        # Each node's link to its component says as much as all links so far.
+        links = so_far.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        mixed = _mixed(mixed.select("w", "i", "n", "doc"), so_far)
+        pairs = saved(_within_tiles(mixed, bits, rule, turn < LIKELIEST).join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+        if not pairs.isEmpty():
+            links = links.unionByName(saved(_verified(pairs, d, rule), "ngram-links"))
+        tried = tried.unionByName(pairs)
     ties = members.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     if more is not None:
         ties = ties.unionByName(more.select(F.col("new").alias("a"), F.col("doc").alias("b")))
