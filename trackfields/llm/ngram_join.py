@@ -196,10 +196,12 @@ def connected(links: DataFrame) -> DataFrame:
     both = saved(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
     while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
-        step = labels.join(seen, "node").select("node", F.least("component", "least").alias("to"), F.col("component").alias("was"))
+        ends = both.join(labels.select(F.col("node").alias("b"), "component"), "b").join(labels.select(F.col("node").alias("a"), F.col("component").alias("was")), "a")
+        # All nodes of a label move together, to the least label that any of them is linked with and on to that one's own label.
+        least = ends.groupBy("was").agg(F.min("component").alias("least")).select("was", F.least("was", "least").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("component").alias("far"))
-        new = saved(step.join(jump, "to").select("node", F.least("to", "far").alias("component"), "was"), "labels")
+        moves = least.join(jump, "to").select("was", F.least("to", "far").alias("component"))
+        new = saved(labels.withColumnRenamed("component", "was").join(moves, "was").select("node", "component", "was"), "labels")
         if new.where(F.col("component") != F.col("was")).isEmpty():
             return new.select("node", "component")
         labels = new.select("node", "component")
