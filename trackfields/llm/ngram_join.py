@@ -388,16 +388,23 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: R
     left = saved(_bounded(tried, bits, rule), "ngram-pairs")
     links = saved(_verified(left, d, rule), "ngram-links")
     discard(left)
-    mixed = near
-    for turn in range(LIKELIEST + 1):
-        so_far = connected(links)
-        # Each node's link to its component says as much as all links so far.
-        links = so_far.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        mixed = _mixed(mixed.select("w", "i", "n", "doc"), so_far)
-        pairs = saved(_within_tiles(mixed, bits, rule, turn < LIKELIEST).join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+    mixed, grown = near, True
+    for likeliest in [True] * LIKELIEST + [False]:
+        if grown:
+            so_far = connected(links)
+            # Each node's link to its component says as much as all links so far.
+            links = so_far.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            mixed = _mixed(mixed.select("w", "i", "n", "doc"), so_far)
+            if mixed.isEmpty():
+                break
+        elif likeliest:  # the same partners again
+            continue
+        pairs = saved(_within_tiles(mixed, bits, rule, likeliest).join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+        tried, grown = tried.unionByName(pairs), False
         if not pairs.isEmpty():
-            links = links.unionByName(saved(_verified(pairs, d, rule), "ngram-links"))
-        tried = tried.unionByName(pairs)
+            more_links = saved(_verified(pairs, d, rule), "ngram-links")
+            grown = not more_links.isEmpty()
+            links = links.unionByName(more_links)
     ties = members.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     if more is not None:
         ties = ties.unionByName(more.select(F.col("new").alias("a"), F.col("doc").alias("b")))
