@@ -4,9 +4,10 @@ Centroids come from a balanced k-means on a bounded sample (``SAMPLE`` rows by h
 centroids), in which a list pays for being longer than its share; vectors are posted at the same prices. A vector near a
 boundary also goes to its second nearest list; the boundary is set so that a share ``TWICE`` of the sample does. A query
 searches the centroids over an in-memory neighbour graph, best first, and scans the lists whose centroid is at most ``reach``
-times as far as the nearest one, exactly and in double precision. ``reach`` is calibrated: on ``PROOF`` queries of the sample it
-lets ``RECALL`` of their neighbours within the sample be found. Neighbours in the whole table are nearer, hence no harder
-to reach, so the share of lists follows how clustered the data are. A query that finds fewer than ``k`` rows goes on to all lists.
+times as far as the nearest one, exactly and in double precision. ``reach`` is calibrated: for ``ASKED`` of the queries (by hash; all,
+if fewer) the true neighbours among all rows are computed, and ``reach`` lets ``RECALL`` of them be found. Rows of the table say too little for
+that, since queries may lie elsewhere, between clusters say. The search over the graph itself is held against the same neighbours and goes
+on for longer until it loses at most ``LOST`` of them. A query that finds fewer than ``k`` rows goes on to all lists.
 
 Lists are worked in bundles; bundles and the queries that probe them are cut into tiles of about ``TILE_ROWS`` by
 ``TILE_QUERIES``, so a list that holds a third of all rows is many tasks; each tile returns ``k`` rows per query. The
@@ -32,9 +33,10 @@ from .common import saved
 
 SAMPLE, MOST_LISTS, PER_LIST = 20_000, 4_096, 100
 TWICE, RECALL, PROOF = 0.3, 0.97, 400
+ASKED, LOST = 200, 0.005
 LINKS, BUNDLE = 16, 8
 #: How much farther (squared) than the limit the search over the graph still goes on, and how many centroids it opens at least.
-SLACK, BEAM = 1.1, 64
+SLACK, BEAM = (1.1, 1.5, 2.0, 4.0), 64
 TILE_ROWS, TILE_QUERIES = 8_000, 1_000
 #: How fast the price of a list follows its size.
 STEP = 0.03
@@ -50,6 +52,7 @@ class Index(NamedTuple):
     boundary: float = 1.0  # of the second nearest list's distance to the nearest one's
     reach: float = 1.0
     least: float = 0.0  # the nearest centroid counts as at least that far
+    slack: float = SLACK[0]
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -131,6 +134,9 @@ def search_centroids(index: Index, q: np.ndarray) -> list[int]:
         diff = index.centroids[ids] - q
         return list(zip(np.einsum("ij,ij->i", diff, diff).tolist(), ids.tolist()))
 
+    if np.isinf(index.slack):
+        d = np.sqrt(_distances(q[None], index.centroids)[0])
+        return np.flatnonzero(d <= index.reach * max(d.min(), index.least) + 1e-9).tolist()
     seen = np.zeros(len(index.centroids), bool)
     seen[index.entries] = True
     open_ = reach(index.entries)
@@ -141,7 +147,7 @@ def search_centroids(index: Index, q: np.ndarray) -> list[int]:
         d, at = heapq.heappop(open_)
         opened += 1
         limit = (index.reach * max(np.sqrt(nearest), index.least)) ** 2
-        if d > max(limit, nearest) * SLACK and opened > BEAM:
+        if d > max(limit, nearest) * index.slack and opened > BEAM:
             break
         ids = index.graph[at]
         ids = ids[~seen[ids]]
@@ -154,13 +160,15 @@ def search_centroids(index: Index, q: np.ndarray) -> list[int]:
     return [i for d, i in found if d <= limit + 1e-12]
 
 
-def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v: array<double>) of the vectors that take part."""
+def usable(vectors: DataFrame, key: str, vector: str, size: int | None = None) -> DataFrame:
+    """(id, v: array<double>) of the vectors that take part: those of ``size`` components, or of as many as most have."""
     v = F.col(vector).cast("array<double>")
     good = F.col(key).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     d = vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(F.coalesce(good, F.lit(False)))
-    size = d.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").head()
-    return d.where(F.size("v") == (size["n"] if size else 0))
+    if size is None:
+        most = d.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").head()
+        size = most["n"] if most else 0
+    return d.where(F.size("v") == size)
 
 
 def fitted(x: np.ndarray, lists: int, k: int = 10) -> Index:
@@ -181,6 +189,57 @@ def fit(d: DataFrame, k: int = 10) -> Index | None:
     return fitted(x, max(1, min(MOST_LISTS, n // PER_LIST, len(x) // 4)), k)
 
 
+def true_neighbours(d: DataFrame, asked: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of ``ASKED`` queries; the vectors of their k nearest among all rows, and of which of the queries each is one."""
+    some = asked.orderBy(F.xxhash64("id"), "id", "v").limit(ASKED).collect()
+    if not some:
+        return np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0, int)
+    ids, q = np.array([r["id"] for r in some]), np.array([r["v"] for r in some], float)
+    shared = d.sparkSession.sparkContext.broadcast((ids, q))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = shared.value
+        far, near, v = np.full((len(q), k), np.inf), np.zeros((len(q), k), np.int64), np.zeros((len(q), k, q.shape[1]))
+        for rows in batches:
+            x, own = np.stack(rows["v"].to_numpy()), rows["id"].to_numpy()
+            for begin in range(0, len(x), CHUNK * 4):
+                part, names = x[begin : begin + CHUNK * 4], own[begin : begin + CHUNK * 4]
+                dist = np.where(names == ids[:, None], np.inf, _distances(q, part))
+                for i in np.flatnonzero((dist < far[:, -1:]).any(1)):
+                    at = np.flatnonzero(dist[i] < far[i, -1])
+                    at = at[np.argsort(dist[i][at], kind="stable")[:k]]
+                    order = np.argsort(np.concatenate([far[i], dist[i][at]]), kind="stable")[:k]
+                    far[i], near[i], v[i] = np.concatenate([far[i], dist[i][at]])[order], np.concatenate([near[i], names[at]])[order], np.concatenate([v[i], part[at]])[order]
+        i, j = np.nonzero(np.isfinite(far))
+        yield pd.DataFrame({"at": i, "far": far[i, j], "id": near[i, j], "v": list(v[i, j])})
+
+    found = d.mapInPandas(run, "at int, far double, id long, v array<double>")
+    rank = F.row_number().over(Window.partitionBy("at").orderBy("far", "id"))
+    rows = found.withColumn("rank", rank).where(F.col("rank") <= k).select("at", "v").collect()  # k rows for each of ASKED queries
+    return q, np.array([r["v"] for r in rows], float).reshape(len(rows), q.shape[1]), np.array([r["at"] for r in rows], int)
+
+
+def proved(index: Index, d: DataFrame, asked: DataFrame, k: int) -> Index:
+    """``index`` with a reach that lets RECALL of the true neighbours of the queries be found, and a slack that loses few of them."""
+    if len(index.centroids) < 2:
+        return index
+    q, near, of = true_neighbours(d, asked, k)
+    if not len(near):
+        return index
+    far, own = np.sqrt(_distances(q, index.centroids)), lists_of(near, index)
+    best = np.minimum(far[of, own[:, 0]], np.where(own[:, 1] >= 0, far[of, own[:, 1]], np.inf))
+    least = float(np.median(far.min(1)))
+    ratios = best / np.maximum(np.maximum(far.min(1)[of], least), 1e-12)
+    index = index._replace(reach=max(1.0, float(np.quantile(ratios, RECALL, method="higher"))) * (1 + 1e-9), least=least)
+    for slack in SLACK:
+        index = index._replace(slack=slack)
+        lists = [np.array(search_centroids(index, x)) for x in q]
+        found = np.mean([np.isin(o, lists[i]).any() for i, o in zip(of, own)])
+        if found >= RECALL - LOST:
+            return index
+    return index._replace(slack=np.inf)
+
+
 def post(d: DataFrame, index: Index) -> DataFrame:
     """(list, id, v): every vector in its nearest list and, near a boundary, in the second one."""
     shared = d.sparkSession.sparkContext.broadcast(index)
@@ -259,12 +318,14 @@ def scan(lists: DataFrame, probes: DataFrame, k: int) -> DataFrame:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query, its own row excluded."""
     spark = vectors.sparkSession
-    d = usable(vectors, key, vector).dropDuplicates(["id", "v"])
+    d = saved(usable(vectors, key, vector).dropDuplicates(["id", "v"]), "ann-vectors")
     schema = "query_id long, rank int, vec_id long, score double"
     index = fit(d, k)
     if index is None:
         return spark.createDataFrame([], schema)
-    lists, asked = post(d, index), usable(queries, key, vector).dropDuplicates(["id", "v"])
+    asked = usable(queries, key, vector, index.centroids.shape[1]).dropDuplicates(["id", "v"])
+    index = proved(index, d, asked, k)
+    lists = post(d, index)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
 
     def best(near: DataFrame) -> DataFrame:
