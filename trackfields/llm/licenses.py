@@ -2,9 +2,10 @@
 
 Units are the non-blank lines of a document and, since notices are wrapped, each block of lines between blank lines and all
 runs of ``WINDOW`` lines within it. Their word 1- to 3-grams, as far as the notices or their denials have them, go to a multinomial
-logistic regression over licence families and ``unknown``. It is fitted on the reference notices below and on a bounded
-sample of the corpus's own paragraphs as ``unknown`` (``NEGATIVES`` lines by hash, from about twice as many documents by
-hash), and on denials of the notices; half of that sample is held out to calibrate: a family is accepted only above a probability that at most ``FALSE_RATE`` of the held-out paragraphs reach. An
+logistic regression over licence families and ``unknown``. It is fitted on the reference notices below and on denials of them, and
+as ``unknown`` on half of the lines of all the corpus's blocks that speak of no licence (by hash of the line; together they weigh ``NEGATIVES``). The other
+half is held out to calibrate: a family is accepted only above a probability that at most ``FALSE_RATE`` of the held-out lines reach. Lines of
+the same known grams are one row with a count. An
 accepted family is confirmed where the unit holds ``COVER`` of the words of one of its notices; notices of up to ``SHORT`` words
 (headings) count only in units of at most twice their words. Units that cannot hold ``COVER`` of any notice's words are not
 classified: of each notice, one word more than may be missing is looked for, so this loses nothing. A family counts once
@@ -28,9 +29,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import discard, let, saved
 
-NEGATIVES, FALSE_RATE, COVER = 4_000, 0.001, 0.8
+NEGATIVES, FALSE_RATE, COVER = 2_000.0, 0.001, 0.8
 WINDOW, SHORT = 4, 4
 BLANK = r"\n(?:[ \t-\r]*\n)+"
 SPEAKS = "licen|copyright|redistribut|warrant|spdx|unencumbered"
@@ -172,9 +173,13 @@ def word_grams(tokens: Column) -> Column:
     return let(tokens, grams)
 
 
-def _features(rows: DataFrame, known: CountVectorizerModel) -> DataFrame:
+def _counts(rows: DataFrame, known: CountVectorizerModel) -> DataFrame:
+    """``rows`` with a vector of the known grams that each paragraph has."""
+    return known.transform(rows.withColumn("grams", word_grams(words(F.col("paragraph"))))).drop("grams")
+
+
+def _features(counted: DataFrame) -> DataFrame:
     """Unit vectors of the known grams, so that length by itself says nothing; no features where there are none."""
-    counted = known.transform(rows.withColumn("grams", word_grams(words(F.col("paragraph")))))
     return Normalizer(inputCol="counts", outputCol="features").transform(counted).drop("counts")
 
 
@@ -208,22 +213,24 @@ def fit(rows: DataFrame) -> tuple[CountVectorizerModel, LogisticRegressionModel,
     grams = sorted(r[0] for r in known.select(F.explode(word_grams(words(F.col("paragraph"))))).distinct().collect())  # of the fixed sentences
     vectors = CountVectorizerModel.from_vocabulary(grams, "grams", "counts")
     vectors.setBinary(True)
-    # A bounded sample in the order of a hash.
-    mark = F.md5(F.col("paragraph").cast("binary"))
-    sample = rows.withColumn("mark", mark).orderBy("mark").limit(NEGATIVES).coalesce(1)
-    sample = sample.withColumn("held_out", F.substring("mark", 32, 1).isin(*"02468ace")).drop("mark").cache()
-    learn = sample.where(~F.col("held_out")).select("paragraph", F.lit(float(FAMILIES.index(UNKNOWN))).alias("label"), F.lit(1.0).alias("weight"))
-    model = LogisticRegression(maxIter=60, regParam=1e-4, weightCol="weight", family="multinomial").fit(_features(known.unionByName(learn), vectors))
+    held_out = F.substring(F.md5(F.col("paragraph").cast("binary")), 32, 1).isin(*"02468ace")
+    lines = _counts(rows.select("paragraph", held_out.alias("held_out")), vectors).groupBy("counts", "held_out").agg(F.count("*").alias("n"))
+    lines = saved(lines, "license-lines")
+    learn = lines.where(~F.col("held_out"))
+    total = learn.agg(F.sum("n")).head()[0] or 1
+    learn = learn.select("counts", F.lit(float(FAMILIES.index(UNKNOWN))).alias("label"), (F.col("n") * (NEGATIVES / total)).alias("weight"))
+    told = _counts(known, vectors).select("counts", "label", "weight")
+    model = LogisticRegression(maxIter=60, regParam=1e-4, weightCol="weight", family="multinomial").fit(_features(told.unionByName(learn)))
     at = FAMILIES.index(UNKNOWN)
-    away = model.transform(_features(sample.where("held_out"), vectors)).select((1 - vector_to_array("probability")[at]).alias("p"))
-    limit = away.agg(F.percentile("p", 1 - FALSE_RATE)).head()[0]
-    sample.unpersist()
+    away = model.transform(_features(lines.where("held_out"))).select(F.round(1 - vector_to_array("probability")[at], 6).alias("p"), "n")
+    limit = away.agg(F.percentile("p", 1 - FALSE_RATE, F.col("n"))).head()[0]  # over a million distinct values at most
+    discard(lines)
     return vectors, model, max(0.5, float(limit or 0.0))
 
 
 def classify(rows: DataFrame, vectors: CountVectorizerModel, model: LogisticRegressionModel, accept: float) -> DataFrame:
     """``rows`` with family, probability and cover: the best share of a notice's words that the paragraph holds."""
-    scored = model.transform(_features(rows, vectors)).withColumn("_p", vector_to_array("probability"))
+    scored = model.transform(_features(_counts(rows, vectors))).withColumn("_p", vector_to_array("probability"))
     at = FAMILIES.index(UNKNOWN)
     family = F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.col("prediction").cast("int") + 1)
     p = 1 - F.col("_p")[at]
@@ -234,14 +241,12 @@ def classify(rows: DataFrame, vectors: CountVectorizerModel, model: LogisticRegr
         if f != UNKNOWN:
             shares = [F.when((F.size(s) > SHORT) | (F.size("own") <= 2 * F.size(s)), F.size(F.array_intersect("own", s)) / F.size(s)).otherwise(F.lit(0.0)) for s in (F.array_distinct(words(F.lit(n))) for n in notices)]
             cover = F.when(F.col("family") == f, F.greatest(*shares)).otherwise(cover)
-    return scored.withColumn("cover", cover).drop("own", "grams", "features", "rawPrediction", "prediction", "_p")
+    return scored.withColumn("cover", cover).drop("own", "features", "rawPrediction", "prediction", "_p")
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_paragraphs, n_licenses (confirmed), families (sorted, distinct), best: the highest probability confirmed."""
-    share = min(1.0, 2 * NEGATIVES / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    hits = classify(units(docs, text, key), *fit(plain_lines(some, text))).where((F.col("family") != UNKNOWN) & (F.col("cover") >= COVER))
+    hits = classify(units(docs, text, key), *fit(plain_lines(docs, text))).where((F.col("family") != UNKNOWN) & (F.col("cover") >= COVER))
     hits = hits.groupBy("doc_id", "block", "family").agg(F.greatest(F.sum(F.col("line").cast("long")), F.lit(1)).alias("n"), F.max("probability").alias("probability"))
     hits = hits.groupBy(F.col("doc_id").alias("_id")).agg(F.sum("n").alias("n"), F.array_sort(F.collect_set("family")).alias("families"), F.max("probability").alias("best"))
     n = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"\S"))).cast("long")
