@@ -36,9 +36,9 @@ from .fingerprints import _INVERSE, ODD, _mix, _powers
 EXAMPLES, SAMPLE_WORDS = 4096, 1 << 21
 BLOCK, FIRST, NEIGHBOURS = 256, 2, 16
 #: Examples that the driver scores at once, for the calibration.
-STRETCH = 32
-#: Characters handled together.
-SLICE = 150_000
+STRETCH = 8
+#: Characters handled together; what they expand to should stay in a core's cache.
+SLICE = 20_000
 
 
 class Model(NamedTuple):
@@ -109,7 +109,9 @@ def _texts(s: pd.Series) -> list[str]:
 def _ranges(begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all ranges one after the other, and the length of each range."""
     n = stop - begin
-    return np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n), n
+    out = np.repeat(begin - (np.cumsum(n) - n), n)
+    out += np.arange(len(out))
+    return out, n
 
 
 def unit(of: np.ndarray, term: np.ndarray, n: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
@@ -148,8 +150,10 @@ def nearest(m: Model, of: np.ndarray, term: np.ndarray, value: np.ndarray, texts
         e = entry[here]
         post, n = _ranges(m.posts[e], m.posts[e + 1])
         # An example's place in its block, in the slot of the text and the block.
-        spot = np.repeat(slot[where[here]] * BLOCK - m.block[e] * BLOCK, n) + m.example[post]
-        every = np.bincount(spot, m.value[post] * np.repeat(weight[here], n), (slot[-1] + 1) * BLOCK if len(slot) else 0)
+        spot, part = np.repeat(slot[where[here]] * BLOCK - m.block[e] * BLOCK, n), np.repeat(weight[here], n)
+        spot += m.example.take(post)
+        part *= m.value.take(post)
+        every = np.bincount(spot, part, (slot[-1] + 1) * BLOCK if len(slot) else 0)
         good = np.flatnonzero(every > 1e-9)
         which = np.flatnonzero(flat)[good // BLOCK]
         t, x, cos = which // blocks, which % blocks * BLOCK + good % BLOCK, every[good]
