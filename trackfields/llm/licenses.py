@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import math
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
@@ -34,7 +35,7 @@ from .common import discard, let, saved
 NEGATIVES, FALSE_RATE, COVER = 2_000.0, 0.001, 0.8
 WINDOW, SHORT = 4, 4
 BLANK = r"\n(?:[ \t-\r]*\n)+"
-SPEAKS = "licen|copyright|redistribut|warrant|spdx|unencumbered"
+SPEAKS = ("licen", "copyright", "redistribut", "warrant", "spdx", "unencumbered")
 UNKNOWN = "unknown"
 
 # Notices by which works commonly state their licence, headings and paragraphs of full texts, by family.
@@ -164,18 +165,21 @@ def words(text: Column) -> Column:
 
 
 def word_grams(tokens: Column) -> Column:
-    """The words, pairs and triples of neighbouring words."""
+    """The words, pairs and triples of neighbouring words; null where one of the words is."""
 
     def grams(t: Column) -> Column:
-        pairs = F.zip_with(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-        return let(pairs, lambda p: F.concat(t, p, F.zip_with(F.slice(p, F.lit(1), F.greatest(F.size(t) - 2, F.lit(0))), F.slice(t, F.lit(3), F.greatest(F.size(t) - 2, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))))
+        pairs = F.zip_with(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+        return let(pairs, lambda p: F.concat(t, p, F.zip_with(F.slice(p, F.lit(1), F.greatest(F.size(t) - 2, F.lit(0))), F.slice(t, F.lit(3), F.greatest(F.size(t) - 2, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))))
 
     return let(tokens, grams)
 
 
 def _counts(rows: DataFrame, known: CountVectorizerModel) -> DataFrame:
     """``rows`` with a vector of the known grams that each paragraph has."""
-    return known.transform(rows.withColumn("grams", word_grams(words(F.col("paragraph"))))).drop("grams")
+    single = [g for g in known.vocabulary if " " not in g]
+    # No known gram has an unknown word, so most grams need not be made.
+    tokens = F.transform(words(F.col("paragraph")), lambda t: F.when(t.isin(single), t))
+    return known.transform(rows.withColumn("grams", F.array_compact(word_grams(tokens)))).drop("grams")
 
 
 def _features(counted: DataFrame) -> DataFrame:
@@ -185,7 +189,7 @@ def _features(counted: DataFrame) -> DataFrame:
 
 def plain_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """(paragraph): the non-blank lines of blocks without a word on licences, so no line of a wrapped notice is among them."""
-    blocks = docs.select(F.explode(F.split(F.col(text), BLANK)).alias("all")).where(~F.lower("all").rlike(SPEAKS))
+    blocks = docs.select(F.explode(F.split(F.col(text), BLANK)).alias("all")).where(~let(F.lower("all"), lambda t: reduce(or_, map(t.contains, SPEAKS))))
     return blocks.select(F.explode(F.split("all", "\n")).alias("paragraph")).where(F.col("paragraph").rlike(r"\S"))
 
 
