@@ -3,10 +3,12 @@
 Terms are the words (runs of letters, lower case) of the labelled examples, all of them. A term's weight in a text is
 ``(1 + log tf) * idf * tell``: idf counts all documents, and ``tell`` is the absolute log odds of the labels given the term,
 from the examples. Without ``tell``, chance repeats of rare words outweigh what the labels are about. Examples are sorted into blocks of
-``BLOCK``; a term's posting list is cut into these blocks, each with its greatest weight. A text adds these up to a bound per
-block, scores its ``FIRST`` best blocks exactly, and then all blocks whose bound reaches the k-th best cosine so far, so the
-neighbours found are the true ones. Votes are weighted by cosine and made into probabilities by a logistic curve that is fitted
-on the examples themselves, each left out of its own neighbours.
+``BLOCK``; a term's posting list is cut into these blocks, each with its greatest weight. What the ``COMMON`` commonest terms add
+to the cosines is a matrix product over all examples, as their lists cover most blocks anyway; of the other terms a text adds up
+the greatest weights. Both make a bound per block. A text scores its ``FIRST`` best blocks exactly, and then all blocks whose bound
+reaches the k-th best cosine so far, so the neighbours found are the true ones. Votes are weighted by cosine and made into
+probabilities by a logistic curve that is fitted on the examples themselves, each left out of its own neighbours; tasks score
+them, the driver solves for the curve's three numbers.
 
 The labelled examples are a bounded sample, taken by hash of the id: at most ``EXAMPLES`` rows, and as many as together have
 ``SAMPLE_WORDS`` words (the first in any case). They are what the classifier is fitted on; their index, which is broadcast,
@@ -26,7 +28,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import LETTER, class_table
@@ -35,10 +38,12 @@ from .fingerprints import _INVERSE, ODD, _mix, _powers
 
 EXAMPLES, SAMPLE_WORDS = 4096, 1 << 21
 BLOCK, FIRST, NEIGHBOURS = 256, 2, 16
-#: Examples that the driver scores at once, for the calibration.
+#: Terms whose weights in all examples are held as a matrix.
+COMMON = 256
+#: Examples that a task scores at once, for the calibration.
 STRETCH = 8
 #: Characters handled together; what they expand to should stay in a core's cache.
-SLICE = 20_000
+SLICE = 60_000
 
 
 class Model(NamedTuple):
@@ -133,15 +138,36 @@ def indexed(of: np.ndarray, term: np.ndarray, value: np.ndarray, terms: int) ->
     }
 
 
-def nearest(m: Model, of: np.ndarray, term: np.ndarray, value: np.ndarray, texts: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def common(m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(place by term, -1 for the others; values by place and example) of the terms that most examples have, ``COMMON`` at most."""
+    many = m.posts[m.cuts[1:]] - m.posts[m.cuts[:-1]] if len(m.terms) else np.zeros(0, np.int64)
+    chosen = np.argsort(-many, kind="stable")[:COMMON]
+    chosen = chosen[many[chosen] * 32 >= len(m.ids)]
+    place = np.full(len(m.terms), -1)
+    place[chosen] = np.arange(len(chosen))
+    post, n = _ranges(m.posts[m.cuts[chosen]], m.posts[m.cuts[chosen + 1]])
+    values = np.zeros((len(chosen), -(-len(m.ids) // BLOCK) * BLOCK))
+    values[np.repeat(np.arange(len(chosen)), n), m.example[post]] = m.value[post]
+    return place, values
+
+
+def nearest(
+    m: Model, of: np.ndarray, term: np.ndarray, value: np.ndarray, texts: int, skip: np.ndarray | None = None, dense: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, example, cosine) of each text's nearest examples with a positive cosine, nearest first, ties to the earlier example.
 
-    ``skip``: for each text an example that doesn't count.
+    ``skip``: for each text an example that doesn't count. ``dense``: ``common(m)``, if it is at hand.
     """
-    blocks = -(-len(m.ids) // BLOCK)
+    place, values = common(m) if dense is None else dense
+    blocks, at = -(-len(m.ids) // BLOCK), place[term]
+    often = at >= 0
+    mine = np.zeros((texts, len(values)))
+    mine[of[often], at[often]] = value[often]
+    shared = mine @ values  # of the common terms: exact for every example, so only the other terms need bounds
+    of, term, value = of[~often], term[~often], value[~often]
     entry, n = _ranges(m.cuts[term], m.cuts[term + 1])
     where, weight = np.repeat(of * blocks, n) + m.block[entry], np.repeat(value, n)
-    bound = np.bincount(where, m.most[entry] * weight, texts * blocks).reshape(texts, blocks)
+    bound = np.bincount(where, m.most[entry] * weight, texts * blocks).reshape(texts, blocks) + shared.reshape(texts, blocks, BLOCK).max(2)
 
     def exact(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         flat = chosen.ravel()
@@ -153,7 +179,9 @@ def nearest(m: Model, of: np.ndarray, term: np.ndarray, value: np.ndarray, texts
         spot, part = np.repeat(slot[where[here]] * BLOCK - m.block[e] * BLOCK, n), np.repeat(weight[here], n)
         spot += m.example.take(post)
         part *= m.value.take(post)
-        every = np.bincount(spot, part, (slot[-1] + 1) * BLOCK if len(slot) else 0)
+        every = np.bincount(spot, part, (slot[-1] + 1) * BLOCK if len(slot) else 0).reshape(-1, BLOCK) + shared.reshape(-1, BLOCK)[flat]
+        # The product's last bits depend on how many texts share it; rounded, equal examples stay equal.
+        every = np.round(every.ravel(), 9)
         good = np.flatnonzero(every > 1e-9)
         which = np.flatnonzero(flat)[good // BLOCK]
         t, x, cos = which // blocks, which % blocks * BLOCK + good % BLOCK, every[good]
@@ -221,14 +249,16 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                 out += [tuple(v.view(np.int64) for v in np.unique(hashes[i:j], return_counts=True)) for i, j in zip(cut, cut[1:])]
             yield pd.DataFrame({"doc_id": rows["doc_id"], "toxic": rows["toxic"], "terms": [x for x, _ in out], "n": [y for _, y in out]})
 
-    rows = examples(d, labels, text, key).mapInPandas(bags, "doc_id long, toxic int, terms array<long>, n array<long>").toPandas().sort_values("doc_id", ignore_index=True)
-    ids, y = rows["doc_id"].to_numpy(np.int64), rows["toxic"].to_numpy(float)
+    # As Arrow: a list of Python numbers per example would take several times the driver's memory.
+    rows = examples(d, labels, text, key).mapInPandas(bags, "doc_id long, toxic int, terms array<long>, n array<long>").toArrow().sort_by("doc_id").combine_chunks()
+    ids, y = rows["doc_id"].to_numpy(), rows["toxic"].to_numpy().astype(float)
     none = np.zeros(0, np.int64)
     if not 0 < y.sum() < len(y):
         return Model(none.view(np.uint64), none, np.zeros(1, np.int64), none, none, np.zeros(1, np.int64), none, none, none, none, np.array([np.log(1 / 3), 0, 0]))
-    sizes = rows["terms"].map(len).to_numpy()
-    of, n = np.repeat(np.arange(len(rows)), sizes), np.concatenate([np.asarray(x, np.int64) for x in rows["n"]])
-    terms, term = np.unique(np.concatenate([np.asarray(x, np.int64) for x in rows["terms"]]).view(np.uint64), return_inverse=True)
+    sizes, total = pc.list_value_length(rows["terms"]).to_numpy(), len(ids)
+    of, n = np.repeat(np.arange(total), sizes), pc.list_flatten(rows["n"]).to_numpy()
+    terms, term = np.unique(pc.list_flatten(rows["terms"]).to_numpy().view(np.uint64), return_inverse=True)
+    del rows
     shared = d.sparkSession.sparkContext.broadcast(terms)
 
     def frequencies(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -242,30 +272,47 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         at = np.flatnonzero(df)
         yield pd.DataFrame({"at": np.concatenate([[-1], at]), "n": np.concatenate([[seen], df[at]])})
 
-    found = d.select(F.col(text).alias("text")).mapInPandas(frequencies, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # a row per term of the sample
+    found = d.select(F.col(text).alias("text")).mapInPandas(frequencies, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # a row per term of the sample
+    at, seen = found["at"].to_numpy(), found["n"].to_numpy()
     df = np.zeros(len(terms))
-    real = found["at"].to_numpy() >= 0
-    df[found["at"].to_numpy()[real]] = found["n"].to_numpy()[real]
-    idf = np.log((1 + float(found["n"].to_numpy()[~real].sum())) / (1 + df))
+    df[at[at >= 0]] = seen[at >= 0]
+    idf = np.log((1 + float(seen[at < 0].sum())) / (1 + df))
     pos, every = np.bincount(term, y[of], len(terms)), np.bincount(term, minlength=len(terms))
     odds = np.log((pos + 0.5) / (every - pos + 0.5)) - np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     weight = np.maximum(idf, 1e-3) * np.abs(odds)
-    value = unit(of, term, n, weight, len(rows))
+    value = unit(of, term, n, weight, total)
     # Like examples share blocks, which keeps the bounds tight: they are sorted by their heaviest term.
     heavy = np.lexsort((value, of))[np.cumsum(sizes)[sizes > 0] - 1]
-    top = np.full(len(rows), -1)
+    top = np.full(total, -1)
     top[of[heavy]] = term[heavy]
     order = np.lexsort((ids, top))
     rank = np.argsort(order)
     model = Model(terms, weight, **indexed(rank[of], term, value, len(terms)), labels=y[order], ids=ids[order], curve=np.zeros(3))
-    seen = np.concatenate([evidence(model, *_of_rows(model, of, term, value, part, rank), len(part)) for part in np.array_split(np.arange(len(rows)), -(-len(rows) // STRETCH))])
-    return model._replace(curve=_logistic(seen, y))
+    return model._replace(curve=_logistic(_left_out(d.sparkSession, model, sizes, term, value, rank), y))
+
 
+def _left_out(spark: SparkSession, model: Model, sizes: np.ndarray, term: np.ndarray, value: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The evidence of each example without itself, found by tasks of ``STRETCH`` examples at once."""
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    shared = spark.sparkContext.broadcast((model, cuts, term.astype(np.int32), value, rank))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, cuts, term, value, rank = shared.value
+        dense = common(m)
+        for rows in batches:
+            for i in rows["id"].tolist():
+                part = np.arange(i * STRETCH, min((i + 1) * STRETCH, len(rank)))
+                here = slice(cuts[part[0]], cuts[part[-1] + 1])
+                of = np.repeat(np.arange(len(part)), np.diff(cuts[part[0] : part[-1] + 2]))
+                seen = evidence(m, *nearest(m, of, term[here].astype(np.int64), value[here], len(part), rank[part], dense), len(part))
+                yield pd.DataFrame({"at": part, "vote": seen[:, 1], "near": seen[:, 2]})
 
-def _of_rows(m: Model, of: np.ndarray, term: np.ndarray, value: np.ndarray, part: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The neighbours of a stretch of examples, each without itself."""
-    i, j = np.searchsorted(of, [part[0], part[-1] + 1])
-    return nearest(m, of[i:j] - part[0], term[i:j], value[i:j], len(part), rank[part])
+    stretches = -(-len(rank) // STRETCH)
+    found = spark.range(0, stretches, 1, min(stretches, 64)).mapInPandas(run, "at long, vote double, near double").toArrow()
+    shared.destroy()
+    out = np.ones((len(rank), 3))
+    out[found["at"].to_numpy(), 1:] = np.stack([found["vote"].to_numpy(), found["near"].to_numpy()], axis=1)
+    return out
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
@@ -274,11 +321,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxici
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
+        dense = common(m)
         for s in batches:
             p, near, cosines = [], [], []
             for some in slices(_texts(s)):
                 of, term, n = counts(some, m.terms)
-                t, x, cos = nearest(m, of, term, unit(of, term, n, m.weight, len(some)), len(some)) if len(m.ids) else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+                t, x, cos = nearest(m, of, term, unit(of, term, n, m.weight, len(some)), len(some), dense=dense) if len(m.ids) else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
                 z = evidence(m, t, x, cos, len(some)) @ m.curve
                 p.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
                 cut = np.searchsorted(t, np.arange(len(some) + 1))
