@@ -10,7 +10,7 @@ intersecting the sorted arrays of shingle hashes.
 Tiles are worked in rounds, so a tile of many near copies does not make all its pairs: first each set meets a few
 neighbours by size; then, with the components so far, each set meets the one set of another component that its bitmap finds
 likeliest, which joins nearly all that belong together; at last all sets of still different components meet. The later
-rounds work in tiles of bounded size. Within one component nothing more can change the result. Components are found by
+rounds work in tiles of bounded size, and leave out those whose sets have all met. Within one component nothing more can change the result. Components are found by
 minimum labels with pointer jumping. A shingle of more than ``HOT`` sets is dealt to several tasks in every round.
 
 Shingles are compared by 64-bit hashes, sets by 128 bits. Arrays are made again from texts, for candidates only; a bit table
@@ -24,7 +24,7 @@ doc_id has a null component and takes no part; ids are below 2**62; other column
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -322,10 +322,11 @@ def _within_tiles(mixed: DataFrame, bits: DataFrame, rule: Rule, likeliest: bool
     return best.select(F.greatest("a", "best.b").alias("a"), F.least("a", "best.b").alias("b")).distinct()
 
 
-def _dealt(tiles: DataFrame, rarity: bytes) -> DataFrame:
+def _dealt(tiles: DataFrame, rarity: bytes, every: Callable[[Column], DataFrame] | None = None) -> DataFrame:
     """``tiles`` with ``parts`` and ``part``: how many tasks share the shingle, 1 for up to HOT sets, and the set's own.
 
-    Buckets of the rarity table that hold few shingles need no count; for the others, shingles are counted.
+    Buckets of the rarity table that hold few shingles need no count; for the others, shingles are counted. ``every``
+    gives the tiles' rows (w, doc) under a condition by a plan that shuffles no others.
     """
     full = np.frombuffer(rarity, np.uint8) >= int(8 * np.log2(1 + HOT))
     few = lambda d: d.withColumn("parts", F.lit(1)).withColumn("part", F.lit(0))
@@ -333,19 +334,21 @@ def _dealt(tiles: DataFrame, rarity: bytes) -> DataFrame:
         return few(tiles)
     table = tiles.sparkSession.createDataFrame([(np.packbits(full, bitorder="little").view(np.int64).tolist(),)], "t array<bigint>").scalar()
     may = in_table((table, BUCKETS), F.call_function("shiftright", "w", F.lit(40)).bitwiseAND(F.lit(BUCKETS - 1)))
-    some = tiles.where(may)
-    counts = some.groupBy("w").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT)
+    counts = (tiles.where(may) if every is None else every(may)).groupBy("w").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT)
     counts = saved(counts.select("w", F.ceil(F.col("rows") / HOT).cast("int").alias("parts")), "ngram-hot")
     if counts.isEmpty():
         return few(tiles)
-    some = some.join(counts, "w", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    some = tiles.where(may).join(counts, "w", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     return few(tiles.where(~may)).unionByName(some.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")))
 
 
 def _mixed(tiles: DataFrame, so_far: DataFrame) -> DataFrame:
-    """w, i, n, doc, c (component), rows of the tiles that hold several components. Counts are combined before they are shuffled."""
+    """w, i, n, doc, c (component), rows of the tiles that hold several components. Counts are combined before they are shuffled.
+
+    In a tile of one task and no more than ``BACK`` + 1 sets, all have met at first, so it is left out.
+    """
     mine = tiles.join(so_far, tiles["doc"] == so_far["node"], "left").select("w", "i", "n", "doc", F.coalesce("component", "doc").alias("c"))
-    several = mine.groupBy("w").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
+    several = mine.groupBy("w").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("rows")).where("lo < hi").where(F.col("rows") > min(BACK + 1, HOT))
     return saved(mine.join(several.select("w", "rows"), "w"), "ngram-mixed")
 
 
@@ -374,9 +377,11 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: R
     real = known.where((F.col("n") > 0) & F.col("doc").isNotNull())
     classes = real.groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"))
     members = saved(real.select("doc", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select("doc", "rep").distinct(), "ngram-members")
-    reps = real.join(members.where("doc = rep").select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
+    first = members.where("doc = rep").select("doc")
+    reps = real.join(first, "doc", "left_semi").dropDuplicates(["doc"])
     bits = reps.select("doc", "n", "bits")
-    tiles = _dealt(reps.select(F.posexplode("first").alias("i", "w"), "n", "doc"), rarity)
+    some = lambda may: real.select(F.explode("first").alias("w"), "doc").where(may).join(first, "doc", "left_semi").distinct()
+    tiles = _dealt(reps.select(F.posexplode("first").alias("i", "w"), "n", "doc"), rarity, some)
     band = Window.partitionBy("w", "part").orderBy("n", "doc")
     near = tiles.withColumn("before", F.lag("n").over(band)).withColumn("after", F.lead("n").over(band))
     # A set without a neighbour of a compatible size in its tile has no partner there at all; a tile that is dealt to several tasks keeps all.
