@@ -33,6 +33,8 @@ LETTER, NUMBER, WHITE, OTHER = 0, 1, 2, 3
 WHITE_SPACE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Pieces kept in a worker's cache; beyond that it starts anew, so memory stays bounded.
 CACHE_PIECES = 500_000
+#: Code points of texts that a worker cuts at once (a longer text is cut alone); cutting takes about 70 bytes for each.
+CHUNK = 250_000
 
 # States of the automaton that reads an apostrophe and what follows it.
 START, APOS, PAIR_R, PAIR_V, PAIR_L, DONE2, DONE3, FAIL = range(8)
@@ -215,7 +217,7 @@ def encode_texts(texts: list[str], path: str) -> list[list[int]]:
     return out
 
 
-def _chunks(texts: list[str], most: int = 2_000_000):
+def _chunks(texts: list[str], most: int = CHUNK):
     """Runs of texts of about ``most`` code points together."""
     begin, held = 0, 0
     for i, t in enumerate(texts):
