@@ -38,7 +38,7 @@ SIMILAR = 0.8
 #: Buckets of the rarity table and of the search for hot words; bits of the candidate tables (2 MB as longs).
 BUCKETS, BITS = 1 << 17, 1 << 24
 #: Sets of a word beyond which it is hot; sets of a hot word that meet in the first step.
-HOT, CHUNK = 256, 16
+HOT, CHUNK = 1_024, 16
 #: Sets of a hot word that one task compares with open ones in the second step.
 TILE = 4_096
 #: Words of a signature: about two thirds of its 128 bits.
@@ -93,7 +93,7 @@ def _with_sets(lines: DataFrame, rarity: bytes) -> DataFrame:
 
     d = lines.select("doc", "line", F.sort_array(F.transform(_words(F.col("s")), ranked)).alias("o")).withColumn("n", F.size("o"))
     signed = F.slice("o", F.lit(1), F.lit(SIGNED))
-    half = lambda h: F.aggregate(F.filter(signed, lambda w: F.getbit(w, F.lit(46)) == h), F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(_bit(F.call_function("shiftright", w, F.lit(40)))))
+    half = lambda h: F.aggregate(signed, F.lit(0).cast("long"), lambda a, w: F.when(F.getbit(w, F.lit(46)) == h, a.bitwiseOR(_bit(F.call_function("shiftright", w, F.lit(40))))).otherwise(a))
     first = F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * SIMILAR - 1e-9).cast("int") + 1)
     return d.select("doc", "line", "n", half(0).alias("low"), half(1).alias("high"), F.xxhash64("o").alias("c"), F.transform(first, lambda w: w.bitwiseAND(F.lit(KEY)).cast("int")).alias("first"))
 
