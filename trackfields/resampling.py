@@ -37,8 +37,12 @@ def poisson_weight(*keys: Column) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda p: p <= u))
 
 
-#: Rows of a chunk of the bootstrap, and replicates that a task works at once.
-CHUNK, AT_ONCE = 8_192, 250
+#: Rows of a small chunk of the bootstrap, how many of them make a large one, and the chunks of an arm between the two.
+CHUNK, LARGE, CHUNKS = 8_192, 64, 16
+#: Replicates that a task works at once, and draws.
+AT_ONCE, DRAWS = 250, 1 << 24
+#: Rows of a tile, and its scores with positive rows.
+TILE, CUTS = 1_024, 16
 
 
 def halves(key: Column) -> list[Column]:
@@ -64,11 +68,25 @@ LIMITS = np.ceil(np.array(POISSON) * 2**32).astype(np.uint64)
 
 
 def weights(h1: np.ndarray, h2: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """How often each cluster is drawn in each replicate: Poisson with mean 1."""
-    x = draws(h1, h2, r)
-    out = np.zeros(x.shape)
-    for limit in LIMITS[LIMITS < 2**32].astype(np.uint32):
-        out += x >= limit
+    """How often each cluster is drawn in each replicate, from 0 to 8: Poisson with mean 1. Some clusters at a time, so that numbers stay near the CPU."""
+    out, limits = np.empty((len(h1), len(r)), np.uint8), LIMITS[LIMITS < 2**32].astype(np.uint32)
+    first, second, add = h1.astype(np.uint32)[:, None], h2.astype(np.uint32)[:, None], r.astype(np.uint32)[None] * np.uint32(2654435769)
+    some = max(1, 65_536 // max(len(r), 1))
+    numbers, spare, over = np.empty((some, len(r)), np.uint32), np.empty((some, len(r)), np.uint32), np.empty((some, len(r)), bool)
+    for i in range(0, len(h1), some):
+        drawn = out[i : i + some]
+        x, y, z = numbers[: len(drawn)], spare[: len(drawn)], over[: len(drawn)]
+        np.add(first[i : i + some], add, out=x)
+        for part in (0, 1):  # as in ``draws``
+            if part:
+                np.bitwise_xor(x, second[i : i + some], out=x)
+            for shift, by in ((16, 2246822507), (13, 3266489909), (16, None)):
+                np.bitwise_xor(x, np.right_shift(x, np.uint32(shift), out=y), out=x)
+                if by:
+                    np.multiply(x, np.uint32(by), out=x)
+        drawn[:] = 0
+        for limit in limits:
+            np.add(drawn, np.greater_equal(x, limit, out=z).view(np.uint8), out=drawn)
     return out
 
 
@@ -146,31 +164,67 @@ def random_points(df: DataFrame, key: str, half: float, n: int) -> DataFrame:
 
 
 def _chunks(df: DataFrame, cluster: str, scores: tuple[str, ...], *by: str) -> DataFrame:
-    """A row per chunk (key, arm, chunk, hot, o, h1, h2, pos, neg) of the scores in order, from the highest, equal scores together.
+    """A row per chunk (key, arm, chunk, hot, h, at, begin, pos, neg) of the scores in order, from the highest, equal scores together.
 
-    A chunk has about ``CHUNK`` clusters' counts; a score of more clusters has chunks of its own (``hot``), whose order does not matter.
+    ``h`` holds the chunk's clusters, ``at`` the cluster of each row and ``begin`` each score's first row. A chunk has about ``CHUNK`` to ``LARGE`` times as many
+    rows, so that ``CHUNKS`` come from an arm if they can: the larger, the less often a cluster's draws are repeated. A score of more rows has chunks of its own (``hot``), whose order does not matter.
     """
     arms = F.explode(F.array(*[F.struct(F.lit(x).alias("arm"), finite(F.col(x).cast("double")).alias("t")) for x in scores]))
-    d = df.where(F.col("y").isNotNull()).select(F.to_json(F.struct(*by), {"ignoreNullFields": "false"}).alias("key") if by else F.lit("").alias("key"), *halves(F.col(cluster)), "y", arms.alias("x"))
-    d = d.select("key", "h1", "h2", "y", "x.arm", "x.t").where("t is not null").groupBy("key", "arm", "t", "h1", "h2").agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"))
+    h1, h2 = halves(F.col(cluster))
+    d = df.where(F.col("y").isNotNull()).select(F.to_json(F.struct(*by), {"ignoreNullFields": "false"}).alias("key") if by else F.lit("").alias("key"), h1, h2, "y", arms.alias("x"))
+    d = d.select("key", F.shiftleft("h1", 32).bitwiseOR(F.col("h2")).alias("h"), "y", "x.arm", "x.t").where("t is not null").groupBy("key", "arm", "t", "h").agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"))
     sizes = stats.cumulative(d.groupBy("key", "arm", "t").agg(F.count("*").alias("m")), "t", ["m"], "key", "arm", descending=True)
-    hot = F.col("m") > CHUNK
-    sizes = sizes.select("key", "arm", "t", hot.alias("hot"), (2 * F.floor(F.col("m_before") / CHUNK) + hot.cast("long")).alias("chunk"), F.ceil(F.col("m") / CHUNK).cast("int").alias("pieces"))
-    d = d.join(sizes, ["key", "arm", "t"]).withColumn("piece", F.when(F.col("hot"), F.pmod(F.xxhash64("h1", "h2"), F.col("pieces"))).otherwise(0))
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("t")).alias("o"), "h1", "h2", "pos", "neg")))  # about CHUNK clusters
-    d = d.groupBy("key", "arm", "chunk", "hot", "piece").agg(rows.alias("rows"))
-    return d.select("key", "arm", "chunk", "hot", *[F.col(f"rows.{c}").alias(c) for c in ("o", "h1", "h2", "pos", "neg")])
+    rows = F.greatest(F.lit(CHUNK), F.least(F.lit(CHUNK * LARGE), F.ceil(F.col("m_total") / CHUNKS)))
+    hot = F.col("m") > rows
+    sizes = sizes.select("key", "arm", "t", hot.alias("hot"), (2 * F.floor(F.col("m_before") / rows) + hot.cast("long")).alias("chunk"), F.ceil(F.col("m") / rows).cast("int").alias("pieces"))
+    d = d.join(sizes, ["key", "arm", "t"]).withColumn("piece", F.when(F.col("hot"), F.pmod(F.xxhash64("h"), F.col("pieces"))).otherwise(0).cast("int"))
+    d = d.select(*OF, (-F.col("t")).alias("o"), "h", "pos", "neg").repartition(*OF).sortWithinPartitions(*OF, "o", "h")
+    return d.mapInPandas(_packed, "key string, arm string, chunk long, hot boolean, h array<long>, at array<int>, begin array<int>, pos array<double>, neg array<double>")
 
 
-def _blocks(n: int) -> list[np.ndarray]:
-    return [np.arange(i, min(i + AT_ONCE, n + 1)) for i in range(1, n + 1, AT_ONCE)]
+OF = ("key", "arm", "chunk", "hot", "piece")
 
 
-def _drawn(row, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The clusters' weights in replicates, and the cluster of each of the chunk's rows."""
-    h1, h2 = np.asarray(row.h1, np.int64), np.asarray(row.h2, np.int64)
-    _, first, of = np.unique(h1 << 32 | h2, return_index=True, return_inverse=True)
-    return weights(h1[first], h2[first], r), of.ravel()
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Chunks' rows, sorted, as a row per chunk."""
+
+    def row() -> pd.DataFrame:
+        o, h, pos, neg = (np.concatenate(x) for x in zip(*parts))
+        h, at = np.unique(h, return_inverse=True)
+        begin = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
+        return pd.DataFrame({**dict(zip(OF[:4], last)), "h": [h], "at": [at.ravel().astype(np.int32)], "begin": [begin.astype(np.int32)], "pos": [pos], "neg": [neg]})
+
+    last, parts = None, []
+    for rows in batches:
+        if not len(rows):
+            continue
+        of = rows[list(OF)]
+        starts = np.flatnonzero(np.r_[True, (of.to_numpy()[1:] != of.to_numpy()[:-1]).any(1)])
+        for i, j in zip(starts, np.r_[starts[1:], len(rows)]):
+            now = tuple(of.iloc[i])
+            if parts and now != last:
+                yield row()
+                parts = []
+            last = now
+            parts.append([rows[c].to_numpy()[i:j] for c in ("o", "h", "pos", "neg")])
+    if parts:
+        yield row()
+
+
+def _blocks(n: int, clusters: int) -> list[np.ndarray]:
+    step = max(1, min(AT_ONCE, DRAWS // max(clusters, 1)))
+    return [np.arange(i, min(i + step, n + 1)) for i in range(1, n + 1, step)]
+
+
+def _drawn(h: np.ndarray, r: np.ndarray, kind: type) -> np.ndarray:
+    """The clusters' weights in replicates."""
+    h = h.view(np.uint64)
+    return weights(h >> np.uint64(32), h & np.uint64(2**32 - 1), r).astype(kind)
+
+
+def _kind(*counts: np.ndarray) -> type:
+    """Floats that hold sums of counts times weights exactly."""
+    return np.float32 if sum(map(np.sum, counts)) * len(POISSON) < 2**24 else np.float64
 
 
 def _totals(n: int):
@@ -179,28 +233,55 @@ def _totals(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for row in rows.itertuples():
-                for r in _blocks(n):
-                    w, of = _drawn(row, r)
-                    pos, neg = (np.bincount(of, np.asarray(x, float), len(w)) @ w for x in (row.pos, row.neg))
-                    yield pd.DataFrame({"key": row.key, "arm": row.arm, "chunk": row.chunk, "hot": row.hot, "r": r, "pos": pos, "neg": neg})
+                h, at = np.asarray(row.h, np.int64), np.asarray(row.at)
+                kind = _kind(row.pos, row.neg)
+                counts = np.stack([np.bincount(at, np.asarray(x, float), len(h)) for x in (row.pos, row.neg)]).astype(kind)
+                for r in _blocks(n, len(h)):
+                    pos, neg = counts @ _drawn(h, r, kind)
+                    yield pd.DataFrame({"key": row.key, "arm": row.arm, "chunk": row.chunk, "hot": row.hot, "r": r, "pos": pos.astype(float), "neg": neg.astype(float)})
 
     return run
 
 
+def _tiles(begin: np.ndarray, pos: np.ndarray, neg: np.ndarray, kind: type) -> Iterator[tuple[slice, np.ndarray]]:
+    """Rows of whole scores, and what to sum of them: at each score with positive rows (a cut) positives and negatives from the tile's first row to the score's last, then the
+    score's own negatives, and at the end all positives and negatives. A tile has ``TILE`` rows and ``CUTS`` cuts at most; a longer score is a tile."""
+    ends = np.r_[begin[1:], len(pos)]
+    cuts = np.r_[0, np.cumsum(np.add.reduceat(pos, begin) > 0)]  # before each score
+    score, n = 0, len(begin)
+    while score < n:
+        stop = min(np.searchsorted(ends, begin[score] + TILE, "right"), np.searchsorted(cuts, cuts[score] + CUTS, "right") - 1)
+        stop = max(score + 1, stop)
+        rows = slice(begin[score], ends[stop - 1])
+        at = score + np.flatnonzero(np.diff(cuts[score : stop + 1]))
+        place = np.arange(rows.start, rows.stop)
+        upto = place < ends[at][:, None]
+        own = upto & (place >= begin[at][:, None])
+        yield rows, np.concatenate([upto * pos[rows], upto * neg[rows], own * neg[rows], [pos[rows], neg[rows]]]).astype(kind)
+        score = stop
+
+
 def _parts(n: int):
     """(key, arm, r, pos, neg, wins, found): each chunk's part of the areas, given the counts above it in each replicate."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for row in rows.itertuples():
-                o, above, under = np.asarray(row.o, float), np.asarray(row.tp, float), np.asarray(row.fp, float)
-                begin = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
-                for r in _blocks(n):
-                    w, of = _drawn(row, r)
-                    w = w[of]
-                    pos, neg = (np.add.reduceat(w * np.asarray(x, float)[:, None], begin, 0) for x in (row.pos, row.neg))
-                    tp, fp = np.cumsum(pos, 0) + above[r - 1], np.cumsum(neg, 0) + under[r - 1]
-                    yield pd.DataFrame({"key": row.key, "arm": row.arm, "r": r, "pos": pos.sum(0), "neg": neg.sum(0), "wins": (pos * (neg / 2 - fp)).sum(0), "found": (pos * tp / np.maximum(tp + fp, 1)).sum(0)})
+                h, at, above, under = np.asarray(row.h, np.int64), np.asarray(row.at), np.asarray(row.tp, float), np.asarray(row.fp, float)
+                kind = _kind(row.pos, row.neg)
+                tiles = list(_tiles(np.asarray(row.begin), np.asarray(row.pos, float), np.asarray(row.neg, float), kind))
+                for r in _blocks(n, len(h)):
+                    w = _drawn(h, r, kind)
+                    tp0, fp0, wins, found = above[r - 1], under[r - 1], np.zeros(len(r)), np.zeros(len(r))
+                    for of, what in tiles:
+                        sums = sum(what[:, i : i + TILE] @ w[at[of][i : i + TILE]] for i in range(0, what.shape[1], TILE)).astype(float)
+                        if k := len(what) // 3:  # cuts
+                            tp, fp, own = sums[:k] + tp0, sums[k : 2 * k] + fp0, sums[2 * k : 3 * k]
+                            pos = np.diff(tp, axis=0, prepend=tp0[None])
+                            wins += (pos * (own / 2 - fp)).sum(0)
+                            found += (pos * tp / np.maximum(tp + fp, 1)).sum(0)
+                        tp0, fp0 = tp0 + sums[-2], fp0 + sums[-1]
+                    yield pd.DataFrame({"key": row.key, "arm": row.arm, "r": r, "pos": tp0 - above[r - 1], "neg": fp0 - under[r - 1], "wins": wins, "found": found})
 
     return run
 
@@ -211,13 +292,14 @@ def replicate_areas(df: DataFrame, cluster: str, scores: tuple[str, ...], n: int
     Two passes over the chunks: the first sums each chunk's counts per replicate, the second adds up areas with what lies above.
     A row is never multiplied by replicates in a shuffle: tasks give one row per chunk and replicate.
     """
-    chunks = sources.saved(_chunks(df, cluster, scores, *by), "bootstrap-chunks")
-    t = chunks.mapInPandas(_totals(n), "key string, arm string, chunk long, hot boolean, r int, pos double, neg double").groupBy("key", "arm", "chunk", "hot", "r").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    chunks = sources.saved(_chunks(df, cluster, scores, *by), "bootstrap-chunks", 1)
+    tasks = max(1, chunks.select("hot").count())  # a chunk for each
+    t = chunks.repartitionByRange(tasks, "key", "arm", "chunk").mapInPandas(_totals(n), "key string, arm string, chunk long, hot boolean, r int, pos double, neg double").groupBy("key", "arm", "chunk", "hot", "r").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     t = sources.saved(t, "bootstrap-totals")
     before = Window.partitionBy("key", "arm", "r").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row per chunk
     t = t.withColumns({"tp": F.coalesce(F.sum("pos").over(before), F.lit(0.0)), "fp": F.coalesce(F.sum("neg").over(before), F.lit(0.0))})
     above = t.where("not hot").groupBy("key", "arm", "chunk").agg(F.array_sort(F.collect_list(F.struct("r", "tp", "fp"))).alias("x"))  # n at most
-    d = chunks.where("not hot").join(above.select("key", "arm", "chunk", F.col("x.tp").alias("tp"), F.col("x.fp").alias("fp")), ["key", "arm", "chunk"])
+    d = chunks.where("not hot").join(above.select("key", "arm", "chunk", F.col("x.tp").alias("tp"), F.col("x.fp").alias("fp")), ["key", "arm", "chunk"]).repartitionByRange(tasks, "key", "arm", "chunk")
     d = d.mapInPandas(_parts(n), "key string, arm string, r int, pos double, neg double, wins double, found double")
     tp, fp = F.col("tp") + F.col("pos"), F.col("fp") + F.col("neg")
     same = t.where("hot").select("key", "arm", "r", "pos", "neg", (F.col("pos") * (F.col("neg") / 2 - fp)).alias("wins"), (F.col("pos") * tp / F.greatest(tp + fp, F.lit(1.0))).alias("found"))

@@ -43,10 +43,10 @@ def _shared(path: str) -> str:
     return path
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back."""
+def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back; ``rows`` of a group at most, where a row is large: writers and readers hold a group at once."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**({"parquet.block.row.count.limit": rows} if rows else {})).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
